@@ -5,7 +5,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,7 +105,7 @@ def _whole_rows(bits, log_bits, with_text):
                 s, e = w.start.tolist(), w.end.tolist()
                 f = w.first.tolist()
                 sha = [hashlib.sha256(b" ".join([raw[x:y] for x, y in zip(s[a:b], e[a:b])])).hexdigest() for a, b in zip(f, f[1:])]
-                text = pa.compute.if_else(pa.array(may), rows.column(1), pa.scalar(None, pa.string()))
+                text = pa.array([raw[x:y].decode() if m else None for x, y, m in zip(offsets.tolist(), offsets[1:].tolist(), may.tolist())], pa.string())
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(np.diff(w.first)), pa.array(sha, pa.string()), text], names=["doc_id", "key", "n_words", "sha", "text"])
 
     return run
