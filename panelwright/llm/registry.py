@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "quality", "substrings", "mixing")
+MODULES = ("sharding", "jaccard", "quality", "substrings", "mixing")
 
 
 def _all(name: str) -> dict:
