@@ -15,8 +15,10 @@ SHINGLE = 5
 NUM, DEN = 3, 4
 #: Cells of the table of common shingles, and how many of them a task reports and the driver keeps.
 CELLS_LOG, TASK_CELLS, KEPT_CELLS = 20, 4096, 1 << 16
-#: Rounds that compare each text with one partner before all pairs that are still apart are compared.
-STAR_ROUNDS = 2
+#: At most so many rounds compare each text with its likeliest few partners, before all pairs still apart are compared.
+STAR_ROUNDS, HUBS, PARTNERS = 6, 6, 3
+#: Buckets of the histogram whose distance bounds the difference of two sets from below.
+BUCKETS = 256
 U = np.uint64
 
 
@@ -156,7 +158,9 @@ def _set_rows(wanted: BitSet):
                 name, n = _set_hashes(sets, ends)
                 may = wanted.may_hold(name)
                 rows = [i for i in np.flatnonzero(may).tolist() if name[i] and int(name[i]) not in sent and not sent.add(int(name[i]))]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(name[rows])), pa.array([sets[ends[i] : ends[i + 1]].tobytes() for i in rows], pa.binary())], names=["name", "body"])
+                each = [sets[ends[i] : ends[i + 1]] for i in rows]
+                hist = [np.minimum(np.bincount((x >> U(8)).astype(np.uint8), minlength=BUCKETS), 255).astype(np.uint8).tobytes() for x in each]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(name[rows])), pa.array([len(x) for x in each], pa.int32()), pa.array(hist, pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())], names=["name", "n", "hist", "body"])
 
     return run
 
@@ -176,11 +180,28 @@ def _verify_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "linked"])
 
 
+def _near_rows(batches):
+    """Pairs whose histograms differ by no more than linked sets may: |A xor B| <= (|A| + |B|) / 7."""
+    for batch in batches:
+        col = lambda c: batch.column(batch.schema.get_field_index(c))
+        if not batch.num_rows:
+            continue
+        a, b = (np.frombuffer(b"".join(col(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in ("hist_a", "hist_b"))
+        na, nb = (col(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_a", "n_b"))
+        gap = np.abs(a - b)
+        gap[(a == 255) | (b == 255)] = 0  # buckets that are full say nothing
+        ok = (gap.sum(axis=1) * (DEN + NUM) <= (na + nb) * (DEN - NUM)) & (na * DEN >= nb * NUM) & (nb * DEN >= na * NUM)
+        yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+
 def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(a, b, linked) for each pair of names, from their whole sets."""
-    left = pairs.join(bodies.select(F.col("name").alias("a"), F.col("body").alias("body_a")), "a")
-    both = left.join(bodies.select(F.col("name").alias("b"), F.col("body").alias("body_b")), "b").select("a", "b", "body_a", "body_b")
-    return both.mapInArrow(_verify_rows, "a long, b long, linked boolean")
+    """The (a, b) of pairs whose whole sets link. Histograms go first; only sets of pairs that may link move."""
+    side = lambda c, v: bodies.select(F.col("name").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in v))
+    near = pairs.join(side("a", ("n", "hist")), "a").join(side("b", ("n", "hist")), "b").select("a", "b", "n_a", "n_b", "hist_a", "hist_b").mapInArrow(_near_rows, "a long, b long")
+    near = materialize(near, "near_pairs")
+    own = lambda c: side(c, ("body",)).join(near.select(c).distinct(), c, "left_semi")
+    both = near.join(own("a"), "a").join(own("b"), "b").select("a", "b", "body_a", "body_b")
+    return both.mapInArrow(_verify_rows, "a long, b long, linked boolean").filter("linked").select("a", "b")
 
 
 def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -218,22 +239,25 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     met = sigs(None).groupBy("sig").agg(F.min("name").alias("x"), F.max("name").alias("y")).filter("x < y").select("sig")
     groups = _sharing(sigs, materialize(met, "met"))
     names = materialize(groups.select("name").distinct(), "names")
-    bodies = materialize(body.mapInArrow(_set_rows(BitSet(names, "name")), "name long, body binary").groupBy("name").agg(F.first("body").alias("body")).join(names, "name", "left_semi"), "bodies")
+    bodies = body.mapInArrow(_set_rows(BitSet(names, "name")), "name long, n int, hist binary, body binary")
+    bodies = materialize(bodies.join(names, "name", "left_semi").dropDuplicates(["name"]), "bodies")
     labels = names.select("name", F.col("name").alias("label"))
     for r in range(STAR_ROUNDS):
-        at = groups.join(labels, "name").withColumn("o", F.xxhash64("label", F.lit(r)))
-        hub = at.groupBy("sig").agg(F.min(F.struct("o", "label", "name")).alias("hub"))
-        star = at.join(hub, "sig").filter(F.col("label") != F.col("hub.label")).groupBy("name", F.col("hub.name").alias("other")).agg(F.count("*").alias("n"))
-        best = star.groupBy("name").agg(F.max(F.struct("n", "other")).alias("m")).select(F.col("name").alias("a"), F.col("m.other").alias("b"))
-        links = materialize(verify(best, bodies).filter("linked"), "links")
+        at = groups.join(labels, "name")
+        hubs = at.groupBy("sig").agg(F.array_distinct(F.array(*(F.min_by(F.struct("name", "label"), F.xxhash64("name", F.lit(r * HUBS + i))) for i in range(HUBS)))).alias("hubs"))
+        star = at.join(hubs, "sig").select("name", "label", F.explode("hubs").alias("hub")).filter("label <> hub.label").groupBy("name", F.col("hub.name").alias("other")).agg(F.count("*").alias("n"))
+        likely = star.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "other"))).filter(F.col("k") <= PARTNERS)
+        links = materialize(verify(likely.select(F.col("name").alias("a"), F.col("other").alias("b")), bodies), "links")
+        if links.isEmpty():
+            break
         labels = merge_labels(labels, links)
     # whatever still shares a signature across classes is compared in full
-    at = groups.join(labels, "name").withColumn("n_labels", F.lit(0)).drop("n_labels")
+    at = groups.join(labels, "name")
     mixed = at.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("sig")
     at = materialize(at.join(mixed, "sig", "left_semi"), "mixed")
-    l, r = at.select("sig", F.col("name").alias("a"), F.col("label").alias("la")), at.select("sig", F.col("name").alias("b"), F.col("label").alias("lb"))
-    rest = materialize(l.join(r, "sig").filter("a < b and la <> lb").select("a", "b").distinct(), "rest")
-    labels = merge_labels(labels, materialize(verify(rest, bodies).filter("linked"), "links"))
+    left, right = at.select("sig", F.col("name").alias("a"), F.col("label").alias("la")), at.select("sig", F.col("name").alias("b"), F.col("label").alias("lb"))
+    rest = left.join(right, "sig").filter("a < b and la <> lb").select("a", "b").distinct()
+    labels = merge_labels(labels, materialize(verify(rest, bodies), "links"))
     own = digest.filter("cell is null").select("doc_id", "n_shingles", "name")
     node = own.join(labels, "name", "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.struct(F.lit(0).alias("k"), F.coalesce("label", "name").alias("v"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("doc_id").alias("v"))))
     node = materialize(node.select("doc_id", "n_shingles", F.col("node.k").alias("k"), F.coalesce("node.v", F.lit(0)).alias("v")), "nodes")
