@@ -141,10 +141,13 @@ def _signature_rows(common, shared: BitSet | None):
                 sets, n = sets[np.repeat(fresh, n)], n[fresh]
                 name = name[fresh]
                 doc, sig = signatures(sets, np.concatenate([[0], np.cumsum(n)]), common.value)
-                if shared is not None:
-                    ok = shared.may_hold(mix(sig))
-                    doc, sig = doc[ok], sig[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(signed(name[doc]))], names=["sig", "name"])
+                # 52 bits: signatures that meet by chance only add candidates, and short ones take less room when they move
+                sig = (sig << U(4)) & U(0xFFFFFFFFFFFFF000)
+                if shared is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array((name[doc] >> U(32)).astype(np.uint32).view(np.int32))], names=["sig", "name"])
+                else:
+                    ok = shared.may_hold(sig)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(sig[ok])), pa.array(signed(name[doc[ok]]))], names=["sig", "name"])
 
     return run
 
@@ -160,17 +163,24 @@ def _set_rows(wanted: BitSet):
                 rows = [i for i in np.flatnonzero(may).tolist() if name[i] and int(name[i]) not in sent and not sent.add(int(name[i]))]
                 each = [sets[ends[i] : ends[i + 1]] for i in rows]
                 hist = [np.minimum(np.bincount((x >> U(8)).astype(np.uint8), minlength=BUCKETS), 255).astype(np.uint8).tobytes() for x in each]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(name[rows])), pa.array([len(x) for x in each], pa.int32()), pa.array(hist, pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())], names=["name", "n", "hist", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(name[rows])), pa.array([len(x) for x in each], pa.int32()), pa.array(hist, pa.binary()), pa.array([(x >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x in each], pa.binary())], names=["name", "n", "hist", "body"])
 
     return run
 
 
+def _six(body: bytes) -> np.ndarray:
+    """The leading 48 bits of each hash of a set, ascending."""
+    out = np.zeros((len(body) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(body, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _verify_rows(batches):
     for batch in batches:
         a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("body_a", "body_b"))
         ok = np.zeros(batch.num_rows, bool)
         for i, (x, y) in enumerate(zip(a, b)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            x, y = _six(x), _six(y)
             if len(x) > len(y):
                 x, y = y, x
             if len(x) * DEN >= len(y) * NUM:
@@ -196,10 +206,10 @@ def _near_rows(batches):
 
 def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The (a, b) of pairs whose whole sets link. Histograms go first; only sets of pairs that may link move."""
-    side = lambda c, v: bodies.select(F.col("name").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in v))
+    side = lambda c, v: bodies.select(F.col("name").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in v)).dropDuplicates([c])
     near = pairs.join(side("a", ("n", "hist")), "a").join(side("b", ("n", "hist")), "b").select("a", "b", "n_a", "n_b", "hist_a", "hist_b").mapInArrow(_near_rows, "a long, b long")
     near = materialize(near, "near_pairs")
-    own = lambda c: side(c, ("body",)).join(near.select(c).distinct(), c, "left_semi")
+    own = lambda c: bodies.select(F.col("name").alias(c), F.col("body").alias(f"body_{c}")).join(near.select(c).distinct(), c, "left_semi").dropDuplicates([c])
     both = near.join(own("a"), "a").join(own("b"), "b").select("a", "b", "body_a", "body_b")
     return both.mapInArrow(_verify_rows, "a long, b long, linked boolean").filter("linked").select("a", "b")
 
@@ -235,17 +245,22 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     common[heavy.column("cell").to_numpy()] = np.clip(np.log2(heavy.column("times").to_numpy().astype(float)), 1, 14).astype(np.uint8)
     common = spark.sparkContext.broadcast(common)
     body = rows.select("text")
-    sigs = lambda shared: body.mapInArrow(_signature_rows(common, shared), "sig long, name long")
-    met = sigs(None).groupBy("sig").agg(F.min("name").alias("x"), F.max("name").alias("y")).filter("x < y").select("sig")
-    groups = _sharing(sigs, materialize(met, "met"))
+    # a signature that one set alone has goes; 32 bits of the name are enough to tell, as several rows go on in any case
+    alone = body.mapInArrow(_signature_rows(common, None), "sig long, name int").groupBy("sig").agg(F.min("name").alias("x"), F.max("name").alias("y"), F.count("*").alias("n"))
+    met = materialize(alone.filter("x < y or n > 1").select("sig"), "met")
+    found = body.mapInArrow(_signature_rows(common, BitSet(met, "sig")), "sig long, name long")
+    # signatures with the same members are one group, of their number as weight
+    by_sig = Window.partitionBy("sig")
+    found = found.repartition("sig").dropDuplicates(["sig", "name"]).select("name", F.sum(F.xxhash64("name").cast("decimal(20,0)")).over(by_sig).alias("s"), F.count("*").over(by_sig).alias("k")).filter("k > 1")
+    groups = materialize(found.groupBy(F.xxhash64("s", "k").alias("sig"), "name").agg(F.count("*").alias("w")), "groups")
     names = materialize(groups.select("name").distinct(), "names")
     bodies = body.mapInArrow(_set_rows(BitSet(names, "name")), "name long, n int, hist binary, body binary")
-    bodies = materialize(bodies.join(names, "name", "left_semi").dropDuplicates(["name"]), "bodies")
+    bodies = materialize(bodies, "bodies")
     labels = names.select("name", F.col("name").alias("label"))
     for r in range(STAR_ROUNDS):
         at = groups.join(labels, "name")
         hubs = at.groupBy("sig").agg(F.array_distinct(F.array(*(F.min_by(F.struct("name", "label"), F.xxhash64("name", F.lit(r * HUBS + i))) for i in range(HUBS)))).alias("hubs"))
-        star = at.join(hubs, "sig").select("name", "label", F.explode("hubs").alias("hub")).filter("label <> hub.label").groupBy("name", F.col("hub.name").alias("other")).agg(F.count("*").alias("n"))
+        star = at.join(hubs, "sig").select("name", "label", "w", F.explode("hubs").alias("hub")).filter("label <> hub.label").groupBy("name", F.col("hub.name").alias("other")).agg(F.sum("w").alias("n"))
         likely = star.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "other"))).filter(F.col("k") <= PARTNERS)
         links = materialize(verify(likely.select(F.col("name").alias("a"), F.col("other").alias("b")), bodies), "links")
         if links.isEmpty():
@@ -265,16 +280,6 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return node.join(low, ["k", "v"]).select("doc_id", "n_shingles", "component_id")
 
 
-def _sharing(sigs, met: DataFrame) -> DataFrame:
-    hashed = materialize(met.mapInArrow(_mixed, "h long"), "shared")
-    return materialize(sigs(BitSet(hashed, "h")).join(met, "sig", "left_semi").distinct(), "groups")
-
-
-def _mixed(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(signed(mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))], names=["h"])
-
-
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row of each component, that of the smallest doc_id, with the columns of docs. Rows with a null doc_id or
     the empty set stay; of repeated rows with that doc_id one stays."""
