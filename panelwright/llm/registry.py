@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "jaccard", "quality", "substrings", "mixing")
+MODULES = ("toxicity", "sharding", "html", "jaccard", "quality", "substrings", "mixing", "secrets")
 
 
 def _all(name: str) -> dict:
