@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("toxicity", "sharding", "html", "jaccard", "quality", "substrings", "mixing", "secrets")
+MODULES = ("toxicity", "sharding", "html", "language_model", "jaccard", "quality", "substrings", "mixing", "secrets", "decontaminate")
 
 
 def _all(name: str) -> dict:
@@ -14,7 +14,8 @@ def _all(name: str) -> dict:
 
 
 def queries() -> dict:
-    return _all("QUERIES")
+    """All opN_ queries, and the pipeline of corpus_pipeline.py at the repository top."""
+    return _all("QUERIES") | {"pipeline": import_module("corpus_pipeline").run}
 
 
 def oracles() -> dict:
