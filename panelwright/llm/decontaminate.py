@@ -70,12 +70,14 @@ def _buffers(texts):
     return np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64), np.frombuffer(b"".join(data), np.uint8)
 
 
-def _grams(h: np.ndarray) -> np.ndarray:
-    return np.unique(window_hashes(h, GRAM)) if len(h) >= GRAM else np.unique(window_hashes(h, len(h))) if len(h) else np.zeros(0, U)
+def _grams(h: np.ndarray) -> tuple[np.ndarray, int]:
+    """Distinct grams of a run of words, and their width: GRAM, or all words where there are fewer."""
+    width = min(GRAM, len(h))
+    return (np.unique(window_hashes(h, width)) if width else np.zeros(0, U)), width
 
 
-def _overlap(part: np.ndarray, grams: dict[int, np.ndarray], size: int) -> float:
-    return 1.0 if not len(part) else float(np.isin(part, grams[size]).mean())
+def _overlap(part: tuple[np.ndarray, int], grams: dict[int, np.ndarray]) -> float:
+    return float(np.isin(part[0], grams[part[1]]).mean()) if part[1] else 1.0
 
 
 def search(index: Index, words):
@@ -94,31 +96,21 @@ def search(index: Index, words):
     end = np.minimum(start + size, words.first[doc + 1])
     # no item can reach 1 where the sum of the words' largest contributions does not
     for p in np.flatnonzero(sums[end] - sums[start] >= 1 - 1e-4).tolist():
-        a, b = start[p], end[p]
+        a, b, grams = start[p], end[p], None
         terms = np.unique(at[a:b][hit[a:b]])
         blocks = np.flatnonzero(index.block_bound[terms].sum(axis=0) >= 1 - 1e-4)
         for k in blocks.tolist():
             items = index.score[terms, k * BLOCK_ITEMS : (k + 1) * BLOCK_ITEMS].sum(axis=0)
             for i in np.flatnonzero(items >= 1 - 1e-4).tolist():
                 item = k * BLOCK_ITEMS + i
-                h = words.hash[a:b]
-                q, r = index.parts[item]
-                sizes = {GRAM: window_hashes(h, GRAM)} | {s: window_hashes(h, s) for s in range(1, GRAM)}
-                nq, nr = _part_sizes(index.length[item], q, r)
-                oq, oa = _overlap(q, sizes, nq), _overlap(r, sizes, nr)
+                grams = grams or {w: window_hashes(words.hash[a:b], w) for w in range(1, GRAM + 1)}
+                oq, oa = (_overlap(part, grams) for part in index.parts[item])
                 if oq >= QUESTION and oa >= ANSWER:
                     key = (int(doc[p]), item)
                     found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (float(items[i]), oq, oa))
     return found
 
 
-def _part_sizes(length, question, answer):
-    """Width of the grams of the two parts: GRAM, or fewer for an item with so few words."""
-    n = int(length)
-    q = n if n < GRAM and not len(answer) else GRAM
-    return (min(GRAM, q), GRAM) if n >= 2 * GRAM + 2 else (max(1, min(GRAM, int(round(n * QUESTION_SHARE)))), max(1, min(GRAM, n - int(round(n * QUESTION_SHARE)))))
-
-
 def _search_rows(shared):
     def run(batches):
         index = shared.value
