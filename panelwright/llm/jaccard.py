@@ -16,7 +16,9 @@ NUM, DEN = 3, 4
 #: Cells of the table of common shingles, and how many of them a task reports and the driver keeps.
 CELLS_LOG, TASK_CELLS, KEPT_CELLS = 20, 4096, 1 << 16
 #: At most so many rounds compare each text with its likeliest few partners, before all pairs still apart are compared.
-STAR_ROUNDS, HUBS, PARTNERS = 6, 6, 3
+STAR_ROUNDS, HUBS, PARTNERS = 1, 4, 2
+#: Names in a block of a family, on average at most.
+BLOCK = 256
 #: Buckets of the histogram whose distance bounds the difference of two sets from below.
 BUCKETS = 256
 U = np.uint64
@@ -175,19 +177,22 @@ def _six(body: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _linked(x: bytes, y: bytes) -> bool:
+    x, y = _six(x), _six(y)
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) * DEN < len(y) * NUM:
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return DEN * both >= NUM * (len(x) + len(y) - both)
+
+
 def _verify_rows(batches):
     for batch in batches:
         a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("body_a", "body_b"))
-        ok = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(a, b)):
-            x, y = _six(x), _six(y)
-            if len(x) > len(y):
-                x, y = y, x
-            if len(x) * DEN >= len(y) * NUM:
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                ok[i] = DEN * both >= NUM * (len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "linked"])
+        ok = [_linked(x, y) for x, y in zip(a, b)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
 
 def _near_rows(batches):
@@ -230,6 +235,49 @@ def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
+def _family_links(table: pa.Table) -> pa.Table:
+    """Links that join two classes among the rows of one pair of blocks; each class pair is joined once."""
+    name, label, n = (table.column(c).to_numpy() for c in ("name", "label", "n"))
+    hist = np.frombuffer(b"".join(table.column("hist").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+    body, root, a, b = table.column("body").to_pylist(), {}, [], []
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    n = n.astype(np.int64)
+    for i in range(len(name)):
+        gap = np.abs(hist[i + 1 :].astype(np.int16) - hist[i])
+        gap[(hist[i + 1 :] == 255) | (hist[i] == 255)] = 0
+        m = n[i + 1 :]
+        near = (gap.sum(axis=1) * (DEN + NUM) <= (m + n[i]) * (DEN - NUM)) & (m * DEN >= n[i] * NUM) & (n[i] * DEN >= m * NUM) & (label[i + 1 :] != label[i])
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            x, y = find(label[i]), find(label[j])
+            if x != y and _linked(body[i], body[j]):
+                root[max(x, y)] = min(x, y)
+                a.append(name[i])
+                b.append(name[j])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def compare_families(at: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links (a, b) across classes. at has (name, label, hub): names that share a signature share a hub.
+
+    Names that hubs connect are a family; each pair of its blocks of at most about BLOCK names is one task's group.
+    Comparisons stay inside the tasks: rows come out only for links that join two classes.
+    """
+    own = at.select("name").distinct().select("name", F.col("name").alias("label"))
+    family = merge_labels(own, at.filter("name <> hub").select(F.col("name").alias("a"), F.col("hub").alias("b")).distinct()).withColumnRenamed("label", "family")
+    members = materialize(at.select("name", "label").distinct().join(family, "name"), "members")
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("family", "blocks")
+    block = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
+    dealt = members.join(sizes, "family").withColumn("block", block).select("family", "name", "label", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(block, j) as i, greatest(block, j) as j))")).alias("p"))
+    sets = bodies.dropDuplicates(["name"]).join(dealt.select("name").distinct(), "name", "left_semi")
+    rows = dealt.join(sets, "name").select("family", "p.i", "p.j", "name", "label", "n", "hist", "body")
+    return rows.groupBy("family", "i", "j").applyInArrow(_family_links, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs.
 
@@ -268,11 +316,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         labels = merge_labels(labels, links)
     # whatever still shares a signature across classes is compared in full
     at = groups.join(labels, "name")
-    mixed = at.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("sig")
-    at = materialize(at.join(mixed, "sig", "left_semi"), "mixed")
-    left, right = at.select("sig", F.col("name").alias("a"), F.col("label").alias("la")), at.select("sig", F.col("name").alias("b"), F.col("label").alias("lb"))
-    rest = left.join(right, "sig").filter("a < b and la <> lb").select("a", "b").distinct()
-    labels = merge_labels(labels, materialize(verify(rest, bodies), "links"))
+    mixed = at.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("name").alias("hub")).filter("x < y").select("sig", "hub")
+    at = materialize(at.join(mixed, "sig").select("name", "label", "hub").distinct(), "mixed")
+    labels = merge_labels(labels, materialize(compare_families(at, bodies), "links"))
     own = digest.filter("cell is null").select("doc_id", "n_shingles", "name")
     node = own.join(labels, "name", "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.struct(F.lit(0).alias("k"), F.coalesce("label", "name").alias("v"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("doc_id").alias("v"))))
     node = materialize(node.select("doc_id", "n_shingles", F.col("node.k").alias("k"), F.coalesce("node.v", F.lit(0)).alias("v")), "nodes")
