@@ -15,6 +15,8 @@ from .store import materialize, read_table
 SAMPLE = 40_000
 #: Lexicon entries (whole words and word beginnings), at most; share of toxic documents among those that have one.
 ENTRIES, PRECISION, SUPPORT = 4096, 0.8, 4
+#: Log-likelihood gain of an entry over the share of toxic documents, at least: rare by chance.
+GAIN = 9.0
 THRESHOLD = 0.3
 THREAT = frozenset("kill hurt destroy burn shoot stab beat punch strangle töten umbringen tuer frapper matar golpear".split())
 TARGET = frozenset("you your yourself he she they him her them this that du dich dein ihr euch sie tu toi ton vous ils elle tú usted ustedes ellos ella".split())
@@ -157,13 +159,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Grammar, np.ndarray]:
     spark = docs.sparkSession
     train = labels.filter("doc_id is not null and toxic is not null").filter(~held_out("doc_id")).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     train = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = materialize(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(train), "doc_id").select("text", "toxic"), "labelled")
+    rows = materialize(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(train), "doc_id").select("text", "toxic").dropDuplicates(["text"]), "labelled")
     total = rows.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
     p, n = total.p or 0, total.n - (total.p or 0)
     if not p or not n:
         return Grammar({}), np.append(np.zeros(len(KINDS) + 2), np.log((p + 0.5) / (n + 0.5)))
     counts = rows.mapInArrow(_entry_counts, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    good = counts.filter((F.col("pos") >= SUPPORT) & (F.col("pos") * (1 - PRECISION) >= F.col("neg") * PRECISION)).withColumn("weight", F.log((F.col("pos") + 0.5) / p) - F.log((F.col("neg") + 0.5) / n))
+    share = F.greatest(F.least(F.col("pos") / (F.col("pos") + F.col("neg")), F.lit(1 - 1e-9)), F.lit(1e-9))
+    gain = F.col("pos") * F.log(share * (p + n) / p) + F.col("neg") * F.log((1 - share) * (p + n) / n)
+    good = counts.filter((gain >= GAIN) & (F.col("pos") >= SUPPORT) & (F.col("pos") * (1 - PRECISION) >= F.col("neg") * PRECISION)).withColumn("weight", F.log((F.col("pos") + 0.5) / p) - F.log((F.col("neg") + 0.5) / n))
     top = good.orderBy(F.desc(F.col("pos") * F.col("weight")), "entry").limit(ENTRIES).toArrow().to_pylist()
     grammar = Grammar({r["entry"]: r["weight"] for r in top})
     shared = spark.sparkContext.broadcast(grammar)
