@@ -16,7 +16,7 @@ NUM, DEN = 3, 4
 #: Cells of the table of common shingles, and how many of them a task reports and the driver keeps.
 CELLS_LOG, TASK_CELLS, KEPT_CELLS = 20, 4096, 1 << 16
 #: At most so many rounds compare each text with its likeliest few partners, before all pairs still apart are compared.
-STAR_ROUNDS, HUBS, PARTNERS = 1, 4, 2
+STAR_ROUNDS, HUBS, PARTNERS = 3, 6, 3
 #: Names in a block of a family, on average at most.
 BLOCK = 256
 #: Buckets of the histogram whose distance bounds the difference of two sets from below.
@@ -146,7 +146,7 @@ def _signature_rows(common, shared: BitSet | None):
                 # 52 bits: signatures that meet by chance only add candidates, and short ones take less room when they move
                 sig = (sig << U(4)) & U(0xFFFFFFFFFFFFF000)
                 if shared is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array((name[doc] >> U(32)).astype(np.uint32).view(np.int32))], names=["sig", "name"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(sig))], names=["sig"])
                 else:
                     ok = shared.may_hold(sig)
                     yield pa.RecordBatch.from_arrays([pa.array(signed(sig[ok])), pa.array(signed(name[doc[ok]]))], names=["sig", "name"])
@@ -235,47 +235,40 @@ def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
-def _family_links(table: pa.Table) -> pa.Table:
-    """Links that join two classes among the rows of one pair of blocks; each class pair is joined once."""
-    name, label, n = (table.column(c).to_numpy() for c in ("name", "label", "n"))
+def _family_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of different classes in one pair of blocks whose histograms are near enough to link."""
+    name, label, n, block = (table.column(c).to_numpy() for c in ("name", "label", "n", "block"))
     hist = np.frombuffer(b"".join(table.column("hist").to_pylist()), np.uint8).reshape(-1, BUCKETS)
-    body, root, a, b = table.column("body").to_pylist(), {}, [], []
-
-    def find(x):
-        while root.get(x, x) != x:
-            x = root[x]
-        return x
-
-    n = n.astype(np.int64)
+    n, a, b = n.astype(np.int64), [], []
+    one_block = table.column("i")[0].as_py() == table.column("j")[0].as_py()
     for i in range(len(name)):
-        gap = np.abs(hist[i + 1 :].astype(np.int16) - hist[i])
-        gap[(hist[i + 1 :] == 255) | (hist[i] == 255)] = 0
         m = n[i + 1 :]
-        near = (gap.sum(axis=1) * (DEN + NUM) <= (m + n[i]) * (DEN - NUM)) & (m * DEN >= n[i] * NUM) & (n[i] * DEN >= m * NUM) & (label[i + 1 :] != label[i])
-        for j in (np.flatnonzero(near) + i + 1).tolist():
-            x, y = find(label[i]), find(label[j])
-            if x != y and _linked(body[i], body[j]):
-                root[max(x, y)] = min(x, y)
-                a.append(name[i])
-                b.append(name[j])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        may = (m * DEN >= n[i] * NUM) & (n[i] * DEN >= m * NUM) & (label[i + 1 :] != label[i]) & ((block[i + 1 :] != block[i]) | one_block)
+        at = np.flatnonzero(may) + i + 1
+        gap = np.abs(hist[at].astype(np.int16) - hist[i])
+        gap[(hist[at] == 255) | (hist[i] == 255)] = 0
+        at = at[gap.sum(axis=1) * (DEN + NUM) <= (n[at] + n[i]) * (DEN - NUM)]
+        a.append(np.full(len(at), name[i]))
+        b.append(name[at])
+    cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+    return pa.table({"a": cat(a), "b": cat(b)})
 
 
 def compare_families(at: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Links (a, b) across classes. at has (name, label, hub): names that share a signature share a hub.
+    """Pairs (a, b) across classes that may link. at has (name, label, hub): names that share a signature share a hub.
 
     Names that hubs connect are a family; each pair of its blocks of at most about BLOCK names is one task's group.
-    Comparisons stay inside the tasks: rows come out only for links that join two classes.
+    Comparisons stay inside the tasks: rows come out only for pairs whose histograms allow a link.
     """
     own = at.select("name").distinct().select("name", F.col("name").alias("label"))
     family = merge_labels(own, at.filter("name <> hub").select(F.col("name").alias("a"), F.col("hub").alias("b")).distinct()).withColumnRenamed("label", "family")
     members = materialize(at.select("name", "label").distinct().join(family, "name"), "members")
     sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("family", "blocks")
     block = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
-    dealt = members.join(sizes, "family").withColumn("block", block).select("family", "name", "label", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(block, j) as i, greatest(block, j) as j))")).alias("p"))
-    sets = bodies.dropDuplicates(["name"]).join(dealt.select("name").distinct(), "name", "left_semi")
-    rows = dealt.join(sets, "name").select("family", "p.i", "p.j", "name", "label", "n", "hist", "body")
-    return rows.groupBy("family", "i", "j").applyInArrow(_family_links, "a long, b long")
+    dealt = members.join(sizes, "family").withColumn("block", block).select("family", "name", "label", "block", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(block, j) as i, greatest(block, j) as j))")).alias("p"))
+    hists = bodies.select("name", "n", "hist").dropDuplicates(["name"]).join(dealt.select("name").distinct(), "name", "left_semi")
+    rows = dealt.join(hists, "name").select("family", "p.i", "p.j", "block", "name", "label", "n", "hist")
+    return rows.groupBy("family", "i", "j").applyInArrow(_family_pairs, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -293,9 +286,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     common[heavy.column("cell").to_numpy()] = np.clip(np.log2(heavy.column("times").to_numpy().astype(float)), 1, 14).astype(np.uint8)
     common = spark.sparkContext.broadcast(common)
     body = rows.select("text")
-    # a signature that one set alone has goes; 32 bits of the name are enough to tell, as several rows go on in any case
-    alone = body.mapInArrow(_signature_rows(common, None), "sig long, name int").groupBy("sig").agg(F.min("name").alias("x"), F.max("name").alias("y"), F.count("*").alias("n"))
-    met = materialize(alone.filter("x < y or n > 1").select("sig"), "met")
+    # a signature that comes once goes; a task names equal sets once, so copies add few that come more often
+    alone = body.mapInArrow(_signature_rows(common, None), "sig long").groupBy("sig").agg(F.count("*").alias("n"))
+    met = materialize(alone.filter("n > 1").select("sig"), "met")
     found = body.mapInArrow(_signature_rows(common, BitSet(met, "sig")), "sig long, name long")
     # signatures with the same members are one group, of their number as weight
     by_sig = Window.partitionBy("sig")
@@ -318,7 +311,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     at = groups.join(labels, "name")
     mixed = at.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("name").alias("hub")).filter("x < y").select("sig", "hub")
     at = materialize(at.join(mixed, "sig").select("name", "label", "hub").distinct(), "mixed")
-    labels = merge_labels(labels, materialize(compare_families(at, bodies), "links"))
+    labels = merge_labels(labels, materialize(verify(compare_families(at, bodies), bodies), "links"))
     own = digest.filter("cell is null").select("doc_id", "n_shingles", "name")
     node = own.join(labels, "name", "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.struct(F.lit(0).alias("k"), F.coalesce("label", "name").alias("v"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("doc_id").alias("v"))))
     node = materialize(node.select("doc_id", "n_shingles", F.col("node.k").alias("k"), F.coalesce("node.v", F.lit(0)).alias("v")), "nodes")
