@@ -19,7 +19,8 @@ CELLS_LOG, TASK_CELLS, KEPT_CELLS = 20, 4096, 1 << 16
 STAR_ROUNDS, HUBS, PARTNERS = 3, 6, 3
 #: Names in a block of a family, on average at most.
 BLOCK = 256
-#: Buckets of the histogram whose distance bounds the difference of two sets from below.
+#: Buckets, at least, of the histogram whose distance bounds the difference of two sets from below; larger sets have a
+#: power of two of about as many as members, as chance fills too few buckets alike.
 BUCKETS = 256
 U = np.uint64
 
@@ -154,6 +155,27 @@ def _signature_rows(common, shared: BitSet | None):
     return run
 
 
+def _histogram(members: np.ndarray) -> np.ndarray:
+    size = max(BUCKETS, 1 << (len(members) - 1).bit_length())
+    return np.minimum(np.bincount(((members >> U(8)) & U(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8)
+
+
+def _fold(hist: np.ndarray, size: int) -> np.ndarray:
+    """Rows of histograms with `size` buckets, from as many or more; a full bucket stays marked by a large count."""
+    hist = np.where(hist == 255, 1 << 14, hist.astype(np.int32))
+    while hist.shape[-1] > size:
+        half = hist.shape[-1] // 2
+        hist = hist[..., :half] + hist[..., half:]
+    return hist
+
+
+def _gaps(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Distance of folded histograms; buckets that are full say nothing."""
+    gap = np.abs(many - one)
+    gap[(many >= 1 << 14) | (one >= 1 << 14)] = 0
+    return gap.sum(axis=-1)
+
+
 def _set_rows(wanted: BitSet):
     def run(batches):
         sent: set[int] = set()
@@ -164,7 +186,7 @@ def _set_rows(wanted: BitSet):
                 may = wanted.may_hold(name)
                 rows = [i for i in np.flatnonzero(may).tolist() if name[i] and int(name[i]) not in sent and not sent.add(int(name[i]))]
                 each = [sets[ends[i] : ends[i + 1]] for i in rows]
-                hist = [np.minimum(np.bincount((x >> U(8)).astype(np.uint8), minlength=BUCKETS), 255).astype(np.uint8).tobytes() for x in each]
+                hist = [_histogram(x).tobytes() for x in each]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(name[rows])), pa.array([len(x) for x in each], pa.int32()), pa.array(hist, pa.binary()), pa.array([(x >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x in each], pa.binary())], names=["name", "n", "hist", "body"])
 
     return run
@@ -201,11 +223,12 @@ def _near_rows(batches):
         col = lambda c: batch.column(batch.schema.get_field_index(c))
         if not batch.num_rows:
             continue
-        a, b = (np.frombuffer(b"".join(col(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in ("hist_a", "hist_b"))
         na, nb = (col(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_a", "n_b"))
-        gap = np.abs(a - b)
-        gap[(a == 255) | (b == 255)] = 0  # buckets that are full say nothing
-        ok = (gap.sum(axis=1) * (DEN + NUM) <= (na + nb) * (DEN - NUM)) & (na * DEN >= nb * NUM) & (nb * DEN >= na * NUM)
+        gap = np.zeros(batch.num_rows, np.int64)
+        for k, (x, y) in enumerate(zip(col("hist_a").to_pylist(), col("hist_b").to_pylist())):
+            size = min(len(x), len(y))
+            gap[k] = _gaps(_fold(np.frombuffer(x, np.uint8), size), _fold(np.frombuffer(y, np.uint8), size))
+        ok = (gap * (DEN + NUM) <= (na + nb) * (DEN - NUM)) & (na * DEN >= nb * NUM) & (nb * DEN >= na * NUM)
         yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
@@ -238,18 +261,30 @@ def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _family_pairs(table: pa.Table) -> pa.Table:
     """Pairs of different classes in one pair of blocks whose histograms are near enough to link."""
     name, label, n, block = (table.column(c).to_numpy() for c in ("name", "label", "n", "block"))
-    hist = np.frombuffer(b"".join(table.column("hist").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+    raw = [np.frombuffer(x, np.uint8) for x in table.column("hist").to_pylist()]
+    width = np.array([len(x) for x in raw])
+    # rows of each width, as they are and folded to half: sets that may link have sizes within 4/3, so widths within 2
+    at_width = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+    stack = {w: np.stack([raw[k] for k in rows]) for w, rows in at_width.items()}
+    level = {(w, v): _fold(x, v) for w, x in stack.items() for v in (w, w // 2) if v >= BUCKETS}
     n, a, b = n.astype(np.int64), [], []
     one_block = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-    for i in range(len(name)):
-        m = n[i + 1 :]
-        may = (m * DEN >= n[i] * NUM) & (n[i] * DEN >= m * NUM) & (label[i + 1 :] != label[i]) & ((block[i + 1 :] != block[i]) | one_block)
-        at = np.flatnonzero(may) + i + 1
-        gap = np.abs(hist[at].astype(np.int16) - hist[i])
-        gap[(hist[at] == 255) | (hist[i] == 255)] = 0
-        at = at[gap.sum(axis=1) * (DEN + NUM) <= (n[at] + n[i]) * (DEN - NUM)]
-        a.append(np.full(len(at), name[i]))
-        b.append(name[at])
+    for w, rows in at_width.items():
+        for v, others in at_width.items():
+            small = min(w, v)
+            if v < w or max(w, v) > 2 * small:
+                continue
+            mine, theirs = level[w, small], level[v, small]
+            for k, i in enumerate(rows.tolist()):
+                m = n[others]
+                may = (m * DEN >= n[i] * NUM) & (n[i] * DEN >= m * NUM) & (label[others] != label[i]) & ((block[others] != block[i]) | one_block)
+                if v == w:
+                    may &= others > i
+                at = np.flatnonzero(may)
+                if len(at):
+                    at = at[_gaps(mine[k], theirs[at]) * (DEN + NUM) <= (m[at] + n[i]) * (DEN - NUM)]
+                    a.append(np.full(len(at), name[i]))
+                    b.append(name[others[at]])
     cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
     return pa.table({"a": cat(a), "b": cat(b)})
 
