@@ -292,18 +292,16 @@ def _family_pairs(table: pa.Table) -> pa.Table:
 def compare_families(at: DataFrame, bodies: DataFrame) -> DataFrame:
     """Pairs (a, b) across classes that may link. at has (name, label, hub): names that share a signature share a hub.
 
-    Names that hubs connect are a family; each pair of its blocks of at most about BLOCK names is one task's group.
+    The names of a hub are a family; each pair of its blocks of about BLOCK names is one task's group.
     Comparisons stay inside the tasks: rows come out only for pairs whose histograms allow a link.
     """
-    own = at.select("name").distinct().select("name", F.col("name").alias("label"))
-    family = merge_labels(own, at.filter("name <> hub").select(F.col("name").alias("a"), F.col("hub").alias("b")).distinct()).withColumnRenamed("label", "family")
-    members = materialize(at.select("name", "label").distinct().join(family, "name"), "members")
+    members = at.withColumnRenamed("hub", "family")
     sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("family", "blocks")
     block = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
     dealt = members.join(sizes, "family").withColumn("block", block).select("family", "name", "label", "block", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(block, j) as i, greatest(block, j) as j))")).alias("p"))
     hists = bodies.select("name", "n", "hist").dropDuplicates(["name"]).join(dealt.select("name").distinct(), "name", "left_semi")
     rows = dealt.join(hists, "name").select("family", "p.i", "p.j", "block", "name", "label", "n", "hist")
-    return rows.groupBy("family", "i", "j").applyInArrow(_family_pairs, "a long, b long")
+    return rows.groupBy("family", "i", "j").applyInArrow(_family_pairs, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
