@@ -18,10 +18,11 @@ CELLS_LOG, TASK_CELLS, KEPT_CELLS = 20, 4096, 1 << 16
 #: At most so many rounds compare each text with its likeliest few partners, before all pairs still apart are compared.
 STAR_ROUNDS, HUBS, PARTNERS = 3, 6, 3
 #: Names in a block of a family, on average at most.
-BLOCK = 256
+BLOCK = 512
 #: Buckets, at least, of the histogram whose distance bounds the difference of two sets from below; larger sets have a
-#: power of two of about as many as members, as chance fills too few buckets alike.
-BUCKETS = 256
+#: power of two with 2 to 4 members in each, as chance fills too few buckets alike. A count takes four bits; FULL says
+#: nothing, and stands as MARK where buckets are added up.
+BUCKETS, FULL, MARK = 128, 15, 1 << 14
 U = np.uint64
 
 
@@ -155,14 +156,20 @@ def _signature_rows(common, shared: BitSet | None):
     return run
 
 
-def _histogram(members: np.ndarray) -> np.ndarray:
-    size = max(BUCKETS, 1 << (len(members) - 1).bit_length())
-    return np.minimum(np.bincount(((members >> U(8)) & U(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8)
+def _histogram(members: np.ndarray) -> bytes:
+    size = max(BUCKETS, 1 << max((len(members) - 1).bit_length() - 2, 0))
+    counts = np.minimum(np.bincount(((members >> U(8)) & U(size - 1)).astype(np.int64), minlength=size), FULL).astype(np.uint8)
+    return (counts[: size // 2] | (counts[size // 2 :] << np.uint8(4))).tobytes()
+
+
+def _counts(hist: bytes) -> np.ndarray:
+    packed = np.frombuffer(hist, np.uint8)
+    return np.concatenate([packed & np.uint8(15), packed >> np.uint8(4)])
 
 
 def _fold(hist: np.ndarray, size: int) -> np.ndarray:
     """Rows of histograms with `size` buckets, from as many or more; a full bucket stays marked by a large count."""
-    hist = np.where(hist == 255, 1 << 14, hist.astype(np.int32))
+    hist = np.where(hist == FULL, MARK, hist.astype(np.int32))
     while hist.shape[-1] > size:
         half = hist.shape[-1] // 2
         hist = hist[..., :half] + hist[..., half:]
@@ -172,7 +179,7 @@ def _fold(hist: np.ndarray, size: int) -> np.ndarray:
 def _gaps(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Distance of folded histograms; buckets that are full say nothing."""
     gap = np.abs(many - one)
-    gap[(many >= 1 << 14) | (one >= 1 << 14)] = 0
+    gap[(many >= MARK) | (one >= MARK)] = 0
     return gap.sum(axis=-1)
 
 
@@ -186,7 +193,7 @@ def _set_rows(wanted: BitSet):
                 may = wanted.may_hold(name)
                 rows = [i for i in np.flatnonzero(may).tolist() if name[i] and int(name[i]) not in sent and not sent.add(int(name[i]))]
                 each = [sets[ends[i] : ends[i + 1]] for i in rows]
-                hist = [_histogram(x).tobytes() for x in each]
+                hist = [_histogram(x) for x in each]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(name[rows])), pa.array([len(x) for x in each], pa.int32()), pa.array(hist, pa.binary()), pa.array([(x >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x in each], pa.binary())], names=["name", "n", "hist", "body"])
 
     return run
@@ -226,16 +233,17 @@ def _near_rows(batches):
         na, nb = (col(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_a", "n_b"))
         gap = np.zeros(batch.num_rows, np.int64)
         for k, (x, y) in enumerate(zip(col("hist_a").to_pylist(), col("hist_b").to_pylist())):
+            x, y = _counts(x), _counts(y)
             size = min(len(x), len(y))
-            gap[k] = _gaps(_fold(np.frombuffer(x, np.uint8), size), _fold(np.frombuffer(y, np.uint8), size))
+            gap[k] = _gaps(_fold(x, size), _fold(y, size))
         ok = (gap * (DEN + NUM) <= (na + nb) * (DEN - NUM)) & (na * DEN >= nb * NUM) & (nb * DEN >= na * NUM)
         yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
-def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, hists: DataFrame, bodies: DataFrame) -> DataFrame:
     """The (a, b) of pairs whose whole sets link. Histograms go first; only sets of pairs that may link move."""
-    side = lambda c, v: bodies.select(F.col("name").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in v)).dropDuplicates([c])
-    near = pairs.join(side("a", ("n", "hist")), "a").join(side("b", ("n", "hist")), "b").select("a", "b", "n_a", "n_b", "hist_a", "hist_b").mapInArrow(_near_rows, "a long, b long")
+    side = lambda c: hists.select(F.col("name").alias(c), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"hist_{c}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "hist_a", "hist_b").mapInArrow(_near_rows, "a long, b long")
     near = materialize(near, "near_pairs")
     own = lambda c: bodies.select(F.col("name").alias(c), F.col("body").alias(f"body_{c}")).join(near.select(c).distinct(), c, "left_semi").dropDuplicates([c])
     both = near.join(own("a"), "a").join(own("b"), "b").select("a", "b", "body_a", "body_b")
@@ -261,7 +269,7 @@ def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _family_pairs(table: pa.Table) -> pa.Table:
     """Pairs of different classes in one pair of blocks whose histograms are near enough to link."""
     name, label, n, block = (table.column(c).to_numpy() for c in ("name", "label", "n", "block"))
-    raw = [np.frombuffer(x, np.uint8) for x in table.column("hist").to_pylist()]
+    raw = [_counts(x) for x in table.column("hist").to_pylist()]
     width = np.array([len(x) for x in raw])
     # rows of each width, as they are and folded to half: sets that may link have sizes within 4/3, so widths within 2
     at_width = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
@@ -289,17 +297,21 @@ def _family_pairs(table: pa.Table) -> pa.Table:
     return pa.table({"a": cat(a), "b": cat(b)})
 
 
-def compare_families(at: DataFrame, bodies: DataFrame) -> DataFrame:
+def compare_families(at: DataFrame, hists: DataFrame) -> DataFrame:
     """Pairs (a, b) across classes that may link. at has (name, label, hub): names that share a signature share a hub.
 
-    The names of a hub are a family; each pair of its blocks of about BLOCK names is one task's group.
+    The names of a hub are a family, in blocks of about BLOCK names; each pair of blocks is one task's group. The names
+    of a family's largest class stand in blocks of their own, which meet the blocks of other classes and not each other.
     Comparisons stay inside the tasks: rows come out only for pairs whose histograms allow a link.
     """
     members = at.withColumnRenamed("hub", "family")
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("family", "blocks")
-    block = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
-    dealt = members.join(sizes, "family").withColumn("block", block).select("family", "name", "label", "block", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(block, j) as i, greatest(block, j) as j))")).alias("p"))
-    hists = bodies.select("name", "n", "hist").dropDuplicates(["name"]).join(dealt.select("name").distinct(), "name", "left_semi")
+    classes = members.groupBy("family", "label").agg(F.count("*").alias("c"))
+    sizes = classes.groupBy("family").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top")).filter(F.col("all") > F.col("top.c"))
+    sizes = sizes.select("family", F.col("top.label").alias("top"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("own"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("rest"))
+    of = lambda n: F.pmod(F.xxhash64("name"), F.col(n)).cast("int")
+    in_top = F.col("label") == F.col("top")
+    placed = members.join(sizes, "family").withColumn("block", F.when(in_top, of("own")).otherwise(F.col("own") + of("rest"))).withColumn("start", F.when(in_top, F.col("own")).otherwise(0))
+    dealt = placed.select("family", "name", "label", "block", F.explode(F.expr("transform(sequence(start, own + rest - 1), j -> struct(least(block, j) as i, greatest(block, j) as j))")).alias("p"))
     rows = dealt.join(hists, "name").select("family", "p.i", "p.j", "block", "name", "label", "n", "hist")
     return rows.groupBy("family", "i", "j").applyInArrow(_family_pairs, "a long, b long").distinct()
 
@@ -330,13 +342,15 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     names = materialize(groups.select("name").distinct(), "names")
     bodies = body.mapInArrow(_set_rows(BitSet(names, "name")), "name long, n int, hist binary, body binary")
     bodies = materialize(bodies, "bodies")
+    hists = materialize(bodies.select("name", "n", "hist").dropDuplicates(["name"]), "hists")
+    bodies = bodies.select("name", "body")
     labels = names.select("name", F.col("name").alias("label"))
     for r in range(STAR_ROUNDS):
         at = groups.join(labels, "name")
         hubs = at.groupBy("sig").agg(F.array_distinct(F.array(*(F.min_by(F.struct("name", "label"), F.xxhash64("name", F.lit(r * HUBS + i))) for i in range(HUBS)))).alias("hubs"))
         star = at.join(hubs, "sig").select("name", "label", "w", F.explode("hubs").alias("hub")).filter("label <> hub.label").groupBy("name", F.col("hub.name").alias("other")).agg(F.sum("w").alias("n"))
         likely = star.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "other"))).filter(F.col("k") <= PARTNERS)
-        links = materialize(verify(likely.select(F.col("name").alias("a"), F.col("other").alias("b")), bodies), "links")
+        links = materialize(verify(likely.select(F.col("name").alias("a"), F.col("other").alias("b")), hists, bodies), "links")
         if links.isEmpty():
             break
         labels = merge_labels(labels, links)
@@ -344,7 +358,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     at = groups.join(labels, "name")
     mixed = at.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("name").alias("hub")).filter("x < y").select("sig", "hub")
     at = materialize(at.join(mixed, "sig").select("name", "label", "hub").distinct(), "mixed")
-    labels = merge_labels(labels, materialize(verify(compare_families(at, bodies), bodies), "links"))
+    labels = merge_labels(labels, materialize(verify(compare_families(at, hists), hists, bodies), "links"))
     own = digest.filter("cell is null").select("doc_id", "n_shingles", "name")
     node = own.join(labels, "name", "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.struct(F.lit(0).alias("k"), F.coalesce("label", "name").alias("v"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("doc_id").alias("v"))))
     node = materialize(node.select("doc_id", "n_shingles", F.col("node.k").alias("k"), F.coalesce("node.v", F.lit(0)).alias("v")), "nodes")
