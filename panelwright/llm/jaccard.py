@@ -20,9 +20,9 @@ STAR_ROUNDS, HUBS, PARTNERS = 3, 6, 3
 #: Names in a block of a family, on average at most.
 BLOCK = 512
 #: Buckets, at least, of the histogram whose distance bounds the difference of two sets from below; larger sets have a
-#: power of two with 2 to 4 members in each, as chance fills too few buckets alike. A count takes four bits; FULL says
+#: power of two with 1 to 2 members in each, as chance fills too few buckets alike. A count takes four bits; FULL says
 #: nothing, and stands as MARK where buckets are added up.
-BUCKETS, FULL, MARK = 128, 15, 1 << 14
+BUCKETS, FULL, MARK = 256, 15, 1 << 14
 U = np.uint64
 
 
@@ -157,7 +157,7 @@ def _signature_rows(common, shared: BitSet | None):
 
 
 def _histogram(members: np.ndarray) -> bytes:
-    size = max(BUCKETS, 1 << max((len(members) - 1).bit_length() - 2, 0))
+    size = max(BUCKETS, 1 << max((len(members) - 1).bit_length() - 1, 0))
     counts = np.minimum(np.bincount(((members >> U(8)) & U(size - 1)).astype(np.int64), minlength=size), FULL).astype(np.uint8)
     return (counts[: size // 2] | (counts[size // 2 :] << np.uint8(4))).tobytes()
 
