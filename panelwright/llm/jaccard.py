@@ -16,7 +16,7 @@ NUM, DEN = 3, 4
 #: Cells of the table of common shingles, and how many of them a task reports and the driver keeps.
 CELLS_LOG, TASK_CELLS, KEPT_CELLS = 20, 4096, 1 << 16
 #: At most so many rounds compare each text with its likeliest few partners, before all pairs still apart are compared.
-STAR_ROUNDS, HUBS, PARTNERS = 3, 6, 3
+STAR_ROUNDS, HUBS, PARTNERS = 2, 4, 3
 #: Names in a block of a family, on average at most.
 BLOCK = 512
 #: Buckets, at least, of the histogram whose distance bounds the difference of two sets from below; larger sets have a
