@@ -1,8 +1,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelwright.operators import panel as P
+from panelwright.operators import research as R
+from panelwright.operators import windows as V
 from panelwright.operators.exprs import ref
 from panelwright.plans import registry
 
@@ -45,3 +48,47 @@ def test_as_of_join_does_not_see_the_same_day(spark):
     right = spark.createDataFrame([(1, dt.date(2024, 1, 2), 5.0)], "inst int, available date, value double")
     got = P.asof_strict(left, right, "inst", "session", "available", "value").orderBy("session").collect()
     assert [r.value for r in got] == [None, 5.0]
+
+
+def test_unknown_flags_end_a_run(spark):
+    df = _bars(spark, [2.0, 3.0, None, 4.0, 1.0]).withColumn("up", F.col("close") > 1.5)
+    got = sorted((r.start.day, r.stop.day, r.length) for r in V.runs(df, "up").collect())
+    assert got == [(1, 2, 2), (4, 4, 1)]
+
+
+def test_a_segment_starts_again_after_a_gap(spark):
+    df = V.segmented_index(V.with_return(_bars(spark, [10.0, 11.0, None, 20.0, 30.0])), "ret").orderBy("session").collect()
+    assert [r.level for r in df] == [pytest.approx(x) for x in (100, 110, 100, 100, 150)]
+    assert [r.observations for r in df] == [0, 1, 0, 0, 1]
+
+
+def test_past_rank_leaves_today_out(spark):
+    df = _bars(spark, [1.0, 2.0, 3.0, 2.0, None])
+    got = [r.p for r in df.select("session", V.rolling_rank("close", 3, 1, past=True).alias("p")).orderBy("session").collect()]
+    assert got == [None, 1.0, 1.0, pytest.approx(0.5), None]
+
+
+def test_holm_by_hand(spark):
+    df = spark.createDataFrame([("a", 0.01), ("a", 0.04), ("a", 0.03), ("a", None)], "f string, p double")
+    got = {r.p: r.adjusted for r in R.holm(df, "p", "f").collect()}
+    assert got == {0.01: pytest.approx(0.04), 0.03: pytest.approx(0.09), 0.04: pytest.approx(0.09), None: 1.0}
+
+
+def test_turnover_counts_members_of_the_session_before(spark):
+    day = dt.date(2024, 1, 1)
+    df = spark.createDataFrame([(day + dt.timedelta(s), s, i) for s, names in enumerate([(1, 2), (2, 3), (4,)]) for i in names], "session date, seq int, inst int")
+    got = [(r.n, r.retained, r.turnover) for r in R.retained_members(df).orderBy("seq").collect()]
+    assert got == [(2, 0, None), (2, 1, 0.5), (1, 0, 1.0)]
+
+
+def test_key_difference_names_the_side_and_takes_empty_tables(spark):
+    a = spark.createDataFrame([(1,), (2,), (2,)], "k int")
+    b = spark.createDataFrame([(2,), (3,)], "k int")
+    assert sorted(map(tuple, R.key_difference(a, b, ["k"]).collect())) == [(1, "left"), (3, "right")]
+    assert R.key_difference(a.limit(0), b.limit(0), ["k"]).count() == 0
+
+
+def test_newey_west_without_lags_is_the_plain_error(spark):
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate([1.0, 2.0, None, 6.0])], "e string, t int, x double")
+    got = V.newey_west(df, "e", "x", "t", 0).first()
+    assert (got.n, got["mean"]) == (3, 3.0) and got.se == pytest.approx((14**0.5) / 3)
