@@ -7,6 +7,7 @@ from ..operators import panel as P
 from ..operators import research as R
 from ..operators.exprs import by_instrument, by_session, safe_div, safe_log
 from ..operators.windows import dedupe_latest, revisions, with_return
+from ..sources import tables as T
 from ..sources.fixture import bars, oracle
 from .base import _W, DATED, FWD, MOM, ORACLES, QUERIES, RET, panel, r
 
@@ -292,3 +293,43 @@ def l10(df):
     x = P.with_momentum(df).join(old, ["inst", "seq"], "left").withColumn("m", safe_div("close", "c5") - 1)
     far = F.abs(F.col("m") - F.col("mom")) > 1e-12 + 1e-10 * F.greatest(F.abs("m"), F.abs("mom"))
     return x.agg(F.count("*").alias("n"), F.count(F.when(F.col("m").isNull() != F.col("mom").isNull(), 1)).alias("null_diff"), F.count(F.when(far, 1)).alias("value_diff"))
+
+
+@table("a2_scan_union_by_name", "select kind, cast(nation as bigint) nation, count(*) n, count(segment) with_segment from (select 'customer' kind, c_nationkey nation, c_mktsegment segment from customer union all select 'supplier', s_nationkey, null from supplier) group by 1, 2", (), False)
+def a2(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lit("customer").alias("kind"), F.col("c_nationkey").cast("long").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.lit("supplier").alias("kind"), F.col("s_nationkey").cast("long").alias("nation"))
+    return T.union_by_name(c, s).groupBy("kind", "nation").agg(F.count("*").alias("n"), F.count("segment").alias("with_segment"))
+
+
+@table("a9_row_content_hash", "select cast(o_orderkey as bigint) o_orderkey, sha256('=' || o_orderkey || '|' || coalesce('=' || o_orderpriority, '~') || '|' || coalesce('=' || o_orderstatus, '~')) digest from orders", (), False)
+def a9(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), T.content_hash(["o_orderstatus", "o_orderpriority", "o_orderkey"]).alias("digest"))
+
+
+@table("i2_stale_fact_filter", f"with {_FACTS} select inst, period_end, k from facts where date '1998-06-30' - period_end between 0 and 550 and available <= date '1998-06-30'", ("period_end",), False)
+def i2(spark, sf_dir):
+    day = F.lit("1998-06-30").cast("date")
+    return facts(spark, sf_dir).filter(F.datediff(day, "period_end").between(0, 550) & (F.col("available") <= day)).select("inst", "period_end", "k")
+
+
+@panel("j11_high_minus_low", f"""{MOM}, {FWD}, k as (select session, fwd, rank() over (partition by session order by mom) + (count(*) over (partition by session, mom) - 1) / 2.0 r, count(*) over (partition by session) n from fwd where mom is not null and fwd is not null),
+q as (select session, least(5, floor((r - 1) * 5 / n) + 1) bucket, avg(fwd) m from k where n >= 10 group by 1, 2), h as (select session, max(case when bucket = 5 then m end) - max(case when bucket = 1 then m end) d from q group by 1) select count(d) n, round(avg(d), 6) + 0.0 high_minus_low from h""", ())
+def j11(df):
+    top = lambda b: F.max(F.when(F.col("bucket") == b, F.col("mean_label")))
+    d = P.quantile_means(both(df), "mom", "fwd").groupBy("session").agg((top(5) - top(1)).alias("d"))
+    return d.agg(F.count("d").alias("n"), r(F.avg("d")).alias("high_minus_low"))
+
+
+@panel("j43_trailing_score", f"{RET}, m as (select session, avg(ret) mkt from ret group by 1), j as (select ret.*, ret - mkt ex from ret join m using (session)) select inst, session, round(sum(ret) over w, 6) + 0.0 trail, round(sum(ex) over w, 6) + 0.0 excess, round(case when stddev_pop(ret) over w > 1e-9 then avg(ret) over w / stddev_pop(ret) over w end, 5) + 0.0 adjusted from j window w as (partition by inst order by session rows between 19 preceding and current row)")
+def j43(df):
+    x, w = with_return(df).join(P.market_return(df).drop("n"), "session"), by_instrument(20)
+    sd = F.stddev_pop("ret").over(w)
+    return x.select("inst", "session", r(F.sum("ret").over(w)).alias("trail"), r(F.sum(F.col("ret") - F.col("market")).over(w)).alias("excess"), r(F.when(sd > 1e-9, F.avg("ret").over(w) / sd), 5).alias("adjusted"))
+
+
+@panel("j59_fixed_value_buckets", f"{MOM}, {FWD} select case when mom < -0.2 then 'a' when mom < 0 then 'b' when mom < 0.2 then 'c' else 'd' end bucket, count(*) n, round(avg(fwd), 6) + 0.0 mean from fwd where mom is not null and fwd is not null group by 1", ())
+def j59(df):
+    b = F.when(F.col("mom") < -0.2, "a").when(F.col("mom") < 0, "b").when(F.col("mom") < 0.2, "c").otherwise("d")
+    return both(df).filter("mom is not null and fwd is not null").groupBy(b.alias("bucket")).agg(F.count("*").alias("n"), r(F.avg("fwd")).alias("mean"))

@@ -8,6 +8,7 @@ from panelwright.operators import research as R
 from panelwright.operators import windows as V
 from panelwright.operators.exprs import ref
 from panelwright.plans import registry
+from panelwright.sources import tables as T
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,3 +93,14 @@ def test_newey_west_without_lags_is_the_plain_error(spark):
     df = spark.createDataFrame([("a", i, x) for i, x in enumerate([1.0, 2.0, None, 6.0])], "e string, t int, x double")
     got = V.newey_west(df, "e", "x", "t", 0).first()
     assert (got.n, got["mean"]) == (3, 3.0) and got.se == pytest.approx((14**0.5) / 3)
+
+
+def test_content_hash_tells_null_from_empty_text(spark):
+    df = spark.createDataFrame([(1, None), (1, ""), (1, "x"), (1, "x")], "a int, b string")
+    assert df.select(T.content_hash(["b", "a"]).alias("h")).distinct().count() == 3
+
+
+def test_sorted_sink_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b"), (1, "a"), (2, None)], "k int, v string")
+    T.write_sorted(df, str(tmp_path / "t"), ["v"], ["k"])
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "t")).select("k", "v").collect())) == sorted(map(str, df.collect()))
