@@ -13,6 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Topics by the first pattern that a text has; the rest is "prose".
 TOPICS = (("access", r"(?i)password|token|api_?key|AKIA[A-Z0-9]"), ("contact", r"@[a-z0-9.-]+\.[a-z]|\(\d{3}\) \d{3}"), ("listing", r"\|"), ("markup", r"[#$%&*]{3}"))
 DIMS = ("source", "lang", "topic")
+#: Expected share of all tokens that a sample by budget keeps.
+BUDGET = 0.5
 
 
 def topic_of(text: Column, rules: Sequence[tuple[str, str]] = TOPICS) -> Column:
@@ -50,10 +52,28 @@ def rake(cells: DataFrame, dims: Sequence[str] = DIMS, temper: float = 0.8, roun
     return out.withColumn("misfit", F.greatest(*gaps)).select(*dims, "n_docs", "n_tokens", F.col("w").alias("weight_tokens"), "misfit")
 
 
-def mixing_rates(docs: DataFrame, text: str = "text", temper: float = 0.8, rounds: int = 12, rules=TOPICS) -> DataFrame:
-    """Sampling probability of each cell: its raked weight per token, relative to the largest one.
+def budgeted(multiple: Column, budget: float) -> Column:
+    """min(1, c * multiple) with c such that the expected tokens of the sample are `budget` times all tokens.
 
-    Probabilities in this proportion make the expected token mix of the sample equal the raked mix exactly.
+    A cell keeps all its rows if, with c at the inverse of its multiple, the sample would not pass the budget; c follows
+    from what the other cells have left. Columns n_tokens and weight_tokens of a cell table.
+    """
+    everything = Window.partitionBy(F.lit(0))
+    down = everything.orderBy(F.when(F.col("n_tokens") > 0, multiple).desc_nulls_last())
+    goal = F.sum("n_tokens").over(everything) * F.lit(float(budget))
+    rest = F.sum("weight_tokens").over(everything) - F.sum("weight_tokens").over(down)
+    full = (F.col("n_tokens") > 0) & (F.sum("n_tokens").over(down) + F.try_divide(rest, multiple) <= goal)
+    full = F.coalesce(full, F.lit(False))
+    return F.struct(goal.alias("goal"), full.alias("full"))
+
+
+def mixing_rates(docs: DataFrame, text: str = "text", temper: float = 0.8, rounds: int = 12, rules=TOPICS, budget: float | None = None) -> DataFrame:
+    """Sampling probability of each cell, from its raked weight per token.
+
+    With a budget (a share of all tokens) it is min(1, c * weight), c solved so that the sample is expected to hold that
+    share: cells at 1 keep all rows, the others stand in the raked proportion, and a rare cell takes no more from them
+    than its own tokens. Without one it is relative to the largest weight, so the expected mix is the raked one exactly,
+    but the rarest cell sets the size of the sample.
     """
     cells = (
         _keyed(docs, text, rules)
@@ -62,8 +82,15 @@ def mixing_rates(docs: DataFrame, text: str = "text", temper: float = 0.8, round
     )
     raked = rake(materialize(cells, "cells"), temper=temper, rounds=rounds)
     multiple = F.coalesce(F.try_divide(F.col("weight_tokens"), F.col("n_tokens")), F.lit(1.0))
-    top = F.max(F.when(F.col("n_tokens") > 0, multiple)).over(Window.partitionBy(F.lit(0)))
-    return materialize(raked.select("source", "lang", "topic", multiple.alias("weight"), F.least(F.lit(1.0), F.coalesce(multiple / top, F.lit(1.0))).alias("probability"), "misfit"), "rates")
+    everything = Window.partitionBy(F.lit(0))
+    if budget is None:
+        rate = F.coalesce(multiple / F.max(F.when(F.col("n_tokens") > 0, multiple)).over(everything), F.lit(1.0))
+    else:
+        raked = raked.withColumn("__b", budgeted(multiple, budget))
+        left = F.col("__b.goal") - F.sum(F.when(F.col("__b.full"), F.col("n_tokens")).otherwise(0)).over(everything)
+        c = F.try_divide(left, F.sum(F.when(F.col("__b.full"), 0.0).otherwise(F.col("weight_tokens"))).over(everything))
+        rate = F.when(F.col("__b.full"), 1.0).otherwise(F.coalesce(multiple * c, F.lit(1.0)))
+    return materialize(raked.select("source", "lang", "topic", multiple.alias("weight"), F.least(F.lit(1.0), rate).alias("probability"), "misfit"), "rates")
 
 
 def with_rates(docs: DataFrame, rates: DataFrame, text: str = "text", seed: int = 8, rules=TOPICS) -> DataFrame:
@@ -72,25 +99,35 @@ def with_rates(docs: DataFrame, rates: DataFrame, text: str = "text", seed: int
     return _keyed(docs, text, rules).join(flat, "__mix").withColumn("__draw", unit_draw(F.lit(seed), F.col("doc_id")))
 
 
-def sample_mix(docs: DataFrame, text: str = "text", temper: float = 0.8, rounds: int = 12, seed: int = 8) -> DataFrame:
-    """The rows drawn, with the columns of docs alone. A row's draw depends on seed and doc_id; equal rows fare alike.
+def sample_mix(docs: DataFrame, text: str = "text", temper: float = 0.8, rounds: int = 12, seed: int = 8, budget: float = BUDGET) -> DataFrame:
+    """The rows drawn, with the columns of docs alone: a `budget` share of all tokens in expectation. A row's draw depends on seed and doc_id; equal rows fare alike.
 
     Null source or lang is the value '?'; a null text is empty; an empty table gives an empty table.
     """
-    rates = mixing_rates(docs, text, temper, rounds)
+    rates = mixing_rates(docs, text, temper, rounds, budget=budget)
     return with_rates(docs, rates, text, seed).filter(F.col("__draw") < F.col("__probability")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def op8_raked_mixing(spark, sf_dir: str) -> DataFrame:
-    """Per document: its cell, tokens, raked weight, probability and whether it is drawn."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return with_rates(docs, mixing_rates(docs)).select(
+def _drawn(docs: DataFrame, rates: DataFrame) -> DataFrame:
+    return with_rates(docs, rates).select(
         "doc_id", F.col("__mix.source").alias("source"), F.col("__mix.lang").alias("lang"), F.col("__mix.topic").alias("topic"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"),
         F.round("__weight", 6).alias("weight"), F.round("__probability", 6).alias("probability"), (F.col("__draw") < F.col("__probability")).alias("drawn"),
     )
 
 
+def op8_raked_mixing(spark, sf_dir: str) -> DataFrame:
+    """Per document: its cell, tokens, raked weight, probability relative to the largest weight and whether it is drawn."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return _drawn(docs, mixing_rates(docs))
+
+
+def op8_budgeted_mixing(spark, sf_dir: str) -> DataFrame:
+    """As op8_raked_mixing, with the probabilities of the pipeline's stage, which keep a share BUDGET of the tokens."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return _drawn(docs, mixing_rates(docs, budget=BUDGET))
+
+
 def sample_oracle(relation: str, columns: str | None = None, temper: float = 0.8, rounds: int = 12, seed: int = 8) -> str:
     """DuckDB SQL for the query (columns None) or for the sampled rows of `relation` with the given columns."""
     topic = "case " + " ".join(f"when regexp_matches(coalesce(text, ''), '{p}') then '{n}'" for n, p in TOPICS) + " else 'prose' end"
@@ -115,5 +152,5 @@ def sample_oracle(relation: str, columns: str | None = None, temper: float = 0.8
     return "with " + ",\n".join(ctes) + f"\nselect doc_id, s_ as source, l_ as lang, t_ as topic, k_ as n_tokens, round(mult, 6) as weight, round(prob, 6) as probability, {draw} < prob as drawn from m0 join rates using (s_, l_, t_)"
 
 
-QUERIES = {"op8_raked_mixing": op8_raked_mixing}
+QUERIES = {"op8_budgeted_mixing": op8_budgeted_mixing, "op8_raked_mixing": op8_raked_mixing}
 ORACLES = {"op8_raked_mixing": sample_oracle("documents")}
