@@ -7,6 +7,8 @@ with add-one shares. So the probabilities of the known words and of "any unseen
 """
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +23,8 @@ TABLE, FREQUENT, CLUSTERS = 1 << 18, 256, 16
 #: Language slots (a hash of `lang`) and frequency bins of the classes of the other table words.
 LANGS, BINS = 16, 4
 HIDDEN, WINDOW = 24, 24
-#: Training: rounds of weight averaging; documents, windows and passes that each task takes in a round.
-ROUNDS, TASK_DOCS, TASK_WINDOWS = 2, 96, 24
+#: Training: rounds of weight averaging (each document is learnt from in one of them), and documents that a task reads at once.
+ROUNDS, LANES = 2, 256
 #: Bytes of text scored together.
 SCORE_BYTES = 6_000_000
 N_CLASSES = CLUSTERS + LANGS * BINS + 2
@@ -79,6 +81,12 @@ def _word_keys(words):
     return words.hash & ~np.uint64(LANGS - 1)
 
 
+def _groups(k):
+    """(value, from, to) of each run of equal values in an ascending array."""
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
+    return zip(k[first].tolist(), first.tolist(), [*first[1:].tolist(), len(k)])
+
+
 class Net:
     SHAPES = {"x": (N_INPUTS, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "v": (HIDDEN, N_CLASSES), "b": (N_CLASSES,), "w": (CLUSTERS, FREQUENT // CLUSTERS + 1, HIDDEN), "wb": (CLUSTERS, FREQUENT // CLUSTERS + 1)}
 
@@ -120,8 +128,11 @@ class Net:
         f = np.flatnonzero(place >= 0)
         inner = None
         if len(f):
+            f = f[np.argsort(cls[f], kind="stable")]  # by cluster: one product each
             k = cls[f]
-            li = np.einsum("nh,nwh->nw", h[f], self.p["w"][k]) + (self.p["wb"] + self.place_mask)[k]
+            li = (self.p["wb"] + self.place_mask)[k]
+            for c, i, j in _groups(k):
+                li[i:j] += h[f[i:j]] @ self.p["w"][c].T
             li -= li.max(axis=1, keepdims=True)
             ei = np.exp(li)
             si = ei.sum(axis=1)
@@ -139,63 +150,109 @@ def _sequences(words, table: Table, docs):
     return ids.astype(np.int64), cls.astype(np.int64), place.astype(np.int64), share, has, at
 
 
-def train_task(net: Net, words, table: Table, windows: int = TASK_WINDOWS) -> None:
-    """Truncated backpropagation with Adam over consecutive windows of the task's documents; states go on from window to window."""
-    docs = np.arange(len(words.first) - 1)
-    seq = _sequences(words, table, docs)
-    ids, cls, place = seq[:3]
-    b = len(docs)
-    length = np.diff(words.first) + 1
-    m1 = {k: np.zeros_like(v) for k, v in net.p.items()}
-    m2 = {k: np.zeros_like(v) for k, v in net.p.items()}
-    h = np.zeros((b, HIDDEN), np.float32)
-    pos = np.zeros(b, np.int64)
-    for it in range(1, windows + 1):
-        tape, h0 = [], h
-        for _ in range(WINDOW):
-            first, last = words.first[:-1], pos >= length - 1
-            fresh = pos == 0
-            h = np.where(fresh[:, None], 0, h).astype(np.float32)
-            here = np.minimum(first + pos, max(len(ids) - 1, 0))
-            prev = np.where(fresh, FREQUENT + END, ids[np.maximum(first + pos - 1, 0)] if len(ids) else FREQUENT + END)
-            target = np.where(last, END, cls[here] if len(ids) else END)
-            where = np.where(last, -1, place[here] if len(ids) else -1)
-            new, z, r, n, g = net.step(prev, h)
-            tape.append((prev, h, fresh, z, r, n, g, new, target, where))
+class Trainer:
+    """Truncated backpropagation with Adam over whole documents: each of LANES lanes reads a document to its end, its
+    state going on from window to window and from one call of `read` to the next, and then takes the next document."""
+
+    def __init__(self, net: Net, table: Table):
+        self.net, self.table, self.tokens, self.updates = net, table, 0, 0
+        self.m1, self.m2 = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
+        self.h = np.zeros((LANES, HIDDEN), np.float32)
+        self.queue: deque = deque()
+        self.lanes: list = [None] * LANES
+
+    def read(self, words) -> None:
+        ids, cls, place = _sequences(words, self.table, None)[:3]
+        n = len(words.first) - 1
+        at = np.arange(len(ids)) + words.doc  # each document has one more target than words: its end
+        first = words.first + np.arange(n + 1)
+        flow = np.empty((3, len(ids) + n), np.int32)  # input, class and place of each target
+        flow[1], flow[2], flow[0, first[:-1]] = END, -1, FREQUENT + END
+        flow[0, at + 1], flow[1, at], flow[2, at] = ids, cls, place
+        self.queue.extend(flow[:, i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist()))
+        while self.queue:
+            self.window()
+
+    def finish(self) -> None:
+        while any(x is not None for x in self.lanes):
+            self.window()
+
+    def window(self) -> None:
+        flow = np.zeros((LANES, 3, WINDOW), np.int32)
+        fresh, count = np.zeros((LANES, WINDOW), bool), np.zeros(LANES, int)
+        for i, lane in enumerate(self.lanes):
+            k = 0
+            while k < WINDOW and (lane is not None or self.queue):
+                if lane is None:
+                    lane, fresh[i, k] = self.queue.popleft(), True
+                m = min(WINDOW - k, lane.shape[1])
+                flow[i, :, k : k + m] = lane[:, :m]
+                lane, k = lane[:, m:] if m < lane.shape[1] else None, k + m
+            self.lanes[i], count[i] = lane, k
+        used = np.flatnonzero(count)
+        if len(used):
+            live = np.arange(WINDOW)[:, None] < count[used]
+            self.tokens += int(live.sum())
+            self.h[used] = self.update(flow[used].transpose(1, 2, 0), fresh[used].T, live, self.h[used])
+
+    def update(self, flow, fresh, live, h):
+        """One step of Adam on a window (places x lanes); the lanes' last states."""
+        net, p, b = self.net, self.net.p, flow.shape[2]
+        prev, cls, place = (np.ascontiguousarray(x).ravel().astype(np.int64) for x in flow)
+        a, tape = p["x"][prev].reshape(WINDOW, b, -1), []
+        for t in range(WINDOW):
+            h = np.where(fresh[t][:, None], np.float32(0), h)
+            g = h @ p["u"]
+            zr = 1 / (1 + np.exp(-(a[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])))
+            z, r, g = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN :]
+            n = np.tanh(a[t, :, 2 * HIDDEN :] + r * g)
+            new = n + z * (h - n)
+            tape.append((h, z, r, n, g, new))
             h = new
-            pos = np.where(last, 0, pos + 1)  # a document that ends begins anew
-        hs = np.concatenate([t[7] for t in tape])
-        tg, pl = np.concatenate([t[8] for t in tape]), np.concatenate([t[9] for t in tape])
-        _, probs, inner = net.outputs(hs, tg, pl)
-        grads = {k: np.zeros_like(v) for k, v in net.p.items()}
-        d = probs
+        on = np.flatnonzero(live.ravel())
+        hs = np.concatenate([x[5] for x in tape])[on]
+        tg, pl = cls[on], place[on]
+        _, d, inner = net.outputs(hs, tg, pl)
+        grads = {k: np.zeros_like(v) for k, v in p.items()}
         d[np.arange(len(tg)), tg] -= 1
         d /= len(tg)
         grads["v"], grads["b"] = hs.T @ d, d.sum(axis=0)
-        dh_out = d @ net.p["v"].T
+        out = d @ p["v"].T
         if inner:
             f, k, pi = inner
             pi[np.arange(len(f)), pl[f]] -= 1
             pi /= len(tg)
-            np.add.at(grads["w"], k, pi[:, :, None] * hs[f][:, None, :])
-            np.add.at(grads["wb"], k, pi)
-            dh_out[f] += np.einsum("nw,nwh->nh", pi, net.p["w"][k])
-        dh = np.zeros((b, HIDDEN), np.float32)
-        u = net.p["u"]
+            for c, i, j in _groups(k):
+                grads["w"][c], grads["wb"][c] = pi[i:j].T @ hs[f[i:j]], pi[i:j].sum(axis=0)
+                out[f[i:j]] += pi[i:j] @ p["w"][c]
+        dh_out = np.zeros((WINDOW * b, HIDDEN), np.float32)
+        dh_out[on] = out
+        dh_out = dh_out.reshape(WINDOW, b, HIDDEN)
+        dx, du = (np.empty((WINDOW, b, 3 * HIDDEN), np.float32) for _ in range(2))
+        dh, back = np.zeros((b, HIDDEN), np.float32), p["u"].T.copy()
         for t in range(WINDOW - 1, -1, -1):
-            prev, hp, fresh, z, r, n, g, _, _, _ = tape[t]
-            dh = dh + dh_out[t * b : (t + 1) * b]
+            hp, z, r, n, g, _ = tape[t]
+            dh = dh + dh_out[t]
             dan = dh * (1 - z) * (1 - n * n)
-            daz, dar, dg = dh * (hp - n) * z * (1 - z), dan * g * r * (1 - r), dan * r
-            grads["u"] += hp.T @ np.concatenate([daz, dar, dg], axis=1)
-            np.add.at(grads["x"], prev, np.concatenate([daz, dar, dan], axis=1))
-            dh = dh * z + np.concatenate([daz, dar, dg], axis=1) @ u.T
-            dh[fresh] = 0
-        for k, v in net.p.items():
+            du[t, :, :HIDDEN] = dh * (hp - n) * z * (1 - z)
+            du[t, :, HIDDEN : 2 * HIDDEN] = dan * g * r * (1 - r)
+            du[t, :, 2 * HIDDEN :] = dan * r
+            dx[t, :, 2 * HIDDEN :] = dan
+            dh = dh * z + du[t] @ back
+            dh[fresh[t]] = 0
+        dx[:, :, : 2 * HIDDEN] = du[:, :, : 2 * HIDDEN]
+        grads["u"] = np.concatenate([x[0] for x in tape]).T @ du.reshape(WINDOW * b, -1)
+        order = np.argsort(prev, kind="stable")
+        starts = [(c, i) for c, i, _ in _groups(prev[order])]
+        grads["x"][[c for c, _ in starts]] = np.add.reduceat(dx.reshape(WINDOW * b, -1)[order], [i for _, i in starts], axis=0)
+        self.updates += 1
+        it = self.updates
+        for k, v in p.items():
             gk = np.clip(grads[k], -1, 1)
-            m1[k] = 0.9 * m1[k] + 0.1 * gk
-            m2[k] = 0.99 * m2[k] + 0.01 * gk * gk
-            net.p[k] = v - 0.02 * (m1[k] / (1 - 0.9**it)) / (np.sqrt(m2[k] / (1 - 0.99**it)) + 1e-6)
+            self.m1[k] = 0.9 * self.m1[k] + 0.1 * gk
+            self.m2[k] = 0.99 * self.m2[k] + 0.01 * gk * gk
+            p[k] = v - np.float32(0.02 / np.sqrt(1 + it / 64)) * (self.m1[k] / (1 - 0.9**it)) / (np.sqrt(self.m2[k] / (1 - 0.99**it)) + 1e-6)
+        return h
 
 
 def score_documents(net: Net, words, table: Table):
@@ -239,16 +296,14 @@ def score_documents(net: Net, words, table: Table):
 def _train_rows(shared):
     def run(batches):
         table, flat = shared.value
-        net, got = Net(flat, table), []
+        trainer = Trainer(Net(flat, table), table)
         for batch in batches:
-            if len(got) < TASK_DOCS:
-                got += batch.column(0).to_pylist()[: TASK_DOCS - len(got)]
-        if got:
-            rows = pa.RecordBatch.from_arrays([pa.array(got, pa.string())], names=["text"])
-            for _, offsets, data in runs(rows, limit=1 << 40):
-                train_task(net, split(offsets, data, lower=True), table)
-            v = net.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v.astype(float))], names=["i", "v"])
+            for _, offsets, data in runs(batch):
+                trainer.read(split(offsets, data, lower=True))
+        trainer.finish()
+        if trainer.tokens:
+            v = trainer.net.flat()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v.astype(float)), pa.array(np.full(len(v), trainer.tokens, np.int64))], names=["i", "v", "n"])
 
     return run
 
@@ -268,9 +323,9 @@ def fit(docs: DataFrame) -> tuple[Table, np.ndarray, DataFrame]:
     flat = Net.start()
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast((table, flat))
-        # which documents of a task are taken differs by round; all tasks start from the same weights
+        # each task learns from all its documents of this round; all tasks start from the same weights
         part = train.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == r).select("text")
-        mean = part.mapInArrow(_train_rows(shared), "i int, v double").groupBy("i").agg(F.avg("v").alias("v")).orderBy("i").toArrow()
+        mean = part.mapInArrow(_train_rows(shared), "i int, v double, n long").groupBy("i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v")).orderBy("i").toArrow()
         if mean.num_rows:
             flat = mean.column("v").to_numpy().astype(np.float32)
     return table, flat, counts
@@ -303,7 +358,7 @@ def score_corpus(docs: DataFrame) -> DataFrame:
 
     A null or empty text is the end alone. Rows whose crc32(doc_id) mod 7 is 2 are held out; a null id is not. Repeated
     rows stay. Counts cover all training words; those outside the broadcast table are joined by word, so the vocabulary
-    may grow without bound. The network's weights are fitted on TASK_DOCS documents of each task and averaged.
+    may grow without bound. The network is fitted on every training document to its end, by task, and the weights are averaged by tokens.
     """
     table, flat, counts = fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast((table, flat))

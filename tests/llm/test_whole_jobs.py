@@ -1,7 +1,9 @@
 """What earlier forms of the text operators left out."""
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from panelwright.llm import mixing
+from panelwright.llm import language_model, mixing, words
 
 SF = "/root/testdata/sf0.01"
 
@@ -29,3 +31,40 @@ def test_rates_of_a_budget_by_hand(spark):
     # equal shares of 37 tokens: c and b keep all they have, a fills the rest of 55.5 tokens
     assert rates["b"].probability == rates["c"].probability == 1 and rates["a"].probability == pytest.approx(0.445)
     assert all(r.probability == 1 for r in mixing.mixing_rates(d, budget=1.0).collect())
+
+
+def cut(texts):
+    return words.split(*words.text_buffers(pa.array(texts)), lower=True)
+
+
+def test_the_language_model_learns_from_all_words(spark):
+    texts = [f"{'a b ' * 300}{'c d e f ' * 150}t{i}" for i in range(480)]
+    table, flat, _ = language_model.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' lang").repartition(2))
+    score, *_ = language_model.score_documents(language_model.Net(flat, table), cut(["c d e f " * 50, "a b " * 100]), table)
+    assert all(score / 201 > -2)  # words after the 576th of each text are learnt like the first
+    trainer = language_model.Trainer(language_model.Net(flat, table), table)
+    for some in (texts[:200], ["", "a"], ["a b " * 9000], texts[:3]):
+        trainer.read(cut(some))
+    trainer.finish()
+    assert trainer.tokens == 203 * 1202 + 1 + 2 + 18001
+
+
+def test_gradients_by_differences():
+    texts = ["a b c a b", "b c", "", "c a a b c a c b"]
+    w = cut(texts)
+    hashes, counts = np.unique(language_model._word_keys(w), return_counts=True)
+    table = language_model.Table(hashes, counts, np.zeros(len(hashes), int), len(w.doc) + 4, 4, 4)
+    start = language_model.Net.start()
+    trainer = language_model.Trainer(language_model.Net(start, table), table)
+    trainer.read(w)
+    trainer.finish()
+    grads = {k: v / 0.1 for k, v in trainer.m1.items()}
+    assert trainer.updates == 1
+    for k, g in grads.items():
+        i = np.unravel_index(np.abs(g).argmax(), g.shape)
+        loss = []
+        for e in (1e-2, -1e-2):
+            net = language_model.Net(start, table)
+            net.p[k][i] += e
+            loss.append(-language_model.score_documents(net, w, table)[0].sum() / (len(w.doc) + 4))
+        assert (loss[0] - loss[1]) / 2e-2 == pytest.approx(g[i], rel=0.02, abs=1e-4), k
