@@ -1,23 +1,24 @@
 """Benchmark passages in documents: BM25 over test items with block-max pruning, then question and answer overlap."""
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize, read_table
-from .words import CHUNK_BYTES, runs, signed, split, window_hashes
+from .words import CHUNK_BYTES, runs, split
 
 #: Test items in one index, and in one block of it whose largest scores are kept.
 INDEX_ITEMS, BLOCK_ITEMS = 512, 8
 K1, B = 1.2, 0.75
 #: An item is retrieved for a passage from this share of its own score on; part of its question that must overlap, and of its answer.
 RETRIEVE, QUESTION, ANSWER = 0.6, 0.6, 0.6
-#: Leading share of an item's words that is its question where it has no question mark or line break to tell.
-QUESTION_SHARE = 0.7
-GRAM = 3
-U = np.uint64
+EDGE = re.compile(r"^[^\w]+|[^\w]+$")
+_MARK = np.array([33 <= x < 127 and not chr(x).isalnum() and x != 95 for x in range(256)])
+_BLANK = np.array([x == 32 or 9 <= x <= 13 for x in range(256)])
 
 
 class Index:
@@ -28,7 +29,7 @@ class Index:
     """
 
     def __init__(self, ids: list[int], texts: list[str]):
-        w = split(*_buffers(texts), lower=True)
+        w = _bare_words(*_buffers(texts))
         n = np.diff(w.first)
         keep = np.flatnonzero(n > 0)
         order = keep[np.argsort(n[keep], kind="stable")]  # items of like length share blocks, which tightens their bounds
@@ -53,12 +54,12 @@ class Index:
         self.bound = self.score.max(axis=1) if len(order) else np.zeros(len(self.words), np.float32)
         self.passage = max(64, 2 * int(self.length.max())) if len(order) else 64
         self.parts = []
-        for k, d in enumerate(order.tolist()):
-            h, text = w.hash[w.first[d] : w.first[d + 1]], texts[d]
+        for d in order.tolist():
+            text = texts[d]
             cut = max(text.rfind("?"), text.find("\n") if "?" not in text else -1)
-            q = len(text[: cut + 1].split()) if 0 < cut < len(text) - 1 else int(round(len(h) * QUESTION_SHARE))
-            q = min(max(q, 1), len(h))
-            self.parts.append((_grams(h[:q]), _grams(h[q:])))
+            # without a real question mark or break the item is one part
+            parts = (text[: cut + 1], text[cut + 1 :]) if text[: cut + 1].strip() and text[cut + 1 :].strip() else (text, "")
+            self.parts.append(tuple(bare(x) for x in parts))
 
     def look_up(self, h):
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
@@ -70,14 +71,36 @@ def _buffers(texts):
     return np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64), np.frombuffer(b"".join(data), np.uint8)
 
 
-def _grams(h: np.ndarray) -> tuple[np.ndarray, int]:
-    """Distinct grams of a run of words, and their width: GRAM, or all words where there are fewer."""
-    width = min(GRAM, len(h))
-    return (np.unique(window_hashes(h, width)) if width else np.zeros(0, U)), width
+def _bare_words(offsets, data):
+    """Lower-cased words, with the ASCII punctuation at their ends taken for space."""
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    mark, blank = np.zeros(len(data) + 2, bool), np.ones(len(data) + 2, bool)
+    mark[1:-1], blank[1:-1] = _MARK[data], _BLANK[data]
+    start = np.flatnonzero(mark[1:-1] & (~mark[:-2] | cut[:-1]))
+    end = np.flatnonzero(mark[1:-1] & (~mark[2:] | cut[1:])) + 1
+    edge = blank[start] | cut[start] | blank[end + 1] | cut[end]
+    steps = np.bincount(start[edge], minlength=len(data) + 1) - np.bincount(end[edge], minlength=len(data) + 1)
+    return split(offsets, np.where(np.cumsum(steps[:-1]) > 0, np.uint8(32), data), lower=True)
+
+
+def bare(text: str) -> list[str]:
+    """Lower-cased words without the punctuation at their ends; words of punctuation alone are left out."""
+    return [x for x in (EDGE.sub("", x) for x in text.lower().split()) if x]
 
 
-def _overlap(part: tuple[np.ndarray, int], grams: dict[int, np.ndarray]) -> float:
-    return float(np.isin(part[0], grams[part[1]]).mean()) if part[1] else 1.0
+def _overlap(part: list[str], passage: list[str]) -> float:
+    """Share of a part's words that stand in the passage in the same order (longest common subsequence)."""
+    if not part:
+        return 1.0
+    where: dict[str, int] = {}
+    for i, x in enumerate(part):
+        where[x] = where.get(x, 0) | 1 << i
+    row, full = (1 << len(part)) - 1, (1 << len(part)) - 1
+    for x in passage:
+        m = row & where.get(x, 0)
+        row = ((row + m) | (row - m)) & full
+    return 1 - row.bit_count() / len(part)
 
 
 def search(index: Index, words):
@@ -96,15 +119,16 @@ def search(index: Index, words):
     end = np.minimum(start + size, words.first[doc + 1])
     # no item can reach 1 where the sum of the words' largest contributions does not
     for p in np.flatnonzero(sums[end] - sums[start] >= 1 - 1e-4).tolist():
-        a, b, grams = start[p], end[p], None
+        a, b, passage = start[p], end[p], None
         terms = np.unique(at[a:b][hit[a:b]])
         blocks = np.flatnonzero(index.block_bound[terms].sum(axis=0) >= 1 - 1e-4)
         for k in blocks.tolist():
             items = index.score[terms, k * BLOCK_ITEMS : (k + 1) * BLOCK_ITEMS].sum(axis=0)
             for i in np.flatnonzero(items >= 1 - 1e-4).tolist():
                 item = k * BLOCK_ITEMS + i
-                grams = grams or {w: window_hashes(words.hash[a:b], w) for w in range(1, GRAM + 1)}
-                oq, oa = (_overlap(part, grams) for part in index.parts[item])
+                if passage is None:
+                    passage = bare(words.data[words.start[a] : words.end[b - 1]].tobytes().decode(errors="replace"))
+                oq, oa = (_overlap(part, passage) for part in index.parts[item])
                 if oq >= QUESTION and oa >= ANSWER:
                     key = (int(doc[p]), item)
                     found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (float(items[i]), oq, oa))
@@ -116,7 +140,7 @@ def _search_rows(shared):
         index = shared.value
         for batch in batches:
             for rows, offsets, data in runs(batch, limit=CHUNK_BYTES):
-                found = search(index, split(offsets, data, lower=True))
+                found = search(index, _bare_words(offsets, data))
                 d = np.array([k[0] for k in found], np.int64)
                 ids = rows.column(0).take(pa.array(d))
                 keys = rows.column(2).take(pa.array(d))

@@ -3,7 +3,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from panelwright.llm import language_model, mixing, words
+from panelwright.llm import decontaminate, language_model, mixing, words
 
 SF = "/root/testdata/sf0.01"
 
@@ -68,3 +68,27 @@ def test_gradients_by_differences():
             net.p[k][i] += e
             loss.append(-language_model.score_documents(net, w, table)[0].sum() / (len(w.doc) + 4))
         assert (loss[0] - loss[1]) / 2e-2 == pytest.approx(g[i], rel=0.02, abs=1e-4), k
+
+
+def test_edited_benchmark_passages_are_found(spark):
+    item = [f"q{i}" for i in range(30)]
+    asked = [*(f"a{i}" for i in range(12)), "end?", "one", "two", "three"]
+    edits = [" ".join([*x[:k], "changed", *x[k + 1 :]]) for x in (item, asked) for k in range(len(x))]
+    tenth = " ".join("changed" if k % 10 == 4 else f"({x})," for k, x in enumerate(item))
+    shuffled = " ".join(item[::-1])
+    b = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(asked))], "item_id long, text string")
+    texts = ["pad " * 9 + x + " pad" * 150 for x in [*edits, tenth, shuffled]]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b).collect()}
+    assert got == {(i, 1 if i < 30 or i == len(edits) else 2) for i in range(len(edits) + 1)}
+    assert decontaminate._overlap(decontaminate.bare(" ".join(item)), decontaminate.bare(tenth)) == pytest.approx(0.9)
+
+
+def test_overlap_by_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = (rng.integers(0, 5, rng.integers(1, 12)).astype(str).tolist() for _ in range(2))
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert decontaminate._overlap(a, b) == pytest.approx(t[-1][-1] / len(a))
