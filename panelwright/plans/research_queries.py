@@ -53,6 +53,12 @@ def b11(df):
     return wide.select("session", *(r(F.col(str(i)), 5).alias(f"i{i}") for i in range(3)))
 
 
+@panel("b11_long_to_wide_all", "select session, " + ", ".join(f"round(max(case when inst = {i} then close end), 5) + 0.0 i{i}" for i in range(20)) + " from bars group by session")
+def b11_all(df):
+    wide = df.groupBy("session").pivot("inst", list(range(20))).agg(F.max("close"))
+    return wide.select("session", *(r(F.col(str(i)), 5).alias(f"i{i}") for i in range(20)))
+
+
 @panel("c10_session_offset_join", "select a.inst, a.session, b.session entry_session, round(b.open, 5) + 0.0 entry_open from bars a left join bars b on a.inst = b.inst and b.seq = a.seq + 1", ("session", "entry_session"))
 def c10(df):
     b = df.select("inst", (F.col("seq") - 1).alias("seq"), F.col("session").alias("entry_session"), r("open", 5).alias("entry_open"))
@@ -73,6 +79,17 @@ def c12(df):
     return j.agg(F.count("*").alias("pairs"), F.count(F.when(~F.col("close").eqNullSafe(F.col("n")), 1)).alias("differing"))
 
 
+@panel("c12_overlap_full_diff", "n as (select inst, session, case when seq % 17 = 0 then null else close end c from bars where seq > 20 and (seq + inst) % 13 <> 0), o as (select inst, session, close c from bars where seq <= 200 and (seq + inst) % 11 <> 0), d as (select o.inst oi, n.inst ni, o.c oc, n.c nc from (select * from o where session >= (select min(session) from n)) o full join (select * from n where session <= (select max(session) from o)) n on o.inst = n.inst and o.session = n.session) select count(*) keys, count(*) filter (oi is not null and ni is not null) pairs, count(*) filter (ni is null) old_only, count(*) filter (oi is null) new_only, count(*) filter (oi is not null and ni is not null and oc is distinct from nc) differing from d", ())
+def c12_full(df):
+    new = df.filter("seq > 20 and (seq + inst) % 13 <> 0").select("inst", "session", F.when(F.col("seq") % 17 != 0, F.col("close")).alias("n"))
+    old = df.filter("seq <= 200 and (seq + inst) % 11 <> 0").select("inst", "session", F.col("close").alias("o"))
+    # the overlap: from the first session of the new release to the last of the old one
+    o = old.join(new.agg(F.min("session").alias("from")), F.col("session") >= F.col("from")).drop("from").withColumn("in_o", F.lit(True))
+    n = new.join(old.agg(F.max("session").alias("to")), F.col("session") <= F.col("to")).drop("to").withColumn("in_n", F.lit(True))
+    both_sides = F.col("in_o").isNotNull() & F.col("in_n").isNotNull()
+    return o.join(n, ["inst", "session"], "full").agg(F.count("*").alias("keys"), F.count(F.when(both_sides, 1)).alias("pairs"), F.count(F.when(F.col("in_n").isNull(), 1)).alias("old_only"), F.count(F.when(F.col("in_o").isNull(), 1)).alias("new_only"), F.count(F.when(both_sides & ~F.col("o").eqNullSafe(F.col("n")), 1)).alias("differing"))
+
+
 @panel("c14_survivorship_anti", "select inst, session from bars where not exists (select 1 from bars b where b.inst = bars.inst and b.session = bars.session and b.close is not null)")
 def c14(df):
     return df.select("inst", "session").join(df.filter("close is not null").select("inst", "session"), ["inst", "session"], "left_anti")
