@@ -17,11 +17,14 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "token")
 #: A word is looked at from this length on; it is a secret with fewer characters a token than this.
 MIN_CHARS, RATIO = 16, 2.2
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{%d,}(?![A-Za-z0-9+/_=-]|\.[A-Za-z]|@)" % MIN_CHARS)
-#: Known digests and identifiers: MD5, SHA-1, SHA-256 and SHA-512 in hex after their name, UUIDs, numbers, words joined by - or _.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % MIN_CHARS)
+PIECE = re.compile(r"[^.]{%d,}" % MIN_CHARS)
+HOST = re.compile(r"(?:https?)?/*(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,12}(?=/|$)")
+MAIL_HOST = re.compile(r"@[A-Za-z0-9-]+\.[A-Za-z]")
+#: Known digests and identifiers: MD5, SHA-1, SHA-256 and SHA-512 in hex after their name, UUIDs, numbers.
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST_NAME = re.compile(r"(?i)(?:md5|sha-?(?:1|256|512)|digest|checksum|integrity|etag|commit)\W{0,3}$")
-IDENTIFIER = re.compile(r"[A-Za-z]+(?:[-_/=.+][A-Za-z]+)*|[A-Za-z]*[-_/=.+0-9]+[A-Za-z]*|[-_=/+.]+")
+NUMBERED = re.compile(r"([A-Za-z]*)[-_/=+0-9]+([A-Za-z]*)")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _encoders: dict = {}
@@ -51,18 +54,29 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def token_spans(text: str, taken: list[tuple[int, int, str]], vocabulary: str = VOCABULARY) -> list[tuple[int, int, str]]:
     """Candidate words outside the base spans whose characters per token are few."""
     out = []
+    few = lambda w: len(w) < RATIO * len(encoder(vocabulary).encode_ordinary(w))
     for m in CANDIDATE.finditer(text):
-        w = m[0]
         a, b = m.span()
-        if not (any(c.isdigit() for c in w) and any(c.isalpha() for c in w)) or IDENTIFIER.fullmatch(w) or UUID.fullmatch(w):
+        if MAIL_HOST.match(text, b) or (text[a - 1 : a] == "@" and "." in m[0] and text[max(a - 2, 0) : a - 1].isalnum()):
             continue
-        if any(x < b and a < y for x, y, _ in taken) or (re.fullmatch(r"[0-9a-fA-F]+", w) and len(w) in (32, 40, 64, 128) and DIGEST_NAME.search(text, max(0, a - 16), a)):
-            continue
-        if len(w) < RATIO * len(encoder(vocabulary).encode_ordinary(w)):
-            out.append((a, b, "token"))
+        host = HOST.match(m[0])
+        hits = [(a + p.start(), a + p.end()) for p in PIECE.finditer(m[0], host.end() if host else 0) if _odd(text, a + p.start(), p[0], taken, few)]
+        if hits:
+            out.append((hits[0][0], hits[-1][1], "token"))
     return out
 
 
+def _odd(text: str, a: int, w: str, taken, few) -> bool:
+    """Whether a piece without dots is neither known nor spelt in long tokens."""
+    b, n = a + len(w), NUMBERED.fullmatch(w)
+    if not any(c.isalpha() for c in w) or UUID.fullmatch(w) or any(x < b and a < y for x, y, _ in taken):
+        return False
+    if re.fullmatch(r"[0-9a-fA-F]+", w) and len(w) in (32, 40, 64, 128) and DIGEST_NAME.search(text, max(0, a - 16), a):
+        return False
+    # a word with a number is taken by its letters
+    return few(w) and not (n and all(len(x) < 4 or not few(x) for x in n.groups()))
+
+
 def _scan(vocabulary: str):
     def run(batches):
         for batch in batches:

@@ -3,7 +3,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from panelwright.llm import decontaminate, language_model, mixing, words
+from panelwright.llm import decontaminate, language_model, mixing, secrets, words
 
 SF = "/root/testdata/sf0.01"
 
@@ -92,3 +92,14 @@ def test_overlap_by_brute_force():
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         assert decontaminate._overlap(a, b) == pytest.approx(t[-1][-1] / len(a))
+
+
+@pytest.mark.parametrize("key", ["eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P", "qZxKpVwRtYbNmLcDfGhJsXeQ", "SG.q7Zx9Kp2Vw8Rt5Yb1Nm4aa.Kx8Vq2Zt7Rw9Yp4Lm1Nc6Bd3"])
+def test_dotted_and_letter_secrets(key):
+    text = f"see {key}. Next"
+    (a, b, kind), = secrets.token_spans(text, [])
+    assert kind == "token" and text[a:b] == key.removeprefix("SG.")
+
+
+def test_hosts_mail_and_words_are_no_secrets():
+    assert not secrets.token_spans("www.some-long-hostname-xkqzvw.example.com first.lastname-of-one@xkqzvwpt.example.org internationalization-of-words invoice_1234567890123456 https://example.org/path/to/article", [])
