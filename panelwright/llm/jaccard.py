@@ -1,4 +1,4 @@
-"""Near duplicates by PartEnum signatures over word shingles, verified exactly."""
+"""Near duplicates: PartEnum signatures over word shingles, parity sketches, and exact verification of whole sets."""
 from __future__ import annotations
 
 import numpy as np
@@ -7,22 +7,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitset import BitSet
-from .store import materialize, read_table
+from .store import fresh, materialize, read_table
 from .words import mix, runs, signed, split, window_hashes
 
 SHINGLE = 5
-#: Link when DEN * intersection >= NUM * union.
+#: Link when DEN * intersection >= NUM * union, that is when the sets differ in at most (DEN - NUM) / (DEN + NUM) of the
+#: sum of their sizes.
 NUM, DEN = 3, 4
-#: Cells of the table of common shingles, and how many of them a task reports and the driver keeps.
-CELLS_LOG, TASK_CELLS, KEPT_CELLS = 20, 4096, 1 << 16
-#: At most so many rounds compare each text with its likeliest few partners, before all pairs still apart are compared.
-STAR_ROUNDS, HUBS, PARTNERS = 3, 6, 3
-#: Names in a block of a family, on average at most.
-BLOCK = 512
-#: Buckets, at least, of the histogram whose distance bounds the difference of two sets from below; larger sets have a
-#: power of two with 1 to 2 members in each, as chance fills too few buckets alike. A count takes four bits; FULL says
-#: nothing, and stands as MARK where buckets are added up.
-BUCKETS, FULL, MARK = 256, 15, 1 << 14
+#: Size bands grow by GROW_NUM / GROW_DEN, at least by DEN / NUM, so that linked sets lie in one band or in two that touch.
+GROW_NUM, GROW_DEN = 3, 2
+#: Second level of PartEnum: each partition of the domain has SUB parts, and every subset of SUB - 1 of them is enumerated.
+SUB = 3
+#: Bits of a parity sketch for each shingle, at least.
+SKETCH_BITS = 4
+#: A task's block of a family: shingles and names, on average at most.
+BLOCK_SHINGLES, BLOCK_NAMES = 1 << 20, 2048
 U = np.uint64
 
 
@@ -53,134 +52,156 @@ def _set_hashes(sets, ends):
         return np.where(n > 0, mix(sums[ends[1:]] - sums[ends[:-1]] + n.astype(np.uint64)) | U(1), U(0)), n
 
 
-def _digests(batches):
-    """A row for each document, and at the end rows for the task's most common shingle cells."""
-    cells = np.zeros(1 << CELLS_LOG, np.int32)
-    names = ["doc_id", "n_shingles", "name", "cell", "times"]
-    for batch in batches:
-        for rows, offsets, data in runs(batch):
-            sets, ends = shingle_sets(split(offsets, data, lower=True))
-            name, n = _set_hashes(sets, ends)
-            np.add.at(cells, (sets >> U(64 - CELLS_LOG)).astype(np.int64), 1)
-            none = pa.nulls(rows.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(signed(name)), none, none], names=names)
-    top = np.argpartition(cells, -TASK_CELLS)[-TASK_CELLS:]
-    top = top[cells[top] > 4].astype(np.int32)
-    none = pa.nulls(len(top), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(top), pa.array(cells[top])], names=names)
-
-
-def size_bands(largest: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last size of each band: sets that link lie in one band or in two that touch."""
-    lo, hi = [1], []
+# ---- signatures
+
+
+def size_bands(largest: int) -> np.ndarray:
+    """Last size of each band."""
+    lo, hi = 1, []
     while True:
-        hi.append(lo[-1] * DEN // NUM)
+        hi.append(lo * GROW_NUM // GROW_DEN)
         if hi[-1] >= largest:
-            return np.array(lo), np.array(hi)
-        lo.append(hi[-1] + 1)
+            return np.array(hi)
+        lo = hi[-1] + 1
 
 
-def signatures(sets, ends, common) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets, ends) -> tuple[np.ndarray, np.ndarray]:
     """(document, signature) rows such that any two sets that link share one.
 
-    The sizes of linked sets a <= b differ so little that they meet in the instance of a's band, where they differ in at
-    most k = (a + b) * (DEN - NUM) / (DEN + NUM) shingles. The hash domain is cut into m partitions; with k differences
-    at least m - k partitions agree, so of each set's m projections, put in one order, the first k + 1 must share one.
-    The order puts projections with an uncommon shingle first and empty ones last, which keeps signatures selective.
+    An instance of a band takes sets of that band, and those of the next one that may link with them. It cuts the hash
+    domain into partitions of SUB parts each. A pair with d differences has, among any floor(d / 2) + 1 partitions, one
+    with at most one difference; so one of its subsets of SUB - 1 parts agrees. A set goes through the partitions in
+    order until it has met one more than half the differences that it may have in which no subset is empty, and gives
+    all subsets on the way that are not: of two linked sets the one that stops first has more agreeing partitions than
+    partitions with an empty subset, so a subset with shingles is shared. A set that runs out of partitions gives its
+    empty subsets too.
     """
     n = np.diff(ends)
+    out_doc, out_sig = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     if not len(sets):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    lo, hi = size_bands(int(n.max()))
+        return out_doc[0], out_sig[0]
+    hi = size_bands(int(n.max()))
     band = np.searchsorted(hi, n)
     doc = np.repeat(np.arange(len(n)), n)
     with np.errstate(over="ignore"):
         mixed = mix(sets ^ U(0xA5A5A5A5A5A5A5A5))
-    rarity = common[(sets >> U(64 - CELLS_LOG)).astype(np.int64)]
-    out_doc, out_sig = [], []
     for role in (0, 1):  # as the smaller (or equal) set, in its own band; as the larger one, in the band below
         inst = band - role
-        r = hi[np.maximum(inst, 0)]
-        m = np.ceil(0.45 * r + 1.5 * np.sqrt(r)).astype(np.int64) + 12
-        k = (n + (n * DEN // NUM if role == 0 else r)) * (DEN - NUM) // (DEN + NUM)
-        live = (n > 0) & (inst >= 0) & ((role == 0) | (n * NUM <= r * DEN))
+        largest = hi[np.maximum(inst, 0)]
+        live = (n > 0) & (inst >= 0) & ((role == 0) | (n * NUM <= largest * DEN))
+        k = (n + (n * DEN // NUM if role == 0 else largest)) * (DEN - NUM) // (DEN + NUM)
+        most = 2 * (largest * DEN // NUM) * (DEN - NUM) // (DEN + NUM)
+        m = np.where(live, most // 2 + 1 + most // 10 + 1, 0)  # partitions of the instance, some to spare for empty ones
         pick = live[doc]
         d, h = doc[pick], sets[pick]
         if not len(d):
             continue
-        part = ((h >> U(32)) * m[d].astype(np.uint64)) >> U(32)
-        new = np.append(True, (d[1:] != d[:-1]) | (part[1:] != part[:-1]))
-        at = np.flatnonzero(new)
+        off = np.concatenate([[0], np.cumsum(m)])
+        cell = off[d] * SUB + (((h >> U(32)) * (m[d] * SUB).astype(np.uint64)) >> U(32)).astype(np.int64)  # ascending
+        at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        sums, count = np.zeros(off[-1] * SUB, np.uint64), np.bincount(cell, minlength=off[-1] * SUB).reshape(-1, SUB)
         with np.errstate(over="ignore"):
-            sig = mix(np.add.reduceat(mixed[pick], at) + mix((inst[d[at]].astype(np.uint64) << U(32)) + part[at]))
-        sig = (np.minimum.reduceat(rarity[pick], at).astype(np.uint64) << U(60)) | (sig >> U(4))
-        owner = d[at]
-        begin = np.searchsorted(owner, np.arange(len(n) + 1))
-        for x in np.flatnonzero(live).tolist():
-            s, want = sig[begin[x] : begin[x + 1]], int(k[x]) + 1
-            if len(s) > want:
-                s = np.partition(s, want - 1)[:want]
-            elif len(s) < want:  # empty projections, by their place, complete the first k + 1
-                have = part[at[begin[x] : begin[x + 1]]]
-                free = np.setdiff1d(np.arange(m[x], dtype=np.uint64), have)[: want - len(s)]
-                with np.errstate(over="ignore"):
-                    s = np.append(s, (U(15) << U(60)) | (mix((U(inst[x]) << U(32)) + free + U(1 << 63)) >> U(4)))
-            out_doc.append(np.full(len(s), x))
-            out_sig.append(s)
-    return (np.concatenate(out_doc), np.concatenate(out_sig)) if out_doc else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
-
-def _signature_rows(common, shared: BitSet | None):
-    def run(batches):
-        sent: set[int] = set()  # names of the sets of this task; equal sets go once
-        for batch in batches:
-            for _, offsets, data in runs(batch):
-                sets, ends = shingle_sets(split(offsets, data, lower=True))
-                name, n = _set_hashes(sets, ends)
-                fresh = np.zeros(len(n), bool)
-                for i, x in enumerate(name.tolist()):
-                    if x and x not in sent:
-                        sent.add(x)
-                        fresh[i] = True
-                sets, n = sets[np.repeat(fresh, n)], n[fresh]
-                name = name[fresh]
-                doc, sig = signatures(sets, np.concatenate([[0], np.cumsum(n)]), common.value)
-                # 52 bits: signatures that meet by chance only add candidates, and short ones take less room when they move
-                sig = (sig << U(4)) & U(0xFFFFFFFFFFFFF000)
-                if shared is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(sig))], names=["sig"])
-                else:
-                    ok = shared.may_hold(sig)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(sig[ok])), pa.array(signed(name[doc[ok]]))], names=["sig", "name"])
+            sums[cell[at]] = np.add.reduceat(mixed[pick], at)
+            sums = sums.reshape(-1, SUB)
+            owner = np.repeat(np.arange(len(n)), m)
+            place = np.arange(len(owner)) - off[owner]
+            where = mix((inst[owner].astype(np.uint64) << U(40)) + place.astype(np.uint64))
+            left_out = np.arange(SUB, dtype=np.uint64) * U(0x9E3779B97F4A7C15)
+            sig = mix(sums.sum(axis=1)[:, None] - sums + where[:, None] + left_out)
+        filled = count.sum(axis=1)[:, None] > count
+        full = np.concatenate([[0], np.cumsum(filled.all(axis=1))])
+        met = full[1:] - full[off[owner]]  # partitions without an empty subset, up to and with this one
+        need = (k // 2 + 1)[owner]
+        before = met - filled.all(axis=1) < need
+        short = (full[off[1:]] - full[off[:-1]] < k // 2 + 1)[owner]
+        keep = (before[:, None] & filled) | short[:, None]
+        out_doc.append(np.repeat(owner, keep.sum(axis=1)))
+        out_sig.append(sig[keep])
+    return np.concatenate(out_doc), np.concatenate(out_sig)
+
+
+def _once(name: np.ndarray, sent: set) -> np.ndarray:
+    """Which of the names (0: none) this task meets for the first time."""
+    return np.array([x != 0 and x not in sent and not sent.add(x) for x in name.tolist()], bool)
+
+
+def _signature_rows(batches):
+    sent: set[int] = set()  # names of the sets of this task; equal sets go once
+    for batch in batches:
+        for _, offsets, data in runs(batch):
+            sets, ends = shingle_sets(split(offsets, data, lower=True))
+            name, n = _set_hashes(sets, ends)
+            new = _once(name, sent)
+            sets, n, name = sets[np.repeat(new, n)], n[new], name[new]
+            doc, sig = signatures(sets, np.concatenate([[0], np.cumsum(n)]))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(signed(name[doc]))], names=["sig", "name"])
+
+
+# ---- sketches
 
-    return run
 
+def parity_sketch(members: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of members fall on i. Two sketches differ in at most as many bits as their sets in
+    members, and folding one to half its size keeps that."""
+    size = max(64, 1 << (SKETCH_BITS * len(members) - 1).bit_length())
+    bits = np.bincount(((members >> U(8)) & U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
-def _histogram(members: np.ndarray) -> bytes:
-    size = max(BUCKETS, 1 << max((len(members) - 1).bit_length() - 1, 0))
-    counts = np.minimum(np.bincount(((members >> U(8)) & U(size - 1)).astype(np.int64), minlength=size), FULL).astype(np.uint8)
-    return (counts[: size // 2] | (counts[size // 2 :] << np.uint8(4))).tobytes()
 
+def fold(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches as 64-bit words, folded to `words` words."""
+    while sketches.shape[-1] > words:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
 
-def _counts(hist: bytes) -> np.ndarray:
-    packed = np.frombuffer(hist, np.uint8)
-    return np.concatenate([packed & np.uint8(15), packed >> np.uint8(4)])
 
+def _may_link(na, nb, gap):
+    return (gap * (DEN + NUM) <= (na + nb) * (DEN - NUM)) & (na * DEN >= nb * NUM) & (nb * DEN >= na * NUM)
 
-def _fold(hist: np.ndarray, size: int) -> np.ndarray:
-    """Rows of histograms with `size` buckets, from as many or more; a full bucket stays marked by a large count."""
-    hist = np.where(hist == FULL, MARK, hist.astype(np.int32))
-    while hist.shape[-1] > size:
-        half = hist.shape[-1] // 2
-        hist = hist[..., :half] + hist[..., half:]
-    return hist
 
+class Sketches:
+    """Sketches of a group by size, each also at half its size: linked sets are within 4/3, their sketches within a factor of 2."""
 
-def _gaps(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Distance of folded histograms; buckets that are full say nothing."""
-    gap = np.abs(many - one)
-    gap[(many >= MARK) | (one >= MARK)] = 0
-    return gap.sum(axis=-1)
+    def __init__(self, n: np.ndarray, raw: list[bytes]):
+        self.n = n.astype(np.int64)
+        width = np.array([len(x) // 8 for x in raw])
+        self.level = {}
+        for w in np.unique(width).tolist():
+            rows = np.flatnonzero(width == w)
+            whole = np.stack([np.frombuffer(raw[k], np.uint64) for k in rows])
+            self.level[w] = (rows, {w: whole} | ({w // 2: fold(whole, w // 2)} if w > 1 else {}))
+        self.width, self.place = width, np.zeros(len(raw), np.int64)
+        for rows, _ in self.level.values():
+            self.place[rows] = np.arange(len(rows))
+
+    def near(self, i: int, allowed: np.ndarray) -> np.ndarray:
+        """Rows j of `allowed` (a mask) that may link with row i."""
+        w, out = int(self.width[i]), []
+        for v in (w // 2, w, 2 * w):
+            if v in self.level:
+                rows, at = self.level[v]
+                small = min(v, w)
+                pick = allowed[rows]
+                if pick.any():
+                    rows = rows[pick]
+                    gap = np.bitwise_count(at[small][pick] ^ self.level[w][1][small][self.place[i]]).sum(axis=1, dtype=np.int64)
+                    out.append(rows[_may_link(self.n[i], self.n[rows], gap)])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _digests(batches):
+    """A row for each document; the sketch only where the task meets the set for the first time."""
+    sent: set[int] = set()
+    for batch in batches:
+        for rows, offsets, data in runs(batch):
+            sets, ends = shingle_sets(split(offsets, data, lower=True))
+            name, n = _set_hashes(sets, ends)
+            sketch = [parity_sketch(sets[a:b]) if new else None for new, a, b in zip(_once(name, sent), ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n), pa.array(signed(name)), pa.array(sketch, pa.binary())], names=["doc_id", "key", "n_shingles", "name", "sketch"])
+
+
+# ---- whole sets
 
 
 def _set_rows(wanted: BitSet):
@@ -190,24 +211,27 @@ def _set_rows(wanted: BitSet):
             for _, offsets, data in runs(batch):
                 sets, ends = shingle_sets(split(offsets, data, lower=True))
                 name, n = _set_hashes(sets, ends)
-                may = wanted.may_hold(name)
-                rows = [i for i in np.flatnonzero(may).tolist() if name[i] and int(name[i]) not in sent and not sent.add(int(name[i]))]
-                each = [sets[ends[i] : ends[i + 1]] for i in rows]
-                hist = [_histogram(x) for x in each]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(name[rows])), pa.array([len(x) for x in each], pa.int32()), pa.array(hist, pa.binary()), pa.array([(x >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x in each], pa.binary())], names=["name", "n", "hist", "body"])
+                rows = np.flatnonzero(_once(np.where(wanted.may_hold(name), name, U(0)), sent))
+                body = [(sets[ends[i] : ends[i + 1]] >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i in rows.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(name[rows])), pa.array(body, pa.binary())], names=["name", "body"])
 
     return run
 
 
-def _six(body: bytes) -> np.ndarray:
+def whole_sets(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, body) of the written names: each set read again from its text. The filter by bits has a size bound."""
+    rows = texts.mapInArrow(_set_rows(BitSet(names, "name")), "name long, body binary")
+    return rows.join(names, "name", "left_semi").dropDuplicates(["name"])
+
+
+def members_of(body: bytes) -> np.ndarray:
     """The leading 48 bits of each hash of a set, ascending."""
     out = np.zeros((len(body) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(body, np.uint8).reshape(-1, 6)
     return out.view(np.uint64).ravel()
 
 
-def _linked(x: bytes, y: bytes) -> bool:
-    x, y = _six(x), _six(y)
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
     if len(x) > len(y):
         x, y = y, x
     if len(x) * DEN < len(y) * NUM:
@@ -217,37 +241,119 @@ def _linked(x: bytes, y: bytes) -> bool:
     return DEN * both >= NUM * (len(x) + len(y) - both)
 
 
-def _verify_rows(batches):
-    for batch in batches:
-        a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("body_a", "body_b"))
-        ok = [_linked(x, y) for x, y in zip(a, b)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
+# ---- families
 
 
-def _near_rows(batches):
-    """Pairs whose histograms differ by no more than linked sets may: |A xor B| <= (|A| + |B|) / 7."""
-    for batch in batches:
-        col = lambda c: batch.column(batch.schema.get_field_index(c))
-        if not batch.num_rows:
-            continue
-        na, nb = (col(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_a", "n_b"))
-        gap = np.zeros(batch.num_rows, np.int64)
-        for k, (x, y) in enumerate(zip(col("hist_a").to_pylist(), col("hist_b").to_pylist())):
-            x, y = _counts(x), _counts(y)
-            size = min(len(x), len(y))
-            gap[k] = _gaps(_fold(x, size), _fold(y, size))
-        ok = (gap * (DEN + NUM) <= (na + nb) * (DEN - NUM)) & (na * DEN >= nb * NUM) & (nb * DEN >= na * NUM)
-        yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-
-def verify(pairs: DataFrame, hists: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The (a, b) of pairs whose whole sets link. Histograms go first; only sets of pairs that may link move."""
-    side = lambda c: hists.select(F.col("name").alias(c), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"hist_{c}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "hist_a", "hist_b").mapInArrow(_near_rows, "a long, b long")
-    near = materialize(near, "near_pairs")
-    own = lambda c: bodies.select(F.col("name").alias(c), F.col("body").alias(f"body_{c}")).join(near.select(c).distinct(), c, "left_semi").dropDuplicates([c])
-    both = near.join(own("a"), "a").join(own("b"), "b").select("a", "b", "body_a", "body_b")
-    return both.mapInArrow(_verify_rows, "a long, b long, linked boolean").filter("linked").select("a", "b")
+def _leaders(table: pa.Table) -> pa.Table:
+    """Each name of a block with the first earlier leader that it may link with; a name without one leads."""
+    order = np.argsort(table.column("name").to_numpy(), kind="stable")
+    table = table.take(pa.array(order))
+    name = table.column("name").to_numpy()
+    s = Sketches(table.column("n").to_numpy(), table.column("sketch").to_pylist())
+    leads, a, b = np.zeros(len(name), bool), [], []
+    for i in range(len(name)):
+        near = s.near(i, leads)
+        if len(near):
+            a.append(name[near.min()])
+            b.append(name[i])
+        else:
+            leads[i] = True
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _star_links(table: pa.Table) -> pa.Table:
+    """The names of a group that link with its leader."""
+    star, name, body = table.column("a")[0].as_py(), table.column("name").to_pylist(), table.column("body").to_pylist()
+    lead = members_of(body[name.index(star)])
+    hit = [x for x, y in zip(name, body) if x != star and linked(lead, members_of(y))]
+    return pa.table({"a": pa.array([star] * len(hit), pa.int64()), "b": pa.array(hit, pa.int64())})
+
+
+def _crossing(table: pa.Table):
+    """(row, rows of other classes that it may link with) in one pair of blocks."""
+    label, block = (table.column(c).to_numpy() for c in ("label", "block"))
+    s = Sketches(table.column("n").to_numpy(), table.column("sketch").to_pylist())
+    one_block, later = table.column("i")[0].as_py() == table.column("j")[0].as_py(), np.ones(len(label), bool)
+    for i in range(len(label)):
+        later[i] = False
+        near = s.near(i, later & (label != label[i]) & ((block != block[i]) | one_block))
+        if len(near):
+            yield i, near
+
+
+def _open_names(table: pa.Table) -> pa.Table:
+    """Names of a pair of blocks that may link with one of another class."""
+    rows = np.zeros(table.num_rows, bool)
+    for i, near in _crossing(table):
+        rows[i] = rows[near] = True
+    return table.select(["family", "i", "j", "block", "name", "label", "n", "sketch"]).filter(pa.array(rows))
+
+
+def _crossing_links(table: pa.Table) -> pa.Table:
+    """Links between classes of one pair of blocks: enough of them to join whatever links."""
+    name, label, body = (table.column(c).to_pylist() for c in ("name", "label", "body"))
+    sets: dict[int, np.ndarray] = {}
+    top: dict[int, int] = {}
+
+    def root(x):
+        while top.setdefault(x, x) != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    def members(k):
+        if k not in sets:
+            sets[k] = members_of(body[k])
+        return sets[k]
+
+    a, b = [], []
+    for i, near in _crossing(table):
+        for j in near.tolist():
+            if root(label[i]) != root(label[j]) and linked(members(i), members(j)):
+                top[root(label[i])] = root(label[j])
+                a.append(name[i])
+                b.append(name[j])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _parts(names, shingles):
+    return F.greatest(F.ceil(names / BLOCK_NAMES), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def likely_links(families: DataFrame, texts: DataFrame, sketches: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Verified links between the names that stand for their classes in a family, each against one leader of its block."""
+    at = families.join(labels, "name").groupBy("family", "label").agg(F.min_by("name", F.xxhash64("name", F.lit(turn))).alias("name"))
+    at = materialize(at.join(sketches, "name"), "standing")
+    size = at.groupBy("family").agg(F.count("*").alias("c"), F.sum("n").alias("s")).filter("c > 1").select("family", _parts(F.col("c"), F.col("s")).alias("parts"))
+    dealt = at.join(size, "family").withColumn("part", F.pmod(F.xxhash64("name", F.lit(turn)), F.col("parts")).cast("int"))
+    stars = materialize(dealt.groupBy("family", "part").applyInArrow(_leaders, "a long, b long").distinct(), "stars")
+    named = stars.select("a", F.col("b").alias("name")).unionByName(stars.select("a", F.col("a").alias("name")).distinct())
+    bodies = whole_sets(texts, materialize(named.select("name").distinct(), "star_names"))
+    # a leader's names are dealt out again where they are many, each part with the leader
+    many = stars.join(sketches.select(F.col("name").alias("b"), "n"), "b").groupBy("a").agg(_parts(F.count("*"), F.sum("n")).alias("parts"))
+    dealt = named.join(many, "a").withColumn("part", F.explode(F.when(F.col("name") == F.col("a"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")))))
+    return dealt.join(bodies, "name").groupBy("a", "part").applyInArrow(_star_links, "a long, b long")
+
+
+def remaining_links(families: DataFrame, texts: DataFrame, sketches: DataFrame, labels: DataFrame) -> DataFrame:
+    """Verified links that join all classes with a link between them: every pair of one family and two classes is looked at.
+
+    The names of a family stand in blocks, and each pair of blocks is one task's group. Those of the family's largest
+    class stand in blocks of their own, which meet the blocks of other classes and not each other. Sketches leave out
+    most names before whole sets move; rows come out for names and for links that join classes, never for all pairs.
+    """
+    at = families.join(labels, "name").join(sketches.select("name", "n"), "name")
+    classes = at.groupBy("family", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    sizes = classes.groupBy("family").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.max(F.struct("c", "s", "label")).alias("top")).filter(F.col("c") > F.col("top.c"))
+    sizes = sizes.select("family", F.col("top.label").alias("top"), _parts(F.col("top.c"), F.col("top.s")).alias("own"), _parts(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("rest"))
+    of = lambda n: F.pmod(F.xxhash64("name"), F.col(n)).cast("int")
+    in_top = F.col("label") == F.col("top")
+    placed = at.join(sizes, "family").withColumn("block", F.when(in_top, of("own")).otherwise(F.col("own") + of("rest"))).withColumn("start", F.when(in_top, F.col("own")).otherwise(0))
+    dealt = placed.select("family", "name", "label", "block", F.explode(F.expr("transform(sequence(start, own + rest - 1), j -> struct(least(block, j) as i, greatest(block, j) as j))")).alias("p"))
+    schema = "family long, i int, j int, block int, name long, label long, n int, sketch binary"
+    dealt = dealt.join(sketches, "name").select("family", "p.i", "p.j", "block", "name", "label", "n", "sketch")
+    open_names = materialize(dealt.groupBy("family", "i", "j").applyInArrow(_open_names, schema), "open_names")
+    bodies = whole_sets(texts, materialize(open_names.select("name").distinct(), "names"))
+    return open_names.join(bodies, "name").groupBy("family", "i", "j").applyInArrow(_crossing_links, "a long, b long")
 
 
 def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -266,54 +372,21 @@ def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
-def _family_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of different classes in one pair of blocks whose histograms are near enough to link."""
-    name, label, n, block = (table.column(c).to_numpy() for c in ("name", "label", "n", "block"))
-    raw = [_counts(x) for x in table.column("hist").to_pylist()]
-    width = np.array([len(x) for x in raw])
-    # rows of each width, as they are and folded to half: sets that may link have sizes within 4/3, so widths within 2
-    at_width = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
-    stack = {w: np.stack([raw[k] for k in rows]) for w, rows in at_width.items()}
-    level = {(w, v): _fold(x, v) for w, x in stack.items() for v in (w, w // 2) if v >= BUCKETS}
-    n, a, b = n.astype(np.int64), [], []
-    one_block = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-    for w, rows in at_width.items():
-        for v, others in at_width.items():
-            small = min(w, v)
-            if v < w or max(w, v) > 2 * small:
-                continue
-            mine, theirs = level[w, small], level[v, small]
-            for k, i in enumerate(rows.tolist()):
-                m = n[others]
-                may = (m * DEN >= n[i] * NUM) & (n[i] * DEN >= m * NUM) & (label[others] != label[i]) & ((block[others] != block[i]) | one_block)
-                if v == w:
-                    may &= others > i
-                at = np.flatnonzero(may)
-                if len(at):
-                    at = at[_gaps(mine[k], theirs[at]) * (DEN + NUM) <= (m[at] + n[i]) * (DEN - NUM)]
-                    a.append(np.full(len(at), name[i]))
-                    b.append(name[others[at]])
-    cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-    return pa.table({"a": cat(a), "b": cat(b)})
-
-
-def compare_families(at: DataFrame, hists: DataFrame) -> DataFrame:
-    """Pairs (a, b) across classes that may link. at has (name, label, hub): names that share a signature share a hub.
-
-    The names of a hub are a family, in blocks of about BLOCK names; each pair of blocks is one task's group. The names
-    of a family's largest class stand in blocks of their own, which meet the blocks of other classes and not each other.
-    Comparisons stay inside the tasks: rows come out only for pairs whose histograms allow a link.
-    """
-    members = at.withColumnRenamed("hub", "family")
-    classes = members.groupBy("family", "label").agg(F.count("*").alias("c"))
-    sizes = classes.groupBy("family").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top")).filter(F.col("all") > F.col("top.c"))
-    sizes = sizes.select("family", F.col("top.label").alias("top"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("own"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("rest"))
-    of = lambda n: F.pmod(F.xxhash64("name"), F.col(n)).cast("int")
-    in_top = F.col("label") == F.col("top")
-    placed = members.join(sizes, "family").withColumn("block", F.when(in_top, of("own")).otherwise(F.col("own") + of("rest"))).withColumn("start", F.when(in_top, F.col("own")).otherwise(0))
-    dealt = placed.select("family", "name", "label", "block", F.explode(F.expr("transform(sequence(start, own + rest - 1), j -> struct(least(block, j) as i, greatest(block, j) as j))")).alias("p"))
-    rows = dealt.join(hists, "name").select("family", "p.i", "p.j", "block", "name", "label", "n", "hist")
-    return rows.groupBy("family", "i", "j").applyInArrow(_family_pairs, "a long, b long").distinct()
+def set_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The written digest (doc_id, key, n_shingles, name, ...) of every row, and (name, label) of the names that meet others."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    digest = materialize(rows.select("doc_id", "key", "text").mapInArrow(_digests, "doc_id long, key long, n_shingles long, name long, sketch binary"), "digest")
+    texts = rows.select("text")
+    by_sig = Window.partitionBy("sig")
+    met = texts.mapInArrow(_signature_rows, "sig long, name long").select("name", F.min("name").over(by_sig).alias("family"), F.max("name").over(by_sig).alias("last"))
+    families = materialize(met.filter("family < last").select("family", "name").distinct(), "families")
+    labels = materialize(families.select("name").distinct().select("name", F.col("name").alias("label")), "labels")
+    sketches = digest.filter("sketch is not null").select("name", F.col("n_shingles").cast("int").alias("n"), "sketch").join(labels, "name", "left_semi").dropDuplicates(["name"])
+    sketches = materialize(sketches, "sketches")
+    for turn in range(2):  # the second joins what stood in different blocks
+        labels = merge_labels(labels, materialize(likely_links(families, texts, sketches, labels, turn), "links"))
+    labels = merge_labels(labels, materialize(remaining_links(families, texts, sketches, labels), "links"))
+    return digest, labels
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -322,57 +395,44 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     Sets are the distinct 5-word shingles of the lower-cased words (all words as one shingle if fewer). A null, empty or
     blank text has the empty set and links with nothing. Equal sets are one node. component_id is the smallest doc_id
     reachable by links; a null doc_id counts only if its whole class has no other. Repeated rows stay.
+
+    Shingles are 64-bit hashes, compared by 48 bits: a set of n shingles counts one too many with a chance of about
+    n * n / 2^48, and a name stands for another set with one of 2^-63 for each pair.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    digest = materialize(rows.mapInArrow(_digests, "doc_id long, n_shingles long, name long, cell int, times int"), "digest")
-    heavy = digest.filter("cell is not null").groupBy("cell").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "cell").limit(KEPT_CELLS).toArrow()
-    common = np.zeros(1 << CELLS_LOG, np.uint8)  # 0: not known to be common; else the log of its count, at most 14
-    common[heavy.column("cell").to_numpy()] = np.clip(np.log2(heavy.column("times").to_numpy().astype(float)), 1, 14).astype(np.uint8)
-    common = spark.sparkContext.broadcast(common)
-    body = rows.select("text")
-    # a signature that comes once goes; a task names equal sets once, so copies add few that come more often
-    alone = body.mapInArrow(_signature_rows(common, None), "sig long").groupBy("sig").agg(F.count("*").alias("n"))
-    met = materialize(alone.filter("n > 1").select("sig"), "met")
-    found = body.mapInArrow(_signature_rows(common, BitSet(met, "sig")), "sig long, name long")
-    # signatures with the same members are one group, of their number as weight
-    by_sig = Window.partitionBy("sig")
-    found = found.repartition("sig").dropDuplicates(["sig", "name"]).select("name", F.sum(F.xxhash64("name").cast("decimal(20,0)")).over(by_sig).alias("s"), F.count("*").over(by_sig).alias("k")).filter("k > 1")
-    groups = materialize(found.groupBy(F.xxhash64("s", "k").alias("sig"), "name").agg(F.count("*").alias("w")), "groups")
-    names = materialize(groups.select("name").distinct(), "names")
-    bodies = body.mapInArrow(_set_rows(BitSet(names, "name")), "name long, n int, hist binary, body binary")
-    bodies = materialize(bodies, "bodies")
-    hists = materialize(bodies.select("name", "n", "hist").dropDuplicates(["name"]), "hists")
-    bodies = bodies.select("name", "body")
-    labels = names.select("name", F.col("name").alias("label"))
-    for r in range(STAR_ROUNDS):
-        at = groups.join(labels, "name")
-        hubs = at.groupBy("sig").agg(F.array_distinct(F.array(*(F.min_by(F.struct("name", "label"), F.xxhash64("name", F.lit(r * HUBS + i))) for i in range(HUBS)))).alias("hubs"))
-        star = at.join(hubs, "sig").select("name", "label", "w", F.explode("hubs").alias("hub")).filter("label <> hub.label").groupBy("name", F.col("hub.name").alias("other")).agg(F.sum("w").alias("n"))
-        likely = star.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "other"))).filter(F.col("k") <= PARTNERS)
-        links = materialize(verify(likely.select(F.col("name").alias("a"), F.col("other").alias("b")), hists, bodies), "links")
-        if links.isEmpty():
-            break
-        labels = merge_labels(labels, links)
-    # whatever still shares a signature across classes is compared in full
-    at = groups.join(labels, "name")
-    mixed = at.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("name").alias("hub")).filter("x < y").select("sig", "hub")
-    at = materialize(at.join(mixed, "sig").select("name", "label", "hub").distinct(), "mixed")
-    labels = merge_labels(labels, materialize(verify(compare_families(at, hists), hists, bodies), "links"))
-    own = digest.filter("cell is null").select("doc_id", "n_shingles", "name")
-    node = own.join(labels, "name", "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.struct(F.lit(0).alias("k"), F.coalesce("label", "name").alias("v"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("doc_id").alias("v"))))
-    node = materialize(node.select("doc_id", "n_shingles", F.col("node.k").alias("k"), F.coalesce("node.v", F.lit(0)).alias("v")), "nodes")
-    low = node.groupBy("k", "v").agg(F.min("doc_id").alias("component_id"))
-    return node.join(low, ["k", "v"]).select("doc_id", "n_shingles", "component_id")
+    digest, labels = set_classes(docs, text)
+    own = digest.filter("n_shingles > 0")
+    # copies are counted down to one row a name before they move
+    low = own.groupBy("name").agg(F.min("doc_id").alias("low")).join(labels, "name", "left").select("name", "low", F.coalesce("label", "name").alias("label"))
+    low = materialize(low, "low")
+    best = low.groupBy("label").agg(F.min("low").alias("component_id"))
+    ids = low.join(best, "label").select("name", "component_id")
+    found = digest.join(ids, "name", "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row of each component, that of the smallest doc_id, with the columns of docs. Rows with a null doc_id or
-    the empty set stay; of repeated rows with that doc_id one stays."""
-    found = near_duplicates(docs, text)
-    gone = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    return kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    """One row of each class of texts, that of the smallest doc_id (a null one last), with the columns of docs.
+
+    Rows are told apart by doc_id and text, so rows of one doc_id with different texts fare by their texts; of rows
+    equal in both one stays. Rows with the empty set all stay.
+    """
+    digest, labels = set_classes(docs, text)
+    own = digest.filter("n_shingles > 0").select("doc_id", "key", "name")
+    rank = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "key")
+    low = own.groupBy("name").agg(F.min(rank).alias("low")).join(labels, "name", "left").select("name", "low", F.coalesce("label", "name").alias("label"))
+    low = materialize(low, "low")
+    best = low.groupBy("label").agg(F.min("low").alias("best"))
+    verdict = own.groupBy("name", "doc_id", "key").agg(F.count("*").alias("times")).join(low.join(best, "label").select("name", "best"), "name")
+    stays = (F.col("doc_id").eqNullSafe(F.col("best.doc_id"))) & (F.col("key") == F.col("best.key"))
+    verdict = materialize(verdict.select("doc_id", "key", stays.alias("stays"), "times").filter("not stays or times > 1"), "verdicts")
+    key, mark, i, k = (fresh(c, docs.columns) for c in ("key", "mark", "id", "hash"))
+    marks = verdict.select(F.col("doc_id").alias(i), F.col("key").alias(k), F.when(F.col("stays"), "one").otherwise("none").alias(mark))
+    tagged = docs.withColumn(key, F.xxhash64(F.col(text).cast("string")))
+    tagged = tagged.join(marks, (F.col("doc_id").cast("long").eqNullSafe(F.col(i))) & (F.col(key) == F.col(k)), "left")
+    out = tagged.filter(F.col(mark).isNull())
+    if not verdict.filter("stays").isEmpty():
+        out = out.unionByName(tagged.filter(F.col(mark) == "one").dropDuplicates([i, k]))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_partenum_join(spark, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def test_components_by_brute_force(spark):
 def test_signatures_meet_for_every_linked_pair():
     import numpy as np
 
-    rng, common = np.random.default_rng(1), np.zeros(1 << jaccard.CELLS_LOG, np.uint8)
+    rng = np.random.default_rng(1)
     for size in [1, 2, 3, 4, 5, 7, 9, 13, 20, 50, 100, 300, 700]:
         for _ in range(40):
             base = rng.integers(0, 1 << 63, size + size // 3 + 2, dtype=np.uint64) * np.uint64(2)
@@ -59,7 +59,7 @@ def test_signatures_meet_for_every_linked_pair():
             b = np.unique(np.concatenate([a[drop:], base[size : size + rng.integers(0, size // 7 + 1)]]))
             if 4 * len(np.intersect1d(a, b)) < 3 * len(np.union1d(a, b)):
                 continue
-            doc, sig = jaccard.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), common)
+            doc, sig = jaccard.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
             assert set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist()), (size, len(a), len(b))
 
 
