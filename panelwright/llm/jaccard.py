@@ -18,8 +18,11 @@ NUM, DEN = 3, 4
 GROW_NUM, GROW_DEN = 3, 2
 #: Second level of PartEnum: each partition of the domain has SUB parts, and every subset of SUB - 1 of them is enumerated.
 SUB = 3
-#: Bits of a parity sketch for each shingle, at least.
-SKETCH_BITS = 4
+#: Bits of a parity sketch for each shingle, at least: with one, sets that share less than two thirds of their shingles
+#: are told apart, and larger sketches cost more room in the families than they save in whole sets.
+SKETCH_BITS = 1
+#: Leading bits of a signature that move; two that agree by chance only add candidates.
+SIGNATURE_MASK = 0xFFFFFFFFFFFF0000
 #: A task's block of a family: shingles and names, on average at most.
 BLOCK_SHINGLES, BLOCK_NAMES = 1 << 20, 2048
 U = np.uint64
@@ -134,7 +137,7 @@ def _signature_rows(batches):
             new = _once(name, sent)
             sets, n, name = sets[np.repeat(new, n)], n[new], name[new]
             doc, sig = signatures(sets, np.concatenate([[0], np.cumsum(n)]))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(signed(name[doc]))], names=["sig", "name"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(sig & U(SIGNATURE_MASK))), pa.array(signed(name[doc]))], names=["sig", "name"])
 
 
 # ---- sketches
@@ -319,19 +322,21 @@ def _parts(names, shingles):
     return F.greatest(F.ceil(names / BLOCK_NAMES), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
 
-def likely_links(families: DataFrame, texts: DataFrame, sketches: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Verified links between the names that stand for their classes in a family, each against one leader of its block."""
+def likely_links(families: DataFrame, texts: DataFrame, sketches: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links between the names that stand for their classes in a family, each against one leader of its block;
+    and the families of more than one block, whose leaders have not met."""
     at = families.join(labels, "name").groupBy("family", "label").agg(F.min_by("name", F.xxhash64("name", F.lit(turn))).alias("name"))
-    at = materialize(at.join(sketches, "name"), "standing")
+    at = materialize(at.join(sketches.select("name", "n"), "name").select("family", "name", "n"), "standing")
     size = at.groupBy("family").agg(F.count("*").alias("c"), F.sum("n").alias("s")).filter("c > 1").select("family", _parts(F.col("c"), F.col("s")).alias("parts"))
-    dealt = at.join(size, "family").withColumn("part", F.pmod(F.xxhash64("name", F.lit(turn)), F.col("parts")).cast("int"))
+    dealt = at.join(size, "family").select("family", "name", F.pmod(F.xxhash64("name", F.lit(turn)), F.col("parts")).cast("int").alias("part")).join(sketches, "name")
     stars = materialize(dealt.groupBy("family", "part").applyInArrow(_leaders, "a long, b long").distinct(), "stars")
     named = stars.select("a", F.col("b").alias("name")).unionByName(stars.select("a", F.col("a").alias("name")).distinct())
     bodies = whole_sets(texts, materialize(named.select("name").distinct(), "star_names"))
     # a leader's names are dealt out again where they are many, each part with the leader
     many = stars.join(sketches.select(F.col("name").alias("b"), "n"), "b").groupBy("a").agg(_parts(F.count("*"), F.sum("n")).alias("parts"))
     dealt = named.join(many, "a").withColumn("part", F.explode(F.when(F.col("name") == F.col("a"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")))))
-    return dealt.join(bodies, "name").groupBy("a", "part").applyInArrow(_star_links, "a long, b long")
+    links = materialize(dealt.join(bodies, "name").groupBy("a", "part").applyInArrow(_star_links, "a long, b long"), "links")
+    return links, materialize(size.filter("parts > 1").select("family"), "split_families")
 
 
 def remaining_links(families: DataFrame, texts: DataFrame, sketches: DataFrame, labels: DataFrame) -> DataFrame:
@@ -383,8 +388,10 @@ def set_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFra
     labels = materialize(families.select("name").distinct().select("name", F.col("name").alias("label")), "labels")
     sketches = digest.filter("sketch is not null").select("name", F.col("n_shingles").cast("int").alias("n"), "sketch").join(labels, "name", "left_semi").dropDuplicates(["name"])
     sketches = materialize(sketches, "sketches")
-    for turn in range(2):  # the second joins what stood in different blocks
-        labels = merge_labels(labels, materialize(likely_links(families, texts, sketches, labels, turn), "links"))
+    links, split_up = likely_links(families, texts, sketches, labels, 0)
+    labels = merge_labels(labels, links)
+    if not split_up.isEmpty():  # classes that stood in different blocks
+        labels = merge_labels(labels, likely_links(families.join(split_up, "family", "left_semi"), texts, sketches, labels, 1)[0])
     labels = merge_labels(labels, materialize(remaining_links(families, texts, sketches, labels), "links"))
     return digest, labels
 
