@@ -1,38 +1,55 @@
-"""Main text of pages: marked-up chrome goes, then lines that the page of nearest URL on its host shares."""
+"""Main text of pages: marked-up chrome goes, and lines that the pages of nearest URL on the host share."""
 from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import read_table
+from .store import materialize, read_table
 
-PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>?|<[!?][^>]*>?|[^<]+|<", re.S)
-RAW = frozenset("script style noscript template iframe svg math object canvas textarea title".split())
-CHROME = frozenset("head nav header footer aside form menu dialog button select option label fieldset".split()) | RAW
+#: A quote opens an attribute value only after an equals sign; an open tag at the end of a page ends there.
+PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:/?[a-zA-Z](?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+|[!?][^>]*+)(?:>|\Z)|[^<]+|<", re.S)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: Elements whose content runs to their own literal end tag.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+CHROME = frozenset("head nav header footer aside form menu dialog button select datalist fieldset template svg math object canvas".split()) | RAW
 BLOCK = frozenset("html body p div br hr li ul ol dl dt dd h1 h2 h3 h4 h5 h6 article main section table tr td th thead tbody tfoot caption blockquote pre figure figcaption address details summary center".split())
-CHROME_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|menu|nav\w*|breadcrumbs?|side-?bar|widget|footer|header|masthead|toolbar|comments?|replies|respond|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|copyright|legal|skip)(?=$|[\s_-])")
-ROLE = re.compile(r"(?i)role\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|alert|dialog|menu)")
-NAMED = re.compile(r"(?i)\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-HIDDEN = re.compile(r"(?i)\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true")
+#: A class, id or role that is one of these names marks its element as a menu, header, footer, sidebar, notice, advert, form or comments.
+CHROME_NAME = re.compile(r"(?i)(?:ads?|adverts?|advertisement|sponsored|promo|banner|cookies?|cookie[-_](?:banner|notice|bar|consent)|consent|notice|popup|modal|menu|nav|navbar|navigation|breadcrumbs?|side-?bar|complementary|header|site[-_]header|masthead|footer|site[-_]footer|contentinfo|comments?|comment[-_](?:list|section|area|form)|replies|respond|disqus_thread|share|social|related|newsletter|subscribe|search|pagination)")
+NAMED = re.compile(r"(?i)(?<=[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+HIDDEN = re.compile(r"(?i)\shidden(?=[\s/>=])(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true")
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
+#: Elements whose start ends an open one of the second set, unless one of the third stands between them.
+_CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+IMPLIED = {
+    "li": (frozenset(["li"]), frozenset("ul ol menu".split())),
+    "dt": (frozenset("dt dd".split()), frozenset(["dl"])), "dd": (frozenset("dt dd".split()), frozenset(["dl"])),
+    "option": (frozenset(["option"]), frozenset("select datalist".split())),
+    "tr": (frozenset("tr td th".split()), frozenset(["table"])), "td": (frozenset("td th".split()), frozenset("tr table".split())), "th": (frozenset("td th".split()), frozenset("tr table".split())),
+}
 SPACE = re.compile(r"\s+")
-#: When shared lines hold more than this part of a page's text, the two pages are copies, and none is deleted.
-COPY_SHARE = 0.5
+#: In a marked article, shared lines with more than this part of its text make the two pages versions of one article.
+VERSION_SHARE = 0.5
+#: Pages of a range, about, and ranges at most: a range is one task's sorted run.
+RANGE_PAGES, MAX_RANGES = 2000, 4096
 
 
 def blocks(page: str | None) -> tuple[list[str], bool]:
-    """Text blocks in page order, and whether they stand in a marked article (article, else main)."""
+    """Text blocks in page order, and whether they stand in a marked article (article, else main).
+
+    A list item, cell, paragraph or term ends where the next one starts, and every element at the end of its parent.
+    """
     if not page:
         return [], False
-    pieces = PIECE.findall(page)
     lines: list[tuple[str, int]] = []  # text and where it stands: 2 in article, 1 in main, 0 elsewhere
     text: list[str] = []
-    skip, depth = "", 0
+    stack: list[tuple[str, bool]] = []  # open elements, and whether they are left out
+    bad = 0
     inside = {"article": 0, "main": 0}
 
     def flush():
@@ -41,36 +58,58 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
             lines.append((line, 2 if inside["article"] else 1 if inside["main"] else 0))
         text.clear()
 
-    for p in pieces:
+    def close_to(depth: int):
+        nonlocal bad
+        while len(stack) > depth:
+            name, out = stack.pop()
+            bad -= out
+            if name in inside:
+                inside[name] -= 1
+
+    def innermost(names, barrier):
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in names:
+                return k
+            if stack[k][0] in barrier:
+                break
+        return None
+
+    at, end = 0, len(page)
+    while at < end:
+        m = PIECE.match(page, at)
+        p, at = m[0], m.end()
         if p[0] != "<" or len(p) == 1:
-            if not skip:
+            if not bad:
                 text.append(p)
             continue
-        if p.startswith(("<!", "<?")):
-            if p.startswith("<![CDATA[") and not skip:
-                text.append(p[9:-3].replace("&", "&amp;").replace("<", "&lt;"))
-            continue
-        close = p[1] == "/"
-        m = re.match(r"[a-zA-Z][\w:-]*", p[2 if close else 1 :])
-        name = m[0].lower() if m else ""
-        if skip:
-            if name == skip:
-                depth += -1 if close else 0 if p.endswith("/>") or skip in RAW else 1
-                if depth <= 0:
-                    skip = ""
+        if p[1] in "!?":
+            if p.startswith("<![CDATA[") and not bad:
+                text.append(p[9:].removesuffix("]]>").replace("&", "&amp;").replace("<", "&lt;"))
             continue
+        close, name = p[1] == "/", NAME.match(p)[1].lower()
         if name in BLOCK or name in CHROME:
             flush()
         if close:
-            if name in inside and inside[name]:
-                inside[name] -= 1
+            k = innermost((name,), ("table", "article", "main") if name in ("p", "li", "dd", "dt", "b", "i", "a", "span") else ())
+            if k is not None:
+                close_to(k)
+            continue
+        if name in _CLOSES_P and (k := innermost(("p",), frozenset("table td th button article aside nav header footer form".split()))) is not None:
+            close_to(k)
+        if name in IMPLIED and (k := innermost(*IMPLIED[name])) is not None:
+            close_to(k)
+        if name in VOID:
             continue
-        named = " ".join(x or y or z for x, y, z in NAMED.findall(p)) if "=" in p else ""
-        in_article = inside["article"] and name == "header"
-        bad = (name in CHROME and not in_article) or (name not in ("html", "body") and ((named and CHROME_NAME.search(named)) or ROLE.search(p) or HIDDEN.search(p)))
-        if bad and name not in VOID and not p.endswith("/>"):
-            skip, depth = name, 1
+        if name in RAW:
+            stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            at = stop.end() if stop else end
             continue
+        if p.endswith("/>"):
+            continue
+        tokens = " ".join(x or y or z for x, y, z in NAMED.findall(p)).split() if "=" in p else ()
+        out = (name in CHROME and not (name == "header" and inside["article"])) or (name not in ("html", "body") and (any(CHROME_NAME.fullmatch(x) for x in tokens) or bool(HIDDEN.search(p))))
+        stack.append((name, out))
+        bad += out
         if name in inside:
             inside[name] += 1
     flush()
@@ -79,44 +118,138 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Indices in a of a longest common subsequence of the two lists (by longest increasing runs of matches)."""
-    where: dict[str, list[int]] = {}
-    for j, x in enumerate(b):
-        where.setdefault(x, []).append(j)
-    tails: list[int] = []
-    nodes: list[tuple] = []
-    for i, x in enumerate(a):
-        for j in reversed(where.get(x, ())):
-            k = bisect_left(tails, j)
-            node = (i, nodes[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                nodes.append(node)
-            else:
-                tails[k], nodes[k] = j, node
-    out, node = set(), nodes[-1] if nodes else None
-    while node:
-        out.add(node[0])
-        node = node[1]
+    """Indices in a of a longest common subsequence of the two lists, by bit rows; halved until the rows fit in 8 MB."""
+    shared, wanted = set(b), set(a)
+    at = [i for i, x in enumerate(a) if x in shared]
+    code: dict[str, int] = {}
+    x = [code.setdefault(a[i], len(code)) for i in at]
+    y = [code[t] for t in b if t in wanted]
+    return {at[i] for i in _align(x, y, 0)}
+
+
+def _rows(x, y):
+    """After each item of x: the bits of y at which the common length does not grow."""
+    where: dict[int, int] = {}
+    for j, v in enumerate(y):
+        where[v] = where.get(v, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row = full
+    for v in x:
+        m = row & where.get(v, 0)
+        row = ((row + m) | (row - m)) & full
+        yield row
+
+
+def _align(x, y, base):
+    lo = 0
+    while lo < min(len(x), len(y)) and x[lo] == y[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(len(x), len(y)) - lo and x[-1 - hi] == y[-1 - hi]:
+        hi += 1
+    out = [*range(base, base + lo), *range(base + len(x) - hi, base + len(x))]
+    x, y, base = x[lo : len(x) - hi], y[lo : len(y) - hi], base + lo
+    if not x or not y:
+        return out
+    if len(x) == 1:
+        return out + ([base] if x[0] in y else [])
+    if len(x) * len(y) > 1 << 26:
+        half = len(x) // 2
+
+        def lengths(p, q):
+            for row in _rows(p, q):
+                pass
+            bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-len(q) // 8), "little"), np.uint8), bitorder="little")[: len(q)]
+            return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+        j = int((lengths(x[:half], y) + lengths(x[half:][::-1], y[::-1])[::-1]).argmax())
+        return out + _align(x[:half], y[:j], base) + _align(x[half:], y[j:], base + half)
+    rows = [(1 << len(y)) - 1, *_rows(x, y)]
+    i, j = len(x), len(y)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:  # no growth at this place of y
+            j -= 1
+        elif not rows[i - 1] >> (j - 1) & 1:  # the growth was there before x[i - 1]
+            i -= 1
+        else:
+            out.append(base + i - 1)
+            i, j = i - 1, j - 1
     return out
 
 
-def main_text(lines: list[str], marked: bool, neighbour: list[str] | None) -> tuple[str, int]:
-    """Blocks joined by one space, without those shared with the neighbour, and the number of shared ones.
+def main_text(lines: list[str], marked: bool, nearest: list[str] | None, other: list[str] | None) -> tuple[str, int]:
+    """Blocks joined by one space, without those that the neighbours show to be chrome, and the number of those that went.
+
+    Without a marked article all lines that the page of nearest URL shares go; a page with no line of its own keeps all.
+    In a marked article a line goes if both neighbours share it (one alone may quote it), unless the shared lines are
+    most of the article: then the pages are versions of one article.
+    """
+    if nearest is None:
+        return " ".join(lines), 0
+    gone = common_lines(lines, nearest)
+    if marked:
+        gone = gone & common_lines(lines, other) if other is not None and gone else set()
+        if sum(len(lines[i]) for i in gone) > VERSION_SHARE * sum(map(len, lines)):
+            gone = set()
+    elif len(gone) == len(lines):
+        gone = set()
+    return " ".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
+
+
+HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
+NOT_PATH = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*|[?#].*$"
+
+
+def _keyed(pages: DataFrame) -> DataFrame:
+    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    body = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.lower(F.regexp_extract(url, HOST, 1)).alias("host"), F.regexp_replace(url, NOT_PATH, "").alias("path"), F.xxhash64(body).alias("h"), body.alias("html"))
+
+
+def ranges(keyed: DataFrame) -> tuple[list[tuple], list[tuple]]:
+    """Places (host, path, h) at which a new range starts, and those of the last page before each: at most MAX_RANGES.
 
-    Lines of a marked article stay: a page that repeats a sentence of its neighbour still says it.
+    Keys alone are sorted and numbered; the ranges follow from their number, so results do not depend on partitions.
     """
-    shared = common_lines(lines, neighbour) if neighbour else set()
-    size = sum(map(len, lines))
-    if not marked and sum(len(lines[i]) for i in shared) <= COPY_SHARE * size:
-        lines = [x for i, x in enumerate(lines) if i not in shared]
-    return " ".join(lines), len(shared)
+    spread = keyed.select("host", "path", "h").distinct().repartitionByRange("host", "path", "h").sortWithinPartitions("host", "path", "h")
+    keys = materialize(spread.select("host", "path", "h", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "page_keys")
+    parts = keys.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    parts = parts.select("part", "first", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)).alias("to"), "n")
+    total = keys.count()
+    step = max(RANGE_PAGES, -(-total // MAX_RANGES))
+    place = (F.col("at") - F.col("first") + F.col("to") - F.col("n")).alias("place")
+    edge = keys.join(F.broadcast(parts), "part").select("host", "path", "h", place).filter((F.col("place") % step == 0) | (F.col("place") % step == step - 1))
+    rows = sorted(tuple(r.values()) for r in edge.select("place", "host", "path", "h").toArrow().to_pylist())
+    starts = [r for r in rows if r[0] % step == 0 and r[0]]
+    before = [r for r in rows if r[0] % step == step - 1]
+    return [r[1:] for r in starts], [r[1:] for r in before]
 
 
-def _parse(batches):
-    for batch in batches:
-        parsed = [blocks(h) for h in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p[0] for p in parsed], pa.list_(pa.string())), pa.array([p[1] for p in parsed], pa.bool_())], names=["page_id", "url", "lines", "marked"])
+def _parse(shared):
+    def run(batches):
+        starts, before = shared.value
+        keys = [tuple(x) for x in starts]
+        first = {k: i for i, k in enumerate(keys)}  # the first page of a range also closes the range before it
+        last = {tuple(k): i for i, k in enumerate(before)}
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            out = []
+            for page_id, url, host, path, h, page in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                place = (host, path, h)
+                r = bisect_right(keys, place)
+                lines, marked = blocks(page)
+                out.append((r, host, path, h, False, page_id, url, lines, marked))
+                if place in first:
+                    out.append((first[place], host, path, h, True, page_id, url, lines, marked))
+                if place in last:
+                    out.append((last[place] + 1, host, path, h, True, page_id, url, lines, marked))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
+
+    return run
+
+
+_SCHEMA = "r int, host string, path string, h long, context boolean, page_id long, url string, lines array<string>, marked boolean"
+_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
+_TYPES = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.bool_()]
 
 
 def _prefix(a: str, b: str) -> int:
@@ -125,49 +258,61 @@ def _prefix(a: str, b: str) -> int:
 
 
 def _difference(batches):
-    """Rows come sorted by host and path: the nearest URL of a page is the row before or after it."""
+    """Rows come sorted by range, host, path and content; copies in a row are one page with several ids."""
 
-    def rows():
+    def runs_of_copies():
+        key, ids, page = None, [], None
         for batch in batches:
             for small in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                yield from zip(*(small.column(k).to_pylist() for k in range(6)))
+                for r, host, path, h, context, page_id, url, lines, marked in zip(*(small.column(k).to_pylist() for k in range(9))):
+                    if key != (r, host, h):
+                        if key is not None:
+                            yield key, ids, page
+                        key, ids, page = (r, host, h), [], (path, lines, marked)
+                    if not context:
+                        ids.append((page_id, url))
+        if key is not None:
+            yield key, ids, page
 
     def answer(before, row, after):
-        page_id, url, host, path, lines, marked = row
-        near = [x for x in (before, after) if x and x[2] == host]
-        best = max(near, key=lambda x: _prefix(x[3], path))[4] if near else None
-        return page_id, url, *main_text(lines, marked, best)
+        key, ids, (path, lines, marked) = row
+        if not ids:
+            return []
+        near = [x[2] for x in (before, after) if x and x[0][:2] == key[:2]]
+        near.sort(key=lambda x: -_prefix(x[0], path))  # stable: of two as near the one before
+        text, n = main_text(lines, marked, near[0][1] if near else None, near[1][1] if len(near) > 1 else None)
+        return [(i, u, text, len(text), n) for i, u in ids]
 
     def pack(out):
-        i, u, t, s = zip(*out)
-        return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(u, pa.string()), pa.array(t, pa.string()), pa.array(map(len, t), pa.int64()), pa.array(s, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_shared_lines"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["page_id", "url", "text", "n_chars", "n_shared_lines"])
 
     before = row = None
-    out = []
-    for after in rows():
+    out: list = []
+    for after in runs_of_copies():
         if row:
-            out.append(answer(before, row, after))
+            out += answer(before, row, after)
         before, row = row, after
-        if len(out) >= 512:
-            yield pack(out)
-            out = []
+        while len(out) >= 256:
+            yield pack(out[:256])
+            out = out[256:]
     if row:
-        out.append(answer(before, row, None))
-    if out:
-        yield pack(out)
+        out += answer(before, row, None)
+    for i in range(0, len(out), 256):
+        yield pack(out[i : i + 256])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars and n_shared_lines of every row. A null or empty page gives the empty text; a page alone
-    on its host has nothing to differ from; repeated rows and URLs stay. Pages are dealt out in ranges of (host, path,
-    page_id), so a large host spreads over tasks, and each page meets only the two next to it. Drawing the ranges parses the pages a
-    second time; a table of parsed pages would cost more disk than that costs time."""
-    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = rows.mapInArrow(_parse, "page_id long, url string, lines array<string>, marked boolean")
-    url = F.coalesce("url", F.lit(""))
-    keyed = parsed.select("page_id", "url", F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)).alias("host"), F.regexp_replace(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*|[?#].*$", "").alias("path"), "lines", "marked")
-    dealt = keyed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    """page_id, url, text, n_chars and n_shared_lines (lines that the differencing deleted) of every row.
+
+    A null or empty page gives the empty text; a page alone on its host has nothing to differ from; repeated rows and
+    URLs stay. The neighbours of a page are the nearest ones before and after it by (host, path, content) whose content
+    differs, so copies do not count as neighbours; ties of nearness go to the page before. Pages are dealt out in ranges
+    of that order, and the page at each end of a range goes to both sides of the cut.
+    """
+    keyed = _keyed(pages)
+    shared = pages.sparkSession.sparkContext.broadcast(ranges(keyed))
+    n = len(shared.value[0]) + 1
+    dealt = keyed.mapInArrow(_parse(shared), _SCHEMA).repartition(n, "r").sortWithinPartitions("r", "host", "path", "h", "context")
     return dealt.mapInArrow(_difference, "page_id long, url string, text string, n_chars long, n_shared_lines long")
 
 

@@ -23,6 +23,8 @@ SUB = 3
 SKETCH_BITS = 1
 #: Leading bits of a signature that move; two that agree by chance only add candidates.
 SIGNATURE_MASK = 0xFFFFFFFFFFFF0000
+#: Verdicts on rows are broadcast up to this number (some 40 MB on an executor), and joined by shuffle beyond it.
+BROADCAST_ROWS = 1 << 20
 #: A task's block of a family: shingles and names, on average at most.
 BLOCK_SHINGLES, BLOCK_NAMES = 1 << 20, 2048
 U = np.uint64
@@ -434,6 +436,7 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     verdict = materialize(verdict.select("doc_id", "key", stays.alias("stays"), "times").filter("not stays or times > 1"), "verdicts")
     key, mark, i, k = (fresh(c, docs.columns) for c in ("key", "mark", "id", "hash"))
     marks = verdict.select(F.col("doc_id").alias(i), F.col("key").alias(k), F.when(F.col("stays"), "one").otherwise("none").alias(mark))
+    marks = F.broadcast(marks) if verdict.count() <= BROADCAST_ROWS else marks
     tagged = docs.withColumn(key, F.xxhash64(F.col(text).cast("string")))
     tagged = tagged.join(marks, (F.col("doc_id").cast("long").eqNullSafe(F.col(i))) & (F.col(key) == F.col(k)), "left")
     out = tagged.filter(F.col(mark).isNull())
