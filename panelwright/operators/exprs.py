@@ -50,12 +50,21 @@ def rolling_partial(x, n: int, how: str) -> Column:
 
 
 def average_rank(x, *more: str) -> Column:
-    """Rank within the session, ties sharing their mean; NULL stays NULL."""
-    w = by_session(*more, "__has")
-    return F.when(col(x).isNotNull(), F.rank().over(w.orderBy(col(x))) + (F.count("*").over(Window.partitionBy("session", *more, "__has", col(x))) - 1) / 2)
+    """Rank within the session, ties sharing their mean; NULL stays NULL and does not count."""
+    x = col(x)
+    rank = F.rank().over(by_session(*more).orderBy(x.asc_nulls_last()))
+    return F.when(x.isNotNull(), rank + (F.count("*").over(Window.partitionBy("session", *more, x)) - 1) / 2)
 
 
 def zscore(x, least: int = 10) -> Column:
     w = by_session()
     sd = F.stddev_pop(col(x)).over(w)
     return F.when((F.count(col(x)).over(w) >= least) & (sd > 1e-12), (col(x) - F.avg(col(x)).over(w)) / sd)
+
+
+def mid_percentile(x, high_is_good: bool = True) -> Column:
+    """Average rank less one over the members less one, a half where there is one member; of rows that all have x."""
+    n = F.count("*").over(by_session())
+    rank = F.rank().over(by_session().orderBy(col(x))) + (F.count("*").over(Window.partitionBy("session", col(x))) - 1) / 2
+    p = (rank - 1) / F.nullif(n - 1, F.lit(0))
+    return F.when(n <= 1, 0.5).otherwise(p if high_is_good else 1 - p)

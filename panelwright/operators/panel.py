@@ -26,22 +26,28 @@ def quality_flags(df: DataFrame) -> DataFrame:
 
 
 def rank_ic(df: DataFrame, factor: str = "mom", label: str = "fwd", least: int = 10) -> DataFrame:
-    """Per session: correlation of average ranks of factor and label over rows that have both, from sums."""
-    both = df.filter(F.col(factor).isNotNull() & F.col(label).isNotNull()).withColumn("__has", F.lit(True))
+    """Per session: correlation of average ranks of factor and label over rows that have both."""
+    both = df.filter(F.col(factor).isNotNull() & F.col(label).isNotNull())
     r = both.select("session", average_rank(factor).alias("x"), average_rank(label).alias("y"))
-    s = r.groupBy("session").agg(F.count("*").alias("n_pairs"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg(F.col("x") * F.col("y")).alias("xy"), F.avg(F.col("x") * F.col("x")).alias("xx"), F.avg(F.col("y") * F.col("y")).alias("yy"))
-    vx, vy = F.col("xx") - F.col("mx") * F.col("mx"), F.col("yy") - F.col("my") * F.col("my")
-    return s.filter(F.col("n_pairs") >= least).select("session", "n_pairs", F.when((vx > 1e-12) & (vy > 1e-12), (F.col("xy") - F.col("mx") * F.col("my")) / F.sqrt(vx * vy)).alias("rank_ic"))
+    varies = (F.var_pop("x") > 1e-12) & (F.var_pop("y") > 1e-12)
+    s = r.groupBy("session").agg(F.count("*").alias("n_pairs"), F.when(varies, F.covar_pop("x", "y") / F.sqrt(F.var_pop("x") * F.var_pop("y"))).alias("rank_ic"))
+    return s.filter(F.col("n_pairs") >= least)
 
 
 def quantile_means(df: DataFrame, factor: str, label: str, q: int = 5, least: int = 10) -> DataFrame:
     """Mean label per session and quantile of the factor's average rank; ties share a bucket."""
-    both = df.filter(F.col(factor).isNotNull() & F.col(label).isNotNull()).withColumn("__has", F.lit(True))
+    both = df.filter(F.col(factor).isNotNull() & F.col(label).isNotNull())
     r = both.withColumn("r", average_rank(factor)).withColumn("n", F.count("*").over(by_session()))
     bucket = F.least(F.lit(q), F.floor((F.col("r") - 1) * q / F.col("n")) + 1).cast("int")
     return r.filter(F.col("n") >= least).groupBy("session", bucket.alias("bucket")).agg(F.avg(label).alias("mean_label"), F.count("*").alias("n"))
 
 
+def quantile_buckets(df: DataFrame, factor: str, q: int = 5) -> DataFrame:
+    """(session, inst, bucket) of rows with a factor, by average rank: ties share a bucket."""
+    r = df.filter(F.col(factor).isNotNull()).withColumn("_r", average_rank(factor)).withColumn("_n", F.count("*").over(by_session()))
+    return r.select("session", "inst", F.least(F.lit(q), F.floor((F.col("_r") - 1) * q / F.col("_n")) + 1).cast("int").alias("bucket"))
+
+
 def median_mad(df: DataFrame, x: str) -> DataFrame:
     m = df.groupBy("session").agg(F.median(x).alias("median"))
     return df.join(m, "session").groupBy("session").agg(F.first("median").alias("median"), F.median(F.abs(F.col(x) - F.col("median"))).alias("mad"))
@@ -94,12 +100,34 @@ def market_return(df: DataFrame) -> DataFrame:
 
 
 def entity_pairs(df: DataFrame, x: str) -> DataFrame:
-    """Pearson correlation of each pair of instruments over the sessions both have, from sums."""
+    """Pearson correlation of each pair of instruments over the sessions both have. For entities that are few, as factors are."""
     a = df.filter(F.col(x).isNotNull()).select("session", F.col("inst").alias("left_id"), F.col(x).alias("a"))
     b = df.filter(F.col(x).isNotNull()).select("session", F.col("inst").alias("right_id"), F.col(x).alias("b"))
-    j = a.join(b, "session").filter("left_id < right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("n"), F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.avg(F.col("a") * F.col("b")).alias("ab"), F.avg(F.col("a") * F.col("a")).alias("aa"), F.avg(F.col("b") * F.col("b")).alias("bb"))
-    v = (F.col("aa") - F.col("ma") ** 2) * (F.col("bb") - F.col("mb") ** 2)
-    return j.select("left_id", "right_id", "n", F.when(v > 1e-18, (F.col("ab") - F.col("ma") * F.col("mb")) / F.sqrt(v)).alias("corr"))
+    varies = (F.var_pop("a") > 1e-9) & (F.var_pop("b") > 1e-9)
+    j = a.join(b, "session").filter("left_id < right_id").groupBy("left_id", "right_id")
+    return j.agg(F.count("*").alias("n"), F.when(varies, F.covar_pop("a", "b") / F.sqrt(F.var_pop("a") * F.var_pop("b"))).alias("corr"))
+
+
+def zero_quote():
+    """A row in which the vendor gives a price without any trade."""
+    return F.coalesce((F.col("volume") == 0) & (F.col("amount") == 0) & (F.col("close") > 0), F.lit(False))
+
+
+def adjusted(df: DataFrame, factor: str = "adj_factor") -> DataFrame:
+    """Prices times a positive adjustment factor, volume over it, and the adjusted mean price; NULL without one."""
+    f = F.when(F.col(factor) > 0, F.col(factor))
+    out = df.withColumns({f"adj_{c}": F.col(c) * f for c in ("open", "high", "low", "close")})
+    return out.withColumns({"adj_volume": safe_div("volume", f), "adj_vwap": safe_div("amount", "volume") * f})
+
+
+def release_quality(df: DataFrame, factor: str, value: str, keys: list[str]) -> DataFrame:
+    """Per factor: rows, finite values, values that are not finite, coverage, range, sessions, instruments, repeated keys."""
+    finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
+    v = F.when(finite, F.col(value))
+    return df.groupBy(factor).agg(
+        F.count("*").alias("n_rows"), F.count(v).alias("present"), (F.count(value) - F.count(v)).alias("not_finite"), (F.count(v) / F.count("*")).alias("coverage"),
+        F.min(v).alias("lowest"), F.max(v).alias("highest"), F.count_distinct("session").alias("sessions"), F.count_distinct("inst").alias("instruments"), (F.count("*") - F.count_distinct(*keys)).alias("duplicates"),
+    )
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["rolling_full", "rolling_partial", "safe_log", "zscore"]

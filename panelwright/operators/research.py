@@ -42,10 +42,38 @@ def retained_members(held: DataFrame) -> DataFrame:
     return out.withColumn("turnover", F.when(F.col("n_before").isNotNull(), 1 - F.col("retained") / F.greatest("n", "n_before")))
 
 
+def observed_turnover(held: DataFrame) -> DataFrame:
+    """Per session and bucket of (session, inst, bucket): members, and one-way turnover against the session observed before."""
+    days = held.select("session").distinct().withColumn("_d", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("session")))  # a row a session
+    h = held.join(F.broadcast(days), "session")
+    before = h.select((F.col("_d") + 1).alias("_d"), "inst", "bucket", F.lit(1).alias("_kept"))
+    now = h.join(before, ["_d", "inst", "bucket"], "left").groupBy("session", "_d", "bucket").agg(F.count("*").alias("n"), F.count("_kept").alias("_k"))
+    sizes = now.select((F.col("_d") + 1).alias("_d"), "bucket", F.col("n").alias("_m"))
+    out = now.join(sizes, ["_d", "bucket"], "left")
+    return out.withColumn("turnover", F.when(F.col("_m").isNotNull(), 1 - F.col("_k") * F.least(1 / F.col("_m"), 1 / F.col("n")))).drop("_d", "_k", "_m")
+
+
+def stability_summary(df: DataFrame, entity: str, x: str, time: str, parts: int) -> DataFrame:
+    """Of the means of equal consecutive parts: share with the sign of the whole, worst in that direction, and range."""
+    m = stability_segments(df, entity, x, time, parts)
+    whole = df.filter(F.col(x).isNotNull()).groupBy(entity).agg(F.avg(x).alias("_all"))
+    sign = F.when(F.col("_all") < 0, -1).otherwise(1)
+    return m.join(whole, entity).groupBy(entity).agg(F.avg((F.signum("mean") == F.signum("_all")).cast("double")).alias("same_sign"), F.min(F.col("mean") * sign).alias("worst"), (F.max("mean") - F.min("mean")).alias("spread"))
+
+
+def period_returns(df: DataFrame, entity: str, ret: str) -> DataFrame:
+    """Compounded return by year (q 0) and by quarter; a total loss stays one."""
+    has = df.filter(F.col(ret).isNotNull()).withColumns({"y": F.year("session").cast("long"), "q": F.explode(F.array(F.lit(0).cast("long"), F.quarter("session").cast("long")))})
+    lost = F.min(ret) <= -1
+    return has.groupBy(entity, "y", "q").agg(F.count("*").alias("n"), F.when(lost, -1.0).otherwise(F.exp(F.sum(F.when(F.col(ret) > -1, F.log1p(ret)))) - 1).alias("total"))
+
+
 def interval_latest(left: DataFrame, intervals: DataFrame, key: str, time: str, start: str, stop: str, value: str) -> DataFrame:
     """For each left row the interval [start, stop) that holds it, the latest start first, then the largest value."""
-    j = left.join(intervals.withColumnRenamed(key, "__k"), (F.col(key) == F.col("__k")) & (F.col(time) >= F.col(start)) & (F.col(stop).isNull() | (F.col(time) < F.col(stop))), "left")
-    return j.groupBy(*(left[c] for c in left.columns)).agg(F.max(F.struct(start, value)).getField(value).alias(value))
+    left_keys = left.select(key, time).distinct()
+    j = left_keys.join(intervals.withColumnRenamed(key, "__k"), (F.col(key) == F.col("__k")) & (F.col(time) >= F.col(start)) & (F.col(stop).isNull() | (F.col(time) < F.col(stop))))
+    best = j.groupBy(key, time).agg(F.max(F.struct(start, value)).getField(value).alias(value))
+    return left.join(best, [key, time], "left")
 
 
 def holm(df: DataFrame, p: str, family: str) -> DataFrame:
@@ -64,11 +92,15 @@ def stability_segments(df: DataFrame, entity: str, x: str, time: str, parts: int
 
 
 def performance(df: DataFrame, entity: str, ret: str, time: str, a_year: int) -> DataFrame:
-    """Total return, yearly volatility, Sharpe ratio and deepest drawdown of each entity's returns."""
+    """Total return, yearly volatility, Sharpe ratio and deepest drawdown of each entity's returns. After a return of
+    -100 % or less the level is 0 for good, so the total and the drawdown are -100 %."""
     w = Window.partitionBy(entity).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    nav = df.filter(F.col(ret) > -1).withColumn("__l", F.sum(F.log1p(ret)).over(w))
-    nav = nav.withColumn("__d", F.exp(F.col("__l") - F.greatest(F.max("__l").over(w), F.lit(0.0))) - 1)
-    s = nav.groupBy(entity).agg((F.exp(F.sum(F.log1p(ret))) - 1).alias("total"), (F.stddev_samp(ret) * F.sqrt(F.lit(float(a_year)))).alias("volatility"), (F.avg(ret) * a_year).alias("__m"), F.min("__d").alias("max_drawdown"))
+    has = df.filter(F.col(ret).isNotNull())
+    nav = has.withColumn("__lost", F.max(F.col(ret) <= -1).over(w)).withColumn("__l", F.sum(F.when(F.col(ret) > -1, F.log1p(ret))).over(w))
+    fall = F.exp(F.col("__l") - F.greatest(F.max("__l").over(w), F.lit(0.0))) - 1
+    nav = nav.withColumn("__d", F.when(F.col("__lost"), -1.0).otherwise(fall))
+    total = F.when(F.max("__lost"), -1.0).otherwise(F.exp(F.sum(F.when(F.col(ret) > -1, F.log1p(ret)))) - 1)
+    s = nav.groupBy(entity).agg(total.alias("total"), (F.stddev_samp(ret) * F.sqrt(F.lit(float(a_year)))).alias("volatility"), (F.avg(ret) * a_year).alias("__m"), F.min("__d").alias("max_drawdown"))
     return s.select(entity, "total", "volatility", safe_div("__m", "volatility").alias("sharpe"), "max_drawdown")
 
 

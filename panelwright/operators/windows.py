@@ -111,3 +111,31 @@ def newey_west(df: DataFrame, entity: str, x: str, time: str, lags: int) -> Data
     s = e.groupBy(entity).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), total.alias("__v"))
     se = F.when((F.col("n") > 1) & (F.col("__v") > 1e-18), F.sqrt("__v") / F.col("n"))
     return s.select(entity, "n", "mean", se.alias("se"), (F.col("mean") / se).alias("t"))
+
+
+def factor_jumps(df: DataFrame, factor: str, price: str) -> DataFrame:
+    """Sessions at which the adjustment factor changes: its ratio to the session before, the price's inverse ratio, and their gap."""
+    w = by_instrument()
+    x = df.withColumns({"previous_session": F.lag("session").over(w), "ratio": safe_div(factor, F.lag(factor).over(w)), "price_ratio": safe_div(F.lag(price).over(w), price)})
+    return x.filter(F.abs(F.col("ratio") - 1) > 1e-10).withColumn("error", F.col("price_ratio") - F.col("ratio"))
+
+
+def crossings(df: DataFrame, flag) -> DataFrame:
+    """Rows whose flag is true where the session before it was false; an unknown one is no crossing."""
+    x = df.withColumn("_f", col(flag)).withColumn("_was", F.lag("_f").over(by_instrument()))
+    return x.filter(F.col("_f") & ~F.col("_was")).drop("_f", "_was")
+
+
+def worst_episode(df: DataFrame, level: str, n: int) -> DataFrame:
+    """Per instrument: the trough of the deepest fall below the peak so far (the first of equals), its peak and recovery
+    sessions, and the deepest fall below the peak of the last n sessions."""
+    w = by_instrument()
+    x = df.withColumn("_peak", F.max(level).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_dd", safe_div(level, "_peak") - 1).withColumn("_ddn", safe_div(level, F.max(level).over(by_instrument(n))) - 1)
+    key = F.when(F.col("_dd").isNotNull(), F.struct("_dd", "session"))
+    best = x.groupBy("inst").agg(F.min_by("session", key).alias("trough"), F.min("_dd").alias("worst"), F.min_by("_peak", key).alias("_top"), F.min("_ddn").alias(f"worst{n}"))
+    at = df.select("inst", "session", level).join(best, "inst")
+    sides = at.groupBy("inst").agg(
+        F.max(F.when((F.col("session") <= F.col("trough")) & (F.col(level) == F.col("_top")), F.col("session"))).alias("peak_session"),
+        F.min(F.when((F.col("session") > F.col("trough")) & (F.col(level) >= F.col("_top")), F.col("session"))).alias("recovered"),
+    )
+    return best.filter("trough is not null").join(sides, "inst").drop("_top")

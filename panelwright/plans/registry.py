@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import gates as G
 from ..operators import panel as P
 from ..operators.exprs import by_instrument, by_session, rolling_full, rolling_partial, safe_div, safe_log, zscore
 from ..sources.fixture import bars, oracle
@@ -30,7 +31,7 @@ def b7(df):
 
 @panel("b9_signal_clock", "select distinct session, cast(session as timestamp) + interval 7 hours as available_at from bars")
 def b9(df):
-    return df.select("session", F.to_utc_timestamp(F.col("session").cast("timestamp_ntz").cast("timestamp") + F.expr("interval 15 hours"), "Asia/Shanghai").cast("timestamp_ntz").alias("available_at")).distinct()
+    return df.select("session", F.convert_timezone(F.lit("Asia/Shanghai"), F.lit("UTC"), F.col("session").cast("timestamp_ntz") + F.expr("interval 15 hours")).alias("available_at")).distinct()
 
 
 @panel("d1_conditional_counts", "select session, count(close) n_bars, count(case when close > open then 1 end) n_up, round(avg(case when close > open then close / open - 1 end), 6) + 0.0 mean_up from bars group by session")
@@ -93,7 +94,7 @@ def e5(df):
 
 @panel("e15_cross_avg_rank", f"{MOM} select inst, session, rank() over (partition by session order by mom) + (count(*) over (partition by session, mom) - 1) / 2.0 avg_rank from mom where mom is not null")
 def e15(df):
-    x = P.with_momentum(df).filter("mom is not null").withColumn("__has", F.lit(True))
+    x = P.with_momentum(df).filter("mom is not null")
     return x.select("inst", "session", P.average_rank("mom").alias("avg_rank"))
 
 
@@ -159,9 +160,8 @@ def c17(df):
 
 @panel("l1_audit_market", "select 'ohlc' as check_name, count(*) violations from bars where high < greatest(open, close, low) or low > least(open, close) union all select 'negative_volume', count(*) from bars where volume < 0 or amount < 0 union all select 'duplicate_key', count(*) from (select inst, session from bars group by 1, 2 having count(*) > 1) d")
 def l1(df):
-    bad = lambda name, x: x.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check_name"), "violations")
-    out = bad("ohlc", df.filter((F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close"))))
-    return out.unionByName(bad("negative_volume", df.filter("volume < 0 or amount < 0"))).unionByName(bad("duplicate_key", df.groupBy("inst", "session").count().filter("count > 1")))
+    rules = {"ohlc": (F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close")), "negative_volume": (F.col("volume") < 0) | (F.col("amount") < 0)}
+    return G.all_of(G.count_rules(df, rules), G.repeated_keys(df, ["inst", "session"]))
 
 
 def _facts(spark, sf_dir):
@@ -196,7 +196,7 @@ ORACLES |= {
 }
 
 
-from . import research_queries, window_queries  # noqa: E402,F401  (they register themselves)
+from . import evidence_queries, fact_queries, formula_queries, gate_queries, research_queries, streaming_queries, source_queries, temporal_queries, window_queries  # noqa: E402,F401  (they register themselves)
 
 
 def _plain(query):

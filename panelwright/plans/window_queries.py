@@ -70,7 +70,7 @@ def e14(df):
 def e17(df):
     from ..operators.panel import average_rank
 
-    x = df.filter("close is not null").withColumn("__has", F.lit(True))
+    x = df.filter("close is not null")
     n = F.count("*").over(by_session())
     return x.select("inst", "session", r(F.when(n <= 1, 0.5).otherwise((average_rank("close") - 1) / (n - 1))).alias("mid"))
 

@@ -13,7 +13,7 @@ from panelwright.sources import tables as T
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_matches_its_sql(spark, duck, same, name):
     assert same(registry.QUERIES[name](spark, SF).toPandas(), duck.sql(registry.ORACLES[name]).df())
 
