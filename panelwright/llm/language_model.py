@@ -23,13 +23,13 @@ TABLE, FREQUENT, CLUSTERS = 1 << 18, 256, 16
 #: Language slots (a hash of `lang`) and frequency bins of the classes of the other table words.
 LANGS, BINS = 16, 4
 HIDDEN, WINDOW = 24, 24
-#: Training: rounds of weight averaging (each document is learnt from in one of them), and documents that a task reads at once.
+#: Training: rounds of weight averaging (each document is learnt from in one of them), documents that are read at once,
+#: tokens that one of the averaged nets learns from, about, and such nets at most.
 ROUNDS, LANES = 2, 256
+NET_TOKENS, MAX_NETS = 2_000_000, 4096
 #: Bytes of text scored together.
 SCORE_BYTES = 6_000_000
-N_CLASSES = CLUSTERS + LANGS * BINS + 2
-RARE, END = N_CLASSES - 2, N_CLASSES - 1
-N_INPUTS = FREQUENT + N_CLASSES
+ALL_CLASSES = CLUSTERS + LANGS * BINS + 2
 
 
 class Table:
@@ -42,22 +42,30 @@ class Table:
         cls, place, input_id = np.zeros(n, np.int16), np.full(n, -1, np.int16), np.zeros(n, np.int16)
         bins = np.minimum(np.arange(n) * 4 // max(n, 1) if n < 64 else (np.log2(1 + np.arange(n) / FREQUENT) / np.log2(1 + n / FREQUENT) * BINS).astype(int), BINS - 1)
         cls[rank] = CLUSTERS + langs[rank] * BINS + bins
-        input_id[:] = FREQUENT + cls
+        # only classes that occur have a number, and with it an output and an input
         top = rank[:FREQUENT]
         top = top[np.lexsort((-counts[top], langs[top]))]  # clusters of like language
         size = -(-max(len(top), 1) // CLUSTERS)
-        cls[top], place[top], input_id[top] = np.arange(len(top)) // size, np.arange(len(top)) % size, np.arange(len(top))
+        cls[top], place[top] = np.arange(len(top)) // size, np.arange(len(top)) % size
+        live = np.zeros(ALL_CLASSES, bool)
+        live[np.arange(CLUSTERS)] = True
+        live[cls] = True
+        live[-2:] = True
+        self.classes = int(live.sum())
+        self.rare, self.end = self.classes - 2, self.classes - 1
+        cls = (np.cumsum(live) - 1)[cls].astype(np.int16)
+        input_id[:] = FREQUENT + cls
+        input_id[top] = np.arange(len(top))
         self.cluster_sizes = np.bincount(cls[top], minlength=CLUSTERS) if len(top) else np.zeros(CLUSTERS, int)
         self.width = size
-        sums = np.bincount(cls, weights=counts, minlength=N_CLASSES)
+        sums = np.bincount(cls, weights=counts, minlength=self.classes)
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order].astype(np.float64)
         share = np.where(place >= 0, 0.0, np.log(np.maximum(counts, 1) / np.maximum(sums[cls], 1)))
         self.cls, self.place, self.input_id, self.share = cls[order], place[order], input_id[order], share[order].astype(np.float32)
-        #: classes that can occur: no probability goes to the others
-        self.live = np.zeros(N_CLASSES, bool)
-        self.live[cls] = True
-        self.live[[RARE, END]] = True
+        #: clusters without a word can not occur: no probability goes to them
+        self.live = np.ones(self.classes, bool)
+        self.live[:CLUSTERS] = self.cluster_sizes > 0
 
     def look_up(self, h):
         """Index of each hash, and whether the table has it."""
@@ -88,27 +96,27 @@ def _groups(k):
 
 
 class Net:
-    SHAPES = {"x": (N_INPUTS, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "v": (HIDDEN, N_CLASSES), "b": (N_CLASSES,), "w": (CLUSTERS, FREQUENT // CLUSTERS + 1, HIDDEN), "wb": (CLUSTERS, FREQUENT // CLUSTERS + 1)}
+    @staticmethod
+    def shapes(table: Table) -> dict[str, tuple[int, ...]]:
+        c = table.classes
+        return {"x": (FREQUENT + c, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "v": (HIDDEN, c), "b": (c,), "w": (CLUSTERS, FREQUENT // CLUSTERS + 1, HIDDEN), "wb": (CLUSTERS, FREQUENT // CLUSTERS + 1)}
 
     def __init__(self, flat: np.ndarray, table: Table):
         self.p, i = {}, 0
-        for k, s in self.SHAPES.items():
+        for k, s in self.shapes(table).items():
             n = int(np.prod(s))
             self.p[k] = flat[i : i + n].reshape(s).astype(np.float32)
             i += n
         self.mask = np.where(table.live, 0, -1e9).astype(np.float32)
-        self.place_mask = np.where(np.arange(self.SHAPES["wb"][1]) < table.cluster_sizes[:, None], 0, -1e9).astype(np.float32)
+        self.place_mask = np.where(np.arange(self.p["wb"].shape[1]) < table.cluster_sizes[:, None], 0, -1e9).astype(np.float32)
 
     @classmethod
-    def size(cls) -> int:
-        return sum(int(np.prod(s)) for s in cls.SHAPES.values())
-
-    @classmethod
-    def start(cls) -> np.ndarray:
-        return (np.random.Generator(np.random.PCG64(4)).standard_normal(cls.size()) * 0.1).astype(np.float32)
+    def start(cls, table: Table) -> np.ndarray:
+        n = sum(int(np.prod(s)) for s in cls.shapes(table).values())
+        return (np.random.Generator(np.random.PCG64(4)).standard_normal(n) * 0.1).astype(np.float32)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in self.SHAPES])
+        return np.concatenate([v.ravel() for v in self.p.values()])
 
     def step(self, ids, h):
         a, g = self.p["x"][ids], h @ self.p["u"]
@@ -146,7 +154,7 @@ def _sequences(words, table: Table, docs):
     at, known = table.look_up(_word_keys(words))
     has = known & (len(table.hashes) > 0)
     pick = lambda a, other: np.where(has, a[at], other) if len(table.hashes) else np.full(len(at), other)
-    ids, cls, place, share = pick(table.input_id, FREQUENT + RARE), pick(table.cls, RARE), pick(table.place, -1), pick(table.share, 0.0)
+    ids, cls, place, share = pick(table.input_id, FREQUENT + table.rare), pick(table.cls, table.rare), pick(table.place, -1), pick(table.share, 0.0)
     return ids.astype(np.int64), cls.astype(np.int64), place.astype(np.int64), share, has, at
 
 
@@ -160,6 +168,7 @@ class Trainer:
         self.h = np.zeros((LANES, HIDDEN), np.float32)
         self.queue: deque = deque()
         self.lanes: list = [None] * LANES
+        self.waiting = 0  # tokens in the queue
 
     def read(self, words) -> None:
         ids, cls, place = _sequences(words, self.table, None)[:3]
@@ -167,14 +176,15 @@ class Trainer:
         at = np.arange(len(ids)) + words.doc  # each document has one more target than words: its end
         first = words.first + np.arange(n + 1)
         flow = np.empty((3, len(ids) + n), np.int32)  # input, class and place of each target
-        flow[1], flow[2], flow[0, first[:-1]] = END, -1, FREQUENT + END
+        flow[1], flow[2], flow[0, first[:-1]] = self.table.end, -1, FREQUENT + self.table.end
         flow[0, at + 1], flow[1, at], flow[2, at] = ids, cls, place
         self.queue.extend(flow[:, i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist()))
-        while self.queue:
+        self.waiting += flow.shape[1]
+        while self.waiting >= LANES * WINDOW:  # the window is full whatever comes next, so calls may cut the documents anywhere
             self.window()
 
     def finish(self) -> None:
-        while any(x is not None for x in self.lanes):
+        while self.queue or any(x is not None for x in self.lanes):
             self.window()
 
     def window(self) -> None:
@@ -185,6 +195,7 @@ class Trainer:
             while k < WINDOW and (lane is not None or self.queue):
                 if lane is None:
                     lane, fresh[i, k] = self.queue.popleft(), True
+                    self.waiting -= lane.shape[1]
                 m = min(WINDOW - k, lane.shape[1])
                 flow[i, :, k : k + m] = lane[:, :m]
                 lane, k = lane[:, m:] if m < lane.shape[1] else None, k + m
@@ -265,14 +276,14 @@ def score_documents(net: Net, words, table: Table):
     first, length = words.first[:-1][order], length[order]
     total = np.bincount(words.doc, weights=share, minlength=n_docs)[order] if len(ids) else np.zeros(n_docs)
     h = np.zeros((n_docs, HIDDEN), np.float32)
-    prev = np.full(n_docs, FREQUENT + END)
+    prev = np.full(n_docs, FREQUENT + table.end)
     t = 0
     steps = int(length[0]) if n_docs else 0
     while t < steps:
         n = int(np.searchsorted(-length, -t, "left"))  # documents longer than t
         w = min(WINDOW if n > 64 else 8 * WINDOW, steps - t)
         states = np.empty((w, n, HIDDEN), np.float32)
-        tg, pl = np.full((w, n), END), np.full((w, n), -1)
+        tg, pl = np.full((w, n), table.end), np.full((w, n), -1)
         live = np.zeros((w, n), bool)
         m = n
         for k in range(w):
@@ -294,37 +305,71 @@ def score_documents(net: Net, words, table: Table):
 
 
 def _train_rows(shared):
+    """Rows come sorted by net and text; each net is trained by itself, whatever task it is in."""
+
+    def weights(trainer):
+        v = trainer.net.flat()
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v.astype(float)), pa.array(np.full(len(v), trainer.tokens, np.int64))], names=["i", "v", "n"])
+
     def run(batches):
         table, flat = shared.value
-        trainer = Trainer(Net(flat, table), table)
+        now, trainer = None, None
         for batch in batches:
-            for _, offsets, data in runs(batch):
-                trainer.read(split(offsets, data, lower=True))
-        trainer.finish()
-        if trainer.tokens:
-            v = trainer.net.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v.astype(float)), pa.array(np.full(len(v), trainer.tokens, np.int64))], names=["i", "v", "n"])
+            net = batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(net[1:] != net[:-1]) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                if net[i] != now:
+                    if trainer:
+                        trainer.finish()
+                        yield weights(trainer)
+                    now, trainer = net[i], Trainer(Net(flat, table), table)
+                for _, offsets, data in runs(batch.slice(i, j - i)):
+                    trainer.read(split(offsets, data, lower=True))
+        if trainer:
+            trainer.finish()
+            yield weights(trainer)
 
     return run
 
 
+def commonest(counts: DataFrame, most: int) -> DataFrame:
+    """The rows with the largest counts c, as many whole steps of a fine scale as fit into `most`: a filter, not a sort."""
+    step = F.when(F.col("c") < 1024, F.col("c")).otherwise(1024 + F.floor(F.log2(F.col("c") / 1024) * 256)).cast("int")
+    scale = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()  # some 12,000 rows at most
+    total, least = 0, None
+    for r in scale:
+        total += r.n
+        if total > most:
+            break
+        least = r.step
+    return counts.filter(step >= least) if least is not None else counts.limit(0)
+
+
 def fit(docs: DataFrame) -> tuple[Table, np.ndarray, DataFrame]:
-    """The table of commonest words, the averaged weights and the written counts of all training words."""
+    """The table of commonest words, the averaged weights and the written counts of all training words.
+
+    Training documents are dealt to nets by the hash of their text, about NET_TOKENS to each, and every net reads its own
+    in the order of their hashes. So the weights depend on the documents and not on how they are partitioned.
+    """
     spark = docs.sparkSession
     lang = F.pmod(F.xxhash64(F.coalesce(F.col("lang").cast("string"), F.lit(""))), F.lit(LANGS)).cast("int")
     train = docs.filter(~held_out("doc_id", 7)).select(F.col("text").cast("string").alias("text"), lang.alias("lang"))
-    counts = train.mapInArrow(_count_rows, "h long, lang int, c long").groupBy("h").agg(F.sum("c").alias("c"), F.max(F.struct("c", "lang"))["lang"].alias("lang"))
+    counts = train.mapInArrow(_count_rows, "h long, lang int, c long").groupBy("h", "lang").agg(F.sum("c").alias("c")).groupBy("h").agg(F.sum("c").alias("c"), F.max(F.struct("c", "lang"))["lang"].alias("lang"))
     counts = materialize(counts, "counts")
     ends = train.count()
     sums = counts.agg(F.sum("c").alias("s"), F.count("*").alias("k")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(TABLE).toArrow()
+    top = commonest(counts, TABLE).toArrow().sort_by("h")
     col = lambda c: top.column(c).to_numpy()
     table = Table(col("h").view(np.uint64), col("c"), col("lang").astype(np.int64), (sums.s or 0) + ends, sums.k + (1 if ends else 0), ends)
-    flat = Net.start()
+    flat = Net.start(table)
+    nets = int(np.clip(-(-table.total // (NET_TOKENS * ROUNDS)), 1, MAX_NETS))
+    hashed = train.select("text", F.xxhash64("text").alias("h"))
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast((table, flat))
-        # each task learns from all its documents of this round; all tasks start from the same weights
-        part = train.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == r).select("text")
+        part = hashed.filter(F.pmod("h", F.lit(ROUNDS)) == r).withColumn("net", F.pmod(F.floor(F.col("h") / ROUNDS), F.lit(nets)).cast("int"))
+        part = part.repartition(nets, "net").sortWithinPartitions("net", "h").select("text", "net")
         mean = part.mapInArrow(_train_rows(shared), "i int, v double, n long").groupBy("i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v")).orderBy("i").toArrow()
         if mean.num_rows:
             flat = mean.column("v").to_numpy().astype(np.float32)
@@ -358,7 +403,7 @@ def score_corpus(docs: DataFrame) -> DataFrame:
 
     A null or empty text is the end alone. Rows whose crc32(doc_id) mod 7 is 2 are held out; a null id is not. Repeated
     rows stay. Counts cover all training words; those outside the broadcast table are joined by word, so the vocabulary
-    may grow without bound. The network is fitted on every training document to its end, by task, and the weights are averaged by tokens.
+    may grow without bound. The network is fitted on every training document to its end, by nets of some million tokens whose weights are averaged.
     """
     table, flat, counts = fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast((table, flat))

@@ -38,7 +38,7 @@ def cut(texts):
 
 
 def test_the_language_model_learns_from_all_words(spark):
-    texts = [f"{'a b ' * 300}{'c d e f ' * 150}t{i}" for i in range(480)]
+    texts = [f"{'a b ' * (300 + i % 50 * 8)}{'c d e f ' * 150}t{i}" for i in range(480)]  # out of step with each other
     table, flat, _ = language_model.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' lang").repartition(2))
     score, *_ = language_model.score_documents(language_model.Net(flat, table), cut(["c d e f " * 50, "a b " * 100]), table)
     assert all(score / 201 > -2)  # words after the 576th of each text are learnt like the first
@@ -46,7 +46,7 @@ def test_the_language_model_learns_from_all_words(spark):
     for some in (texts[:200], ["", "a"], ["a b " * 9000], texts[:3]):
         trainer.read(cut(some))
     trainer.finish()
-    assert trainer.tokens == 203 * 1202 + 1 + 2 + 18001
+    assert trainer.tokens == sum(len(t.split()) + 1 for t in texts[:200] + texts[:3]) + 1 + 2 + 18001
 
 
 def test_gradients_by_differences():
@@ -54,7 +54,7 @@ def test_gradients_by_differences():
     w = cut(texts)
     hashes, counts = np.unique(language_model._word_keys(w), return_counts=True)
     table = language_model.Table(hashes, counts, np.zeros(len(hashes), int), len(w.doc) + 4, 4, 4)
-    start = language_model.Net.start()
+    start = language_model.Net.start(table)
     trainer = language_model.Trainer(language_model.Net(start, table), table)
     trainer.read(w)
     trainer.finish()
@@ -103,3 +103,43 @@ def test_dotted_and_letter_secrets(key):
 
 def test_hosts_mail_and_words_are_no_secrets():
     assert not secrets.token_spans("www.some-long-hostname-xkqzvw.example.com first.lastname-of-one@xkqzvwpt.example.org internationalization-of-words invoice_1234567890123456 https://example.org/path/to/article", [])
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "NET_TOKENS", 40_000)  # several nets
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    a, b = ({r.doc_id: r.score for r in language_model.score_corpus(d.repartition(n)).collect()} for n in (2, 16))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-4, abs=1e-3) for k in a)
+
+
+def test_scores_by_a_plain_loop(spark):
+    texts = ["a b c a b", "b c", "", "c a a b c a c b", "d e f"] * 30
+    table, flat, _ = language_model.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' lang"))
+    net = language_model.Net(flat, table)
+    docs = ["a b c d", "", "b z b", "f " * 40]
+    got, *_ = language_model.score_documents(net, cut(docs), table)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    n, f = language_model.HIDDEN, language_model.FREQUENT
+    for doc, score in zip(docs, got):
+        h, prev, total = np.zeros(n), f + table.end, 0.0
+        w = cut([doc])
+        at, known = table.look_up(language_model._word_keys(w))
+        steps = [(table.cls[i], table.place[i], table.input_id[i], table.share[i]) if k else (table.rare, -1, f + table.rare, 0.0) for i, k in zip(at, known)]
+        for c, place, token, share in [*steps, (table.end, -1, None, 0.0)]:
+            x, g = p["x"][prev], h @ p["u"]
+            z, r = (1 / (1 + np.exp(-(x[k * n : k * n + n] + g[k * n : k * n + n]))) for k in (0, 1))
+            new = np.tanh(x[2 * n :] + r * g[2 * n :])
+            h = new + z * (h - new)
+            logits = np.where(table.live, h @ p["v"] + p["b"], -np.inf)
+            total += logits[c] - np.log(np.exp(logits).sum()) + share
+            if place >= 0:
+                inner = (p["w"][c] @ h + p["wb"][c])[: table.cluster_sizes[c]]
+                total += inner[place] - np.log(np.exp(inner).sum())
+            prev = token
+        assert score == pytest.approx(total, rel=1e-4, abs=1e-4)
+
+
+def test_the_commonest_words_are_whole_steps(spark):
+    d = spark.createDataFrame([(i, c, 0) for i, c in enumerate([1] * 50 + [2] * 20 + [7] * 5 + [5000] * 3)], "h long, c long, lang int")
+    assert sorted(r.c for r in language_model.commonest(d, 30).collect()) == [2] * 20 + [7] * 5 + [5000] * 3
+    assert language_model.commonest(d, 2).count() == 0 and language_model.commonest(d, 100).count() == 78
