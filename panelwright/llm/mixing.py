@@ -1,13 +1,13 @@
 """Raking of token weights to source, language and topic marginals, and calibrated sampling (DataFrame functions only)."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sharding import unit_draw
-from .store import materialize, read_table
+from .store import fresh, materialize, read_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Topics by the first pattern that a text has; the rest is "prose".
@@ -30,10 +30,12 @@ def _keyed(docs: DataFrame, text: str, rules) -> DataFrame:
     return docs.select("*", F.struct(label("source").alias("source"), label("lang").alias("lang"), topic_of(body, rules).alias("topic")).alias("__mix"))
 
 
-def rake(cells: DataFrame, dims: Sequence[str] = DIMS, temper: float = 0.8, rounds: int = 12) -> DataFrame:
+def rake(cells: DataFrame, dims: Sequence[str] = DIMS, temper: float = 0.8, rounds: int = 12, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
     """Iterative proportional fitting of `n_tokens` of a cell table.
 
-    The target of each value of a dimension is its token share to the power `temper`, normalised, times all tokens.
+    targets has the wished shares of a dimension's values ({"lang": {"en": 0.5, "de": 0.5}}); a value that it leaves out
+    gets none, and shares are taken over the values that have tokens. The target of each value of a dimension that is not
+    in targets is its token share to the power `temper`, normalised, times all tokens.
     Each step scales the cells of a value to its target; `rounds` passes over all dimensions. Adds weight_tokens and
     misfit (largest relative gap between a cell's marginals and their targets at the end). Cells without tokens keep 0.
     The work is on cells (distinct source x lang x topic), never on documents.
@@ -43,7 +45,13 @@ def rake(cells: DataFrame, dims: Sequence[str] = DIMS, temper: float = 0.8, roun
     for d in dims:
         by = Window.partitionBy(d)
         # the powered share of a value, spread over its cells so that a plain sum counts each value once
-        out = out.withColumn("__s", F.pow(F.try_divide(F.sum("w").over(by), F.col("__all")), F.lit(float(temper)))).withColumn("__k", F.count("*").over(by))
+        share = F.pow(F.try_divide(F.sum("w").over(by), F.col("__all")), F.lit(float(temper)))
+        if targets and d in targets:
+            wish = F.lit(0.0)
+            for value, part in targets[d].items():
+                wish = F.when(F.col(d) == value, float(part)).otherwise(wish)
+            share = F.when(F.sum("w").over(by) > 0, wish).otherwise(0.0)
+        out = out.withColumn("__s", share).withColumn("__k", F.count("*").over(by))
         out = out.withColumn(f"__t_{d}", F.try_divide(F.col("__s") * F.col("__all"), F.sum(F.col("__s") / F.col("__k")).over(everything)))
     for _ in range(rounds):
         for d in dims:
@@ -67,7 +75,7 @@ def budgeted(multiple: Column, budget: float) -> Column:
     return F.struct(goal.alias("goal"), full.alias("full"))
 
 
-def mixing_rates(docs: DataFrame, text: str = "text", temper: float = 0.8, rounds: int = 12, rules=TOPICS, budget: float | None = None) -> DataFrame:
+def mixing_rates(docs: DataFrame, text: str = "text", temper: float = 0.8, rounds: int = 12, rules=TOPICS, budget: float | None = None, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
     """Sampling probability of each cell, from its raked weight per token.
 
     With a budget (a share of all tokens) it is min(1, c * weight), c solved so that the sample is expected to hold that
@@ -76,11 +84,11 @@ def mixing_rates(docs: DataFrame, text: str = "text", temper: float = 0.8, round
     but the rarest cell sets the size of the sample.
     """
     cells = (
-        _keyed(docs, text, rules)
+        _keyed(docs.select("source", "lang", text), text, rules)
         .groupBy("__mix").agg(F.count("*").alias("n_docs"), F.sum(F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")).alias("n_tokens"))
         .select("__mix.source", "__mix.lang", "__mix.topic", "n_docs", "n_tokens")
     )
-    raked = rake(materialize(cells, "cells"), temper=temper, rounds=rounds)
+    raked = rake(materialize(cells, "cells"), temper=temper, rounds=rounds, targets=targets)
     multiple = F.coalesce(F.try_divide(F.col("weight_tokens"), F.col("n_tokens")), F.lit(1.0))
     everything = Window.partitionBy(F.lit(0))
     if budget is None:
@@ -89,7 +97,7 @@ def mixing_rates(docs: DataFrame, text: str = "text", temper: float = 0.8, round
         raked = raked.withColumn("__b", budgeted(multiple, budget))
         left = F.col("__b.goal") - F.sum(F.when(F.col("__b.full"), F.col("n_tokens")).otherwise(0)).over(everything)
         c = F.try_divide(left, F.sum(F.when(F.col("__b.full"), 0.0).otherwise(F.col("weight_tokens"))).over(everything))
-        rate = F.when(F.col("__b.full"), 1.0).otherwise(F.coalesce(multiple * c, F.lit(1.0)))
+        rate = F.when(F.col("__b.full"), 1.0).when(multiple == 0, 0.0).otherwise(F.coalesce(multiple * c, F.lit(1.0)))
     return materialize(raked.select("source", "lang", "topic", multiple.alias("weight"), F.least(F.lit(1.0), rate).alias("probability"), "misfit"), "rates")
 
 
@@ -99,13 +107,19 @@ def with_rates(docs: DataFrame, rates: DataFrame, text: str = "text", seed: int
     return _keyed(docs, text, rules).join(flat, "__mix").withColumn("__draw", unit_draw(F.lit(seed), F.col("doc_id")))
 
 
-def sample_mix(docs: DataFrame, text: str = "text", temper: float = 0.8, rounds: int = 12, seed: int = 8, budget: float = BUDGET) -> DataFrame:
+def sample_mix(docs: DataFrame, text: str = "text", temper: float = 0.8, rounds: int = 12, seed: int = 8, budget: float = BUDGET, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
     """The rows drawn, with the columns of docs alone: a `budget` share of all tokens in expectation. A row's draw depends on seed and doc_id; equal rows fare alike.
 
-    Null source or lang is the value '?'; a null text is empty; an empty table gives an empty table.
+    Null source or lang is the value '?'; a null text is empty; an empty table gives an empty table. Columns of any name
+    are kept as they are.
     """
-    rates = mixing_rates(docs, text, temper, rounds, budget=budget)
-    return with_rates(docs, rates, text, seed).filter(F.col("__draw") < F.col("__probability")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rates = mixing_rates(docs, text, temper, rounds, budget=budget, targets=targets)
+    cell, rate = fresh("cell", docs.columns), fresh("rate", docs.columns)
+    label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
+    topic = topic_of(F.coalesce(F.col(text), F.lit("")))
+    keyed = docs.withColumn(cell, F.struct(label("source").alias("source"), label("lang").alias("lang"), topic.alias("topic")))
+    flat = rates.select(F.struct("source", "lang", "topic").alias(cell), F.col("probability").alias(rate))
+    return keyed.join(flat, cell).filter(unit_draw(F.lit(seed), F.col("doc_id")) < F.col(rate)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _drawn(docs: DataFrame, rates: DataFrame) -> DataFrame:

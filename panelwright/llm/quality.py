@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize, read_table
+from .store import fresh, materialize, read_table
 from .words import mix, runs, signed, split, window_hashes
 
 MIN_WORDS = 10
@@ -145,10 +145,10 @@ def verdicts(prof: DataFrame, frequent: DataFrame, min_words: int = MIN_WORDS, l
 
 
 def _strip(batches):
-    """Texts without the lines whose hash the row's list names."""
+    """Texts without the lines whose hash the list in the row's last column names; the other columns as they come."""
     for batch in batches:
-        names = batch.schema.names
-        bad, texts = batch.column(names.index("__bad")).to_pylist(), batch.column(names.index("text")).to_pylist()
+        names = batch.schema.names[:-1]
+        bad, texts = batch.column(len(names)).to_pylist(), batch.column(names.index("text")).to_pylist()
         for i, (b, t) in enumerate(zip(bad, texts)):
             if b and t:
                 drop, kept = set(b), []
@@ -159,7 +159,7 @@ def _strip(batches):
                     if not (h and h[0] in drop):
                         kept.append(p)
                 texts[i] = "\n".join(kept)
-        yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if n == "text" else batch.column(k) for k, n in enumerate(names) if n != "__bad")], names=[n for n in names if n != "__bad"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if n == "text" else batch.column(k) for k, n in enumerate(names))], names=names)
 
 
 def quality_verdicts(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
@@ -178,15 +178,17 @@ def clean_documents(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: flo
     Rows are matched to verdicts by host and exact text, so null or repeated doc_ids do no harm.
     """
     cols = docs.columns
-    tagged = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
-    narrow = tagged.select(F.col("__h").alias("doc_id"), F.col("source"), F.col("text"))
+    key, bad, gone = (fresh(c, cols) for c in ("key", "bad_lines", "gone"))
+    tagged = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+    narrow = tagged.select(F.col(key).alias("doc_id"), F.col("source"), F.col("text"))
     prof = profiles(narrow)
     frequent = frequent_lines(prof, line_docs, line_share)
     v = verdicts(prof, frequent)
-    out = tagged.join(materialize(v.filter(~F.col("kept")).select(F.col("doc_id").alias("__h")).distinct(), "rejected"), "__h", "left_anti")
-    marked = prof.select("doc_id", "host", F.explode("line_hashes").alias("line_hash")).join(frequent, ["host", "line_hash"]).groupBy("doc_id").agg(F.collect_set("line_hash").alias("__bad"))
-    marked = materialize(marked.join(v.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "__h"), "marked")
-    out = out.join(marked, "__h", "left").drop("__h")
+    rejected = materialize(v.filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct(), "rejected")
+    out = tagged.join(rejected, F.col(key) == F.col(gone), "left_anti")
+    marked = prof.select("doc_id", "host", F.explode("line_hashes").alias("line_hash")).join(frequent, ["host", "line_hash"]).groupBy("doc_id").agg(F.collect_set("line_hash").alias(bad))
+    marked = materialize(marked.join(v.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias(gone), bad), "marked")
+    out = out.join(marked, F.col(key) == F.col(gone), "left").select(*(F.col(f"`{c}`") for c in cols), bad)
     out = out.mapInArrow(_strip, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in cols else out
 

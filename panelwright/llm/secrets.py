@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .store import read_table
 
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+#: Letters in either case are A-Z and a-z alone (re.ASCII): no Kelvin sign or long s.
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "token")
@@ -95,7 +96,9 @@ def _scan(vocabulary: str):
 
 
 def find_secrets(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Counts, base digest and spans (kind:start:end in code points) of every row; null counts as empty, repeated rows stay."""
+    """Counts, base digest and spans (kind:start:end in code points) of every row; null counts as empty, repeated rows stay.
+
+    Only doc_id and text are read, so other columns may have any names; a text of any length is scanned whole."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(_scan(vocabulary), "doc_id long, n_assign long, n_access long, n_hex long, n_token long, base_sha256 string, spans string")
 

@@ -22,36 +22,56 @@ THREAT = frozenset("kill hurt destroy burn shoot stab beat punch strangle töten
 TARGET = frozenset("you your yourself he she they him her them this that du dich dein ihr euch sie tu toi ton vous ils elle tú usted ustedes ellos ella".split())
 NEGATION = frozenset("not no never isn't aren't don't nicht kein keine nie pas jamais non nunca ningún".split())
 REPORT = frozenset("said says wrote called quoted reported claims sagte schrieb nannte dit écrit appelle dijo escribió llamó".split())
-CLAUSE = re.compile(r"[.!?;:\n]+")
+#: A colon or a quotation mark ends no clause: what is said belongs to who says it.
+CLAUSE = re.compile(r"[.!?;\n]+(?=[\s\"'”»)]*(?:\s|$))|\n")
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 #: Kinds of matched clause, by the composed transducer's output.
 KINDS = ("insult", "targeted", "threat", "negated", "reported")
 
-# Each transducer maps (state, input class) to a state; anything else keeps the state. They run in parallel on one
-# clause (their product), and the final states name the clause.
+# Weighted transducers over the classes of a clause's words. An arc maps (state, class) to (state, output class, weight);
+# "*" stands for every other class, which is put out as it is. A weight of None is that of the word in the lexicon. The
+# negation transducer comes first and rewrites what stands within three words after a negation; the others read its output
+# side by side (their product), and their final states name the clause.
+THREAT_WEIGHT = 1.0
+_HITS = (("INSULT", None), ("THREAT", 0.0))
+NEGATE = {
+    **{(k, "NEGATION"): (1, "NEGATION", 0.0) for k in range(4)},
+    **{(k, c): ((k + 1) % 4, f"NOT_{c}", w) for k in (1, 2, 3) for c, w in _HITS},
+    **{(k, "*"): ((k + 1) % 4, None, 0.0) for k in (1, 2, 3)},
+    (0, "INSULT"): (0, "INSULT", None),
+}
 MACHINES = {
-    "insult": {(0, "INSULT"): 1},
-    "threat": {(0, "THREAT"): 1, (1, "TARGET"): 2},
-    "target": {(0, "TARGET"): 1, (1, "INSULT"): 3, (0, "INSULT"): 2, (2, "TARGET"): 3},
-    "negation": {(0, "NEGATION"): 1, (1, "OTHER"): 2, (2, "OTHER"): 3, (3, "OTHER"): 0, (1, "INSULT"): 4, (2, "INSULT"): 4, (3, "INSULT"): 4, (1, "THREAT"): 4},
-    "report": {(0, "REPORT"): 1, (1, "INSULT"): 2, (1, "THREAT"): 2},
+    "insult": {(0, "INSULT"): (1, None, 0.0)},
+    "denied": {(0, "NOT_INSULT"): (1, None, 0.0), (0, "NOT_THREAT"): (1, None, 0.0)},
+    "threat": {(0, "THREAT"): (1, None, 0.0), (1, "TARGET"): (2, None, THREAT_WEIGHT)},
+    "target": {(0, "TARGET"): (1, None, 0.0), (0, "INSULT"): (2, None, 0.0), (1, "INSULT"): (3, None, 0.0), (2, "TARGET"): (3, None, 0.0)},
+    "report": {(0, "REPORT"): (1, None, 0.0)},
 }
 
 
-def clause_kind(classes: list[str]) -> str | None:
-    state = dict.fromkeys(MACHINES, 0)
-    for c in classes:
+def clause_path(classes: list[str], weights: list[float] | None = None) -> tuple[str | None, float]:
+    """Kind of a clause, and the weight of its path through the composed transducers."""
+    state, negation, total = dict.fromkeys(MACHINES, 0), 0, 0.0
+    for k, c in enumerate(classes):
+        own = weights[k] if weights else 1.0
+        negation, out, w = NEGATE.get((negation, c)) or NEGATE.get((negation, "*")) or (negation, None, 0.0)
+        total += own if w is None else w
         for name, arcs in MACHINES.items():
-            state[name] = arcs.get((state[name], c), state[name])
+            to = arcs.get((state[name], out or c))
+            if to:
+                state[name] = to[0]
+                total += to[2]
     if not state["insult"] and state["threat"] < 2:
-        return None
-    if state["report"] == 2:
-        return "reported"
-    if state["negation"] == 4:
-        return "negated"
+        return ("negated" if state["denied"] else None), total
+    if state["report"]:
+        return "reported", total
     if state["threat"] == 2:
-        return "threat"
-    return "targeted" if state["target"] == 3 else "insult"
+        return "threat", total
+    return ("targeted" if state["target"] == 3 else "insult"), total
+
+
+def clause_kind(classes: list[str]) -> str | None:
+    return clause_path(classes)[0]
 
 
 class Grammar:
@@ -82,7 +102,7 @@ class Grammar:
         return max(self.whole.get(word, 0.0), *(self.begins.get(word[:n], 0.0) for n in self.lengths if len(word) >= n), 0.0) if self.lengths else self.whole.get(word, 0.0)
 
     def features(self, text: str | None) -> np.ndarray:
-        """Per kind: number of matched clauses, damped; then the heaviest clause's weight and the density of matches."""
+        """Per kind: weight of the paths of its clauses, damped; then the heaviest clause's weight and the share of matched clauses."""
         out = np.zeros(len(KINDS) + 2)
         if not text or not self._stems:
             return out
@@ -90,7 +110,7 @@ class Grammar:
         hits = [e - n + 1 for e, n in self.automaton().iter(low) if e == n - 1 or not low[e - n].isalpha()]
         if not hits:
             return out
-        n_clauses, at, k = 0, 0, 0
+        n_clauses, matched, at, k = 0, 0, 0, 0
         bounds = [m.span() for m in CLAUSE.finditer(low)] + [(len(low), len(low))]
         for a, b in bounds:
             n_clauses += 1
@@ -98,16 +118,16 @@ class Grammar:
                 words = TOKEN.findall(low[at:a])
                 weights = [self.weight(w) for w in words]
                 classes = ["INSULT" if x else "THREAT" if w in THREAT else "NEGATION" if w in NEGATION else "REPORT" if w in REPORT else "TARGET" if w in TARGET else "OTHER" for w, x in zip(words, weights)]
-                kind = clause_kind(classes)
+                kind, weight = clause_path(classes, weights)
                 if kind:
-                    out[KINDS.index(kind)] += 1
-                    out[-2] = max(out[-2], sum(weights))
+                    matched += 1
+                    out[KINDS.index(kind)] += weight
+                    out[-2] = max(out[-2], weight)
             while k < len(hits) and hits[k] < b:
                 k += 1
             at = b
-        matched = out[: len(KINDS)].sum()
         out[-1] = matched / max(n_clauses, 1)
-        out[: len(KINDS)] = np.log1p(out[: len(KINDS)])
+        out[: len(KINDS)] = np.log1p(np.maximum(out[: len(KINDS)], 0))
         out[-2] = np.log1p(max(out[-2], 0))
         return out
 
@@ -155,11 +175,15 @@ def _feature_rows(grammar):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Grammar, np.ndarray]:
-    """Lexicon and clause weights from labelled rows that are not held out: SAMPLE rows at most, the lexicon counted by Spark."""
+    """Lexicon and clause weights from labelled rows that are not held out: SAMPLE rows at most, the lexicon counted by Spark.
+
+    A document or text with labels that differ counts as toxic. Null labels and ids do not count; without rows of both
+    kinds the lexicon is empty and every text has the score of the prior.
+    """
     spark = docs.sparkSession
-    train = labels.filter("doc_id is not null and toxic is not null").filter(~held_out("doc_id")).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    train = labels.filter("doc_id is not null and toxic is not null").filter(~held_out("doc_id")).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     train = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = materialize(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(train), "doc_id").select("text", "toxic").dropDuplicates(["text"]), "labelled")
+    rows = materialize(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(train), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")
     total = rows.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
     p, n = total.p or 0, total.n - (total.p or 0)
     if not p or not n:

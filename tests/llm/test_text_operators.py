@@ -14,12 +14,12 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(x): chr(x + 32) for x in range(65, 91)})
 LONG = " ".join(f"w{i}" for i in range(400))
 TEXTS = [LONG, LONG, LONG.replace("w7 ", "x7 "), "Short one", "Short one", "", None, "  \n ", "a b c d e", LONG + " tail " + LONG, "word " * 3000, "ünï cödé\ttexte\nline two\nline two"]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, slot int, score double, name string, h string, key string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, slot int, score double, name string, h string, key string, __mix string, __bad string, __h string, label string"
 
 
 def docs(spark, texts=TEXTS):
-    rows = [(i, t, "en" if i % 2 else None, "s0" if i % 3 else None, len(t or ""), 1, 0.5, "n", "h", "k") for i, t in enumerate(texts)]
-    return spark.createDataFrame([*rows, (None, "null id text", "en", "s", 12, 1, 0.5, "n", "h", "k"), *rows[3:4]], SCHEMA)
+    rows = [(i, t, "en" if i % 2 else None, "s0" if i % 3 else None, len(t or ""), 1, 0.5, "n", "h", "k", *"mbhl") for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, (None, "null id text", "en", "s", 12, 1, 0.5, "n", "h", "k", *"mbhl"), *rows[3:4]], SCHEMA)
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracles()))
@@ -100,7 +100,7 @@ def test_language_model_counts_and_proper_probability(spark):
     net = language_model.Net(flat, table)
     h = np.random.default_rng(0).standard_normal((1, language_model.HIDDEN)).astype(np.float32)
     one = lambda c, p: math.exp(net.outputs(h, np.array([c]), np.array([p]))[0][0])
-    total = sum(one(c, p) * math.exp(s) for c, p, s in zip(table.cls, table.place, table.share)) + one(language_model.RARE, -1) + one(language_model.END, -1)
+    total = sum(one(c, p) * math.exp(s) for c, p, s in zip(table.cls, table.place, table.share)) + one(table.rare, -1) + one(table.end, -1)
     assert total == pytest.approx(1, abs=1e-4)
 
 
@@ -154,11 +154,138 @@ def test_shards_move_few_rows(spark):
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(8))
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline as C
+def kind_by_definition(classes):
+    """The same clause kinds from their definition: positions instead of states."""
+    denied = [any(c == "NEGATION" for c in classes[max(0, i - 3) : i]) for i in range(len(classes))]
+    live = [i for i, c in enumerate(classes) if c == "INSULT" and not denied[i]]
+    threat = any(c == "THREAT" and not denied[i] and "TARGET" in classes[i + 1 :] for i, c in enumerate(classes))
+    if not live and not threat:
+        return "negated" if any(c in ("INSULT", "THREAT") and denied[i] for i, c in enumerate(classes)) else None
+    return "reported" if "REPORT" in classes else "threat" if threat else "targeted" if "TARGET" in classes else "insult"
 
+
+def test_transducers_against_the_definition():
+    from itertools import product
+
+    kinds = ("INSULT", "THREAT", "TARGET", "NEGATION", "REPORT", "OTHER")
+    for n in range(6):
+        for classes in product(kinds, repeat=n):
+            assert toxicity.clause_kind(list(classes)) == kind_by_definition(classes), classes
+
+
+@pytest.mark.parametrize("text, kind", [
+    ("He said: you idiot", "reported"), ('He said "you idiot"', "reported"), ("You idiot, he said", "reported"), ("not an idiot you moron", "targeted"),
+    ("he is not an idiot", "negated"), ("what an idiot", "insult"), ("I will kill you", "threat"), ("no way. You idiot", "targeted"), ("a fine day", None),
+])
+def test_clauses_of_texts(text, kind):
+    x = toxicity.Grammar({"=idiot": 3.0, "=moron": 2.0}).features(text)
+    assert [toxicity.KINDS[i] for i in x[: len(toxicity.KINDS)].nonzero()[0]] == ([kind] if kind else [])
+
+
+def test_toxicity_without_labels_and_with_labels_that_differ(spark):
     d = docs(spark)
-    for k, (name, stage) in enumerate(C.STAGES):
-        d = stage(spark, d, SF)
-        assert k == len(C.STAGES) - 1 or set(d.columns) >= {"doc_id", "text", "lang", "source", "n_chars"}
-    assert d.count() >= 0
+    none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    assert {round(r.score, 6) for r in toxicity.score_toxicity(d, *toxicity.fit(d, none)).collect()} == {0.5}
+    both = spark.createDataFrame([(i, k) for i in range(40) for k in (0, 1)], "doc_id long, toxic int")
+    x = spark.createDataFrame([(i, f"word{i} idiot") for i in range(40)], "doc_id long, text string")
+    g, w = toxicity.fit(x, both)
+    assert not g.whole and all(r.score > 0.5 for r in toxicity.score_toxicity(x, g, w).collect())
+
+
+def naive_base_spans(text):
+    """Base spans without regular expressions: every place is tried from left to right."""
+    import string
+
+    letters, out = string.ascii_letters + string.digits, []
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+    def run(i, allowed):
+        j = i
+        while j < len(text) and text[j] in allowed:
+            j += 1
+        return j
+
+    def assign(i):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name, i):
+                j = i + len(name)
+                j += text[j : j + 1] in ('"', "'") and j < len(text)
+                j = run(j, " ")
+                if text[j : j + 1] not in (":", "="):
+                    continue
+                j = run(j + 1, " ")
+                j += text[j : j + 1] in ('"', "'") and j < len(text)
+                end = run(j, letters + "+/_.=-")
+                if end > j:
+                    return end, end - j >= 12
+        return None
+
+    def access(i):
+        end = run(i + 4, string.ascii_uppercase + string.digits)
+        return (end, end - i >= 18) if text.startswith("AKIA", i) and end > i + 4 else None
+
+    def hexa(i):
+        end = run(i, "0123456789abcdef")
+        return (end, end - i >= 16) if end > i else None
+
+    for kind, at in (("assign", assign), ("access", access), ("hex", hexa)):
+        i = 0
+        while i < len(text):
+            m = at(i)
+            if m:
+                if m[1]:
+                    out.append((i, m[0], kind))
+                i = m[0]
+            else:
+                i += 1
+    return sorted(out, key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+
+
+def test_base_spans_against_a_naive_scan():
+    import random
+
+    rng = random.Random(1)
+    bits = ["password", "PassWd", "secret", "tokentoken", "api_key", "APIKEY", "toKen", "paſſword", "=", ":", " ", '"', "'", "AKIA", "AKIAAKIA0123456789", "abcdef0123456789", "deadbeefdeadbeef", "Xy9.-_+/", "é", "\n", "ABCDEFGHIJKLMNOP", "a1b2c3d4e5f6"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert secrets.base_spans(text) == naive_base_spans(text), text
+
+
+def test_recall_of_planted_secrets_and_clean_words():
+    import random
+    import string
+
+    rng = random.Random(2)
+    kinds = {"mixed": string.ascii_letters + string.digits, "letters": string.ascii_letters, "base64": string.ascii_letters + string.digits + "+/"}
+    for name, alphabet in kinds.items():
+        hit = sum(bool(secrets.token_spans(f"use {''.join(rng.choice(alphabet) for _ in range(rng.randint(20, 48)))} here", [])) for _ in range(300))
+        assert hit >= 270, name
+    prose = "The administrators of the neighbourhood responsibilities committee acknowledged counterproductive misunderstandings about internationalization and telecommunications infrastructure".split()
+    assert not any(secrets.token_spans(f"x {w} y", []) for w in prose)
+
+
+def test_lines_above_the_limits_go(spark):
+    rng_text = lambda i: " ".join(f"u{i}w{k}" for k in range(14))
+    rows = [(i, f"{rng_text(i)}\nSUBSCRIBE to our  letter today", "s0") for i in range(60)]
+    rows += [(100 + i, "Subscribe to our letter today\n" + f"v{i} " * 3, "s0") for i in range(5)]  # bare without the line
+    rows += [(200, rows[0][1], "s0"), (201, f"{rng_text(201)}\nSubscribe to our letter today", "s1")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality.quality_verdicts(d).collect()}
+    assert all(got[i].kept and got[i].n_line_words == 5 for i in range(60)) and got[200].n_line_words == 5 and got[201].n_line_words == 0
+    assert all(not got[100 + i].kept for i in range(5))
+    clean = {r.doc_id: r.text for r in quality.clean_documents(d).collect()}
+    assert clean[3] == rng_text(3) and "letter" in clean[201] and 100 not in clean
+
+
+def test_raking_to_given_targets(spark):
+    rows = [(i, "w " * (5 + i % 7), f"s{i % 3}", "en" if i % 4 else "de") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    want = {"source": {"s0": 0.5, "s1": 0.3, "s2": 0.2}, "lang": {"en": 0.6, "de": 0.4}}
+    cells = d.selectExpr("source", "lang", "'prose' topic", "size(split(trim(text), ' ')) n").groupBy("source", "lang", "topic").agg(mixing.F.count("*").alias("n_docs"), mixing.F.sum("n").alias("n_tokens"))
+    raked = mixing.rake(cells, targets=want, rounds=30).collect()
+    total = sum(r.weight_tokens for r in raked)
+    for dim, shares in want.items():
+        for value, share in shares.items():
+            assert sum(r.weight_tokens for r in raked if r[dim] == value) / total == pytest.approx(share, rel=1e-6)
+    only = mixing.sample_mix(d, budget=0.3, targets={"lang": {"de": 1.0}}).collect()
+    assert only and {r.lang for r in only} == {"de"}
