@@ -25,10 +25,10 @@ LANGS, BINS = 16, 4
 HIDDEN, WINDOW = 24, 24
 #: Training: rounds of weight averaging (each document is learnt from in one of them), documents that are read at once,
 #: tokens that one of the averaged nets learns from, about, and such nets at most.
-ROUNDS, LANES = 2, 256
+ROUNDS, LANES = 2, 512
 NET_TOKENS, MAX_NETS = 2_000_000, 4096
 #: Bytes of text scored together.
-SCORE_BYTES = 6_000_000
+SCORE_BYTES = 8_000_000
 ALL_CLASSES = CLUSTERS + LANGS * BINS + 2
 
 
@@ -120,19 +120,26 @@ class Net:
 
     def step(self, ids, h):
         a, g = self.p["x"][ids], h @ self.p["u"]
-        zr = 1 / (1 + np.exp(-(a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])))
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(a[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
-        return n + z * (h - n), z, r, n, g[:, 2 * HIDDEN :]
-
-    def outputs(self, h, cls, place):
-        """Log-probability of each class and place given the states, with the pieces that the gradient needs."""
-        logits = h @ self.p["v"] + (self.p["b"] + self.mask)
+        zr = a[:, : 2 * HIDDEN]
+        zr += g[:, : 2 * HIDDEN]
+        np.reciprocal(np.add(np.exp(np.negative(zr, out=zr), out=zr), 1, out=zr), out=zr)
+        n = zr[:, HIDDEN:] * g[:, 2 * HIDDEN :]
+        n += a[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= zr[:, :HIDDEN]
+        new += n
+        return new
+
+    def outputs(self, h, cls, place, gradient: bool = True):
+        """Log-probability of each class and place given the states, with the pieces that the gradient needs if it is asked for."""
+        logits = h @ self.p["v"]
+        logits += self.p["b"] + self.mask
         logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
+        out = logits[np.arange(len(h)), cls]
+        e = np.exp(logits, out=logits)
         s = e.sum(axis=1)
-        rows = np.arange(len(h))
-        out = logits[rows, cls] - np.log(s)
+        out -= np.log(s)
         f = np.flatnonzero(place >= 0)
         inner = None
         if len(f):
@@ -142,11 +149,12 @@ class Net:
             for c, i, j in _groups(k):
                 li[i:j] += h[f[i:j]] @ self.p["w"][c].T
             li -= li.max(axis=1, keepdims=True)
-            ei = np.exp(li)
+            own = li[np.arange(len(f)), place[f]]
+            ei = np.exp(li, out=li)
             si = ei.sum(axis=1)
-            out[f] += li[np.arange(len(f)), place[f]] - np.log(si)
-            inner = (f, k, ei / si[:, None])
-        return out, e / s[:, None], inner
+            out[f] += own - np.log(si)
+            inner = (f, k, np.divide(ei, si[:, None], out=ei)) if gradient else None
+        return out, (np.divide(e, s[:, None], out=e) if gradient else None), inner
 
 
 def _sequences(words, table: Table, docs):
@@ -211,17 +219,25 @@ class Trainer:
         net, p, b = self.net, self.net.p, flow.shape[2]
         prev, cls, place = (np.ascontiguousarray(x).ravel().astype(np.int64) for x in flow)
         a, tape = p["x"][prev].reshape(WINDOW, b, -1), []
+        states, starts = np.empty((WINDOW, b, HIDDEN), np.float32), fresh.any(axis=1)
         for t in range(WINDOW):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
+            if starts[t]:
+                h = np.where(fresh[t][:, None], np.float32(0), h)
             g = h @ p["u"]
-            zr = 1 / (1 + np.exp(-(a[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])))
+            zr = a[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
+            np.reciprocal(np.add(np.exp(np.negative(zr, out=zr), out=zr), 1, out=zr), out=zr)
             z, r, g = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN :]
-            n = np.tanh(a[t, :, 2 * HIDDEN :] + r * g)
-            new = n + z * (h - n)
-            tape.append((h, z, r, n, g, new))
+            n = r * g
+            n += a[t, :, 2 * HIDDEN :]
+            np.tanh(n, out=n)
+            new = np.subtract(h, n, out=states[t])
+            new *= z
+            new += n
+            tape.append((h, z, r, n, g))
             h = new
         on = np.flatnonzero(live.ravel())
-        hs = np.concatenate([x[5] for x in tape])[on]
+        hs = states.reshape(WINDOW * b, HIDDEN)
+        hs = hs if len(on) == len(hs) else hs[on]
         tg, pl = cls[on], place[on]
         _, d, inner = net.outputs(hs, tg, pl)
         grads = {k: np.zeros_like(v) for k, v in p.items()}
@@ -242,20 +258,23 @@ class Trainer:
         dx, du = (np.empty((WINDOW, b, 3 * HIDDEN), np.float32) for _ in range(2))
         dh, back = np.zeros((b, HIDDEN), np.float32), p["u"].T.copy()
         for t in range(WINDOW - 1, -1, -1):
-            hp, z, r, n, g, _ = tape[t]
+            hp, z, r, n, g = tape[t]
             dh = dh + dh_out[t]
-            dan = dh * (1 - z) * (1 - n * n)
-            du[t, :, :HIDDEN] = dh * (hp - n) * z * (1 - z)
-            du[t, :, HIDDEN : 2 * HIDDEN] = dan * g * r * (1 - r)
-            du[t, :, 2 * HIDDEN :] = dan * r
-            dx[t, :, 2 * HIDDEN :] = dan
-            dh = dh * z + du[t] @ back
-            dh[fresh[t]] = 0
+            part = dh * (1 - z)
+            dan = np.multiply(part, 1 - n * n, out=dx[t, :, 2 * HIDDEN :])
+            part *= z
+            np.multiply(part, hp - n, out=du[t, :, :HIDDEN])
+            back_r = np.multiply(dan, r, out=du[t, :, 2 * HIDDEN :])
+            np.multiply(back_r * (1 - r), g, out=du[t, :, HIDDEN : 2 * HIDDEN])
+            dh *= z
+            dh += du[t] @ back
+            if starts[t]:
+                dh[fresh[t]] = 0
         dx[:, :, : 2 * HIDDEN] = du[:, :, : 2 * HIDDEN]
         grads["u"] = np.concatenate([x[0] for x in tape]).T @ du.reshape(WINDOW * b, -1)
         order = np.argsort(prev, kind="stable")
-        starts = [(c, i) for c, i, _ in _groups(prev[order])]
-        grads["x"][[c for c, _ in starts]] = np.add.reduceat(dx.reshape(WINDOW * b, -1)[order], [i for _, i in starts], axis=0)
+        runs_of = [(c, i) for c, i, _ in _groups(prev[order])]
+        grads["x"][[c for c, _ in runs_of]] = np.add.reduceat(dx.reshape(WINDOW * b, -1)[order], [i for _, i in runs_of], axis=0)
         self.updates += 1
         it = self.updates
         for k, v in p.items():
@@ -279,24 +298,22 @@ def score_documents(net: Net, words, table: Table):
     prev = np.full(n_docs, FREQUENT + table.end)
     t = 0
     steps = int(length[0]) if n_docs else 0
+    longer = (n_docs - np.cumsum(np.bincount(length, minlength=steps + 2))).tolist()  # documents with more than t tokens
     while t < steps:
-        n = int(np.searchsorted(-length, -t, "left"))  # documents longer than t
+        n = longer[t]
         w = min(WINDOW if n > 64 else 8 * WINDOW, steps - t)
         states = np.empty((w, n, HIDDEN), np.float32)
         tg, pl = np.full((w, n), table.end), np.full((w, n), -1)
         live = np.zeros((w, n), bool)
-        m = n
         for k in range(w):
-            m = int(np.searchsorted(-length[:m], -(t + k), "left"))
-            if not m:
-                break
-            h[:m] = net.step(prev[:m], h[:m])[0]
+            m = longer[t + k]
+            h[:m] = net.step(prev[:m], h[:m])
             states[k, :m] = h[:m]
             live[k, :m] = True
-            inner = int(np.searchsorted(-length[:m], -(t + k + 1), "left"))  # those that read a word here, not the end
+            inner = longer[t + k + 1]  # those that read a word here, not the end
             here = first[:inner] + t + k
             tg[k, :inner], pl[k, :inner], prev[:inner] = cls[here], place[here], ids[here]
-        out, _, _ = net.outputs(states[live], tg[live], pl[live])
+        out, _, _ = net.outputs(states[live], tg[live], pl[live], gradient=False)
         total[:n] += np.bincount(np.nonzero(live)[1], weights=out, minlength=n)
         t += w
     back = np.empty(n_docs)
@@ -369,7 +386,7 @@ def fit(docs: DataFrame) -> tuple[Table, np.ndarray, DataFrame]:
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast((table, flat))
         part = hashed.filter(F.pmod("h", F.lit(ROUNDS)) == r).withColumn("net", F.pmod(F.floor(F.col("h") / ROUNDS), F.lit(nets)).cast("int"))
-        part = part.repartition(nets, "net").sortWithinPartitions("net", "h").select("text", "net")
+        part = part.repartitionById(nets, "net").sortWithinPartitions("net", "h").select("text", "net")
         mean = part.mapInArrow(_train_rows(shared), "i int, v double, n long").groupBy("i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v")).orderBy("i").toArrow()
         if mean.num_rows:
             flat = mean.column("v").to_numpy().astype(np.float32)

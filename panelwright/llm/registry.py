@@ -1,4 +1,4 @@
-"""Queries of the text operators and of the corpus pipeline."""
+"""Queries of the text operators."""
 from __future__ import annotations
 
 from importlib import import_module
@@ -14,8 +14,8 @@ def _all(name: str) -> dict:
 
 
 def queries() -> dict:
-    """All opN_ queries, and the pipeline of corpus_pipeline.py at the repository top."""
-    return _all("QUERIES") | {"pipeline": import_module("corpus_pipeline").run}
+    """All opN_ queries; that of corpus_pipeline.py is added by the entry module at the repository top."""
+    return _all("QUERIES")
 
 
 def oracles() -> dict:
