@@ -167,6 +167,7 @@ def quality_verdicts(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: fl
 
     A document's lines are its \\n-split lines with a word, compared by their lower-cased words. A null or empty text has
     no words and fails; a null host is the host ''. Repeated rows and equal texts of a host count once towards a line.
+    Lines and texts are told apart by 64-bit hashes: of n different ones, two are one with odds of about n * n / 2^65.
     """
     prof = profiles(docs)
     return verdicts(prof, frequent_lines(prof, line_docs, line_share))

@@ -5,9 +5,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bitset import BitSet
 from .store import materialize, read_table
 from .words import runs, signed, split, window_hashes
 
@@ -17,8 +18,6 @@ MATCH = 50
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Words of an anchor: any match of MATCH words holds, at one of PERIOD alignments, an anchor that both sides hash.
 ANCHOR = MATCH - PERIOD + 1
-#: Bits of the filter for each matched anchor, and its largest size (2^30 bits are 128 MB on each executor).
-FILTER_BITS, MAX_FILTER_LOG = 16, 30
 
 
 def _anchors(words):
@@ -43,25 +42,6 @@ def _anchor_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(ids[w.doc[at]])], names=["h", "doc_id"])
 
 
-def _filter(hashes: DataFrame, column: str):
-    """A broadcast bit set over a written table's hashes, and the log of its size, which has an upper bound.
-
-    Spark ors its words; at most 2^(log_bits - 5) small rows come back. False hits cost work, never change results.
-    """
-    log_bits = int(np.clip(np.ceil(np.log2(max(hashes.count(), 1) * FILTER_BITS)), 16, MAX_FILTER_LOG))
-    hashes = hashes.select(F.col(column).alias("h"))
-    bit = F.shiftrightunsigned("h", 64 - log_bits)
-    parts = hashes.select(F.shiftright(bit, 5).alias("k"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - log_bits}) & 31 as int))").alias("b")).groupBy("k").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (log_bits - 5), np.uint32)
-    out[parts.column("k").to_numpy()] = parts.column("b").to_numpy().astype(np.uint32)
-    return hashes.sparkSession.sparkContext.broadcast(out), log_bits
-
-
-def _may_hold(bits: np.ndarray, log_bits: int, h: np.ndarray) -> np.ndarray:
-    bit = h >> np.uint64(64 - log_bits)
-    return (bits[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1) != 0
-
-
 def _spans(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of n positions lie in [s, s + width) for one of the starts."""
     edges = np.zeros(n + width + 1, np.int32)
@@ -70,13 +50,16 @@ def _spans(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(edges)[:n] > 0
 
 
-def _window_rows(bits, log_bits):
+def _window_rows(met: BitSet):
+    """Windows around matched anchors. One that a document with a smaller doc_id of the same run of rows has is sure to
+    go; so a window that a third of all documents hold has one open row for each run, whatever their number."""
+
     def run(batches):
         for batch in batches:
             for rows, offsets, data in runs(batch):
                 w = split(offsets, data)
                 at, h = _anchors(w)
-                at = at[_may_hold(bits.value, log_bits, h)]
+                at = at[met.may_hold(h)]
                 if not len(at):
                     continue
                 # windows that hold an anchor start at most PERIOD - 1 words before it
@@ -86,13 +69,17 @@ def _window_rows(bits, log_bits):
                 cand = cand[w.doc[cand] == w.doc[cand + MATCH - 1]]
                 ids, keys = (rows.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
                 d = w.doc[cand]
-                wide = window_hashes(w.hash, MATCH)[cand]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(wide)), pa.array(ids[d]), pa.array(keys[d]), pa.array((cand - w.first[d]).astype(np.int32))], names=["h", "doc_id", "key", "start"])
+                wide, own = window_hashes(w.hash, MATCH)[cand], ids[d]
+                order = np.lexsort((own, wide))
+                new = np.append(True, wide[order][1:] != wide[order][:-1]) if len(order) else np.zeros(0, bool)
+                sure = np.zeros(len(order), bool)
+                sure[order] = own[order] > own[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(wide)), pa.array(own), pa.array(keys[d]), pa.array((cand - w.first[d]).astype(np.int32)), pa.array(sure)], names=["h", "doc_id", "key", "start", "sure"])
 
     return run
 
 
-def _whole_rows(bits, log_bits, with_text):
+def _whole_rows(losing: BitSet, with_text):
     """Digest of each whole document; its text goes on only where the filter says that it may lose words."""
 
     def run(batches):
@@ -101,7 +88,7 @@ def _whole_rows(bits, log_bits, with_text):
                 w = split(offsets, data)
                 raw = data.tobytes()
                 keys = rows.column(2).to_numpy(zero_copy_only=False)
-                may = _may_hold(bits.value, log_bits, keys.view(np.uint64)) | with_text
+                may = losing.may_hold(keys.view(np.uint64)) | with_text
                 s, e = w.start.tolist(), w.end.tolist()
                 f = w.first.tolist()
                 sha = [hashlib.sha256(b" ".join([raw[x:y] for x, y in zip(s[a:b], e[a:b])])).hexdigest() for a, b in zip(f, f[1:])]
@@ -141,10 +128,12 @@ def shared_windows(docs: DataFrame) -> DataFrame:
     anchors = docs.select("doc_id", "text").mapInArrow(_anchor_rows, "h long, doc_id long")
     # a hot anchor is reduced to one row on each map task before it moves
     met = materialize(anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h"), "anchors")
-    bits, log_bits = _filter(met, "h")
-    windows = docs.select("doc_id", "text", "key").mapInArrow(_window_rows(bits, log_bits), "h long, doc_id long, key long, start int")
-    first = windows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h", "low")
-    return windows.join(first, "h").filter(F.col("doc_id") > F.col("low")).groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
+    windows = docs.select("doc_id", "text", "key").mapInArrow(_window_rows(BitSet(met, "h")), "h long, doc_id long, key long, start int, sure boolean")
+    # sure windows need no meeting: they are dealt out by themselves
+    dealt = windows.withColumn("at", F.when(F.col("sure"), F.xxhash64("key", "start")).otherwise(F.col("h")))
+    low = F.min(F.when(~F.col("sure"), F.col("doc_id"))).over(Window.partitionBy("at"))
+    lost = dealt.withColumn("low", low).filter(F.col("sure") | (F.col("doc_id") > F.col("low")))
+    return lost.groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
 
 
 def remove_shared(docs: DataFrame, text: str = "text", with_text: bool = True) -> DataFrame:
@@ -152,13 +141,13 @@ def remove_shared(docs: DataFrame, text: str = "text", with_text: bool = True) -
 
     A window is MATCH consecutive words of one document; each word in a window whose words also start in a document with
     a smaller doc_id goes. Windows are judged on the input. Rows with one doc_id are one document to this test; a null
-    doc_id is neither smaller nor larger than any. A null or empty text has no words; an empty table gives none.
+    doc_id is neither smaller nor larger than any. A null or empty text has no words; an empty table gives none. Windows
+    are told apart by 64-bit hashes: of n different ones, two are taken for one with odds of about n * n / 2^65.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     found = materialize(shared_windows(rows.filter("doc_id is not null")), "removed")
-    bits, log_bits = _filter(found, "key")
     # one pass digests every text; those that may lose words move to their starts, the others stay behind
-    whole = rows.mapInArrow(_whole_rows(bits, log_bits, with_text), "doc_id long, key long, n_words long, sha string, text string")
+    whole = rows.mapInArrow(_whole_rows(BitSet(found, "key"), with_text), "doc_id long, key long, n_words long, sha string, text string")
     out = whole.join(found, ["doc_id", "key"], "left").select("doc_id", "n_words", "sha", "text", "starts")
     out = out.mapInArrow(_removal_rows, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if with_text else out.drop("kept_text")

@@ -84,3 +84,14 @@ def test_one_row_of_each_class_by_its_text(spark):
     d = spark.createDataFrame([(1, a, 7), (5, a, 7), (5, b, 8), (None, b, 9), (None, "alone", 9), (6, "twice", 1), (6, "twice", 1), (7, None, 0), (7, None, 0)], "doc_id long, text string, mark int")
     got = sorted(((r.doc_id, r.text) for r in jaccard.keep_one(d).collect()), key=repr)
     assert got == sorted([(1, a), (5, b), (None, "alone"), (6, "twice"), (7, None), (7, None)], key=repr)
+
+
+def test_bit_set_holds_its_entries_and_few_others(spark):
+    from panelwright.llm.bitset import BitSet
+
+    rng = np.random.default_rng(1)
+    h, other = (rng.integers(0, 1 << 64, 9000, dtype=np.uint64) for _ in range(2))
+    d = spark.createDataFrame([(int(x),) for x in h.view(np.int64)], "h long")
+    s = BitSet(d, "h")
+    assert s.may_hold(h).all() and s.may_hold(other).mean() < 0.1
+    assert not BitSet(d.limit(0), "h").may_hold(other).any()
