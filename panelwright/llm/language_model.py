@@ -22,7 +22,7 @@ from .words import runs, signed, split
 TABLE, FREQUENT, CLUSTERS = 1 << 18, 256, 16
 #: Language slots (a hash of `lang`) and frequency bins of the classes of the other table words.
 LANGS, BINS = 16, 4
-HIDDEN, WINDOW = 24, 24
+HIDDEN, WINDOW = 16, 24
 #: Training: rounds of weight averaging (each document is learnt from in one of them), documents that are read at once,
 #: tokens that one of the averaged nets learns from, about, and such nets at most.
 ROUNDS, LANES = 2, 512
