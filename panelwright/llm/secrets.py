@@ -4,6 +4,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,14 +32,15 @@ _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _encoders: dict = {}
 
 
-def encoder(path: str):
-    if path not in _encoders:
+def encoder(vocabulary: str | bytes):
+    """The encoder of a vocabulary file, given by its path or its bytes."""
+    if vocabulary not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        lines = vocabulary.splitlines() if isinstance(vocabulary, bytes) else Path(vocabulary).read_bytes().splitlines()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        _encoders[vocabulary] = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[vocabulary]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -52,7 +54,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def token_spans(text: str, taken: list[tuple[int, int, str]], vocabulary: str = VOCABULARY) -> list[tuple[int, int, str]]:
+def token_spans(text: str, taken: list[tuple[int, int, str]], vocabulary: str | bytes = VOCABULARY) -> list[tuple[int, int, str]]:
     """Candidate words outside the base spans whose characters per token are few."""
     out = []
     few = lambda w: len(w) < RATIO * len(encoder(vocabulary).encode_ordinary(w))
@@ -78,8 +80,9 @@ def _odd(text: str, a: int, w: str, taken, few) -> bool:
     return few(w) and not (n and all(len(x) < 4 or not few(x) for x in n.groups()))
 
 
-def _scan(vocabulary: str):
+def _scan(shared):
     def run(batches):
+        vocabulary = shared.value
         for batch in batches:
             n = {k: [] for k in KINDS}
             sha, spans = [], []
@@ -99,8 +102,10 @@ def find_secrets(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
     """Counts, base digest and spans (kind:start:end in code points) of every row; null counts as empty, repeated rows stay.
 
     Only doc_id and text are read, so other columns may have any names; a text of any length is scanned whole."""
+    # the file (some hundred KB to a few MB) is read on the driver and sent to every executor
+    shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_scan(vocabulary), "doc_id long, n_assign long, n_access long, n_hex long, n_token long, base_sha256 string, spans string")
+    return rows.mapInArrow(_scan(shared), "doc_id long, n_assign long, n_access long, n_hex long, n_token long, base_sha256 string, spans string")
 
 
 def op9_token_efficiency(spark, sf_dir: str) -> DataFrame:
