@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("toxicity", "sharding", "html", "language_model", "jaccard", "quality", "substrings", "mixing", "secrets", "decontaminate", "simhash")
+MODULES = ("toxicity", "sharding", "html", "language_model", "jaccard", "quality", "substrings", "mixing", "secrets", "decontaminate", "simhash", "divergence", "importance")
 
 
 def _all(name: str) -> dict:

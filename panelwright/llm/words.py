@@ -94,14 +94,14 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix(out)
 
 
-def split(offsets: np.ndarray, data: np.ndarray, lower: bool = False) -> Words:
-    """Words of the documents whose bytes data[offsets[i]:offsets[i+1]] holds."""
+def split(offsets: np.ndarray, data: np.ndarray, lower: bool = False, stops: np.ndarray = _SPACE) -> Words:
+    """Words of the documents whose bytes data[offsets[i]:offsets[i+1]] holds; `stops` marks the bytes between words."""
     data = _LOWER[data] if lower else data
     n = len(data)
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     full = np.zeros(n + 2, bool)
-    full[1:-1] = ~_SPACE[data]
+    full[1:-1] = ~stops[data]
     start = np.flatnonzero(full[1:-1] & (~full[:-2] | cut[:-1]))
     end = np.flatnonzero(full[1:-1] & (~full[2:] | cut[1:])) + 1
     doc = np.searchsorted(offsets, start, "right") - 1
