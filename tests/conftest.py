@@ -30,7 +30,7 @@ def duck():
 def rows(pdf):
     import pandas as pd
 
-    return sorted(map(repr, (tuple(None if pd.isna(x) else float(x) if isinstance(x, float) else x for x in r) for r in pdf[sorted(pdf.columns)].astype(object).itertuples(index=False, name=None))))
+    return sorted(map(repr, (tuple(None if pd.isna(x) else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r) for r in pdf[sorted(pdf.columns)].astype(object).itertuples(index=False, name=None))))
 
 
 @pytest.fixture(scope="session")
