@@ -87,68 +87,32 @@ def two_sided_p(z) -> Column:
     return poly * F.exp(-x * x)
 
 
-def block_start(seed: Column, resample: Column, block: Column, n: Column) -> Column:
-    """Start of a bootstrap block: from the first 32 bits of an MD5, so that any engine draws alike."""
-    text = F.concat_ws(":", seed.cast("string"), resample.cast("string"), block.cast("string"))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % n
-
-
-def block_bootstrap(df: DataFrame, entity: str, x: str, time: str, block: int, resamples: int, confidence: float = 0.95) -> DataFrame:
-    """Circular moving-block bootstrap of each entity's mean: (entity, n, mean, p, lower, upper).
-
-    Each entity is one row of prefix sums; resamples are rows of it, and a block's sum is one difference of prefixes."""
-    w = Window.partitionBy(entity).orderBy(time)
-    has = df.filter(F.col(x).isNotNull()).select(entity, F.row_number().over(w).alias("i"), F.col(x).cast("double").alias("v"))
-    s = has.groupBy(entity).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("v"), F.count("*").alias("n"), F.avg("v").alias("mean"))
-    twice = F.concat(F.array(F.lit(0.0)), F.col("v"), F.slice("v", F.lit(1), F.least(F.col("n"), F.lit(block)).cast("int")))
-    sums = F.aggregate(twice, F.array().cast("array<double>"), lambda acc, y: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + y)))
-    s = s.withColumn("prefix", sums).withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-
-    def total(k):
-        start = block_start(F.col(entity), F.col("b"), k, F.col("n"))
-        size = F.least(F.lit(block), F.col("n") - (k - 1) * block)
-        return F.element_at("prefix", (start + size + 1).cast("int")) - F.element_at("prefix", (start + 1).cast("int"))
-
-    mean = F.aggregate(F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("blocks")), total), F.lit(0.0), lambda acc, y: acc + y) / F.col("n")
-    drawn = s.select(entity, "n", "mean", mean.alias("m"))
-    tail = (1 - confidence) / 2
-    extreme = F.count(F.when(F.abs(F.col("m") - F.col("mean")) >= F.abs("mean"), 1))
-    return drawn.groupBy(entity).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), ((extreme + 1) / (F.count("*") + 1)).alias("p"), F.percentile("m", F.lit(tail)).alias("lower"), F.percentile("m", F.lit(1 - tail)).alias("upper"))
-
-
-def bootstrap_contrast(df: DataFrame, entity: str, x: str, treated: str, time: str, block: int, resamples: int) -> DataFrame:
-    """Mean of x on treated less that on other sessions, with a circular block interval; gaps keep their place in the blocks.
-
-    Each entity's sessions are one array of (value, treated); a resample takes whole blocks of it."""
-    w = Window.partitionBy(entity).orderBy(time)
-    rows = df.select(entity, F.row_number().over(w).alias("i"), F.col(x).cast("double").alias("v"), F.col(treated).alias("t"))
-    s = rows.groupBy(entity).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v", "t"))), lambda e: F.struct(e["v"].alias("v"), e["t"].alias("t"))).alias("a"), F.count("*").alias("n"))
+def mean_test(df: DataFrame, entity: str, x: str, time: str, lags: int) -> DataFrame:
+    """Newey-West mean test with its two-sided normal p."""
+    from .windows import newey_west
 
-    def difference(items):
-        def mean(flag):
-            some = F.filter(items, lambda e: e["v"].isNotNull() & (e["t"] == F.lit(flag)))
-            return F.try_divide(F.aggregate(some, F.lit(0.0), lambda acc, e: acc + e["v"]), F.size(some))
+    return newey_west(df, entity, x, time, lags).withColumn("p", two_sided_p("t"))
 
-        return mean(True) - mean(False)
 
-    s = s.withColumn("observed", difference(F.col("a"))).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    n = F.col("n").cast("int")
+def mean_inference(df: DataFrame, entity: str, x: str, time: str, lags: int, block: int, resamples: int, alpha: float) -> DataFrame:
+    """Each entity's mean by both tests: Newey-West (hac_) and circular block bootstrap (bootstrap_), each with the p adjusted
+    over all entities as one family and whether that rejects; `lower` and `upper` bound the mean by the bootstrap."""
+    from .panel import benjamini_hochberg
+    from .resampling import block_bootstrap
 
-    def piece(k):
-        start = block_start(F.col(entity), F.col("b"), k, F.col("n")).cast("int")
-        size = F.least(F.lit(block), n - (k - 1) * block)
-        return F.transform(F.sequence(F.lit(0), size - 1), lambda j: F.element_at("a", (start + j) % n + 1))
+    hac = mean_test(df, entity, x, time, lags).withColumnRenamed("p", "hac_p")
+    boot = block_bootstrap(df, entity, x, time, block, resamples).select(entity, F.col("p").alias("bootstrap_p"), "lower", "upper")
+    t = written(hac.join(boot, entity).withColumn("_all", F.lit(1)))  # a row a hypothesis
+    for test in ("hac", "bootstrap"):
+        t = benjamini_hochberg(t, f"{test}_p", "_all").withColumnRenamed("q", f"{test}_q").withColumn(f"{test}_reject", F.coalesce(F.col(f"{test}_q") <= alpha, F.lit(False)))
+    return t.drop("_all")
 
-    taken = F.flatten(F.transform(F.sequence(F.lit(1), F.ceil(F.col("n") / block).cast("int")), piece))
-    drawn = s.select(entity, "observed", difference(taken).alias("d"))
-    return drawn.groupBy(entity).agg(F.first("observed").alias("observed"), F.count("d").alias("draws"), F.percentile("d", F.lit(0.025)).alias("lower"), F.percentile("d", F.lit(0.975)).alias("upper"))
 
-
-def mean_test(df: DataFrame, entity: str, x: str, time: str, lags: int) -> DataFrame:
-    """Newey-West mean test with its two-sided normal p."""
-    from .windows import newey_west
-
-    return newey_west(df, entity, x, time, lags).withColumn("p", two_sided_p("t"))
+def incremental_outcome(tests: DataFrame, declared: str = "declared") -> DataFrame:
+    """Adds `outcome` to tests that both inferences must reject; without a declared direction there is none to support."""
+    both = F.col("hac_reject") & F.col("bootstrap_reject")
+    outcome = F.when(~F.coalesce(F.col(declared).isin("POSITIVE", "NEGATIVE"), F.lit(False)), "undirected").when(~both, "no_increment").when(F.col("mean") > 0, "supported").otherwise("contradicted")
+    return tests.withColumn("outcome", outcome)
 
 
 # ---- folds and regimes
@@ -277,75 +241,6 @@ def medoids(clusters: DataFrame, distances: DataFrame) -> DataFrame:
     return x.withColumn("representative", F.min(key).over(Window.partitionBy("family", "cluster"))["id"])
 
 
-def conditional_rank_ic(wide: DataFrame, candidate: str, label: str, controls: Sequence[str], ridge: float = 1e-8, least: int = 10) -> DataFrame:
-    """Per session, from the correlations of rows that have all columns: raw, semi-partial and partial correlation of
-    candidate and label given the controls, and the share of the label that controls alone and with the candidate explain.
-
-    Correlations are aggregates of Spark; a task solves one small system a session."""
-    names = [candidate, label, *controls]
-    has = wide.filter(" and ".join(f"`{c}` is not null" for c in names))
-    sums = [F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-    s = has.groupBy("session").agg(F.count("*").alias("n"), *sums).filter(F.col("n") >= least)
-    k = len(names)
-
-    def solve(frames):
-        import numpy as np
-        import pandas as pd
-
-        for pdf in frames:
-            out = []
-            for row in pdf.itertuples():
-                m = np.array([[getattr(row, f"c{min(i, j)}_{max(i, j)}") for j in range(k)] for i in range(k)])
-                sd = np.sqrt(np.diag(m))
-                if (sd <= 1e-12).any():
-                    continue
-                c = m / np.outer(sd, sd)
-                reg = c[2:, 2:] + np.eye(k - 2) * ridge
-                a, b = c[0, 2:], c[1, 2:]
-                ba, bb = np.linalg.solve(reg, a), np.linalg.solve(reg, b)
-                va, vb, cov = max(ridge, 1 - a @ ba), max(ridge, 1 - b @ bb), c[0, 1] - a @ bb
-                clip = lambda x, lo=0.0: float(min(1.0, max(lo, x)))
-                base = clip(b @ bb)
-                whole = clip(base + max(0.0, cov * cov / va))
-                out.append((row.session, int(row.n), float(c[0, 1]), clip(cov / np.sqrt(va), -1), clip(cov / np.sqrt(va * vb), -1), base, whole, whole - base))
-            yield pd.DataFrame(out, columns=["session", "n", "raw", "semi_partial", "partial", "baseline_r2", "full_r2", "incremental_r2"])
-
-    return s.mapInPandas(solve, "session date, n long, raw double, semi_partial double, partial double, baseline_r2 double, full_r2 double, incremental_r2 double")
-
-
-def hac_regression(df: DataFrame, group: str, y: str, x: str, time: str, lags: int) -> DataFrame:
-    """Slope of y on x with a level for each year, and its Bartlett error with gaps kept in place: (group, n, beta, se, t).
-
-    One group is one series of a signal and horizon; groups spread over tasks. Without freedom left beta is NULL."""
-
-    def fit(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(time)
-        ok = (pdf[y].notna() & pdf[x].notna()).to_numpy()
-        years = pd.to_datetime(pdf[time]).dt.year.to_numpy()
-        use = np.flatnonzero(ok)
-        dummies = (years[use][:, None] == np.unique(years[use])[None, :]).astype(float)
-        a, b = np.column_stack([pdf[x].to_numpy(float)[use], dummies]), pdf[y].to_numpy(float)[use]
-        n, beta, se = len(use), None, None
-        if n > a.shape[1] and np.linalg.matrix_rank(a) == a.shape[1]:
-            inv = np.linalg.inv(a.T @ a)
-            coef = inv @ a.T @ b
-            score = np.zeros((len(pdf), a.shape[1]))
-            score[use] = a * (b - a @ coef)[:, None]
-            meat = score.T @ score
-            for k in range(1, lags + 1):
-                g = score[k:].T @ score[:-k]
-                meat += (1 - k / (lags + 1)) * (g + g.T)
-            beta, se = float(coef[0]), float(np.sqrt(max((inv @ meat @ inv)[0, 0], 0)))
-        t = beta / se if se else None
-        return pd.DataFrame([(pdf[group].iloc[0], n, beta, se, t)], columns=[group, "n", "beta", "se", "t"])
-
-    kind = df.schema[group].dataType.simpleString()
-    return df.select(group, y, x, time).groupBy(group).applyInPandas(fit, f"{group} {kind}, n long, beta double, se double, t double")
-
-
 # ---- signals and events
 
 

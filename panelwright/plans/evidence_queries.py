@@ -97,17 +97,6 @@ def j14(df):
     return E.mean_test(with_return(df), "inst", "ret", "session", 5).select("inst", "n", r("t", 4).alias("t"), r("p", 5).alias("p"))
 
 
-_START = "(('0x' || substr(md5(cast({0} as varchar) || ':' || cast(b as varchar) || ':' || cast(k as varchar)), 1, 8))::bigint % n)"
-
-
-@panel("j15_moving_block_bootstrap", f"""{RET}, sr as (select inst, row_number() over (partition by inst order by session) i, ret v from ret where ret is not null), nn as (select inst, count(*) n, avg(v) mean from sr group by 1), tw as (select inst, i, v from sr union all select s.inst, s.i + n, v from sr s join nn using (inst) where s.i <= 5), pf as (select inst, i, sum(v) over (partition by inst order by i) p from tw union all select inst, 0, 0 from nn),
-bl as (select inst, n, mean, b, k, {_START.format('inst')} s, least(5, n - (k - 1) * 5) sz from nn, (select unnest(range(1, 101)) b), (select unnest(range(1, 400)) k) where k <= ceil(n / 5.0)), rp as (select bl.inst, b, any_value(bl.n) n, any_value(mean) mean, sum(q.p - p.p) / any_value(bl.n) m from bl join pf p on p.inst = bl.inst and p.i = s join pf q on q.inst = bl.inst and q.i = s + sz group by 1, 2)
-select inst, any_value(n) n, round(any_value(mean), 6) + 0.0 mean, round((count(*) filter (abs(m - mean) >= abs(mean)) + 1) / (count(*) + 1.0::double), 6) + 0.0 p, round(quantile_cont(m, 0.025), 5) + 0.0 lower, round(quantile_cont(m, 0.975), 5) + 0.0 upper from rp group by inst""", ())
-def j15(df):
-    x = E.block_bootstrap(with_return(df), "inst", "ret", "session", 5, 100)
-    return x.select("inst", "n", r("mean").alias("mean"), r("p").alias("p"), r("lower", 5).alias("lower"), r("upper", 5).alias("upper"))
-
-
 @panel("j16_stability_summary", f"{RET}, kk as (select inst, ret, ((row_number() over (partition by inst order by session) - 1) * 4) // count(*) over (partition by inst) part from ret where ret is not null), m as (select inst, part, avg(ret) mean from kk group by 1, 2), a as (select inst, avg(ret) al from ret where ret is not null group by 1) select inst, round(avg(case when sign(mean) = sign(al) then 1.0 else 0.0 end), 6) + 0.0 same_sign, round(min(mean * case when al < 0 then -1 else 1 end), 6) + 0.0 worst, round(max(mean) - min(mean), 6) + 0.0 spread from m join a using (inst) group by inst", ())
 def j16(df):
     x = R.stability_summary(with_return(df), "inst", "ret", "session", 4)
@@ -189,27 +178,21 @@ def j21(df):
     return x.withColumn("mean", r("mean"))
 
 
+def directed_ic(df):
+    """Rank IC of the test sessions of each fold and factor (key), times the fold's direction."""
+    f = fold_rows(df).filter("role = 'test'").join(directions(df).select("fold", "factor", "direction"), ["fold", "factor"])
+    return f.select(F.concat_ws(":", "fold", "factor").alias("key"), "session", (F.col("ic") * F.col("direction")).alias("directed"))
+
+
 def hypotheses(df, lags=3):
     """Directed test of every fold and factor with the adjusted p of the whole family."""
-    f = fold_rows(df).filter("role = 'test'").join(directions(df).select("fold", "factor", "direction"), ["fold", "factor"])
-    x = f.withColumns({"key": F.concat_ws(":", "fold", "factor"), "directed": F.col("ic") * F.col("direction"), "family": F.lit("all")})
-    t = E.mean_test(x, "key", "directed", "session", lags).withColumn("family", F.lit("all"))
+    t = E.mean_test(directed_ic(df), "key", "directed", "session", lags).withColumn("family", F.lit("all"))
     return P.benjamini_hochberg(t, "p", "family")
 
 
 _HYP = f"{_IC}, {_FOLD_SQL}, {_DIR}, dd as (select w.fold || ':' || w.factor as key, session, ic * direction directed from w join di on di.fold = w.fold and di.factor = w.factor where role = 'test'), {_nw_sql('dd', 'key', 'directed', 'session', 3, 'hy')}, hp as (select *, {_p_sql('t')} p from hy), hr as (select *, row_number() over (order by p) rn, count(*) over () m from hp where p is not null), hq as (select *, least(1.0::double, min(p * m / rn) over (order by rn rows between current row and unbounded following)) q from hr)"
 
 
-@panel("j22_walk_forward_hypotheses", f"{_HYP} select key, n, round(mean, 6) + 0.0 mean, round(t, 4) + 0.0 t, round(p, 5) + 0.0 p, round(q, 5) + 0.0 q from hq union all select key, n, round(mean, 6) + 0.0, null, null, null from hp where p is null", ())
-def j22(df):
-    return hypotheses(df).select("key", "n", r("mean").alias("mean"), r("t", 4).alias("t"), r("p", 5).alias("p"), r("q", 5).alias("q"))
-
-
-@panel("j56_fold_decisions", f"{_HYP} select key, case when not coalesce(q <= 0.1, false) then 'not_rejected' when mean > 0 then 'direction_supported' else 'direction_contradicted' end decision from (select key, mean, q from hq union all select key, mean, null from hp where p is null)", ())
-def j56(df):
-    return hypotheses(df).select("key", E.decision(F.col("q") <= 0.1, "mean").alias("decision"))
-
-
 # ---- redundancy: variants of the factors
 
 _ENT = ["RAW:mom", "Z:mom", "RAW:size", "Z:size", "RAW:vol"]
@@ -279,37 +262,6 @@ def rank_wide(df):
     return x.select("session", "inst", *(average_rank(c).alias(c) for c in ("mom", "size", "vol", "fwd")))
 
 
-@panel("j27_conditional_rank_ic", "", ("session",))
-def j27(df):
-    x = E.conditional_rank_ic(rank_wide(df), "mom", "fwd", ["size", "vol"])
-    return x.select("session", "n", *(r(c, 5).alias(c) for c in ("raw", "semi_partial", "partial", "baseline_r2", "full_r2", "incremental_r2")))
-
-
-@panel("j28_incremental_outcome", "", ())
-def j28(df):
-    rows = None
-    for c, others in (("mom", ["size", "vol"]), ("size", ["mom", "vol"]), ("vol", ["mom", "size"])):
-        x = E.conditional_rank_ic(rank_wide(df), c, "fwd", others).select(F.lit(c).alias("factor"), "session", "semi_partial")
-        rows = x if rows is None else rows.unionByName(x)
-    t = P.benjamini_hochberg(E.mean_test(rows, "factor", "semi_partial", "session", 3).withColumn("family", F.lit(1)), "p", "family")
-    boot = E.block_bootstrap(rows, "factor", "semi_partial", "session", 5, 100).select("factor", F.col("p").alias("bootstrap_p"))
-    outcome = F.when(~F.coalesce((F.col("q") <= 0.1) & (F.col("bootstrap_p") <= 0.1), F.lit(False)), "no_increment").when(F.col("mean") > 0, "supported").otherwise("contradicted")
-    return t.join(boot, "factor").select("factor", "n", r("mean").alias("mean"), r("q", 5).alias("q"), r("bootstrap_p").alias("bootstrap_p"), outcome.alias("outcome"))
-
-
-@panel("j29_hac_regression", "", ())
-def j29(df):
-    x = E.hac_regression(both(df).select("inst", "session", "mom", "fwd"), "inst", "fwd", "mom", "session", 5)
-    return x.select("inst", "n", r("beta", 5).alias("beta"), r("se", 5).alias("se"), r("t", 4).alias("t"))
-
-
-@panel("j30_bootstrap_contrast", f"""{MOM}, {FWD}, a0 as (select inst, row_number() over (partition by inst order by session) - 1 i, fwd v, mom > 0 t, count(*) over (partition by inst) n from fwd), ob as (select inst, any_value(n) n, avg(v) filter (t) - avg(v) filter (not t) observed from a0 group by 1), bl as (select inst, n, b, k, {_START.format('inst')} s, least(13, n - (k - 1) * 13) sz from ob, (select unnest(range(1, 21)) b), (select unnest(range(1, 200)) k) where k <= ceil(n / 13.0)), ex as (select inst, n, b, unnest(range(s, s + sz)) p from bl), dr as (select ex.inst, b, avg(v) filter (t) - avg(v) filter (not t) d from ex join a0 on a0.inst = ex.inst and a0.i = p % ex.n group by 1, 2)
-select inst, round(any_value(observed), 5) + 0.0 observed, count(d) draws, round(quantile_cont(d, 0.025), 5) + 0.0 lower, round(quantile_cont(d, 0.975), 5) + 0.0 upper from dr join ob using (inst) group by inst""", ())
-def j30(df):
-    x = E.bootstrap_contrast(both(df).withColumn("t", F.col("mom") > 0), "inst", "fwd", "t", "session", 13, 20)
-    return x.select("inst", r("observed", 5).alias("observed"), "draws", r("lower", 5).alias("lower"), r("upper", 5).alias("upper"))
-
-
 # ---- signals
 
 
@@ -538,6 +490,6 @@ def j41(df):
     return x.select("inst", "y", "q", "n", r("total", 5).alias("total"))
 
 
-for _name in ("j26_cluster_threshold_cut", "j27_conditional_rank_ic", "j28_incremental_outcome", "j29_hac_regression", "j45_hysteresis_switch", "j46_regime_exposure", "j49_walk_forward_ridge", "j50_walk_forward_gbt", "j51_prediction_diagnostics"):
+for _name in ("j26_cluster_threshold_cut", "j45_hysteresis_switch", "j46_regime_exposure", "j49_walk_forward_ridge", "j50_walk_forward_gbt", "j51_prediction_diagnostics"):
     ORACLES.pop(_name)  # no SQL form: tested by hand and brute force
 __all__ = ["rounded"]

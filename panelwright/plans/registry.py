@@ -196,7 +196,7 @@ ORACLES |= {
 }
 
 
-from . import evidence_queries, fact_queries, formula_queries, gate_queries, research_queries, streaming_queries, source_queries, temporal_queries, window_queries  # noqa: E402,F401  (they register themselves)
+from . import evidence_queries, fact_queries, formula_queries, gate_queries, inference_queries, research_queries, streaming_queries, source_queries, temporal_queries, window_queries  # noqa: E402,F401  (they register themselves)
 
 
 def _plain(query):

@@ -10,6 +10,7 @@ from panelwright.operators import evidence as E
 from panelwright.operators import facts as X
 from panelwright.operators import gates as G
 from panelwright.operators import reference as N
+from panelwright.operators import regression
 from panelwright.operators import research as R
 from panelwright.operators import temporal as M
 from panelwright.plans import evidence_queries as Q
@@ -102,7 +103,7 @@ def test_conditional_ic_is_that_of_residuals(spark):
     x = x + c1
     y = 0.5 * x + c2 + rng.normal(size=n)
     d = spark.createDataFrame([(day(0), *map(float, v)) for v in zip(x, y, c1, c2)] + [(day(1), 1.0, 1.0, 1.0, 1.0)] * 12 + [(day(2), None, 1.0, 1.0, 1.0)], "session date, x double, y double, c1 double, c2 double")
-    rows = E.conditional_rank_ic(d, "x", "y", ["c1", "c2"]).collect()
+    rows = regression.conditional_rank_ic(d, "x", "y", ["c1", "c2"]).collect()
     assert [r.session for r in rows] == [day(0)]  # a session without variation or pairs gives none
     a = np.column_stack([np.ones(n), c1, c2])
     rx, ry = (v - a @ np.linalg.lstsq(a, v, rcond=None)[0] for v in (x, y))
@@ -112,23 +113,6 @@ def test_conditional_ic_is_that_of_residuals(spark):
     assert rows[0].full_r2 == pytest.approx(1 - ((y - full @ np.linalg.lstsq(full, y, rcond=None)[0]) ** 2).sum() / ((y - y.mean()) ** 2).sum(), abs=1e-5)
 
 
-def test_hac_regression_without_lags_is_white(spark):
-    rng = np.random.default_rng(5)
-    x, e = rng.normal(size=(2, 80))
-    y = 2 * x + e
-    d = spark.createDataFrame([("s", day(i), float(x[i]), float(y[i]) if i % 9 else None) for i in range(80)], "g string, session date, x double, y double")
-    got = E.hac_regression(d, "g", "y", "x", "session", 0).first()
-    use = [i for i in range(80) if i % 9]
-    years = np.array([day(i).year for i in use])
-    a = np.column_stack([x[use], *(years == v for v in np.unique(years))]).astype(float)
-    b = y[use]
-    inv = np.linalg.inv(a.T @ a)
-    beta = inv @ a.T @ b
-    s = a * (b - a @ beta)[:, None]
-    assert got.n == len(use) and got.beta == pytest.approx(beta[0]) and got.se == pytest.approx(np.sqrt((inv @ s.T @ s @ inv)[0, 0]))
-    assert E.hac_regression(d.limit(2), "g", "y", "x", "session", 3).first().beta is None
-
-
 def loop_switch(rows, margin, confirmations, hold):
     held, age, run, out = None, 0, 0, []
     for seq, scores in rows:
