@@ -261,9 +261,10 @@ def simhash_classes(docs: DataFrame, text: str = "text", shard: int = SHARD, vis
     digest = materialize(fingerprints(docs, text), "fingerprints")
     low = materialize(digest.groupBy("fp").agg(F.min("doc_id").alias("low")), "low")
     labels = hamming_classes(low.select("fp"), shard, visitors)
-    named = low.join(labels, F.col("fp") == F.col("name"), "left").select("fp", "low", "label")
-    best = named.filter("label is not null").groupBy("label").agg(F.min("low").alias("best"))
-    ids = named.join(best, "label", "left").select("fp", F.coalesce("best", "low").alias("component_id"))
+    # only fingerprints with a link meet their class; most have none
+    named = materialize(low.join(labels, F.col("fp") == F.col("name")).select("fp", "low", "label"), "named")
+    best = named.groupBy("label").agg(F.min("low").alias("best"))
+    ids = low.join(named.join(best, "label").select("fp", "best"), "fp", "left").select("fp", F.coalesce("best", "low").alias("component_id"))
     return digest.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
