@@ -77,14 +77,17 @@ def signatures(sets, ends) -> tuple[np.ndarray, np.ndarray]:
     domain into partitions of SUB parts each. A pair with d differences has, among any floor(d / 2) + 1 partitions, one
     with at most one difference; so one of its subsets of SUB - 1 parts agrees. A set goes through the partitions in
     order until it has met one more than half the differences that it may have in which no subset is empty, and gives
-    all subsets on the way that are not: of two linked sets the one that stops first has more agreeing partitions than
-    partitions with an empty subset, so a subset with shingles is shared. A set that runs out of partitions gives its
-    empty subsets too.
+    all subsets on the way that are not. Of two linked sets let one stop like that: one at least of the partitions in
+    which none of its subsets is empty holds at most one difference, so they share a subset with shingles there, and the
+    other one gives it too if it goes as far or, where it runs out of partitions, gives all that it has. Two sets that
+    both run out (few shingles for the partitions) may have no such partition; so a set that does also gives its
+    smallest shingles: of two linked sets one shingle at least is among the (n - ceil(n * NUM / DEN) + 1) smallest of both.
     """
     n = np.diff(ends)
     out_doc, out_sig = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     if not len(sets):
         return out_doc[0], out_sig[0]
+    ran_out = np.zeros(len(n), bool)
     hi = size_bands(int(n.max()))
     band = np.searchsorted(hi, n)
     doc = np.repeat(np.arange(len(n)), n)
@@ -119,9 +122,15 @@ def signatures(sets, ends) -> tuple[np.ndarray, np.ndarray]:
         need = (k // 2 + 1)[owner]
         before = met - filled.all(axis=1) < need
         short = (full[off[1:]] - full[off[:-1]] < k // 2 + 1)[owner]
-        keep = (before[:, None] & filled) | short[:, None]
+        keep = (before | short)[:, None] & filled
         out_doc.append(np.repeat(owner, keep.sum(axis=1)))
         out_sig.append(sig[keep])
+        ran_out[owner[short]] = True
+    few = np.where(ran_out, n - -(-n * NUM // DEN) + 1, 0)
+    first = np.repeat(ends[:-1], few) + np.arange(few.sum()) - np.repeat(np.cumsum(few) - few, few)
+    out_doc.append(np.repeat(np.arange(len(n)), few))
+    with np.errstate(over="ignore"):
+        out_sig.append(mix(sets[first] + U(0x9E3779B97F4A7C15)))
     return np.concatenate(out_doc), np.concatenate(out_sig)
 
 

@@ -95,3 +95,33 @@ def test_bit_set_holds_its_entries_and_few_others(spark):
     s = BitSet(d, "h")
     assert s.may_hold(h).all() and s.may_hold(other).mean() < 0.1
     assert not BitSet(d.limit(0), "h").may_hold(other).any()
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 6, 12, 20, 30])
+def test_distinct_short_sets_share_no_signature(size):
+    """Neither an empty subset nor any other signature brings sets together that share no shingle."""
+    rng = np.random.default_rng(size)
+    n = 100_000 // size
+    sets = np.unique(rng.integers(0, 1 << 63, n * size + 99, dtype=np.uint64) * np.uint64(2))
+    rng.shuffle(sets)
+    sets = np.sort(sets[: n * size].reshape(n, size), axis=1).ravel()
+    doc, sig = jaccard.signatures(sets, np.arange(0, n * size + 1, size))
+    pairs = np.unique(np.stack([sig & np.uint64(jaccard.SIGNATURE_MASK), doc.astype(np.uint64)]), axis=1)
+    assert len(np.unique(doc)) == n and len(np.unique(pairs[0])) >= pairs.shape[1] - 3  # 48 bits meet by chance now and then
+
+
+def test_every_linked_pair_of_small_sets_meets():
+    met = 0
+    for size in range(1, 41):
+        for a, b in near_pairs(100 + size, 150, [size]):
+            if len(b) and 4 * len(np.intersect1d(a, b)) >= 3 * len(np.union1d(a, b)):
+                doc, sig = jaccard.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+                assert set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist()), (size, len(a), len(b))
+                met += 1
+    assert met > 1500
+
+
+def test_distinct_five_word_texts_form_no_families(spark):
+    d = spark.range(100_000).selectExpr("id as doc_id", "concat('a', id, ' b', id * 7, ' c', id % 97, ' d e') as text")
+    out = jaccard.near_duplicates(d)
+    assert out.filter("component_id <> doc_id or n_shingles <> 1").count() == 0 and out.count() == 100_000
