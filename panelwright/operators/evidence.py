@@ -51,21 +51,6 @@ def path_label(df: DataFrame, h: int, level: str = "level", segment: str = "segm
     return out.drop("_path", "_whole")
 
 
-def economic_return_label(df: DataFrame, events: DataFrame, h: int) -> DataFrame:
-    """From the next session's open to the open h later with shares and cash of the events in between; `relative` is less
-    the mean of the session. An unknown amount in between gives none."""
-    w = by_instrument()
-    x = df.withColumns({"_in": F.lead("session", 1).over(w), "_out": F.lead("session", h + 1).over(w), "_p0": F.lead("open", 1).over(w), "_p1": F.lead("open", h + 1).over(w)})
-    arrays = events.groupBy("inst").agg(F.array_sort(F.collect_list(F.struct("ex_date", "cash", "stock"))).alias("_ev"))
-    x = x.join(arrays, "inst", "left")
-    between = F.filter(F.coalesce("_ev", F.array()), lambda e: (e["ex_date"] > F.col("_in")) & (e["ex_date"] <= F.col("_out")))
-    start = F.struct(F.lit(1.0).alias("shares"), F.lit(0.0).alias("cash"))
-    held = F.aggregate(between, start, lambda acc, e: F.struct((acc["shares"] * (1 + e["stock"])).alias("shares"), (acc["cash"] + acc["shares"] * e["cash"]).alias("cash")))
-    value = safe_div(held["shares"] * F.col("_p1") + held["cash"], "_p0") - 1
-    x = x.withColumn("total", F.when(~F.exists(between, lambda e: e["cash"].isNull() | e["stock"].isNull()), value))
-    return x.withColumn("relative", F.col("total") - F.avg("total").over(by_session())).drop("_in", "_out", "_p0", "_p1", "_ev")
-
-
 def label_forward_violations(df: DataFrame, factor_time: str, label_time: str) -> DataFrame:
     """Rows whose label was known no later than their factor."""
     return df.filter(F.col(label_time) <= F.col(factor_time))

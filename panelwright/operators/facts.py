@@ -145,85 +145,10 @@ def unique_events(df: DataFrame) -> DataFrame:
     return df.groupBy("inst", "ex_date").agg(one("cash"), one("stock"), F.when(F.count("imp_ann") == n, F.max("imp_ann")).alias("imp_ann"), (n > 1).alias("conflict"))
 
 
-def with_events(sessions: DataFrame, events: DataFrame, fields: Sequence[str] = ("ex_date", "imp_ann", "cash", "stock")) -> DataFrame:
-    """sessions with `known`: the instrument's events whose ex_date has come and whose announcement is older than the session,
-    by ex_date. An instrument has few events; they move as one array."""
-    arrays = events.groupBy("inst").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_ev"))
-    x = sessions.join(arrays, "inst", "left")
-    known = F.filter(F.coalesce("_ev", F.array()), lambda e: (e["ex_date"] <= F.col("session")) & (e["imp_ann"] < F.col("session")))
-    return x.withColumn("known", known).drop("_ev")
-
-
 def _bad(x: Column) -> Column:
     return x.isNull() | F.isnan(x) | (x < 0)
 
 
-def scale_after(known: str, ex_date: Column, inclusive: bool = True) -> Column:
-    """Product of 1 + stock over the known events from ex_date on."""
-    later = F.filter(known, lambda e: e["ex_date"] >= ex_date if inclusive else e["ex_date"] > ex_date)
-    return F.aggregate(later, F.lit(1.0), lambda acc, e: acc * (1 + e["stock"]))
-
-
-def cash_per_current_share(days: int = 365) -> Column:
-    """Cash of the last `days` days per share of today; NULL if an amount in it is unknown."""
-    recent = F.filter("known", lambda e: F.datediff(F.col("session"), e["ex_date"]).between(0, days - 1))
-    first = F.array_min(F.transform(recent, lambda e: e["ex_date"]))
-    unknown = F.exists(recent, lambda e: _bad(e["cash"])) | F.exists("known", lambda e: (e["ex_date"] >= first) & _bad(e["stock"]))
-    total = F.aggregate(recent, F.lit(0.0), lambda acc, e: acc + e["cash"] / scale_after("known", e["ex_date"]))
-    return F.when(F.size(recent) == 0, 0.0).when(~unknown, total)
-
-
-def dividend_cycle(max_age: int = MAX_REPORT_AGE) -> dict[str, Column]:
-    """Cash of the last fiscal cycle per share of today, its status and last period, from `known` events
-    (ex_date, imp_ann, end_date, cash, stock, conflict) of a session.
-
-    A closing distribution makes a year with that year's interims. A new interim takes the place of last year's only if
-    there was one. What cannot be proven is no zero: it is a status without cash.
-    """
-    s, known = F.col("session"), F.col("known")
-    at = lambda e, m, d: (F.month(e["end_date"]) == m) & (F.dayofmonth(e["end_date"]) == d)
-    dates = lambda xs, f: F.transform(xs, f)
-    annual = F.filter(known, lambda e: at(e, 12, 31) & (e["end_date"] <= s))
-    end = F.array_max(dates(annual, lambda e: e["end_date"]))
-    base = F.filter(known, lambda e: F.year(e["end_date"]) == F.year(end))
-    interim = F.filter(base, lambda e: e["end_date"] < end)
-    interim_before = F.exists(known, lambda e: (F.year(e["end_date"]) == F.year(end) - 1) & (at(e, 6, 30) | at(e, 9, 30)))
-    newer = F.array_max(dates(F.filter(known, lambda e: e["end_date"] > end), lambda e: e["end_date"]))
-    year_ago = F.add_months(newer, -12)
-    rolls = newer.isNotNull() & (F.year(newer) == F.year(end) + 1) & F.exists(interim, lambda e: e["end_date"] == year_ago)
-    rolls = F.coalesce(rolls, F.lit(False))
-    selected = F.when(rolls, F.filter(known, lambda e: (e["end_date"] > year_ago) & (e["end_date"] <= newer))).otherwise(base)
-    last = F.when(rolls, newer).otherwise(end)
-    ready = F.when(rolls, "rolling_split_cycle").when(newer.isNotNull(), "frequency_transition").when(F.size(interim) > 0, "annual_split").otherwise("annual_once")
-    oldest = F.add_months(last, -12)
-    odd = F.exists(known, lambda e: ~(at(e, 6, 30) | at(e, 9, 30) | at(e, 12, 31)) & (e["end_date"] > oldest))
-    newest_ex = F.array_max(dates(selected, lambda e: e["ex_date"]))
-    repeated = F.size(F.array_distinct(dates(selected, lambda e: e["end_date"]))) < F.size(selected)
-    amount_bad = F.exists(selected, lambda e: F.coalesce(e["conflict"], F.lit(False)) | _bad(e["cash"]))
-    first_ex = F.array_min(dates(selected, lambda e: e["ex_date"]))
-    share_bad = F.exists(known, lambda e: (e["ex_date"] >= first_ex) & _bad(e["stock"]))
-    status = (
-        F.when(F.size(known) == 0, "no_known_cycle")
-        .when(F.exists(known, lambda e: e["end_date"].isNull()), "period_missing")
-        .when(F.size(annual) == 0, "annual_cycle_not_complete")
-        .when(F.exists(known, lambda e: e["end_date"] > s), "period_after_information_date")
-        .when((F.size(interim) == 0) & interim_before, "expected_interim_missing")
-        .when(odd, "nonstandard_period").when(F.datediff(s, newest_ex) > max_age, "stale_cycle").when(repeated, "several_payments_of_a_period")
-        .when(amount_bad, "amount_or_event_conflict").when(share_bad, "share_distribution_unknown").otherwise(ready)
-    )
-    total = F.aggregate(selected, F.lit(0.0), lambda acc, e: acc + e["cash"] / scale_after("known", e["ex_date"]))
-    return {"status": status, "total": total, "period_end": last}
-
-
-CYCLE_READY = ("annual_once", "annual_split", "rolling_split_cycle", "frequency_transition")
-
-
-def with_dividend_cycle(sessions: DataFrame, events: DataFrame, max_age: int = MAX_REPORT_AGE) -> DataFrame:
-    x = with_events(sessions, events, ("ex_date", "imp_ann", "end_date", "cash", "stock", "conflict")).withColumns(dividend_cycle(max_age))
-    ready = F.col("status").isin(*CYCLE_READY)
-    return x.withColumn("cash", F.when(ready, F.col("total"))).drop("known", "total")
-
-
 def reference_changes(bars: DataFrame, events: DataFrame) -> DataFrame:
     """bars with `unexplained`: whether pre_close departs from the close before, adjusted for a known event of the day."""
     e = events.select("inst", F.col("ex_date").alias("session"), "cash", "stock", "imp_ann", F.lit(True).alias("_event"))
@@ -234,16 +159,6 @@ def reference_changes(bars: DataFrame, events: DataFrame) -> DataFrame:
     return x.withColumn("unexplained", F.when(F.col("_before").isNotNull(), unknown | off).otherwise(F.lit(False))).drop("_event", "_before")
 
 
-def per_current_share(sessions: DataFrame, events: DataFrame, breaks: DataFrame) -> DataFrame:
-    """A reported per-share `value` in shares of today, NULL if a break or an unknown share change lies after the report."""
-    stops = breaks.groupBy("inst").agg(F.array_sort(F.collect_set("session")).alias("_breaks"))
-    x = with_events(sessions, events).join(stops, "inst", "left")
-    broken = F.exists(F.coalesce("_breaks", F.array()), lambda d: (d > F.col("report_date")) & (d <= F.col("session")))
-    after = F.filter("known", lambda e: e["ex_date"] > F.col("report_date"))
-    scale = F.aggregate(after, F.lit(1.0), lambda acc, e: acc * (1 + e["stock"]))
-    return x.withColumn("per_share", F.when(~broken & ~F.exists(after, lambda e: _bad(e["stock"])), F.col("value") / scale)).drop("known", "_breaks")
-
-
 def total_return_segments(bars: DataFrame, events: DataFrame) -> DataFrame:
     """Gross total return of each session and its status; level and segment start again at every session that is not ready."""
     w = by_instrument()

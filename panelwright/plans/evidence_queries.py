@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evidence as E
 from ..operators import panel as P
 from ..operators import research as R
+from ..operators.events import economic_return_label
 from ..operators.exprs import average_rank, by_instrument, by_session, safe_div, safe_log
 from ..operators.windows import crossings, rolling_rank, segmented_index, with_return
 from ..sources.fixture import bars
@@ -53,7 +54,7 @@ def j7(df):
 
 @table("j8_economic_total_return_label", f"{_EVENTS}, h as (select inst, session, lead(session, 1) over w i0, lead(session, 14) over w i1, lead(open, 1) over w p0, lead(open, 14) over w p1 from bars window w as (partition by inst order by session)), e as (select h.inst, h.session, e.cash, e.stock, coalesce(product(1 + e.stock) over (partition by h.inst, h.session order by e.ex_date rows between unbounded preceding and 1 preceding), 1) sh from h join ev e on e.inst = h.inst and e.ex_date > h.i0 and e.ex_date <= h.i1), g as (select inst, session, product(1 + stock) shares, sum(sh * cash) cash, count(*) n, count(cash) nc, count(stock) ns from e group by 1, 2), t as (select h.inst, h.session, case when coalesce(n = nc and n = ns, true) then (coalesce(shares, 1) * p1 + coalesce(cash, 0)) / p0 - 1 end total from h left join g using (inst, session)) select inst, session, round(total, 5) + 0.0 total, round(total - avg(total) over (partition by session), 5) + 0.0 relative from t", ("session",))
 def j8(spark, sf_dir):
-    x = E.economic_return_label(bars(spark, sf_dir).select("inst", "session", "open"), events(spark, sf_dir), 13)
+    x = economic_return_label(bars(spark, sf_dir).select("inst", "session", "open"), events(spark, sf_dir), 13)
     return x.select("inst", "session", r("total", 5).alias("total"), r("relative", 5).alias("relative"))
 
 

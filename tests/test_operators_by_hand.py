@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelwright.operators import events as V
 from panelwright.operators import evidence as E
 from panelwright.operators import facts as X
 from panelwright.operators import gates as G
@@ -48,14 +49,14 @@ CYCLE = "inst int, ex_date date, imp_ann date, end_date date, cash double, stock
 ])
 def test_dividend_cycles(spark, events, session, cash, status):
     ev = spark.createDataFrame([(1, x, x - dt.timedelta(5), e, c, s, False) for x, e, c, s in events], CYCLE)
-    got = X.with_dividend_cycle(spark.createDataFrame([(1, session)], "inst int, session date"), ev).first()
+    got = V.with_dividend_cycle(spark.createDataFrame([(1, session)], "inst int, session date"), ev).first()
     assert got.status == status and (got.cash is None if cash is None else got.cash == pytest.approx(cash))
 
 
 def test_an_event_announced_late_is_not_known(spark):
     ev = spark.createDataFrame([(1, day(1), day(3), 1.0, 0.5)], "inst int, ex_date date, imp_ann date, cash double, stock double")
     s = spark.createDataFrame([(1, day(i)) for i in range(6)], "inst int, session date")
-    got = {r.session: r.c for r in X.with_events(s, ev).withColumn("c", X.cash_per_current_share()).select("session", "c").collect()}
+    got = {r.session: r.c for r in V.cash_per_current_share(s, ev).withColumnRenamed("cash", "c").collect()}
     assert [got[day(i)] for i in range(6)] == [0, 0, 0, 0, pytest.approx(1 / 1.5), pytest.approx(1 / 1.5)]
 
 
