@@ -401,10 +401,11 @@ def confirmed_regime(df: DataFrame, group: str, raw: str, down: int, up: int) ->
 def feature_panel(df: DataFrame, columns: Sequence[str], n: int, least: int) -> DataFrame:
     """Changes over n sessions and mid-rank percentiles within n of each column, returns, volatility, drawdown and relative
     momentum of close."""
-    from .windows import rolling_rank
+    from .order_stats import with_history_percentile
 
     w = by_instrument()
-    out = {f"{c}_change": F.col(c) - F.lag(c, n).over(w) for c in columns} | {f"{c}_pct": rolling_rank(c, n, least) for c in columns}
+    df = with_history_percentile(df, {f"{c}_pct": c for c in columns}, n, least) if columns else df
+    out = {f"{c}_change": F.col(c) - F.lag(c, n).over(w) for c in columns}
     ret = safe_div("close", F.lag("close", 1).over(w)) - 1
     x = df.withColumns(out).withColumns({"ret13": safe_div("close", F.lag("close", 13).over(w)) - 1, "ret26": safe_div("close", F.lag("close", 26).over(w)) - 1, "_ret": ret})
     x = x.withColumns({"vol13": F.stddev_samp("_ret").over(by_instrument(13)), "dd26": safe_div("close", F.max("close").over(by_instrument(26))) - 1})

@@ -257,13 +257,6 @@ def ex_right_reference(before, cash, bonus, rights, rights_price) -> Column:
 # ---- sector indicators
 
 
-def history_percentile(x: str, n: int, least: int) -> Column:
-    """Mid-rank of today's value among the values of the last n sessions, today included, with `least` of them known."""
-    from .windows import rolling_rank
-
-    return rolling_rank(x, n, least)
-
-
 def sector_indicators(panel: DataFrame, trend: int, strength: int) -> DataFrame:
     """(session, indicator, value) from a panel of pb_pct, yield_pct, earnings_pct, quality_gate, nim_change, profit_growth,
     npl_improvement, provision_change, cet1_change, level and segment of each member, and a benchmark level of the session."""

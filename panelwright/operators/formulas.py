@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exprs import by_instrument, by_session, rolling_full, rolling_partial, safe_div, safe_log
+from .order_stats import Trailing, with_trailing
 from .windows import ewm_std, rolling_skew
 
 WINDOWS = (5, 10, 20, 30, 60)
@@ -50,16 +51,21 @@ def _when_extreme(x: str, n: int, sign: int) -> Column:
     return F.max_by("seq", key).over(by_instrument(n))
 
 
+def with_close_order(df: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFrame:
+    """df with the order statistics of close that extremes() reads, in one pass for all windows."""
+    return with_trailing(df, {f"_close{n}": Trailing("close", n, quantiles=(0.8, 0.2)) for n in windows})
+
+
 def extremes(n: int) -> dict[str, Column]:
+    """Columns over rows of with_close_order()."""
     w = by_instrument(n)
     hi, lo = rolling_partial("high", n, "max"), rolling_partial("low", n, "min")
-    values = F.collect_list("close").over(w)
-    below, same = F.size(F.filter(values, lambda v: v < F.col("close"))), F.size(F.filter(values, lambda v: v == F.col("close")))
+    own = f"_close{n}"
     first, at_max, at_min = F.min("seq").over(w), _when_extreme("high", n, 1), _when_extreme("low", n, -1)
     return {
         f"max{n}": safe_div(hi, "close"), f"min{n}": safe_div(lo, "close"),
-        f"qtlu{n}": safe_div(F.percentile("close", F.lit(0.8)).over(w), "close"), f"qtld{n}": safe_div(F.percentile("close", F.lit(0.2)).over(w), "close"),
-        f"rank{n}": F.when(F.col("close").isNotNull(), safe_div(below + (same + 1) / 2, F.count("close").over(w))),
+        f"qtlu{n}": safe_div(f"{own}_q0", "close"), f"qtld{n}": safe_div(f"{own}_q1", "close"),
+        f"rank{n}": safe_div(F.col(f"{own}_below") + (F.col(f"{own}_same") + 1) / 2, f"{own}_size"),
         f"rsv{n}": safe_div(F.col("close") - lo, hi - lo + EPS),
         f"imax{n}": (at_max - first + 1) / n, f"imin{n}": (at_min - first + 1) / n, f"imxd{n}": (at_max - at_min) / n,
     }

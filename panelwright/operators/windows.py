@@ -19,16 +19,6 @@ def rolling_regression(y, n: int) -> dict[str, Column]:
     return {"slope": F.when(full, slope), "r2": F.when(full & (F.var_pop(y).over(w) > 1e-12), F.regr_r2(y, x).over(w)), "resid": F.when(full, y - base - slope * x)}
 
 
-def rolling_rank(x, n: int, least: int = 1, past: bool = False) -> Column:
-    """Share of a trailing window that lies below today's value, ties by half; the window may leave today out.
-
-    One array of the window's values a row: n bounds its size."""
-    x, w = col(x), by_instrument().rowsBetween(-n, -1) if past else by_instrument(n)
-    values = F.collect_list(x).over(w)
-    below, same = F.size(F.filter(values, lambda v: v < x)), F.size(F.filter(values, lambda v: v == x))
-    return F.when(x.isNotNull() & (F.size(values) >= least), (below + same / 2) / F.size(values))
-
-
 def since_extremum(x, n: int, largest: bool = True) -> Column:
     """Sessions since the window's first largest (smallest) value."""
     x, seq = col(x), F.col("seq")

@@ -9,7 +9,8 @@ from ..operators import panel as P
 from ..operators import research as R
 from ..operators.events import economic_return_label
 from ..operators.exprs import average_rank, by_instrument, by_session, safe_div, safe_log
-from ..operators.windows import crossings, rolling_rank, segmented_index, with_return
+from ..operators.order_stats import with_history_percentile
+from ..operators.windows import crossings, segmented_index, with_return
 from ..sources.fixture import bars
 from .base import _N, _W, FWD, MOM, ORACLES, RET, panel, r
 from .fact_queries import _EVENTS, events
@@ -303,7 +304,7 @@ def j60(df):
 
 @panel("j61_local_high_flag", "w as (select a.inst, a.session, a.close, count(b.close) n, count(case when b.close < a.close then 1 end) + count(case when b.close = a.close then 1 end) / 2.0::double k from bars a left join bars b on a.inst = b.inst and b.seq between a.seq - 26 and a.seq - 1 group by a.inst, a.session, a.close) select inst, session, case when n = 26 and close is not null then k / n >= 0.8 end high from w")
 def j61(df):
-    return df.select("inst", "session", (rolling_rank("close", 26, 26, past=True) >= 0.8).alias("high"))
+    return with_history_percentile(df, {"pct": "close"}, 26, 26, past=True).select("inst", "session", (F.col("pct") >= 0.8).alias("high"))
 
 
 @panel("j62_feature_correlation_matrix", f"{_IC.split(', ic as (')[0]}, wr as (select inst, session, factor, rank() over (partition by factor order by val) + (count(*) over (partition by factor, val) - 1) / 2.0::double rk from fl where val is not null) select a.factor left_id, b.factor right_id, count(*) n, round(corr(a.rk, b.rk), 5) + 0.0 corr from wr a join wr b using (inst, session) where list_position(['mom', 'size', 'vol'], a.factor) < list_position(['mom', 'size', 'vol'], b.factor) group by 1, 2", ())

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as V
 from ..operators import facts as X
+from ..operators.order_stats import with_history_percentile
 from ..operators.exprs import by_instrument, by_session, safe_div
 from ..sources.fixture import bars
 from .base import _N, _W, RET, r
@@ -344,9 +345,10 @@ def h18(spark, sf_dir):
     from ..operators.windows import segmented_index, with_return
 
     b = segmented_index(with_return(bars(spark, sf_dir)), "ret").withColumns({"pb": F.col("close"), "yld": F.col("volume"), "eyld": F.col("amount")})
+    b = with_history_percentile(b, {"pb_pct": "pb", "yield_pct": "yld", "earnings_pct": "eyld"}, 120, 60)
     w = by_instrument()
     d1, d2 = F.col("pb") - F.lag("pb", 4).over(w), F.col("yld") - F.lag("yld", 4).over(w)
-    p = b.withColumns({"pb_pct": X.history_percentile("pb", 120, 60), "yield_pct": X.history_percentile("yld", 120, 60), "earnings_pct": X.history_percentile("eyld", 120, 60), "nim_change": d1, "profit_growth": d2, "npl_improvement": d2, "provision_change": d1, "cet1_change": d2, "quality_gate": F.when(F.col("inst") % 3 != 0, 1), "benchmark": 100.0 + F.col("seq")})
+    p = b.withColumns({"nim_change": d1, "profit_growth": d2, "npl_improvement": d2, "provision_change": d1, "cet1_change": d2, "quality_gate": F.when(F.col("inst") % 3 != 0, 1), "benchmark": 100.0 + F.col("seq")})
     return X.sector_indicators(p, 20, 13).withColumn("val", F.when(F.col("indicator") == "relative_strength", r("val", 0)).otherwise(r("val", 8)))
 
 

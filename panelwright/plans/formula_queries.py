@@ -7,6 +7,7 @@ from ..operators import formulas as K
 from ..operators import panel as P
 from ..operators import windows as V
 from ..operators.exprs import by_instrument, by_session, rolling_partial, safe_div
+from ..operators.order_stats import Trailing, with_trailing
 from ..operators.windows import with_return
 from .base import _N, _W, FWD, MOM, RET, panel, r
 
@@ -25,7 +26,7 @@ def _over(x, n):
     return f"{x} {_N.format(n - 1)}"
 
 
-def _family(name, source, sql, python, prefix=None, digits=5):
+def _family(name, source, sql, python, prefix=None, digits=5, prepare=K.with_changes):
     """Register a family of rolling formulas over all windows."""
     texts = {}
     for n in K.WINDOWS:
@@ -33,7 +34,7 @@ def _family(name, source, sql, python, prefix=None, digits=5):
 
     @panel(name, f"{prefix + ' ' if prefix else ''}select inst, session, {_sql(texts, digits)} from {source}")
     def run(df):
-        return K.with_changes(df).select("inst", "session", *rounded(K.all_windows(python), digits))
+        return prepare(df).select("inst", "session", *rounded(K.all_windows(python), digits))
 
     return run
 
@@ -61,7 +62,7 @@ _family("h4_extremes_windows", "bars", {
     "rank{n}": lambda n: f"case when close is not null then (len(list_filter({_list(n)}, lambda x: x < close)) + (len(list_filter({_list(n)}, lambda x: x = close)) + 1) / 2.0::double) / {_over('count(close)', n)} end",
     "rsv{n}": lambda n: f"(close - {_lo(n)}) / ({_hi(n)} - {_lo(n)} + 1e-12)",
     "imax{n}": lambda n: f"({_amax(n)} - {_over('min(seq)', n)} + 1) / {n}.0::double", "imin{n}": lambda n: f"({_amin(n)} - {_over('min(seq)', n)} + 1) / {n}.0::double", "imxd{n}": lambda n: f"({_amax(n)} - {_amin(n)}) / {n}.0::double",
-}, K.extremes)
+}, K.extremes, prepare=K.with_close_order)
 
 
 def _corr_sql(a, b, n):
@@ -164,8 +165,8 @@ def e3(df):
 
 @panel("e5_rolling_quantiles", f"select inst, session, round(quantile_cont(close, 0.8) {_N.format(19)}, 6) + 0.0 q80, round(quantile_cont(close, 0.2) {_N.format(19)}, 6) + 0.0 q20 from bars")
 def e5(df):
-    q = lambda p: r(F.percentile("close", F.lit(p)).over(by_instrument(20)))
-    return df.select("inst", "session", q(0.8).alias("q80"), q(0.2).alias("q20"))
+    x = with_trailing(df, {"w": Trailing("close", 20, quantiles=(0.8, 0.2))})
+    return x.select("inst", "session", r("w_q0").alias("q80"), r("w_q1").alias("q20"))
 
 
 @panel("e7_rolling_argmin", f"select inst, session, coalesce(seq - {_over('arg_min(seq, low)', 20)}, -1) age from bars")

@@ -3,10 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import order_stats as O
 from ..operators import windows as V
 from ..operators.exprs import by_instrument, by_session, rolling_full, rolling_partial, safe_div, safe_log
 from ..operators.panel import market_return
 from .base import _N, _W, RET, panel, r
+from .research_queries import table
 
 _PAIR = "a.inst = b.inst and b.seq between a.seq - {0} and a.seq - {1}"
 
@@ -20,7 +22,7 @@ def e4(df):
 
 @panel("e6_rolling_ts_rank", f"select a.inst, a.session, round(case when a.close is not null then (count(case when b.close < a.close then 1 end) + count(case when b.close = a.close then 1 end) / 2.0) / count(b.close) end, 6) + 0.0 ts_rank from bars a join bars b on {_PAIR.format(19, 0)} group by a.inst, a.session, a.close")
 def e6(df):
-    return df.select("inst", "session", r(V.rolling_rank("close", 20)).alias("ts_rank"))
+    return O.with_history_percentile(df, {"p": "close"}, 20, 1).select("inst", "session", r("p").alias("ts_rank"))
 
 
 @panel("e7_rolling_argmax", f"w as (select *, max(high) {_N.format(19)} mx from bars) select a.inst, a.session, coalesce(a.seq - min(b.seq), -1) age from w a left join bars b on {_PAIR.format(19, 0)} and b.high = a.mx group by a.inst, a.session, a.seq")
@@ -52,12 +54,36 @@ def e11(df):
 
 @panel("e12_history_percentile", f"select a.inst, a.session, round(case when a.close is not null and count(b.close) >= 60 then (count(case when b.close < a.close then 1 end) + count(case when b.close = a.close then 1 end) / 2.0) / count(b.close) end, 6) + 0.0 pct from bars a join bars b on {_PAIR.format(251, 0)} group by a.inst, a.session, a.close")
 def e12(df):
-    return df.select("inst", "session", r(V.rolling_rank("close", 252, 60)).alias("pct"))
+    return O.with_history_percentile(df, {"p": "close"}, 252, 60).select("inst", "session", r("p").alias("pct"))
 
 
 @panel("e13_past_rank", f"select a.inst, a.session, round(case when a.close is not null and count(b.close) >= 60 then (count(case when b.close < a.close then 1 end) + count(case when b.close = a.close then 1 end) / 2.0) / count(b.close) end, 6) + 0.0 pct from bars a left join bars b on {_PAIR.format(120, 1)} group by a.inst, a.session, a.close")
 def e13(df):
-    return df.select("inst", "session", r(V.rolling_rank("close", 120, 60, past=True)).alias("pct"))
+    return O.with_history_percentile(df, {"p": "close"}, 120, 60, past=True).select("inst", "session", r("p").alias("pct"))
+
+
+# ---- three years of days: the windows that the weekly bars are too short for
+
+
+def daily(spark, sf_dir):
+    """One price a day of each instrument, from all lines; days without a line are missing from its series."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_quantity > 0")
+    day = li.groupBy((F.col("l_suppkey") % 20).cast("int").alias("inst"), F.col("l_shipdate").cast("date").alias("session"))
+    return day.agg(F.sum("l_extendedprice").cast("double").alias("amt"), F.sum("l_quantity").cast("double").alias("qty")).select("inst", "session", r(F.col("amt") / F.col("qty"), 2).alias("close"))
+
+
+_DAILY = "dl as (select cast(l_suppkey % 20 as int) inst, cast(l_shipdate as date) as session, round(sum(l_extendedprice)::double / sum(l_quantity)::double, 2) + 0.0 as close from lineitem where l_quantity > 0 group by 1, 2), dn as (select *, row_number() over (partition by inst order by session) i from dl)"
+_THREE_YEARS = "select a.inst, a.session, round(case when count(b.close) >= 504 then (count(case when b.close < a.close then 1 end) + count(case when b.close = a.close then 1 end) / 2.0::double) / count(b.close) end, 6) + 0.0 pct from dn a left join dn b on a.inst = b.inst and b.i between a.i - {} and a.i - {} group by a.inst, a.session, a.close"
+
+
+@table("e12_history_percentile_three_years", f"with {_DAILY} " + _THREE_YEARS.format(755, 0), ("session",), False)
+def e12_long(spark, sf_dir):
+    return O.with_history_percentile(daily(spark, sf_dir), {"p": "close"}, 756, 504).select("inst", "session", r("p").alias("pct"))
+
+
+@table("e13_past_rank_three_years", f"with {_DAILY} " + _THREE_YEARS.format(756, 1), ("session",), False)
+def e13_long(spark, sf_dir):
+    return O.with_history_percentile(daily(spark, sf_dir), {"p": "close"}, 756, 504, past=True).select("inst", "session", r("p").alias("pct"))
 
 
 @panel("e14_segmented_index", f"""{RET}, s as (select *, sum(case when ret is null then 1 else 0 end) over (partition by inst order by session) segment from ret)

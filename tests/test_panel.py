@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import panel as P
 from panelwright.operators import research as R
+from panelwright.operators import order_stats as O
 from panelwright.operators import windows as V
 from panelwright.operators.exprs import ref
 from panelwright.plans import registry
@@ -65,7 +66,7 @@ def test_a_segment_starts_again_after_a_gap(spark):
 
 def test_past_rank_leaves_today_out(spark):
     df = _bars(spark, [1.0, 2.0, 3.0, 2.0, None])
-    got = [r.p for r in df.select("session", V.rolling_rank("close", 3, 1, past=True).alias("p")).orderBy("session").collect()]
+    got = [r.p for r in O.with_history_percentile(df, {"p": "close"}, 3, 1, past=True).orderBy("session").collect()]
     assert got == [None, 1.0, 1.0, pytest.approx(0.5), None]
 
 
