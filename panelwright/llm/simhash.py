@@ -26,6 +26,8 @@ SHARD = 1 << 14
 VISITORS = 1 << 20
 #: Fingerprints of which the vantage points are chosen. The choice changes the balance of shards, never the pairs found.
 SAMPLE = 4096
+#: Bytes of text, and pairs of fingerprints, that a task works on at once.
+RUN_BYTES, CELLS = 1 << 19, 1 << 18
 #: Below this many home fingerprints a branch of a tree is compared with its queries one by one.
 LEAF = 192
 U = np.uint64
@@ -65,11 +67,11 @@ def majority(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
     full = np.flatnonzero(count)
     ends = np.concatenate([[0], np.cumsum(count[full])])
     i = 0
-    while i < len(full):  # some 2^17 hashes at a time; one longer document is added up in pieces
-        j = max(i + 1, int(np.searchsorted(ends, ends[i] + (1 << 17), "right")) - 1)
+    while i < len(full):  # some 2^16 hashes at a time; one longer document is added up in pieces
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + (1 << 16), "right")) - 1)
         total = np.zeros((j - i, BITS), np.int64)
-        for a in range(ends[i], ends[j], 1 << 17):
-            b = min(a + (1 << 17), ends[j])
+        for a in range(ends[i], ends[j], 1 << 16):
+            b = min(a + (1 << 16), ends[j])
             bits = np.unpackbits(hashes[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             total += np.add.reduceat(bits, ends[i:j] - a, axis=0, dtype=np.int64) if j > i + 1 else bits.sum(axis=0, dtype=np.int64)
         bit = (2 * total > count[full[i:j], None]).astype(np.uint8)
@@ -80,8 +82,8 @@ def majority(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def _fingerprint_rows(batches):
     for batch in batches:
-        for rows, offsets, data in runs(batch):
-            w = split(offsets, data, lower=True)
+        for rows, offsets, data in runs(batch, limit=RUN_BYTES):
+            w = split(offsets, data, lower=True, hashed=False)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(signed(majority(*shingle_hashes(w, w.data))))], names=["doc_id", "fp"])
 
 
@@ -171,7 +173,7 @@ class _Classes:
             self._flatten()
 
     def compare(self, home: np.ndarray, query: np.ndarray):
-        step = max(1, (1 << 20) // max(len(query), 1))
+        step = max(1, CELLS // max(len(query), 1))
         for k in range(0, len(home), step):
             h = home[k : k + step]
             i, j = np.nonzero(np.bitwise_count(self.fp[h][:, None] ^ self.fp[query][None]) <= REACH)

@@ -94,8 +94,9 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix(out)
 
 
-def split(offsets: np.ndarray, data: np.ndarray, lower: bool = False, stops: np.ndarray = _SPACE) -> Words:
-    """Words of the documents whose bytes data[offsets[i]:offsets[i+1]] holds; `stops` marks the bytes between words."""
+def split(offsets: np.ndarray, data: np.ndarray, lower: bool = False, stops: np.ndarray = _SPACE, hashed: bool = True) -> Words:
+    """Words of the documents whose bytes data[offsets[i]:offsets[i+1]] holds; `stops` marks the bytes between words.
+    Hashes are zero if not asked for."""
     data = _LOWER[data] if lower else data
     n = len(data)
     cut = np.zeros(n + 1, bool)
@@ -106,7 +107,7 @@ def split(offsets: np.ndarray, data: np.ndarray, lower: bool = False, stops: np.
     end = np.flatnonzero(full[1:-1] & (~full[2:] | cut[1:])) + 1
     doc = np.searchsorted(offsets, start, "right") - 1
     first = np.searchsorted(start, offsets)
-    return Words(doc, start, end, word_hashes(data, start, end), first, data)
+    return Words(doc, start, end, word_hashes(data, start, end) if hashed else np.zeros(len(start), np.uint64), first, data)
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
