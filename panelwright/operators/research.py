@@ -68,14 +68,6 @@ def period_returns(df: DataFrame, entity: str, ret: str) -> DataFrame:
     return has.groupBy(entity, "y", "q").agg(F.count("*").alias("n"), F.when(lost, -1.0).otherwise(F.exp(F.sum(F.when(F.col(ret) > -1, F.log1p(ret)))) - 1).alias("total"))
 
 
-def interval_latest(left: DataFrame, intervals: DataFrame, key: str, time: str, start: str, stop: str, value: str) -> DataFrame:
-    """For each left row the interval [start, stop) that holds it, the latest start first, then the largest value."""
-    left_keys = left.select(key, time).distinct()
-    j = left_keys.join(intervals.withColumnRenamed(key, "__k"), (F.col(key) == F.col("__k")) & (F.col(time) >= F.col(start)) & (F.col(stop).isNull() | (F.col(time) < F.col(stop))))
-    best = j.groupBy(key, time).agg(F.max(F.struct(start, value)).getField(value).alias(value))
-    return left.join(best, [key, time], "left")
-
-
 def holm(df: DataFrame, p: str, family: str) -> DataFrame:
     """Step-down adjusted p in each family; a missing p counts as 1."""
     w = Window.partitionBy(family)

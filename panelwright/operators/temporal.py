@@ -41,21 +41,6 @@ def listed_sessions(securities: DataFrame, calendar: DataFrame, key: str = "k")
     return x.select(key, "session", F.row_number().over(Window.partitionBy(key).orderBy("session")).alias("listed_number"))
 
 
-def interval_latest(left: DataFrame, intervals: DataFrame, key: str, time: str, start: str, stop: str, values: Sequence[str], order: Sequence[Column], closed: bool = False, open_start: bool = False) -> DataFrame:
-    """left with `values` of the interval that holds its time, the first by `order`; repeated left rows stay.
-
-    [start, stop) or, if closed, [start, stop]; open_start leaves the start out. A NULL stop never ends. The search runs
-    over the distinct (key, time) of left.
-    """
-    t, v = F.col(f"l.{time}"), intervals.select(F.col(key).alias("_k"), *[c for c in intervals.columns if c != key])
-    begun = t > F.col(start) if open_start else t >= F.col(start)
-    inside = F.col(stop).isNull() | (t <= F.col(stop) if closed else t < F.col(stop))
-    j = left.select(key, time).distinct().alias("l").join(v, (F.col(f"l.{key}") == F.col("_k")) & begun & inside)
-    rn = F.row_number().over(Window.partitionBy(f"l.{key}", f"l.{time}").orderBy(*order))
-    best = j.withColumn("_rn", rn).filter("_rn = 1").select(f"l.{key}", f"l.{time}", *values)
-    return left.join(best, [key, time], "left")
-
-
 def asof_within(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, days: int) -> DataFrame:
     """As asof_strict, but NULL where the value is older than `days`."""
     x = asof_strict(left, right, key, left_time, right_time, value)

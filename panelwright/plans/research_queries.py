@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.sweep import interval_latest
 from ..operators import panel as P
 from ..operators import research as R
 from ..operators.exprs import by_instrument, by_session, safe_div, safe_log
@@ -108,12 +109,13 @@ def c16(df):
 @table("c13_pit_membership_semi", MEMBERS + " select inst, session from bars where exists (select 1 from members m where m.inst = bars.inst and bars.session >= in_date and (out_date is null or bars.session < out_date))", ("session",))
 def c13(spark, sf_dir):
     b, m = bars(spark, sf_dir).select("inst", "session"), members(spark, sf_dir)
-    return b.join(m, (b.inst == m.inst) & (b.session >= m.in_date) & (m.out_date.isNull() | (b.session < m.out_date)), "left_semi")
+    x = interval_latest(b, m.withColumn("member", F.lit(True)), "inst", "session", "in_date", "out_date", ["member"], [F.desc("in_date")])
+    return x.filter("member").drop("member")
 
 
 @table("c18_pit_industry_snapshot", MEMBERS + ", k as (select bars.inst, session, grp, row_number() over (partition by bars.inst, session order by in_date desc nulls last, grp desc) rn from bars left join members m on m.inst = bars.inst and session >= in_date and (out_date is null or session < out_date)) select inst, session, coalesce(grp, -1) grp from k where rn = 1", ("session",))
 def c18(spark, sf_dir):
-    return R.interval_latest(bars(spark, sf_dir).select("inst", "session"), members(spark, sf_dir), "inst", "session", "in_date", "out_date", "grp").select("inst", "session", F.coalesce("grp", F.lit(-1)).alias("grp"))
+    return interval_latest(bars(spark, sf_dir).select("inst", "session"), members(spark, sf_dir), "inst", "session", "in_date", "out_date", ["grp"], [F.desc("in_date"), F.desc("grp")]).select("inst", "session", F.coalesce("grp", F.lit(-1)).alias("grp"))
 
 
 @panel("d3_grouped_corr_regr", "select session, count(*) n, round(regr_slope(close, volume), 5) + 0.0 slope, round(covar_samp(close, volume), 3) + 0.0 cov, round(stddev_pop(close), 5) + 0.0 sd from bars where close is not null group by session having count(*) >= 5")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import panel as P
 from ..operators import temporal as T
+from ..operators.sweep import interval_latest
 from ..operators.exprs import by_instrument, safe_div
 from ..operators.windows import revisions
 from ..sources.fixture import bars, oracle
@@ -48,14 +49,14 @@ def c3(spark, sf_dir):
 def c4(spark, sf_dir):
     m = members(spark, sf_dir).withColumn("ann", F.date_add("in_date", F.col("grp").cast("int")))
     known = m.withColumn("from_date", F.greatest("in_date", "ann"))
-    x = T.interval_latest(bars(spark, sf_dir).select("inst", "session"), known, "inst", "session", "from_date", "out_date", ["grp"], [F.desc("in_date"), F.desc("ann"), F.desc("grp")], closed=True)
+    x = interval_latest(bars(spark, sf_dir).select("inst", "session"), known, "inst", "session", "from_date", "out_date", ["grp"], [F.desc("in_date"), F.desc("ann"), F.desc("grp")], closed=True)
     return x.select("inst", "session", F.coalesce("grp", F.lit(-1)).alias("grp"))
 
 
 @table("c6_bitemporal_interval_join", f"{_FACTS}, v as (select *, row_number() over w revision, lead(available) over w valid_to from facts window w as (partition by inst, period_end order by available, k, value)), j as (select b.inst, b.session, v.k, row_number() over (partition by b.inst, b.session order by v.available desc nulls last, v.revision desc, v.k desc) rn from bars b left join v on v.inst = b.inst and v.available < b.session and (v.valid_to is null or b.session < v.valid_to)) select inst, session, coalesce(k, -1) k from j where rn = 1", ("session",))
 def c6(spark, sf_dir):
     v = revisions(facts(spark, sf_dir), ["inst", "period_end"], "available", ["k", "value"])
-    x = T.interval_latest(bars(spark, sf_dir).select("inst", "session"), v, "inst", "session", "available", "valid_to", ["k"], [F.desc("available"), F.desc("revision"), F.desc("k")], open_start=True)
+    x = interval_latest(bars(spark, sf_dir).select("inst", "session"), v, "inst", "session", "available", "valid_to", ["k"], [F.desc("available"), F.desc("revision"), F.desc("k")], open_start=True)
     return x.select("inst", "session", F.coalesce("k", F.lit(-1)).alias("k"))
 
 

@@ -11,7 +11,7 @@ from panelwright.operators import evidence as E
 from panelwright.operators import facts as X
 from panelwright.operators import gates as G
 from panelwright.operators import reference as N
-from panelwright.operators import regression
+from panelwright.operators import regression, sweep
 from panelwright.operators import research as R
 from panelwright.operators import temporal as M
 from panelwright.plans import evidence_queries as Q
@@ -71,7 +71,7 @@ def test_as_of_keeps_repeated_rows_and_is_strict(spark):
 def test_interval_keeps_repeated_rows(spark):
     left = spark.createDataFrame([(1, day(1)), (1, day(1)), (1, day(9))], "inst int, session date")
     iv = spark.createDataFrame([(1, day(0), day(3), "x"), (1, day(1), day(5), "y")], "inst int, a date, b date, g string")
-    for got in (M.interval_latest(left, iv, "inst", "session", "a", "b", ["g"], [F.desc("a")]), R.interval_latest(left, iv, "inst", "session", "a", "b", "g")):
+    for got in (sweep.interval_latest(left, iv, "inst", "session", "a", "b", ["g"], [F.desc("a")]),):
         assert sorted((r.session, r.g or "") for r in got.collect()) == [(day(1), "y"), (day(1), "y"), (day(9), "")]
 
 
