@@ -329,36 +329,6 @@ def allocations(scores: DataFrame, score: str, tilt: float) -> DataFrame:
     return x.select("session", "inst", F.col("_best").cast("double").alias("winner"), tilted.alias("tilted"), F.when(total > 0, F.coalesce(positive, F.lit(0.0)) / total).otherwise(1 / n).alias("by_score"))
 
 
-def hysteresis(leaders: DataFrame, group: str, margin: float, confirmations: int, hold: int) -> DataFrame:
-    """Who is held at each session: the leader takes over when it has led the held one by the margin for `confirmations`
-    sessions in a row and the held one has been held for `hold` sessions.
-
-    leaders: (group, seq, scores: map of candidate -> score). A fold over each group's ordered sessions, as one array."""
-    items = leaders.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("seq", F.map_entries("scores").alias("scores")))).alias("_s"))
-    kind = "struct<held:string,run:int,age:int,out:array<struct<seq:int,held:string,switched:boolean>>>"
-    start = F.from_json(F.lit('{"run":0,"age":0,"out":[]}'), kind)
-
-    def top(scores):
-        """The best candidate, ties by name."""
-        return F.array_min(F.transform(scores, lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("k"))))["k"]
-
-    def of(scores, key):
-        return F.try_element_at(F.filter(scores, lambda e: e["key"] == key), F.lit(1))["value"]
-
-    def step(acc, e):
-        leader, held = top(e["scores"]), acc["held"]
-        first = held.isNull()
-        ahead = ~first & (leader != held) & (of(e["scores"], leader) >= F.coalesce(of(e["scores"], held), F.lit(-1e300)) + margin)
-        run = F.when(ahead, acc["run"] + 1).otherwise(0)
-        move = ahead & (run >= confirmations) & (acc["age"] >= hold)
-        now = F.when(first | move, leader).otherwise(held)
-        out = F.concat(acc["out"], F.array(F.struct(e["seq"].cast("int").alias("seq"), now.alias("held"), F.coalesce(move, F.lit(False)).alias("switched"))))
-        return F.struct(now.alias("held"), F.when(first | move, 0).otherwise(run).cast("int").alias("run"), F.when(first | move, 1).otherwise(acc["age"] + 1).cast("int").alias("age"), out.alias("out")).cast(kind)
-
-    done = items.select(group, F.explode(F.aggregate("_s", start, step)["out"]).alias("o"))
-    return done.select(group, "o.*")
-
-
 def raw_regime(gap, breadth, drawdown) -> Column:
     """strong, weak or base of a market by its gap to the average, breadth and drawdown; NULL while one is unknown."""
     known = col(gap).isNotNull() & col(breadth).isNotNull() & col(drawdown).isNotNull()

@@ -10,6 +10,7 @@ from ..operators import research as R
 from ..operators.events import economic_return_label
 from ..operators.exprs import average_rank, by_instrument, by_session, safe_div, safe_log
 from ..operators.order_stats import with_history_percentile
+from ..operators.switching import Rule, switches
 from ..operators.windows import crossings, segmented_index, with_return
 from ..sources.fixture import bars
 from .base import _N, _W, FWD, MOM, ORACLES, RET, panel, r
@@ -341,9 +342,9 @@ def j43(df):
     return with_return(df).select("inst", "session", r(F.exp(rolling_full(F.log1p("ret"), 20, "sum")) - 1, 5).alias("trail"))
 
 
-@panel("j44_candidate_allocation", f"{MOM}, c as (select inst, session, mom from mom where inst < 6), w as (select *, row_number() over (partition by session order by mom desc nulls last, inst) = 1 best, count(*) over (partition by session) n, sum(greatest(mom, 0)) over (partition by session) tot from c) select inst, session, case when best then 1.0::double else 0.0::double end winner, round(case when best then 0.6::double / n + 0.4::double else 0.6::double / n end, 6) + 0.0 tilted, round(case when tot > 0 then coalesce(greatest(mom, 0), 0) / tot else 1.0::double / n end, 6) + 0.0 by_score from w")
+@panel("j44_candidate_allocation", f"{MOM}, c as (select inst, session, mom from mom), w as (select *, row_number() over (partition by session order by mom desc nulls last, inst) = 1 best, count(*) over (partition by session) n, sum(greatest(mom, 0)) over (partition by session) tot from c) select inst, session, case when best then 1.0::double else 0.0::double end winner, round(case when best then 0.6::double / n + 0.4::double else 0.6::double / n end, 6) + 0.0 tilted, round(case when tot > 0 then coalesce(greatest(mom, 0), 0) / tot else 1.0::double / n end, 6) + 0.0 by_score from w")
 def j44(df):
-    x = E.allocations(P.with_momentum(df).filter("inst < 6").select("inst", "session", "mom"), "mom", 0.4)
+    x = E.allocations(P.with_momentum(df).select("inst", "session", "mom"), "mom", 0.4)
     return x.withColumns({"tilted": r("tilted"), "by_score": r("by_score")})
 
 
@@ -357,15 +358,34 @@ def j44_blend(df):
     return hold.join(al, ["session", "grp"]).groupBy("session", "inst").agg(r(F.sum(F.col("wt") * F.col("by_score"))).alias("weight"))
 
 
-def leader_scores(df):
-    x = P.with_momentum(df).filter("mom is not null").withColumn("grp", F.concat(F.lit("g"), F.col("inst") % 4))
-    g = x.groupBy("seq", "grp").agg(F.avg("mom").alias("s"))
-    return g.groupBy("seq").agg(F.map_from_entries(F.collect_list(F.struct("grp", "s"))).alias("scores")).withColumn("book", F.lit("a"))
+#: A lead above 0.02, confirmed twice by one challenger, not before the fourth period of a book's choice.
+SWITCH_RULE = Rule(0.02, 2, 4)
 
 
-@panel("j45_hysteresis_switch", "", ())
+def book_scores(df, *more):
+    """Five books, each of the four instruments that follow one another, scored by momentum."""
+    x = P.with_momentum(df).filter("mom is not null").select(F.concat(F.lit("b"), F.floor(F.col("inst") / 4)).alias("book"), "seq", *more, F.concat(F.lit("g"), F.col("inst") % 4).alias("g"), "mom")
+    return x.groupBy("book", "seq", *more).agg(F.map_from_entries(F.collect_list(F.struct("g", "mom"))).alias("scores"))
+
+
+SWITCH_SQL = f"""{MOM}, bk as (select 'b' || cast(inst // 4 as varchar) book, seq, 'g' || cast(inst % 4 as varchar) g, mom from mom where mom is not null),
+rk as (select *, row_number() over (partition by book, seq order by mom desc, g) k from bk),
+ld as (select book, seq, max(g) filter (k = 1) leader, max(mom) filter (k = 1) - max(mom) filter (k = 2) lead from rk group by 1, 2 having count(*) >= 2),
+od as (select *, row_number() over (partition by book order by seq) n from ld),
+sw as (with recursive w(book, n, seq, leader, lead, held, rival, streak, age, switched, reason) as (
+  select book, n, seq, leader, lead, leader, null::varchar, 0, 0, true, 'initial_selection' from od where n = 1
+  union all
+  select book, n, seq, leader, lead, case when reason = 'switch_confirmed' then leader else held end, case when reason = 'awaiting_confirmation' then leader end,
+    case when reason = 'awaiting_confirmation' then run else 0 end, case when reason = 'switch_confirmed' then 0 else age end, reason = 'switch_confirmed', reason
+  from (select *, case when leader = held then 'active_leads' when lead <= {SWITCH_RULE.margin} then 'below_threshold' when age < {SWITCH_RULE.hold} then 'minimum_hold' when run < {SWITCH_RULE.confirmations} then 'awaiting_confirmation' else 'switch_confirmed' end reason
+    from (select od.*, w.held, w.age + 1 age, case when w.rival = od.leader then w.streak + 1 else 1 end run from w join od on od.book = w.book and od.n = w.n + 1)))
+  select * from w)
+select book, seq, leader, round(lead, 6) + 0.0 lead, held, switched, reason from sw"""
+
+
+@panel("j45_hysteresis_switch", SWITCH_SQL, ())
 def j45(df):
-    return E.hysteresis(leader_scores(df), "book", 0.02, 2, 4)
+    return switches(book_scores(df), SWITCH_RULE).withColumn("lead", r("lead"))
 
 
 def market_state(df):
@@ -492,6 +512,6 @@ def j41(df):
     return x.select("inst", "y", "q", "n", r("total", 5).alias("total"))
 
 
-for _name in ("j26_cluster_threshold_cut", "j45_hysteresis_switch", "j46_regime_exposure", "j49_walk_forward_ridge", "j50_walk_forward_gbt", "j51_prediction_diagnostics"):
+for _name in ("j26_cluster_threshold_cut", "j46_regime_exposure", "j49_walk_forward_ridge", "j50_walk_forward_gbt", "j51_prediction_diagnostics"):
     ORACLES.pop(_name)  # no SQL form: tested by hand and brute force
 __all__ = ["rounded"]

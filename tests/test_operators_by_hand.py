@@ -14,8 +14,7 @@ from panelwright.operators import reference as N
 from panelwright.operators import regression, sweep
 from panelwright.operators import research as R
 from panelwright.operators import temporal as M
-from panelwright.plans import evidence_queries as Q
-from panelwright.plans import streaming_queries as K
+from panelwright.plans import evidence_queries as Q  # noqa: F401
 from panelwright.sources import ingest as I
 from panelwright.sources import tables as T
 
@@ -114,44 +113,6 @@ def test_conditional_ic_is_that_of_residuals(spark):
     assert rows[0].full_r2 == pytest.approx(1 - ((y - full @ np.linalg.lstsq(full, y, rcond=None)[0]) ** 2).sum() / ((y - y.mean()) ** 2).sum(), abs=1e-5)
 
 
-def loop_switch(rows, margin, confirmations, hold):
-    held, age, run, out = None, 0, 0, []
-    for seq, scores in rows:
-        leader = min(scores, key=lambda c: (-scores[c], c))
-        ahead = held is not None and leader != held and scores[leader] >= scores.get(held, -1e300) + margin
-        run = run + 1 if ahead else 0
-        move = ahead and run >= confirmations and age >= hold
-        if held is None or move:
-            held, age, run = leader, 1, 0
-        else:
-            age += 1
-        out.append((seq, held, move))
-    return out
-
-
-def test_switches_by_a_plain_loop_and_as_a_stream(spark):
-    from panelwright.sources.fixture import bars
-
-    scores = Q.leader_scores(bars(spark, SF))
-    want = loop_switch(sorted((r.seq, r.scores) for r in scores.select("seq", "scores").collect()), 0.02, 2, 4)
-    got = sorted((r.seq, r.held, r.switched) for r in E.hysteresis(scores, "book", 0.02, 2, 4).collect())
-    assert got == want and sum(m for *_, m in want) > 3
-    stream = K.k2_stream_hysteresis(spark, SF)
-    assert stream.count() == len(want)  # files may come in any order; each session has its row
-
-
-def test_stream_of_ordered_files_is_the_batch(spark, tmp_path):
-    from panelwright.streaming import panel as S
-
-    rng = np.random.default_rng(8)
-    rows = [("a", i, {c: float(x) for c, x in zip("pqr", rng.normal(size=3))}) for i in range(40)]
-    schema = "book string, seq int, scores map<string,double>"
-    for k in range(4):
-        spark.createDataFrame(rows[k * 10 : k * 10 + 10], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    out = S.drain(S.switches(S.read_bars(spark, str(tmp_path / "in"), spark.createDataFrame(rows[:1], schema).schema), 0.5, 2, 3), str(tmp_path))
-    assert sorted((r.seq, r.held, r.switched) for r in out.collect()) == loop_switch([(s, m) for _, s, m in rows], 0.5, 2, 3)
-
-
 def test_regimes_need_confirmation(spark):
     raw = ["strong", "strong", "strong", None, "weak", "weak", "strong", "weak", "base", "base", "base"]
     d = spark.createDataFrame([("a", i, x) for i, x in enumerate(raw)], "g string, seq int, raw string")
