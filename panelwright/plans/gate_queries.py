@@ -80,7 +80,7 @@ _FIN = f"with {_FACTS}, vs as (select *, available valid_from, case when k % 41
 def l4(spark, sf_dir):
     f = facts(spark, sf_dir)
     v = revisions(f, ["inst", "period_end"], "available", ["k", "value"]).withColumn("valid_from", F.col("available")).withColumn("valid_to", F.when(F.col("k") % 41 == 0, F.date_sub("available", 5)).otherwise(F.col("valid_to")))
-    return G.audit_financial(v, [f.filter("k % 2 = 0"), f.filter("k % 2 = 1"), f.limit(1)], f.filter("k % 17 = 0"))
+    return G.audit_financial(v, [f.filter("k % 2 = 0"), f.filter("k % 2 = 1"), f.orderBy("k").limit(1)], f.filter("k % 17 = 0"))
 
 
 _REC = _O + ", rc as (select k // 4 * 4 as key, cast(k % 2 as int) revision, day published, case when k % 19 = 0 then day - 1 else day + 1 end available, case when k % 23 = 0 then day - 2 else day + 2 end ingested, case when k % 29 = 0 then ' ' else 'src' end lineage, sha256('=' || k || '|' || '=' || status) recomputed, case when k % 31 = 0 then 'x' else sha256('=' || k || '|' || '=' || status) end digest from o)"
@@ -146,10 +146,12 @@ def l10(df):
     return compared(df)
 
 
-@panel("l12_verify_bank_values", f"{MOM}, w as (select inst, session, seq, mom, close, lag(close, 5) over (partition by inst order by session) c5, min(session) over (partition by inst, year(session)) a, max(session) over (partition by inst, year(session)) b from mom where inst % 2 = 0), e as (select *, case when c5 <> 0 then close / c5 - 1 end again from w where session = a or session = b) select 'only_new' check_name, 0 violations union all select 'only_old', count(*) from e where seq % 8 = 0 union all select 'metadata', 0 union all select 'null_mask', 0 union all select 'values', count(*) from e where seq % 8 <> 0 and seq % 9 = 0 and abs(mom) * 0.001 > 1e-12", ())
+@panel("l12_verify_bank_values", f"{MOM}, w as (select inst, session, seq, mom, close, lag(close, 5) over (partition by inst order by session) c5, min(session) over (partition by inst, year(session)) a, max(session) over (partition by inst, year(session)) b from (select *, avg(close) over (partition by inst) > (select avg(close) from bars) eligible from mom) where eligible), e as (select *, case when c5 <> 0 then close / c5 - 1 end again from w where session = a or session = b) select 'only_new' check_name, 0 violations union all select 'only_old', count(*) from e where seq % 8 = 0 union all select 'metadata', 0 union all select 'null_mask', 0 union all select 'values', count(*) from e where seq % 8 <> 0 and seq % 9 = 0 and abs(mom) * 0.001 > 1e-12", ())
 def l12(df):
     """Published values against witnesses computed anew at the first and last session of each instrument's year."""
-    x = P.with_momentum(df).filter("inst % 2 = 0")
+    # eligible: instruments that trade above the average of the market
+    level = df.groupBy("inst").agg(F.avg("close").alias("_own")).crossJoin(F.broadcast(df.agg(F.avg("close").alias("_all"))))
+    x = P.with_momentum(df).join(level.select("inst", (F.col("_own") > F.col("_all")).alias("eligible")), "inst").filter("eligible").drop("eligible")
     w = Window.partitionBy("inst", F.year("session"))
     ends = x.withColumns({"_a": F.min("session").over(w), "_b": F.max("session").over(w)}).filter("session = _a or session = _b")
     old = df.select("inst", (F.col("seq") + 5).alias("seq"), F.col("close").alias("c5"))

@@ -48,14 +48,12 @@ def b10(df):
     return wide.unpivot(["inst", "session"], ["open0", "high0", "low0"], "factor", "val")
 
 
-@panel("b11_long_to_wide", "select session, round(max(case when inst = 0 then close end), 5) + 0.0 i0, round(max(case when inst = 1 then close end), 5) + 0.0 i1, round(max(case when inst = 2 then close end), 5) + 0.0 i2 from bars where inst in (0, 1, 2) group by session")
-def b11(df):
-    wide = df.filter(F.col("inst").isin(0, 1, 2)).groupBy("session").pivot("inst", [0, 1, 2]).agg(F.max("close"))
-    return wide.select("session", *(r(F.col(str(i)), 5).alias(f"i{i}") for i in range(3)))
+_WIDE_CLOSE = "select session, " + ", ".join(f"round(max(case when inst = {i} then close end), 5) + 0.0 i{i}" for i in range(20)) + " from bars group by session"
 
 
-@panel("b11_long_to_wide_all", "select session, " + ", ".join(f"round(max(case when inst = {i} then close end), 5) + 0.0 i{i}" for i in range(20)) + " from bars group by session")
-def b11_all(df):
+@panel("b11_long_to_wide", _WIDE_CLOSE)
+@panel("b11_long_to_wide_all", _WIDE_CLOSE)
+def b11(df):
     wide = df.groupBy("session").pivot("inst", list(range(20))).agg(F.max("close"))
     return wide.select("session", *(r(F.col(str(i)), 5).alias(f"i{i}") for i in range(20)))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import order_stats as O
+from ..operators import user_factors as U
 from ..operators import windows as V
 from ..operators.exprs import by_instrument, by_session, rolling_full, rolling_partial, safe_div, safe_log
 from ..operators.panel import market_return
@@ -62,6 +63,38 @@ def e13(df):
     return O.with_history_percentile(df, {"p": "close"}, 120, 60, past=True).select("inst", "session", r("p").alias("pct"))
 
 
+# ---- factors by users: two that the library has too
+
+
+@U.factor(["close"], 5)
+def user_momentum(h):
+    return U.safe_div(h.now("close"), h.lag("close", 5)) - 1
+
+
+@U.factor(["close", "volume"], 20)
+def user_average_gap(h):
+    """Close against its mean of 20 sessions, by the share of today's volume in theirs."""
+    return (U.safe_div(h.now("close"), h.mean("close", 20)) - 1) * U.safe_div(h.now("volume"), h.sum("volume", 20))
+
+
+def with_availability(df):
+    """Bars with the time at which each was available: some come weeks late."""
+    return df.withColumn("available_at", F.date_add("session", F.when((F.col("inst") + F.col("seq")) % 11 == 0, 40).otherwise(1)))
+
+
+_AVAILABLE = "av as (select *, session + case when (inst + seq) % 11 = 0 then 40 else 1 end known from bars)"
+
+
+@panel("s14_user_momentum", f"{_AVAILABLE} select inst, session, round(close / nullif(lag(close, 5) {_W}, 0) - 1, 6) + 0.0 as value, cast(greatest(known, lag(known, 5) {_W}) as varchar) available from av")
+def s14_momentum(df):
+    return user_momentum(with_availability(df)).select("inst", "session", r("value").alias("value"), F.to_date("available_at").cast("string").alias("available"))
+
+
+@panel("s14_user_average_gap", f"{_AVAILABLE} select inst, session, round(case when count(close) {_N.format(19)} = 20 and count(volume) {_N.format(19)} = 20 then (close / avg(close) {_N.format(19)} - 1) * volume / sum(volume) {_N.format(19)} end, 6) + 0.0 as value, cast(max(known) {_N.format(19)} as varchar) available from av")
+def s14_gap(df):
+    return user_average_gap(with_availability(df)).select("inst", "session", r("value").alias("value"), F.to_date("available_at").cast("string").alias("available"))
+
+
 # ---- three years of days: the windows that the weekly bars are too short for
 
 

@@ -16,3 +16,9 @@ def test_all_instruments_are_pivoted(spark):
 def test_keys_of_one_release_are_counted(spark):
     got = registry.QUERIES["c12_overlap_full_diff"](spark, SF).first()
     assert got.old_only > 0 and got.new_only > 0 and got.differing > 0 and got.keys == got.pairs + got.old_only + got.new_only
+
+
+def test_entry_has_rows(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
