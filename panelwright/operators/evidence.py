@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,31 +192,6 @@ def canonical_members(groups: DataFrame, priority: Column) -> DataFrame:
     return groups.withColumn("canonical", F.min(key).over(w)["i"]).withColumn("members", F.count("*").over(w))
 
 
-def average_linkage(distances: DataFrame, threshold: float) -> DataFrame:
-    """(family, id, cluster): average linkage of each family's (left_id, right_id, distance) cut at the threshold.
-
-    A family has a few hundred ids at most; each is one group. Merges take the nearest pair, ties by their members."""
-
-    def cut(pdf):
-        import pandas as pd
-
-        ids = sorted(set(pdf.left_id) | set(pdf.right_id))
-        d = {frozenset(p): x for *p, x in zip(pdf.left_id, pdf.right_id, pdf.distance)}
-        groups = [(i,) for i in ids]
-
-        def mean(a, b):
-            return sum(d[frozenset((x, y))] for x in a for y in b) / (len(a) * len(b))
-
-        while len(groups) > 1:
-            best = min((mean(a, b), a, b) for k, a in enumerate(groups) for b in groups[k + 1 :])
-            if best[0] > threshold:
-                break
-            groups = sorted([g for g in groups if g not in best[1:]] + [tuple(sorted(best[1] + best[2]))])
-        return pd.DataFrame([(pdf.family.iloc[0], m, g[0]) for g in groups for m in g], columns=["family", "id", "cluster"])
-
-    return distances.groupBy("family").applyInPandas(cut, "family string, id string, cluster string")
-
-
 def medoids(clusters: DataFrame, distances: DataFrame) -> DataFrame:
     """Adds mean_distance to the other members of the cluster and the representative: nearest to all, then smallest id."""
     both = distances.select("left_id", "right_id", "distance").unionByName(distances.select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"), "distance"))
@@ -432,15 +408,34 @@ def walk_forward_ridge(df: DataFrame, features: Sequence[str], label: str, label
     return test.join(F.broadcast(model), "refit").select("inst", "session", "refit", label, (dot + F.col("base")).alias("prediction"))
 
 
-def boosted_trees(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, rounds: int = 10, depth: int = 3) -> DataFrame:
-    """Predictions of gradient-boosted trees and, in the column `importance`, the gain share of each feature."""
+def walk_forward_trees(df: DataFrame, features: Sequence[str], label: str, label_end: str, refits: DataFrame, rounds: int = 10, depth: int = 3, most_missing: float = 0.8, seed: int = 7) -> DataFrame:
+    """(inst, session, refit, label, prediction, importance) for the sessions of [refit, next_refit): gradient-boosted trees,
+    fitted anew at each refit from labels that ended before it, with the share of the gain of each feature.
+
+    Features are treated as in walk_forward_ridge: too many NULLs in training leave one out, other NULLs become the median
+    of training and are flagged (feature `x_missing`), so every row gets a prediction. A refit without training rows gives
+    none. refits: (refit, next_refit), some dozens of rows, each one distributed fit."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    pack = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
-    model = GBTRegressor(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, seed=7).fit(pack.transform(train.filter(F.col(label).isNotNull())))
-    gain = F.create_map(*(F.lit(v) for c, g in zip(features, model.featureImportances.toArray()) for v in (c, float(g))))
-    return model.transform(pack.transform(test)).drop("_x").withColumn("importance", gain)
+    d = written(df.select("inst", "session", label, label_end, *features))
+    out = []
+    for refit, until in sorted(tuple(r) for r in refits.select("refit", "next_refit").collect()):
+        train = d.filter((F.col(label_end) < F.lit(refit)) & F.col(label).isNotNull())
+        seen = train.agg(F.count("*").alias("_n"), *(F.median(c).alias(f"m_{c}") for c in features), *(F.count(c).alias(f"n_{c}") for c in features)).first()
+        used = [c for c in features if seen._n and seen[f"n_{c}"] >= (1 - most_missing) * seen._n and seen[f"n_{c}"]]
+        if not used:
+            continue
+        filled = lambda x, used=used, seen=seen: x.withColumns({f"_{c}": F.coalesce(c, F.lit(seen[f"m_{c}"])) for c in used} | {f"_{c}_missing": F.col(c).isNull().cast("double") for c in used})
+        names = [*used, *(f"{c}_missing" for c in used)]
+        pack = VectorAssembler(inputCols=[f"_{c}" for c in names], outputCol="_x")
+        model = GBTRegressor(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed).fit(pack.transform(filled(train)))
+        gain = F.create_map(*(F.lit(v) for c, g in zip(names, model.featureImportances.toArray()) for v in (c, float(g))))
+        test = d.filter((F.col("session") >= F.lit(refit)) & (F.col("session") < F.lit(until)))
+        out.append(model.transform(pack.transform(filled(test))).select("inst", "session", F.lit(refit).alias("refit"), label, "prediction", gain.alias("importance")))
+    if not out:
+        return d.limit(0).select("inst", "session", F.col("session").alias("refit"), label, F.lit(0.0).alias("prediction"), F.create_map(F.lit(""), F.lit(0.0)).alias("importance"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def nested_selection(folds: DataFrame, config: str, session_delta: str, penalty: float = 0.25, least: float = 0.002, positive: int = 2) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelwright.operators import clustering as C
 from panelwright.operators import events as V
 from panelwright.operators import evidence as E
 from panelwright.operators import facts as X
@@ -89,10 +90,10 @@ def test_tail_against_erfc(spark):
 
 def test_average_linkage_by_hand(spark):
     d = spark.createDataFrame([("f", "a", "b", 0.1), ("f", "a", "c", 0.5), ("f", "b", "c", 0.3), ("f", "a", "d", 0.9), ("f", "b", "d", 0.9), ("f", "c", "d", 0.2)], "family string, left_id string, right_id string, distance double")
-    cut = lambda t: {r.id: r.cluster for r in E.average_linkage(d, t).collect()}
+    cut = lambda t: {r.id: r.cluster for r in C.average_linkage(d, t).collect()}
     assert cut(0.05) == {x: x for x in "abcd"} and cut(0.35) == {"a": "a", "b": "a", "c": "c", "d": "c"}
     assert set(cut(0.65).values()) == {"a"}  # mean of 0.5, 0.3, 0.9, 0.9
-    med = {r.id: (r.mean_distance, r.representative) for r in E.medoids(E.average_linkage(d, 0.65), d).collect()}
+    med = {r.id: (r.mean_distance, r.representative) for r in E.medoids(C.average_linkage(d, 0.65), d).collect()}
     assert med["b"] == (pytest.approx((0.1 + 0.3 + 0.9) / 3), "c") and med["a"][1] == "c"
 
 
@@ -147,13 +148,75 @@ def test_ridge_by_a_plain_solve(spark):
     assert not got
 
 
-def test_learners_and_diagnostics_run(spark):
+def test_trees_predict_every_row_that_the_ridge_does(spark):
     from panelwright.plans import registry
 
-    assert registry.QUERIES["j50_walk_forward_gbt"](spark, SF).filter("prediction is not null").count() > 50
+    trees, ridge = (registry.QUERIES[q](spark, SF).select("inst", "session", "refit") for q in ("j50_walk_forward_gbt", "j49_walk_forward_ridge"))
+    assert trees.count() == ridge.count() > 500 and trees.exceptAll(ridge).isEmpty()
     assert registry.QUERIES["j51_prediction_diagnostics"](spark, SF).filter("abs(rank_ic) <= 1").count() > 50
 
 
+def test_a_tree_of_depth_one_by_a_plain_search(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for s in range(40):
+        for i in range(10):
+            a, b = float(rng.integers(0, 9)), None if rng.random() < 0.3 else float(rng.integers(0, 9))
+            rows.append((i, day(s), a, b, None, float((3 if b is None else b > 5) + 0.2 * rng.normal()), day(s + 2)))
+    d = spark.createDataFrame(rows, "inst int, session date, a double, b double, c double, y double, label_end date")
+    refits = spark.createDataFrame([(day(10), day(20)), (day(20), day(30)), (day(0), day(1))], "refit date, next_refit date")
+    got = E.walk_forward_trees(d, ["a", "b", "c"], "y", "label_end", refits, rounds=1, depth=1).collect()
+    assert len(got) == 200
+    for refit, until in ((day(10), day(20)), (day(20), day(30))):
+        train = [r for r in rows if r[6] < refit]
+        med = [float(np.median([r[k] for r in train if r[k] is not None])) for k in (2, 3)]
+        vec = lambda r: (r[2], med[1] if r[3] is None else r[3], 0.0, float(r[3] is None))
+        x, y = np.array([vec(r) for r in train]), np.array([r[5] for r in train])
+        sse = lambda v: ((v - v.mean()) ** 2).sum() if len(v) else 0.0
+        f, cut = min(((f, c) for f in range(4) for c in np.unique(x[:, f])[:-1]), key=lambda p: sse(y[x[:, p[0]] <= p[1]]) + sse(y[x[:, p[0]] > p[1]]))
+        side = {s: y[(x[:, f] <= cut) == s].mean() for s in (True, False)}
+        mine = {(r.inst, r.session): r for r in got if r.refit == refit}
+        for r in rows:
+            if refit <= r[1] < until:
+                g = mine[r[0], r[1]]
+                assert g.prediction == pytest.approx(side[bool(vec(r)[f] <= cut)]) and g.importance[("a", "b", "a_missing", "b_missing")[f]] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_linkage_by_all_means(spark, seed):
+    rng = np.random.default_rng(seed)
+    n = 24
+    x = rng.integers(0, 5 if seed % 2 else 40, (n, n)) / 64  # few values: many ties
+    x = np.minimum(x, x.T)
+    names = [f"n{k:02d}" for k in range(n)]
+    rows = [("f", names[i], names[j], float(x[i, j])) for i in range(n) for j in range(i + 1, n) if (i + j) % 13]
+    rows += [("g", "p", "q", 0.9)]
+    known = {frozenset(r[1:3]): r[3] for r in rows}
+    groups = [[k] for k in names]
+    while True:
+        mean = lambda a, b: sum(known.get(frozenset((p, q)), math.inf) for p in a for q in b) / (len(a) * len(b))
+        pairs = [(mean(a, b), a, b) for k, a in enumerate(groups) for b in groups[k + 1 :]]
+        low = min(p[0] for p in pairs)
+        if low > 0.15 + 1e-12:
+            break
+        _, a, b = min((p for p in pairs if p[0] <= low + 1e-12), key=lambda p: (p[1][0], p[2][0]))
+        groups = sorted([g for g in groups if g not in (a, b)] + [sorted(a + b)])
+    d = spark.createDataFrame(rows, "family string, left_id string, right_id string, distance double")
+    got = {(r.family, r.id): r.cluster for r in C.average_linkage(d, 0.15).collect()}
+    assert got == {("f", m): g[0] for g in groups for m in g} | {("g", "p"): "p", ("g", "q"): "q"}
+
+
+def test_linkage_of_two_thousand_ids_is_quadratic():
+    import time
+
+    rng = np.random.default_rng(3)
+    at = rng.normal(size=(2000, 3))
+    d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(axis=2))
+    t = time.process_time()
+    own = C.merge(d, 0.5)
+    assert time.process_time() - t < 60 and 50 < len(set(own)) < 2000
+
+
 def test_capped_weights_by_filling(spark):
     rng = np.random.default_rng(9)
     rows = [(s, i, float(v)) for s in range(6) for i, v in enumerate(rng.lognormal(0, 1.5, [3, 6, 9, 20, 5, 12][s]))]
