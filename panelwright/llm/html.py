@@ -49,6 +49,7 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
     lines: list[tuple[str, int]] = []  # text and where it stands: 2 in article, 1 in main, 0 elsewhere
     text: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether they are left out
+    places: dict[str, list[int]] = {}  # of each name, where its open elements stand in the stack
     bad = 0
     inside = {"article": 0, "main": 0}
 
@@ -62,17 +63,15 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
         nonlocal bad
         while len(stack) > depth:
             name, out = stack.pop()
+            places[name].pop()
             bad -= out
             if name in inside:
                 inside[name] -= 1
 
     def innermost(names, barrier):
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                return k
-            if stack[k][0] in barrier:
-                break
-        return None
+        last = lambda those: max((places[n][-1] for n in those if places.get(n)), default=-1)
+        k = last(names)
+        return k if k > last(barrier) else None
 
     at, end = 0, len(page)
     while at < end:
@@ -108,6 +107,7 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
             continue
         tokens = " ".join(x or y or z for x, y, z in NAMED.findall(p)).split() if "=" in p else ()
         out = (name in CHROME and not (name == "header" and inside["article"])) or (name not in ("html", "body") and (any(CHROME_NAME.fullmatch(x) for x in tokens) or bool(HIDDEN.search(p))))
+        places.setdefault(name, []).append(len(stack))
         stack.append((name, out))
         bad += out
         if name in inside:

@@ -126,3 +126,14 @@ def test_empty_table_extra_columns_and_long_pages(spark):
     d = spark.createDataFrame([(1, "https://h/1", "<p>" + "w " * 200000 + "</p>", 5, "x")], SCHEMA + ", r int, host string")
     assert html.extract_main_text(d).first().n_chars == 399999
     assert html.extract_main_text(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["<b>x</i>", "<div><p>x", "<table><tr><td>x", "<li>x</ul>", "<span>"])
+def test_parsing_is_linear_in_tags(piece):
+    """Unmatched and nested elements: the stack of open ones grows to 200,000."""
+    import time
+
+    page = "<html><body><article>" + piece * (200_000 // piece.count("<")) + "end"
+    t = time.process_time()
+    lines, marked = html.blocks(page)
+    assert time.process_time() - t < 20 and marked and lines[-1].endswith("end")
