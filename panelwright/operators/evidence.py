@@ -313,34 +313,6 @@ def raw_regime(gap, breadth, drawdown) -> Column:
     return F.when(known, F.when(strong, "strong").when(weak, "weak").otherwise("base"))
 
 
-EXPOSURE = {"strong": 1.0, "base": 0.7, "weak": 0.3}
-
-
-def confirmed_regime(df: DataFrame, group: str, raw: str, down: int, up: int) -> DataFrame:
-    """The regime in force and its exposure: a worse one needs `down` sessions in a row, a better one `up`; an unknown
-    session ends the run. A fold over each group's ordered sessions."""
-    items = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("seq", F.col(raw).alias("raw")))).alias("_s"))
-    kind = "struct<now:string,next:string,run:int,out:array<struct<seq:int,regime:string>>>"
-    start = F.from_json(F.lit('{"now":"base","run":0,"out":[]}'), kind)
-    rank = lambda c: F.when(c == "weak", 0).when(c == "base", 1).when(c == "strong", 2)
-
-    def step(acc, e):
-        raw_, now = e["raw"], acc["now"]
-        wants = raw_.isNotNull() & (raw_ != now)
-        run = F.when(wants & (raw_ == F.coalesce(acc["next"], F.lit(""))), acc["run"] + 1).when(wants, 1).otherwise(0)
-        need = F.when(rank(raw_) < rank(now), down).otherwise(up)
-        move = F.coalesce(wants & (run >= need), F.lit(False))
-        new = F.when(move, raw_).otherwise(now)
-        out = F.concat(acc["out"], F.array(F.struct(e["seq"].cast("int").alias("seq"), new.alias("regime"))))
-        return F.struct(new.alias("now"), F.when(wants & ~move, raw_).alias("next"), F.when(move, 0).otherwise(run).cast("int").alias("run"), out.alias("out")).cast(kind)
-
-    done = items.select(group, F.explode(F.aggregate("_s", start, step)["out"]).alias("o")).select(group, "o.*")
-    exposure = F.lit(None).cast("double")
-    for k, v in EXPOSURE.items():
-        exposure = F.when(F.col("regime") == k, v).otherwise(exposure)
-    return done.withColumn("exposure", exposure)
-
-
 # ---- learning
 
 

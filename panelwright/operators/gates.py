@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 
 
 def count_rules(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -109,10 +110,21 @@ def compare_releases(new: DataFrame, old: DataFrame, keys: Sequence[str], value:
 
 
 def hash_chain(df: DataFrame, ledger: str, seq: str, previous: str, digest: str, content: Sequence[str]) -> DataFrame:
-    """(ledger, seq, reason) of entries that break an append-only chain: number, link to the entry before, own hash."""
-    w = Window.partitionBy(ledger).orderBy(seq)
+    """(ledger, seq, reason) of entries that break an append-only chain: number, link to the entry before, own hash.
+
+    Entries stand in ranges of (ledger, seq), so one ledger spreads over tasks. Inside a range each entry meets the one
+    before it; what comes before a range is the count and last digest of those before, a row a range and ledger.
+    Entries of one number keep an order by their digest."""
+    order = [seq, digest]
+    placed = written(df.repartitionByRange(ledger, *order).withColumn("_range", F.spark_partition_id()))
+    w = Window.partitionBy(ledger, "_range").orderBy(*order)
+    edge = placed.groupBy(ledger, "_range").agg(F.count("*").alias("_n"), F.max(F.struct(*order))[digest].alias("_last"))
+    ranges = Window.partitionBy(ledger).orderBy("_range")
+    before = F.coalesce(F.sum("_n").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = written(edge.select(ledger, "_range", before.alias("_before"), F.lag("_last").over(ranges).alias("_edge")))
     text = F.concat_ws("|", F.coalesce(F.col(previous), F.lit("")), *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in content))
-    x = df.withColumns({"_seq": F.row_number().over(w), "_link": F.coalesce(F.lag(digest).over(w), F.lit(""))})
+    x = placed.join(edge, [ledger, "_range"])
+    x = x.withColumns({"_seq": F.row_number().over(w) + F.col("_before"), "_link": F.coalesce(F.lag(digest).over(w), "_edge", F.lit(""))})
     reasons = F.array_compact(F.array(F.when(F.col(seq) != F.col("_seq"), "sequence"), F.when(F.coalesce(F.col(previous), F.lit("")) != F.col("_link"), "previous_hash"), F.when(F.sha2(text, 256) != F.col(digest), "own_hash")))
     return x.select(ledger, seq, F.explode(reasons).alias("reason"))
 

@@ -77,3 +77,46 @@ def switches(scores: DataFrame, rule: Rule, group: str = "book") -> DataFrame:
     x = leaders(scores).select(F.col(group).alias("book"), F.col("seq").cast("int").alias("seq"), "leader", F.col("lead").cast("double").alias("lead"))
     line = x.repartition("book").sortWithinPartitions("book", "seq")
     return line.mapInArrow(_fold(rule), _SCHEMA.format(kind=x.schema["book"].dataType.simpleString()))
+
+
+# ---- regimes that need confirmation
+
+#: Regimes from worst to best, and the exposure of each.
+EXPOSURE = {"weak": 0.3, "base": 0.7, "strong": 1.0}
+
+
+class Regime(NamedTuple):
+    now: str = "base"
+    wanted: str | None = None
+    run: int = 0
+
+
+def confirm(state: Regime, raw: str | None, down: int, up: int) -> Regime:
+    """The regime after one session: a worse one must stand for `down` sessions in a row, a better one for `up`."""
+    if raw is None or raw == state.now:
+        return Regime(state.now)
+    run = state.run + 1 if raw == state.wanted else 1
+    order = list(EXPOSURE)
+    return Regime(raw) if run >= (down if order.index(raw) < order.index(state.now) else up) else Regime(state.now, raw, run)
+
+
+def confirmed_regime(df: DataFrame, group: str, raw: str, down: int, up: int) -> DataFrame:
+    """(group, seq, regime, exposure): the regime in force, which begins as base; an unknown session ends a run of others. One
+    ordered pass a group, whose task holds the state of one."""
+    x = df.select(F.col(group).alias("group"), F.col("seq").cast("int").alias("seq"), F.col(raw).alias("raw"))
+
+    def run(batches):
+        now, state = object(), Regime()
+        for batch in batches:
+            out = []
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                now, state = key, confirm(state if key == now else Regime(), value, down, up)
+                out.append(state.now)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["group", "seq", "regime"])
+
+    line = x.repartition("group").sortWithinPartitions("group", "seq")
+    done = line.mapInArrow(run, f"group {x.schema['group'].dataType.simpleString()}, seq int, regime string")
+    exposure = F.lit(None).cast("double")
+    for k, v in EXPOSURE.items():
+        exposure = F.when(F.col("regime") == k, v).otherwise(exposure)
+    return done.withColumnRenamed("group", group).withColumn("exposure", exposure)

@@ -11,7 +11,7 @@ from ..operators.clustering import average_linkage
 from ..operators.events import economic_return_label
 from ..operators.exprs import average_rank, by_instrument, by_session, safe_div, safe_log
 from ..operators.order_stats import with_history_percentile
-from ..operators.switching import Rule, switches
+from ..operators.switching import Rule, confirmed_regime, switches
 from ..operators.windows import crossings, segmented_index, with_return
 from ..sources.fixture import bars
 from .base import _N, _W, FWD, MOM, ORACLES, RET, panel, r
@@ -242,6 +242,11 @@ _DUP = f"{_VALC}, ps as (select left_id, right_id, avg(corr) mean from vc where
 
 @panel("j25_near_duplicate_groups", f"{_DUP}, gr as (select id, least(id, coalesce((select min(b) from dg where a = id), id), coalesce((select min(a) from dg where b = id), id)) label from nd) select id, label, first_value(id) over (partition by label order by case when id like 'Z:%' then 0 else 1 end, id) canonical, count(*) over (partition by label) members from gr", ())
 def j25(df):
+    return duplicate_groups(df)
+
+
+def duplicate_groups(df):
+    """Variants of a factor whose ranks agree nearly everywhere, and the one that stands for them."""
     same = F.split("left_id", ":")[1] == F.split("right_id", ":")[1]
     edges = pair_summary(df).filter((F.col("mean") >= 0.95) & same).select("left_id", "right_id")
     nodes = df.sparkSession.createDataFrame([(e,) for e in _ENT], "id string")
@@ -400,9 +405,23 @@ def market_state(df):
     return m.withColumns({"gap": gap, "drawdown": dd}).join(b, "session").withColumn("book", F.lit("a")).withColumn("raw", E.raw_regime("gap", "breadth", "drawdown"))
 
 
-@panel("j46_regime_exposure", "", ())
+_STATE_SQL = f"""{RET}, mk as (select session, any_value(seq) seq, avg(ret) market, avg(case when ret > 0 then 1.0::double when ret is not null then 0.0::double end) breadth from ret group by session),
+ix as (select *, exp(sum(coalesce(case when market > -1 then ln(1 + market) end, 0)) over (order by seq)) idx from mk),
+gp as (select *, case when count(idx) over (order by seq rows between 25 preceding and current row) = 26 then idx / avg(idx) over (order by seq rows between 25 preceding and current row) - 1 end gap, idx / max(idx) over (order by seq rows between 51 preceding and current row) - 1 drawdown from ix),
+rw as materialized (select seq, row_number() over (order by seq) n, case when gap is null or breadth is null or drawdown is null then null when gap > 0 and breadth >= 0.5 and drawdown > -0.1 then 'strong' when gap < 0 and (breadth < 0.4 or drawdown <= -0.2) then 'weak' else 'base' end raw from gp),
+rg as (with recursive w(n, seq, regime, wanted, run) as (
+  select 0::bigint, 0, 'base', null::varchar, 0
+  union all
+  select n, seq, case when move then raw else regime end, case when wants and not move then raw end, case when move or not wants then 0 else again end
+  from (select *, wants and again >= case when list_position(['weak', 'base', 'strong'], raw) < list_position(['weak', 'base', 'strong'], regime) then 2 else 3 end move
+    from (select rw.n, rw.seq, rw.raw, w.regime, coalesce(rw.raw <> w.regime, false) wants, case when rw.raw = w.wanted then w.run + 1 else 1 end again from w join rw on rw.n = w.n + 1)))
+  select * from w where n > 0)
+select 'a' book, seq, regime, case regime when 'weak' then 0.3::double when 'base' then 0.7::double else 1.0::double end exposure from rg"""
+
+
+@panel("j46_regime_exposure", _STATE_SQL, ())
 def j46(df):
-    return E.confirmed_regime(market_state(df).select("book", "seq", "raw"), "book", "raw", 2, 3)
+    return confirmed_regime(market_state(df).select("book", "seq", "raw"), "book", "raw", 2, 3)
 
 
 # ---- learning
@@ -487,14 +506,6 @@ def j53(df):
     return evidence_counts(df).select("factor", F.concat_ws(",", x).alias("routes"))
 
 
-@panel("j54_factor_card", f"{_CARD} select factor, supported, contradicted, mean, coverage, {_ROUTE} routes from ct join cv using (factor)", ())
-def j54(df):
-    long = factor_panel(df).unpivot(["inst", "session"], list(_FACTORS), "factor", "val")
-    cover = long.groupBy("factor").agg(r(F.count("val") / F.count("*")).alias("coverage"))
-    x = E.routes(F.lit(True), "supported", "contradicted", F.lit(False), F.col("factor") != "vol")
-    return evidence_counts(df).join(cover, "factor").withColumn("routes", F.concat_ws(",", x))
-
-
 @panel("j3_size_neutralize_z", f"{MOM}, v as (select inst, session, mom y, ln(amount) x from mom where mom is not null and amount > 0), e as (select inst, session, case when var_pop(x) over w > 1e-12 then y - avg(y) over w - covar_pop(y, x) over w / var_pop(x) over w * (x - avg(x) over w) end e from v window w as (partition by session)) select inst, session, round(case when count(e) over w >= 10 and stddev_pop(e) over w > 1e-12 then (e - avg(e) over w) / stddev_pop(e) over w end, 4) + 0.0 z from e window w as (partition by session)")
 def j3(df):
     from ..operators.exprs import zscore
@@ -518,6 +529,6 @@ def j41(df):
     return x.select("inst", "y", "q", "n", r("total", 5).alias("total"))
 
 
-for _name in ("j26_cluster_threshold_cut", "j46_regime_exposure", "j49_walk_forward_ridge", "j50_walk_forward_gbt", "j50_importance_by_refit", "j51_prediction_diagnostics"):
+for _name in ("j26_cluster_threshold_cut", "j49_walk_forward_ridge", "j50_walk_forward_gbt", "j50_importance_by_refit", "j51_prediction_diagnostics"):
     ORACLES.pop(_name)  # no SQL form: tested by hand and brute force
 __all__ = ["rounded"]

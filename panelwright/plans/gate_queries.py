@@ -1,6 +1,9 @@
 """Queries of the quality gates, over tables with planted faults, with their SQL."""
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -167,16 +170,20 @@ _CHAIN = _O + ", lg as (select status || strftime(day, '%Y-%m') ledger, row_numb
 def ledgers(spark, sf_dir):
     """Chains of hashes, one of each status and month; each seventh entry names a wrong predecessor, each fifth has a false hash."""
     o = orders(spark, sf_dir).withColumn("ledger", F.concat("status", F.date_format("day", "yyyy-MM")))
-    items = o.groupBy("ledger").agg(F.array_sort(F.collect_list(F.struct("k", "priority"))).alias("items"))
-
-    def step(acc, e):
-        n = (F.size(acc) + 1).cast("long")
-        before = F.when(n % 7 == 0, "wrong").otherwise(F.coalesce(F.try_element_at(acc, F.lit(-1))["digest"], F.lit("")))
-        own = F.sha2(F.concat_ws("|", before, e["k"].cast("string"), e["priority"]), 256)
-        return F.concat(acc, F.array(F.struct(n.alias("sq"), e["k"].alias("k"), e["priority"].alias("priority"), before.alias("previous"), own.alias("digest"))))
 
-    start = F.array().cast("array<struct<sq:bigint,k:bigint,priority:string,previous:string,digest:string>>")
-    x = items.select("ledger", F.explode(F.aggregate("items", start, step)).alias("e")).select("ledger", "e.*")
+    def chain(batches):
+        ledger, sq, last = None, 0, ""
+        for batch in batches:
+            out = []
+            for name, k, priority in zip(*(batch.column(c).to_pylist() for c in ("ledger", "k", "priority"))):
+                sq, last = (sq + 1, last) if name == ledger else (1, "")
+                before = "wrong" if sq % 7 == 0 else last
+                last, ledger = hashlib.sha256("|".join((before, str(k), priority)).encode()).hexdigest(), name
+                out.append({"ledger": name, "sq": sq, "k": k, "priority": priority, "previous": before, "digest": last})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("ledger", pa.string()), ("sq", pa.int64()), ("k", pa.int64()), ("priority", pa.string()), ("previous", pa.string()), ("digest", pa.string())]))
+
+    line = o.select("ledger", F.col("k").cast("long").alias("k"), "priority").repartition("ledger").sortWithinPartitions("ledger", "k", "priority")
+    x = line.mapInArrow(chain, "ledger string, sq long, k long, priority string, previous string, digest string")
     return x.withColumn("digest", F.when(F.col("sq") % 5 == 0, "x").otherwise(F.col("digest")))
 
 

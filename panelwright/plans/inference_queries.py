@@ -3,15 +3,18 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E
+from ..operators import panel as P
 from ..operators import regression as X
 from ..operators import resampling as B
-from ..operators.exprs import average_rank
+from ..operators import studies as D
+from ..operators.exprs import average_rank, by_instrument, safe_div
 from ..operators.windows import with_return
 from .base import FWD, MOM, RET, panel, r
-from .evidence_queries import _HYP, _nw_sql, _p_sql, both, directed_ic, factor_panel
+from .evidence_queries import _CARD, _DUP, _FACTORS, _HYP, _nw_sql, _p_sql, both, directed_ic, duplicate_groups, evidence_counts, factor_panel, hypotheses
 
 #: Hypotheses are rejected at this rate of false discoveries.
 ALPHA = 0.1
@@ -168,3 +171,133 @@ def j30(df):
     x = both(df).withColumns({"t": F.col("mom") > 0, "c": F.col("mom") <= 0})
     x = B.bootstrap_contrast(x, "inst", "fwd", "t", "c", "session", 13)
     return x.select("inst", r("observed", 5).alias("observed"), "draws", r("lower", 5).alias("lower"), r("upper", 5).alias("upper"))
+
+
+# ---- a study of market signals over horizons and targets
+
+_HORIZONS = (5, 13)
+_HALF = "1998-06-01"
+
+
+def market_series(df):
+    """One row a session: an index of the market, two signals of it and, for each horizon, the path from the next session on."""
+    log = F.when(F.col("ret") > -1, F.log1p("ret"))
+    m = with_return(df).groupBy("session").agg(F.first("seq").alias("seq"), F.avg(log).alias("market"), F.avg(F.when(F.col("ret").isNotNull(), (F.col("ret") > 0).cast("double"))).alias("breadth"))
+    w = Window.partitionBy(F.lit(0)).orderBy("seq")  # one row a session
+    m = m.withColumn("level", F.exp(F.sum(F.coalesce("market", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    return m.withColumn("trend", safe_div("level", F.lag("level", 8).over(w)) - 1)
+
+
+def market_outcomes(m):
+    w = Window.partitionBy(F.lit(0)).orderBy("seq")
+    rows = None
+    for h in _HORIZONS:
+        start, path = F.lead("level", 1).over(w), w.rowsBetween(1, h + 1)
+        whole = F.lead("level", h + 1).over(w).isNotNull()
+        x = m.select("session", F.lit(h).alias("horizon"), (F.lead("level", h + 1).over(w) / start - 1).alias("gain"), F.when(whole, F.min("level").over(path) / start - 1).alias("low"), F.lead("session", h + 1).over(w).alias("leaves"))
+        rows = x if rows is None else rows.unionByName(x)
+    return rows
+
+
+_MARKET = f"""{RET}, mk as (select session, any_value(seq) seq, avg(case when ret > -1 then ln(1 + ret) end) market, avg(case when ret > 0 then 1.0::double when ret is not null then 0.0::double end) breadth from ret group by session),
+lv as (select *, exp(sum(coalesce(market, 0)) over (order by seq)) as lev from mk),
+sg as (select *, lev / lag(lev, 8) over (order by seq) - 1 trend from lv),
+oc as ({' union all '.join(f"select session, {h} horizon, lead(lev, {h + 1}) over o / lead(lev, 1) over o - 1 gain, case when lead(lev, {h + 1}) over o is not null then min(lev) over (order by seq rows between 1 following and {h + 1} following) / lead(lev, 1) over o - 1 end low, lead(session, {h + 1}) over o leaves from lv window o as (order by seq)" for h in _HORIZONS)}),
+st as (select signal, horizon, target, session, x, y from (select session, 'trend' signal, trend x from sg union all select session, 'breadth', breadth from sg) join (select session, horizon, 'gain' target, gain y from oc union all select session, horizon, 'low', low from oc) using (session))"""
+
+
+def _study_sql() -> str:
+    """CTEs that end in tests(signal, horizon, target, n, beta, se, t, p, status, spearman)."""
+    k = "signal, horizon, target"
+    near = " + ".join(f"(case when {j} <= horizon + 20 then 1 - {j} / (horizon + 21.0::double) else 0 end) * coalesce(lag(score, {j}) over (partition by {k} order by session), 0)" for j in range(1, max(_HORIZONS) + 21))
+    return f"""ha as (select {k}, session, year(session) yr, case when x is not null and y is not null then x end x, case when x is not null and y is not null then y end y from st),
+hb as (select *, x - avg(x) over (partition by {k}, yr) u, y - avg(y) over (partition by {k}, yr) v from ha),
+hc as (select *, sum(u * u) over (partition by {k}) uu, sum(u * v) over (partition by {k}) / sum(u * u) over (partition by {k}) beta from hb),
+hd as (select *, coalesce(u * (v - beta * u), 0) score from hc), he as (select *, score * (score + 2 * ({near})) meat from hd),
+hf as (select {k}, count(x) n, count(distinct yr) filter (x is not null) ny, any_value(beta) b, sum(meat) meat, any_value(uu) uu from he group by {k}),
+hg as (select {k}, n, case when n >= 80 then b end beta, case when n >= 80 then sqrt(greatest(meat, 0) * n / (n - ny - 1)) / uu end se, case when n < 80 then 'insufficient' else 'estimated' end status from hf),
+sr as (select {k}, rank() over (partition by {k} order by x) + (count(*) over (partition by {k}, x) - 1) / 2.0::double rx, rank() over (partition by {k} order by y) + (count(*) over (partition by {k}, y) - 1) / 2.0::double ry from st where x is not null and y is not null),
+sp as (select {k}, corr(rx, ry) spearman from sr group by {k}),
+tests as (select hg.*, beta / se t, {_p_sql('(beta / se)')} p, spearman from hg left join sp using ({k}))"""
+
+
+def _holm_sql(name: str, source: str, order: str) -> str:
+    """CTEs that end in {name}: source with `adjusted`; a missing p counts as 1."""
+    return f"{name}_r as (select *, coalesce(p, 1) pp, row_number() over (order by coalesce(p, 1), {order}) rn, count(*) over () m from {source}), {name} as (select * exclude (pp, rn, m), least(1.0::double, max(pp * (m - rn + 1)) over (order by rn)) adjusted from {name}_r)"
+
+
+_TEST_FIGURES = {"beta": 5, "se": 5, "t": 4, "p": 5, "spearman": 5, "local_p": 4, "joint_p": 4}
+
+
+@panel("j32_signal_tests", f"""{_MARKET}, {_study_sql()}, pr as (select * from (with {_HYP} select p from hp)),
+fm as (select signal, horizon, target, p from tests union all select null, null, null, p from pr), {_holm_sql('jo', 'fm', 'signal, horizon, target')}, {_holm_sql('lo', 'tests', 'signal, horizon, target')}
+select lo.signal, lo.horizon, lo.target, n, {', '.join(f'round({c}, {d}) + 0.0 {c}' for c, d in list(_TEST_FIGURES.items())[:5])}, round(lo.adjusted, 4) + 0.0 local_p, round(jo.adjusted, 4) + 0.0 joint_p, status from (select * exclude (p), p from lo) lo join jo using (signal, horizon, target)""".replace("select lo.signal, lo.horizon, lo.target, n, ", "select signal, horizon, target, n, ").replace("round(p, 5) + 0.0 p", "round(lo.p, 5) + 0.0 p"), ())
+def j32_tests(df):
+    m = E.written(market_series(df))
+    study = D.long_study(m, ["trend", "breadth"], market_outcomes(m), ["gain", "low"])
+    x = D.study_tests(study, _HORIZONS, prior=hypotheses(df).select("p"))
+    return x.select("signal", "horizon", "target", "n", *(r(c, d).alias(c) for c, d in _TEST_FIGURES.items()), "status")
+
+
+_BUCKETS = {"mean": 5, "median": 5, "win": 5, "worst": 5}
+
+
+@panel("j32_contained_buckets", f"""{_MARKET}, rw as (select *, session < date '{_HALF}' early from st join (select session, horizon, leaves from oc) using (session, horizon) where target = 'gain'),
+ct as (select signal, horizon, list_distinct(quantile_cont(x, [0.2, 0.4, 0.6, 0.8])) c from rw where early group by 1, 2),
+bk as (select signal, horizon, case when early then 1 else 2 end half, 1 + len(list_filter(c, lambda q: q <= x)) bucket, y from rw join ct using (signal, horizon) where x is not null and y is not null and year(leaves) <= year(session))
+select signal, horizon, half, cast(bucket as int) bucket, count(*) n, round(avg(y), 5) + 0.0 mean, round(median(y), 5) + 0.0 median, round(avg(case when y > 0 then 1.0::double else 0.0::double end), 5) + 0.0 win, round(min(y), 5) + 0.0 worst from bk group by 1, 2, 3, 4""", ())
+def j32_buckets(df):
+    m = E.written(market_series(df))
+    out = market_outcomes(m)
+    rows = D.long_study(m, ["trend", "breadth"], out.drop("leaves"), ["gain"]).join(out.select("session", "horizon", "leaves"), ["session", "horizon"])
+    x = D.contained_buckets(rows.withColumn("early", F.col("session") < F.to_date(F.lit(_HALF))), ["signal", "horizon"], "x", "y", "early", "leaves")
+    return x.select("signal", "horizon", "half", "bucket", "n", *(r(c, d).alias(c) for c, d in _BUCKETS.items()))
+
+
+# ---- entries of instruments over several horizons
+
+_ENTRY_HORIZONS = (4, 13, 26)
+_ENTRIES = f"""{MOM}, f as (select inst, seq, session, mom > 0.1 up, lag(mom > 0.1) over (partition by inst order by session) was from mom), c as (select inst, seq from f where up and was = false),
+wk as (with recursive w(inst, seq) as (select inst, min(seq) from c group by inst union all select inst, nxt from (select w.inst, (select min(c.seq) from c where c.inst = w.inst and c.seq >= w.seq + 12) nxt from w) where nxt is not null) select * from w),
+fw as ({' union all '.join(f"select inst, seq, {h} horizon, lead(close, {h + 1}) over v / nullif(lead(open, 1) over v, 0) - 1 y from bars window v as (partition by inst order by session)" for h in _ENTRY_HORIZONS)}),
+ev as (select horizon, wk.seq * 1000 + wk.inst place, y from wk join fw using (inst, seq) where y is not null)"""
+_EVENT_FIGURES = {"mean": 5, "median": 5, "win": 5, "worst": 5, "t": 4, "p": 5, "holm_p": 5}
+
+
+@panel("j60_entry_horizons", f"""{_ENTRIES}, {_nw_sql('ev', 'horizon', 'y', 'place', 3, 'nw')}, np as (select horizon, n, mean, t, {_p_sql('t')} p from nw), {_holm_sql('ho', 'np', 'horizon')},
+sm as (select horizon, median(y) median, avg(case when y > 0 then 1.0::double else 0.0::double end) win, min(y) worst from ev group by 1)
+select horizon, n, round(mean, 5) + 0.0 mean, round(median, 5) + 0.0 median, round(win, 5) + 0.0 win, round(worst, 5) + 0.0 worst, round(t, 4) + 0.0 t, round(p, 5) + 0.0 p, round(adjusted, 5) + 0.0 holm_p from ho join sm using (horizon)""", ())
+def j60_horizons(df):
+    from ..operators.temporal import spaced
+    from ..operators.windows import crossings
+
+    anchors = spaced(crossings(P.with_momentum(df), F.col("mom") > 0.1), "inst", "seq", 12).select("inst", F.col("seq").cast("int").alias("seq"))
+    w = by_instrument()
+    rows = None
+    for h in _ENTRY_HORIZONS:
+        x = df.select("inst", "seq", F.lit(h).alias("horizon"), (safe_div(F.lead("close", h + 1).over(w), F.lead("open", 1).over(w)) - 1).alias("y"))
+        rows = x if rows is None else rows.unionByName(x)
+    x = D.event_study(anchors.withColumn("place", F.col("seq") * 1000 + F.col("inst")), rows, ["inst", "seq"], "horizon", "y", "place", 3)
+    return x.select("horizon", "n", *(r(c, d).alias(c) for c, d in _EVENT_FIGURES.items()))
+
+
+# ---- all evidence on a factor in one row
+
+_ROUTES = """concat_ws(',', case when not canonical then 'duplicate' end, case when canonical and supported >= 2 and contradicted = 0 then 'stable_direction' end, case when contradicted > 0 then 'direction_conflict' end,
+  case when outcome = 'supported' then 'incremental' end, case when factor <> 'vol' and canonical then 'tradable' end, case when supported = 0 then 'no_support' end)"""
+
+
+@panel("j54_factor_card", f"""select ev.*, coverage, canonical, members, outcome, round(mean_gain, 5) + 0.0 mean_gain, {_ROUTES} routes
+from (with {_CARD} select factor, supported, contradicted, mean, coverage from ct join cv using (factor)) ev
+join (with {_DUP}, gr as (select id, least(id, coalesce((select min(b) from dg where a = id), id), coalesce((select min(a) from dg where b = id), id)) label from nd)
+  select split_part(id, ':', 2) factor, first_value(id) over (partition by label order by case when id like 'Z:%' then 0 else 1 end, id) = id canonical, count(*) over (partition by label) members, id from gr) du using (factor)
+join (with {_INCREMENT} select factor, outcome, mean_gain from ix) inc using (factor) where id like 'RAW:%'""".replace("select ev.*, coverage,", "select factor, supported, contradicted, mean, coverage,"), ())
+def j54(df):
+    """Each published factor: folds that support or contradict it, coverage, its place among near duplicates, what it adds to
+    the others, and what the evidence is good for."""
+    long = factor_panel(df).unpivot(["inst", "session"], list(_FACTORS), "factor", "val")
+    cover = long.groupBy("factor").agg(r(F.count("val") / F.count("*")).alias("coverage"))
+    dup = duplicate_groups(df).filter(F.col("id").startswith("RAW:")).select(F.split("id", ":")[1].alias("factor"), (F.col("canonical") == F.col("id")).alias("canonical"), "members")
+    gain = increments(df).select("factor", "outcome", r("mean_gain", 5).alias("mean_gain"))
+    x = evidence_counts(df).join(cover, "factor").join(dup, "factor").join(gain, "factor")
+    return x.withColumn("routes", F.concat_ws(",", E.routes("canonical", "supported", "contradicted", F.col("outcome") == "supported", F.col("factor") != "vol")))

@@ -12,7 +12,7 @@ from panelwright.operators import evidence as E
 from panelwright.operators import facts as X
 from panelwright.operators import gates as G
 from panelwright.operators import reference as N
-from panelwright.operators import regression, sweep
+from panelwright.operators import regression, sweep, switching
 from panelwright.operators import research as R
 from panelwright.operators import temporal as M
 from panelwright.plans import evidence_queries as Q  # noqa: F401
@@ -117,9 +117,9 @@ def test_conditional_ic_is_that_of_residuals(spark):
 def test_regimes_need_confirmation(spark):
     raw = ["strong", "strong", "strong", None, "weak", "weak", "strong", "weak", "base", "base", "base"]
     d = spark.createDataFrame([("a", i, x) for i, x in enumerate(raw)], "g string, seq int, raw string")
-    got = [r.regime for r in E.confirmed_regime(d, "g", "raw", 2, 3).orderBy("seq").collect()]
+    got = [r.regime for r in switching.confirmed_regime(d, "g", "raw", 2, 3).orderBy("seq").collect()]
     assert got == ["base", "base", "strong", "strong", "strong", "weak", "weak", "weak", "weak", "weak", "base"]
-    assert [r.exposure for r in E.confirmed_regime(d, "g", "raw", 2, 3).orderBy("seq").collect()][:3] == [0.7, 0.7, 1.0]
+    assert [r.exposure for r in switching.confirmed_regime(d, "g", "raw", 2, 3).orderBy("seq").collect()][:3] == [0.7, 0.7, 1.0]
 
 
 def test_ridge_by_a_plain_solve(spark):
