@@ -48,10 +48,12 @@ class LatestKnown(StatefulProcessor):
         return tuple(record[k] for k in self.places)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [tuple(x.item() if hasattr(x, "item") else x for x in r) for frame in rows for r in frame[[*self.columns, "known_ms"]].itertuples(index=False, name=None)]
+        top = self._rank(tuple(self.best.get())) if self.best.exists() else None
         n = max((k[0] for k in self.waiting.keys()), default=-1) + 1
-        for frame in rows:
-            for record in frame[[*self.columns, "known_ms"]].itertuples(index=False, name=None):
-                record = tuple(x.item() if hasattr(x, "item") else x for x in record)
+        for record in sorted(new, key=lambda r: (r[-1], self._rank(r))):
+            if top is None or self._rank(record) > top:  # one that is known no earlier than a better one never counts
+                top = self._rank(record)
                 self.waiting.updateValue((n,), record)
                 self.handle.registerTimer(record[-1])
                 n += 1
