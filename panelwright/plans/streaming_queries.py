@@ -12,18 +12,26 @@ from .evidence_queries import SWITCH_RULE, SWITCH_SQL, book_scores
 from .research_queries import _FACTS, facts, table
 
 
+_ROWS_A_FILE = 250_000
+
+
 def replay(df: DataFrame, parts: int, by: Column, closing: DataFrame | None = None) -> DataFrame:
-    """A table as the files of a stream, one after another in the order of the number `by`; `closing` comes last, in a file
-    of its own, to move the watermark past all rows."""
+    """A table as the batches of a stream, one after another in the order of the number `by`; `closing` comes last, in a file
+    of its own, to move the watermark past all rows. A batch is one file, or on large tables the same number of files each."""
     path = T.scratch(df.sparkSession)
     rows = T.written(df.withColumn("_by", by))
     lo, hi = rows.agg(F.min("_by"), F.max("_by")).first()
     place = F.floor((F.col("_by") - lo) * parts / (hi - lo + 1))
+    least = min(rows.agg(*(F.count_if(place == k) for k in range(parts))).first())
+    # Dealt in turn by each task, a part has rows for each of its files if it has more rows than tasks times files; so no
+    # file is left out and none slips into another batch.
+    files = max(1, least // max(_ROWS_A_FILE, rows.rdd.getNumPartitions()))
     for k in range(parts):
-        rows.filter(place == k).drop("_by").coalesce(1).write.mode("append").parquet(path)
+        part = rows.filter(place == k).drop("_by")
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(path)
     if closing is not None:
         closing.coalesce(1).write.mode("append").parquet(path)
-    return S.read_bars(df.sparkSession, path, df.schema)
+    return S.read_bars(df.sparkSession, path, df.schema, files)
 
 
 @table("k1_stream_pit_latest", f"with {_FACTS} select inst * 100000 + cast(year(period_end) * 10 + quarter(period_end) as bigint) as key, arg_max(k, row(available, k, value)) k, max(available) available from facts group by 1", ("available",), False)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -15,6 +16,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.switching import Book, Rule, advance, leaders
 
 DAY_MS = 86_400_000
+_NEVER = 2**63 - 1
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -31,54 +33,88 @@ def _ms(c: str):
 
 
 class LatestKnown(StatefulProcessor):
-    """Per key: the best record that is known, and those that are not yet. A record is known once its `known` time (available
-    and ingested) has passed; it is emitted when it is better than the best one so far. A key without news for `keep` ms is
-    dropped; the sink holds its record and keeps the better one should an old one come later."""
+    """Per key: the best record that is known, and those that will replace it once they are known. A record is known once its
+    `known` time (available and ingested) has passed; it is emitted when it is better than the best one so far. One that is
+    known no earlier than a better one never counts and is dropped as it comes, so the state holds one record for a known
+    time at most, and one timer for the first of them. A key without news for `keep` ms is dropped; the sink holds its record
+    and keeps the better one should an old one come later."""
 
     def __init__(self, fields: str, key: str, columns: Sequence[str], order: Sequence[str], keep: int):
-        self.fields, self.key, self.columns, self.keep = fields, key, list(columns), keep
+        self.fields, self.key, self.columns, self.order, self.keep = fields, key, list(columns), list(order), keep
         self.places = [self.columns.index(c) for c in order]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.best = handle.getValueState("best", self.fields + ", known_ms long")
-        self.waiting = handle.getMapState("waiting", "n long", self.fields + ", known_ms long")
+        self.waiting = handle.getListState("waiting", self.fields + ", known_ms long")
 
     def _rank(self, record):
         return tuple(record[k] for k in self.places)
 
+    def _counting(self, x: pd.DataFrame) -> pd.DataFrame:
+        """The rows that are known before all better ones, best first."""
+        x = x.sort_values([*self.order, "known_ms"], ascending=[False] * len(self.order) + [True])
+        return x[x["known_ms"] < x["known_ms"].cummin().shift(fill_value=_NEVER)]
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(x.item() if hasattr(x, "item") else x for x in r) for frame in rows for r in frame[[*self.columns, "known_ms"]].itertuples(index=False, name=None)]
-        top = self._rank(tuple(self.best.get())) if self.best.exists() else None
-        n = max((k[0] for k in self.waiting.keys()), default=-1) + 1
-        for record in sorted(new, key=lambda r: (r[-1], self._rank(r))):
-            if top is None or self._rank(record) > top:  # one that is known no earlier than a better one never counts
-                top = self._rank(record)
-                self.waiting.updateValue((n,), record)
-                self.handle.registerTimer(record[-1])
-                n += 1
+        new = self._counting(pd.concat([self._counting(frame[[*self.columns, "known_ms"]]) for frame in rows]))
+        best, held = self.best.get(), [tuple(r) for r in self.waiting.get()]
+        records = [tuple(x.item() if hasattr(x, "item") else x for x in r) for r in new.itertuples(index=False, name=None)]
+        waiting = []
+        for record in sorted(sorted(held + records, key=self._rank, reverse=True), key=lambda r: r[-1]):
+            if all(self._rank(record) > self._rank(r) for r in (best, waiting[-1] if waiting else None) if r is not None):
+                waiting.append(record)
+        if waiting != held:
+            self.waiting.put(waiting)
+            self.handle.registerTimer(waiting[0][-1])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        best = tuple(self.best.get()) if self.best.exists() else None
-        changed = False
-        for n, record in [(tuple(k), tuple(v)) for k, v in self.waiting.iterator()]:
-            if record[-1] <= now:
-                self.waiting.removeKey(n)
-                if best is None or self._rank(record) > self._rank(best):
-                    best, changed = record, True
-        if changed:
+        best, held = self.best.get(), [tuple(r) for r in self.waiting.get()]
+        known, waiting = [r for r in held if r[-1] <= now], [r for r in held if r[-1] > now]
+        if known:
+            if waiting:
+                self.waiting.put(waiting)
+                self.handle.registerTimer(waiting[0][-1])
+            else:
+                self.waiting.clear()
+            best = known[-1]
             self.best.update(best)
             self.handle.registerTimer(best[-1] + self.keep)
             yield pd.DataFrame([(*key, *best[:-1])], columns=[self.key, *self.columns])
-        elif best is not None and best[-1] + self.keep <= now and not any(True for _ in self.waiting.keys()):
+        elif best is not None and best[-1] + self.keep <= now and not waiting:
             self.best.clear()
 
     def close(self) -> None:
         pass
 
 
+def _best_of(group: Sequence[str], order: Sequence[str], most: int = 200_000):
+    """Of the rows of a task that agree in `group`, the best one by `order`, in rounds of `most` rows."""
+
+    def best(tables: list[pa.Table]) -> pa.Table:
+        x = pa.concat_tables(tables).sort_by([(c, "descending") for c in order])  # nulls come last
+        first = x.select(list(group)).append_column("_i", pa.array(range(len(x)), pa.int64())).group_by(list(group)).aggregate([("_i", "min")])
+        return x.take(first["_i_min"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(pa.Table.from_batches([b]))
+            n += b.num_rows
+            if n >= most:
+                held = [best(held)]
+                n = len(held[0])
+                if n > most // 2:  # too many different ones to hold
+                    yield from held[0].to_batches()
+                    held, n = [], 0
+        if n:
+            yield from best(held).to_batches()
+
+    return run
+
+
 def latest_known(df: DataFrame, key: str, order: Sequence[str], available: str, ingested: str, delay: str, keep_days: int) -> DataFrame:
     """Changes of the latest known record of each key of a stream: a row whenever a better one, by `order`, becomes known.
 
@@ -86,7 +122,9 @@ def latest_known(df: DataFrame, key: str, order: Sequence[str], available: str,
     the record, largest last one wins. To be written by `upsert`."""
     columns = [c for c in df.columns if c not in (key, ingested)]
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-    x = df.withColumn("_at", F.col(ingested).cast("timestamp")).withWatermark("_at", delay).withColumn("known_ms", F.greatest(_ms(available), _ms(ingested)))
+    x = df.withColumn("_at", F.col(ingested).cast("timestamp")).withColumn("known_ms", F.greatest(_ms(available), _ms(ingested))).select(key, "_at", "known_ms", *columns)
+    # Rows with the same times are late or known together, so each task sends on only the best of them.
+    x = x.mapInArrow(_best_of([key, "_at", "known_ms"], order), x.schema).withWatermark("_at", delay)
     run = LatestKnown(fields, key, columns, order, keep_days * DAY_MS)
     return x.groupBy(key).transformWithStateInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {fields}", "Update", "EventTime")
 
