@@ -27,11 +27,15 @@ HIDDEN, WINDOW = 16, 24
 #: tokens that one of the averaged nets learns from, about, and such nets at most.
 ROUNDS, LANES = 2, 512
 NET_TOKENS, MAX_NETS = 2_000_000, 4096
-#: Bytes of text scored together.
-SCORE_BYTES = 8_000_000
+#: Bytes of text scored together; counts of words that a task holds before it sends them on.
+SCORE_BYTES, HELD_COUNTS = 8_000_000, 1_000_000
 ALL_CLASSES = CLUSTERS + LANGS * BINS + 2
 
 
+def _code(input_id, cls, place):
+    return (np.asarray(input_id, np.int32) << 16) | (np.asarray(cls, np.int32) << 8) | (np.asarray(place, np.int32) + 1)
+
+
 class Table:
     """The broadcast words: hashes ascending, with count, input id, class and, for frequent words, place in the cluster."""
 
@@ -63,26 +67,57 @@ class Table:
         self.hashes, self.counts = hashes[order], counts[order].astype(np.float64)
         share = np.where(place >= 0, 0.0, np.log(np.maximum(counts, 1) / np.maximum(sums[cls], 1)))
         self.cls, self.place, self.input_id, self.share = cls[order], place[order], input_id[order], share[order].astype(np.float32)
+        #: input id, class and place + 1 of each word and, last, of a word that the table does not have; of the end
+        self.codes = np.append(_code(self.input_id, self.cls, self.place), _code(FREQUENT + self.rare, self.rare, -1))
+        self.end_code = _code(FREQUENT + self.end, self.end, -1)
         #: clusters without a word can not occur: no probability goes to them
         self.live = np.ones(self.classes, bool)
         self.live[:CLUSTERS] = self.cluster_sizes > 0
+        #: where the hashes of each prefix begin; a prefix has half a hash or less on average
+        self.shift = np.uint64(63 - n.bit_length())
+        self.begins = np.searchsorted(self.hashes, np.arange(2 << n.bit_length(), dtype=np.uint64) << self.shift).astype(np.int32)
 
     def look_up(self, h):
         """Index of each hash, and whether the table has it."""
-        if not len(self.hashes):
+        n = len(self.hashes)
+        if not n:
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        at = np.minimum(self.begins[h >> self.shift], n - 1)
+        on = np.flatnonzero(self.hashes[at] < h)
+        while len(on):
+            at[on] += 1
+            on = on[at[on] < n]
+            on = on[self.hashes[at[on]] < h[on]]
+        at = np.minimum(at, n - 1)
         return at, self.hashes[at] == h
 
 
+def _merge(keys, counts):
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+
+
 def _count_rows(batches):
+    """Counts by word and language, merged inside the task as long as few enough are held."""
+
+    def rows_of(keys, counts):
+        u, c = _merge(keys, counts)
+        return pa.RecordBatch.from_arrays([pa.array(signed(u & ~np.uint64(LANGS - 1))), pa.array((u & np.uint64(LANGS - 1)).astype(np.int32)), pa.array(c)], names=["h", "lang", "c"])
+
+    keys, counts, held = [], [], 0
     for batch in batches:
         for rows, offsets, data in runs(batch):
             w = split(offsets, data, lower=True)
             lang = rows.column(1).to_numpy(zero_copy_only=False)[w.doc].astype(np.uint64)
-            key = (w.hash & ~np.uint64(LANGS - 1)) | lang  # low bits of the hash make room for the language
-            u, c = np.unique(key, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(u & ~np.uint64(LANGS - 1))), pa.array((u & np.uint64(LANGS - 1)).astype(np.int32)), pa.array(c)], names=["h", "lang", "c"])
+            u, c = np.unique(_word_keys(w) | lang, return_counts=True)  # low bits of the hash make room for the language
+            keys.append(u)
+            counts.append(c)
+            held += len(u)
+            if held > HELD_COUNTS:
+                yield rows_of(keys, counts)
+                keys, counts, held = [], [], 0
+    if keys:
+        yield rows_of(keys, counts)
 
 
 def _word_keys(words):
@@ -95,6 +130,19 @@ def _groups(k):
     return zip(k[first].tolist(), first.tolist(), [*first[1:].tolist(), len(k)])
 
 
+class Scratch:
+    """Arrays by name that are filled again and again: the system would have to clear fresh ones of this size each time."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        n = int(np.prod(shape))
+        if name not in self.held or len(self.held[name]) < n:
+            self.held[name] = np.empty(n, np.float32)
+        return self.held[name][:n].reshape(shape)
+
+
 class Net:
     @staticmethod
     def shapes(table: Table) -> dict[str, tuple[int, ...]]:
@@ -102,7 +150,7 @@ class Net:
         return {"x": (FREQUENT + c, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "v": (HIDDEN, c), "b": (c,), "w": (CLUSTERS, FREQUENT // CLUSTERS + 1, HIDDEN), "wb": (CLUSTERS, FREQUENT // CLUSTERS + 1)}
 
     def __init__(self, flat: np.ndarray, table: Table):
-        self.p, i = {}, 0
+        self.p, i, self.scratch = {}, 0, Scratch()
         for k, s in self.shapes(table).items():
             n = int(np.prod(s))
             self.p[k] = flat[i : i + n].reshape(s).astype(np.float32)
@@ -118,52 +166,79 @@ class Net:
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
 
-    def step(self, ids, h):
-        a, g = self.p["x"][ids], h @ self.p["u"]
-        zr = a[:, : 2 * HIDDEN]
-        zr += g[:, : 2 * HIDDEN]
-        np.reciprocal(np.add(np.exp(np.negative(zr, out=zr), out=zr), 1, out=zr), out=zr)
-        n = zr[:, HIDDEN:] * g[:, 2 * HIDDEN :]
-        n += a[:, 2 * HIDDEN :]
-        np.tanh(n, out=n)
-        new = h - n
-        new *= zr[:, :HIDDEN]
-        new += n
-        return new
+    def gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Input and recurrent weights, one array a gate (update, reset, candidate), scaled so that 1 / (1 + exp(.)) gives
+        the two gates and, since tanh(x) = 2 / (1 + exp(-2x)) - 1, half of one more than the candidate."""
+        return tuple(_by_gate(self.p[k]) * np.array([-1, -1, -2], np.float32)[:, None, None] for k in ("x", "u"))
 
     def outputs(self, h, cls, place, gradient: bool = True):
-        """Log-probability of each class and place given the states, with the pieces that the gradient needs if it is asked for."""
-        logits = h @ self.p["v"]
-        logits += self.p["b"] + self.mask
-        logits -= logits.max(axis=1, keepdims=True)
-        out = logits[np.arange(len(h)), cls]
+        """Log-probability of each class and place given the states, with the pieces that the gradient needs if it is asked for
+        (they last until the next call)."""
+        # a row a class: reductions and steps run along the states
+        logits = np.matmul(self.p["v"].T, h.T, out=self.scratch("logits", len(self.p["b"]), len(h)))
+        logits += (self.p["b"] + self.mask)[:, None]
+        logits -= logits.max(axis=0)
+        out = logits[cls, np.arange(len(h))]
         e = np.exp(logits, out=logits)
-        s = e.sum(axis=1)
+        s = e.sum(axis=0)
         out -= np.log(s)
         f = np.flatnonzero(place >= 0)
         inner = None
         if len(f):
-            f = f[np.argsort(cls[f], kind="stable")]  # by cluster: one product each
-            k = cls[f]
-            li = (self.p["wb"] + self.place_mask)[k]
-            for c, i, j in _groups(k):
-                li[i:j] += h[f[i:j]] @ self.p["w"][c].T
-            li -= li.max(axis=1, keepdims=True)
-            own = li[np.arange(len(f)), place[f]]
+            f = f[np.argsort(cls[f].astype(np.int16), kind="stable")]  # by cluster: one product each
+            clusters, hf, bias = list(_groups(cls[f])), h[f], self.p["wb"] + self.place_mask
+            li = self.scratch("inner", bias.shape[1], len(f))
+            for c, i, j in clusters:
+                np.add(self.p["w"][c] @ hf[i:j].T, bias[c][:, None], out=li[:, i:j])
+            li -= li.max(axis=0)
+            own = li[place[f], np.arange(len(f))]
             ei = np.exp(li, out=li)
-            si = ei.sum(axis=1)
+            si = ei.sum(axis=0)
             out[f] += own - np.log(si)
-            inner = (f, k, np.divide(ei, si[:, None], out=ei)) if gradient else None
-        return out, (np.divide(e, s[:, None], out=e) if gradient else None), inner
+            inner = (f, clusters, hf, np.divide(ei, si, out=ei)) if gradient else None
+        return out, (np.divide(e, s, out=e) if gradient else None), inner
+
+
+def _by_gate(w):
+    return np.ascontiguousarray(w.reshape(len(w), 3, HIDDEN).transpose(1, 0, 2))
+
+
+def _logistic(x) -> None:
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
+def _advance(a, h, u, new):
+    """The states after one token into `new`. `a` has the inputs' part of `Net.gates` and becomes update gate, reset gate and
+    candidate; what the states give to the candidate comes back, times -2."""
+    g = np.matmul(h, u)
+    zr, n = a[:2], a[2]
+    zr += g[:2]
+    _logistic(zr)
+    n += np.multiply(a[1], g[2], out=g[0])
+    _logistic(n)
+    n *= 2
+    n -= 1
+    np.subtract(h, n, out=new)
+    new *= a[0]
+    new += n
+    return g[2]
+
+
+def _take(x, ids, scratch):
+    """Rows of each gate's input weights: gate, shape of the ids, HIDDEN."""
+    out = scratch("gates", 3, *ids.shape, HIDDEN)
+    for gate, rows in zip(x, out):
+        np.take(gate, ids, axis=0, out=rows, mode="clip")  # ids are in range; this mode fills `out` directly
+    return out
 
 
-def _sequences(words, table: Table, docs):
-    """Input ids, classes, places and log shares of the tokens of each document, end included; the input is the token before."""
-    at, known = table.look_up(_word_keys(words))
-    has = known & (len(table.hashes) > 0)
-    pick = lambda a, other: np.where(has, a[at], other) if len(table.hashes) else np.full(len(at), other)
-    ids, cls, place, share = pick(table.input_id, FREQUENT + table.rare), pick(table.cls, table.rare), pick(table.place, -1), pick(table.share, 0.0)
-    return ids.astype(np.int64), cls.astype(np.int64), place.astype(np.int64), share, has, at
+def _sequences(words, table: Table):
+    """Code of each word, its row in the table (one beyond the last if it has none), and whether it has one."""
+    at, has = table.look_up(_word_keys(words))
+    at = np.where(has, at, len(table.hashes))
+    return table.codes[at], at, has
 
 
 class Trainer:
@@ -179,15 +254,16 @@ class Trainer:
         self.waiting = 0  # tokens in the queue
 
     def read(self, words) -> None:
-        ids, cls, place = _sequences(words, self.table, None)[:3]
+        code = _sequences(words, self.table)[0]
         n = len(words.first) - 1
-        at = np.arange(len(ids)) + words.doc  # each document has one more target than words: its end
+        at = np.arange(len(code)) + words.doc  # each document has one more target than words: its end
         first = words.first + np.arange(n + 1)
-        flow = np.empty((3, len(ids) + n), np.int32)  # input, class and place of each target
-        flow[1], flow[2], flow[0, first[:-1]] = self.table.end, -1, FREQUENT + self.table.end
-        flow[0, at + 1], flow[1, at], flow[2, at] = ids, cls, place
-        self.queue.extend(flow[:, i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist()))
-        self.waiting += flow.shape[1]
+        target, source = (np.full(len(code) + n, self.table.end_code, np.int32) for _ in range(2))
+        target[at], source[at + 1] = code, code
+        source[first[:-1]] = self.table.end_code
+        flow = (source & ~0xFFFF) | (target & 0xFFFF)  # input id, class and place + 1 of each target
+        self.queue.extend(flow[i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist()))
+        self.waiting += len(flow)
         while self.waiting >= LANES * WINDOW:  # the window is full whatever comes next, so calls may cut the documents anywhere
             self.window()
 
@@ -196,85 +272,96 @@ class Trainer:
             self.window()
 
     def window(self) -> None:
-        flow = np.zeros((LANES, 3, WINDOW), np.int32)
+        flow = np.zeros((LANES, WINDOW), np.int32)
         fresh, count = np.zeros((LANES, WINDOW), bool), np.zeros(LANES, int)
         for i, lane in enumerate(self.lanes):
             k = 0
             while k < WINDOW and (lane is not None or self.queue):
                 if lane is None:
                     lane, fresh[i, k] = self.queue.popleft(), True
-                    self.waiting -= lane.shape[1]
-                m = min(WINDOW - k, lane.shape[1])
-                flow[i, :, k : k + m] = lane[:, :m]
-                lane, k = lane[:, m:] if m < lane.shape[1] else None, k + m
+                    self.waiting -= len(lane)
+                m = min(WINDOW - k, len(lane))
+                flow[i, k : k + m] = lane[:m]
+                lane, k = lane[m:] if m < len(lane) else None, k + m
             self.lanes[i], count[i] = lane, k
         used = np.flatnonzero(count)
         if len(used):
             live = np.arange(WINDOW)[:, None] < count[used]
             self.tokens += int(live.sum())
-            self.h[used] = self.update(flow[used].transpose(1, 2, 0), fresh[used].T, live, self.h[used])
+            self.h[used] = self.update(flow[used].T, fresh[used].T, live, self.h[used])
 
     def update(self, flow, fresh, live, h):
         """One step of Adam on a window (places x lanes); the lanes' last states."""
-        net, p, b = self.net, self.net.p, flow.shape[2]
-        prev, cls, place = (np.ascontiguousarray(x).ravel().astype(np.int64) for x in flow)
-        a, tape = p["x"][prev].reshape(WINDOW, b, -1), []
-        states, starts = np.empty((WINDOW, b, HIDDEN), np.float32), fresh.any(axis=1)
+        net, p, b = self.net, self.net.p, flow.shape[1]
+        flow = np.ascontiguousarray(flow)
+        prev, cls, place = (flow >> 16).astype(np.int16), ((flow >> 8) & 255).ravel(), ((flow & 255) - 1).ravel()
+        x, u = net.gates()
+        gates = _take(x, prev, net.scratch)
+        states, before, given, keep, to_z, to_n, dn = (net.scratch(k, WINDOW, b, HIDDEN) for k in ("states", "before", "given", "keep", "to_z", "to_n", "dn"))
+        starts = fresh.any(axis=1)
         for t in range(WINDOW):
+            before[t] = h
             if starts[t]:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            g = h @ p["u"]
-            zr = a[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
-            np.reciprocal(np.add(np.exp(np.negative(zr, out=zr), out=zr), 1, out=zr), out=zr)
-            z, r, g = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN :]
-            n = r * g
-            n += a[t, :, 2 * HIDDEN :]
-            np.tanh(n, out=n)
-            new = np.subtract(h, n, out=states[t])
-            new *= z
-            new += n
-            tape.append((h, z, r, n, g))
-            h = new
+                before[t][fresh[t]] = 0
+            given[t] = _advance(gates[:, t], before[t], u, states[t])
+            h = states[t]
         on = np.flatnonzero(live.ravel())
         hs = states.reshape(WINDOW * b, HIDDEN)
         hs = hs if len(on) == len(hs) else hs[on]
         tg, pl = cls[on], place[on]
         _, d, inner = net.outputs(hs, tg, pl)
         grads = {k: np.zeros_like(v) for k, v in p.items()}
-        d[np.arange(len(tg)), tg] -= 1
+        d[tg, np.arange(len(tg))] -= 1
         d /= len(tg)
-        grads["v"], grads["b"] = hs.T @ d, d.sum(axis=0)
-        out = d @ p["v"].T
+        grads["v"], grads["b"] = (d @ hs).T, d.sum(axis=1)
+        out = np.matmul(d.T, p["v"].T, out=net.scratch("out", *hs.shape))
         if inner:
-            f, k, pi = inner
-            pi[np.arange(len(f)), pl[f]] -= 1
+            f, clusters, hf, pi = inner
+            pi[pl[f], np.arange(len(f))] -= 1
             pi /= len(tg)
-            for c, i, j in _groups(k):
-                grads["w"][c], grads["wb"][c] = pi[i:j].T @ hs[f[i:j]], pi[i:j].sum(axis=0)
-                out[f[i:j]] += pi[i:j] @ p["w"][c]
-        dh_out = np.zeros((WINDOW * b, HIDDEN), np.float32)
-        dh_out[on] = out
+            back = net.scratch("back", *hf.shape)
+            for c, i, j in clusters:
+                grads["w"][c], grads["wb"][c] = pi[:, i:j] @ hf[i:j], pi[:, i:j].sum(axis=1)
+                np.matmul(pi[:, i:j].T, p["w"][c], out=back[i:j])
+            out[f] += back
+        dh_out = out
+        if len(on) < WINDOW * b:
+            dh_out = np.zeros((WINDOW * b, HIDDEN), np.float32)
+            dh_out[on] = out
         dh_out = dh_out.reshape(WINDOW, b, HIDDEN)
-        dx, du = (np.empty((WINDOW, b, 3 * HIDDEN), np.float32) for _ in range(2))
-        dh, back = np.zeros((b, HIDDEN), np.float32), p["u"].T.copy()
+        # what a change of a state gives to the inputs of the candidate, the update gate and, by the candidate's, the reset gate
+        z, r, n = gates
+        np.subtract(1, z, out=keep)
+        np.subtract(before, n, out=to_z)
+        to_z *= z
+        to_z *= keep
+        np.multiply(n, n, out=to_n)
+        np.subtract(1, to_n, out=to_n)
+        to_n *= keep
+        to_r = np.subtract(1, r, out=keep)
+        to_r *= r
+        to_r *= given
+        to_r *= -0.5
+        du = net.scratch("du", 3, WINDOW, b, HIDDEN)
+        dh, back = np.zeros((b, HIDDEN), np.float32), np.ascontiguousarray(_by_gate(p["u"]).transpose(0, 2, 1))
         for t in range(WINDOW - 1, -1, -1):
-            hp, z, r, n, g = tape[t]
-            dh = dh + dh_out[t]
-            part = dh * (1 - z)
-            dan = np.multiply(part, 1 - n * n, out=dx[t, :, 2 * HIDDEN :])
-            part *= z
-            np.multiply(part, hp - n, out=du[t, :, :HIDDEN])
-            back_r = np.multiply(dan, r, out=du[t, :, 2 * HIDDEN :])
-            np.multiply(back_r * (1 - r), g, out=du[t, :, HIDDEN : 2 * HIDDEN])
-            dh *= z
-            dh += du[t] @ back
+            dh += dh_out[t]
+            np.multiply(dh, to_n[t], out=dn[t])
+            np.multiply(dh, to_z[t], out=du[0, t])
+            np.multiply(dn[t], to_r[t], out=du[1, t])
+            np.multiply(dn[t], r[t], out=du[2, t])
+            dh *= z[t]
+            for part in np.matmul(du[:, t], back):
+                dh += part
             if starts[t]:
                 dh[fresh[t]] = 0
-        dx[:, :, : 2 * HIDDEN] = du[:, :, : 2 * HIDDEN]
-        grads["u"] = np.concatenate([x[0] for x in tape]).T @ du.reshape(WINDOW * b, -1)
+        flat = before.reshape(WINDOW * b, HIDDEN).T
+        grads["u"] = np.concatenate([flat @ x.reshape(WINDOW * b, HIDDEN) for x in du], axis=1)
+        prev = prev.ravel()
         order = np.argsort(prev, kind="stable")
         runs_of = [(c, i) for c, i, _ in _groups(prev[order])]
-        grads["x"][[c for c, _ in runs_of]] = np.add.reduceat(dx.reshape(WINDOW * b, -1)[order], [i for _, i in runs_of], axis=0)
+        dx = np.concatenate([x.reshape(WINDOW * b, HIDDEN).take(order, axis=0) for x in (du[0], du[1], dn)], axis=1, out=net.scratch("dx", WINDOW * b, 3 * HIDDEN))
+        grads["x"][[c for c, _ in runs_of]] = np.add.reduceat(dx, [i for _, i in runs_of], axis=0)
         self.updates += 1
         it = self.updates
         for k, v in p.items():
@@ -287,38 +374,42 @@ class Trainer:
 
 def score_documents(net: Net, words, table: Table):
     """Natural log-probability of each document, without the rare words' shares; states run through whole documents."""
-    n_docs = len(words.first) - 1
-    seq = _sequences(words, table, None)
-    ids, cls, place, share, has, at = seq
+    codes, at, has = _sequences(words, table)
     length = np.diff(words.first) + 1
+    total = np.bincount(words.doc, weights=np.append(table.share, np.float32(0))[at], minlength=len(length)).astype(float)
+    codes = np.append(codes, table.end_code)
     order = np.argsort(-length, kind="stable")
-    first, length = words.first[:-1][order], length[order]
-    total = np.bincount(words.doc, weights=share, minlength=n_docs)[order] if len(ids) else np.zeros(n_docs)
-    h = np.zeros((n_docs, HIDDEN), np.float32)
-    prev = np.full(n_docs, FREQUENT + table.end)
-    t = 0
-    steps = int(length[0]) if n_docs else 0
-    longer = (n_docs - np.cumsum(np.bincount(length, minlength=steps + 2))).tolist()  # documents with more than t tokens
+    for i in range(0, len(order), LANES):  # so many that their states stay in a processor's cache, of like length
+        some = order[i : i + LANES]
+        total[some] += _read_along(net, codes, words.first[some], length[some], table)
+    return total, has, at
+
+
+def _read_along(net: Net, codes, first, length, table: Table):
+    """Log-probability of the codes of some documents, longest first, that are read side by side."""
+    x, u = net.gates()
+    steps = int(length[0])
+    longer = (len(length) - np.cumsum(np.bincount(length, minlength=steps + 1))).tolist()  # documents with more than t tokens
+    total, t = np.zeros(len(length)), 0
+    h, prev = np.zeros((len(length), HIDDEN), np.float32), np.full(len(length), table.end_code, np.int32)
     while t < steps:
         n = longer[t]
         w = min(WINDOW if n > 64 else 8 * WINDOW, steps - t)
-        states = np.empty((w, n, HIDDEN), np.float32)
-        tg, pl = np.full((w, n), table.end), np.full((w, n), -1)
-        live = np.zeros((w, n), bool)
+        k = t + np.arange(w)[:, None]
+        flow = np.where(k < length[:n] - 1, codes[np.minimum(first[:n] + k, len(codes) - 1)], table.end_code)
+        gates = _take(x, np.concatenate([prev[None, :n], flow[:-1]]) >> 16, net.scratch)
+        states = net.scratch("states", w, n, HIDDEN)
         for k in range(w):
             m = longer[t + k]
-            h[:m] = net.step(prev[:m], h[:m])
-            states[k, :m] = h[:m]
-            live[k, :m] = True
-            inner = longer[t + k + 1]  # those that read a word here, not the end
-            here = first[:inner] + t + k
-            tg[k, :inner], pl[k, :inner], prev[:inner] = cls[here], place[here], ids[here]
-        out, _, _ = net.outputs(states[live], tg[live], pl[live], gradient=False)
-        total[:n] += np.bincount(np.nonzero(live)[1], weights=out, minlength=n)
+            _advance(gates[:, k, :m], h[:m], u, states[k, :m])
+            h = states[k]
+        h, prev = h.copy(), flow[-1]
+        live = t + np.arange(w)[:, None] < length[:n]
+        target, part = flow[live], np.zeros((w, n))
+        part[live] = net.outputs(states[live], (target >> 8) & 255, (target & 255) - 1, gradient=False)[0]
+        total[:n] += part.sum(axis=0)
         t += w
-    back = np.empty(n_docs)
-    back[order] = total
-    return back, has, at
+    return total
 
 
 def _train_rows(shared):
@@ -397,6 +488,7 @@ def _score_rows(shared):
     def run(batches):
         table, flat = shared.value
         net = Net(flat, table)
+        log_counts = np.append(np.log10(table.counts + 1), 0.0)
         log_denominator = np.log10(table.total + table.distinct + 1)
         for batch in batches:
             for rows, offsets, data in runs(batch, limit=SCORE_BYTES):
@@ -404,8 +496,7 @@ def _score_rows(shared):
                 n_docs = rows.num_rows
                 score, has, at = score_documents(net, w, table)
                 n = np.diff(w.first) + 1
-                log_c = np.where(has, np.log10(table.counts[at] + 1), 0.0) if len(table.hashes) else np.zeros(len(w.doc))
-                base = np.bincount(w.doc, weights=log_c, minlength=n_docs) + np.log10(table.ends + 1) - n * log_denominator
+                base = np.bincount(w.doc, weights=log_counts[at], minlength=n_docs) + np.log10(table.ends + 1) - n * log_denominator
                 known = np.bincount(w.doc, weights=has, minlength=n_docs).astype(np.int64) + int(table.ends > 0)
                 rare = np.flatnonzero(~has)
                 cut = np.searchsorted(w.doc[rare], np.arange(n_docs + 1))
